@@ -1,0 +1,34 @@
+"""Connected components of a table of links."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from histospark.llm.common import removed, written
+
+
+def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """node, component (its smallest node) for the nodes of links(a long, b long).
+
+    Each round, a node and the component it is in take the least component among its neighbours,
+    and components then point to their own component, so long chains shrink in a logarithmic number
+    of rounds. All steps are joins and minima that combine before the shuffle; each round is written
+    to the shared folder. Links of a node with itself, repeated links and an empty table are fine.
+    """
+    edges = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "edges")
+    state = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "components")
+    for _ in range(rounds):
+        seen = edges.join(state, edges.b == state.node).groupBy("a").agg(F.min("component").alias("least"))
+        hooks = seen.join(state, seen.a == state.node).select("node", "component", "least")
+        told = hooks.select("node", "least").union(hooks.select("component", "least")).union(state.select("node", "component")).groupBy("node").agg(F.min("least").alias("parent"))
+        up = told.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
+        old = state.withColumnRenamed("component", "was")
+        new = written(told.join(up, "parent").join(old, "node").select("node", F.least("parent", "root").alias("component"), "was"), "components")
+        moved = new.where("component <> was").limit(1).count()
+        removed(links.sparkSession, state)
+        state = new
+        if not moved:
+            break
+    removed(links.sparkSession, edges)
+    return state.select("node", "component")

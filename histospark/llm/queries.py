@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histospark.llm import bpe, fingerprint, mixing
-from histospark.llm.common import n_words, table
+from histospark.llm import bpe, embedding_dups, fingerprint, langid, minhash, mixing, quality
+from histospark.llm.common import held_out, n_words, small_batches, table
 
 #: The tokenizer file that the queries use.
 TOKENIZER = "byte_bpe_50k.json"
@@ -18,6 +18,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+#: A document of at least this score is predicted to be of label 1.
+GOOD = 0.7
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), quality.quality_score(F.col("text"), model, spark).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -37,11 +49,28 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", "n_chars", "edited_sha256", fingerprint.as_text(F.col("fp")).alias("fingerprint"), fingerprint.as_text(F.col("edited_fp")).alias("edited_fingerprint"), like(F.col("fp"), F.col("edited_fp")).alias("near_edited"), like(F.col("fp"), F.col("next_fp")).alias("near_next"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit_languages(docs)
+    found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), langid.language(F.col("text"), model, spark).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.col("found.ambiguous").alias("ambiguous"))
+
+
+def op8_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dups.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.systematic_mix(table(spark, sf_dir, "documents"), n_words(F.col("text")))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_fingerprints": op3_fingerprints, "op10_mixing": op10_mixing}
+QUERIES = {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_fingerprints": op3_fingerprints, "op6_minhash": op6_minhash, "op7_langid": op7_langid, "op8_embedding_dups": op8_embedding_dups, "op10_mixing": op10_mixing}
 
 SQL = {"op10_mixing": "select doc_id, size, source_size, target, copies * size as taken from (" + mixing.MIX_SQL.format(docs="documents") + ")"}
