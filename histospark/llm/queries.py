@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histospark.llm import bpe, embedding_dups, fingerprint, langid, minhash, mixing, quality
+from histospark.llm import bpe, chat, embedding_dups, fingerprint, langid, licenses, minhash, mixing, quality, warc
 from histospark.llm.common import held_out, n_words, small_batches, table
 
 #: The tokenizer file that the queries use.
@@ -49,6 +49,24 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", "n_chars", "edited_sha256", fingerprint.as_text(F.col("fp")).alias("fingerprint"), fingerprint.as_text(F.col("edited_fp")).alias("edited_fingerprint"), like(F.col("fp"), F.col("edited_fp")).alias("near_edited"), like(F.col("fp"), F.col("next_fp")).alias("near_next"))
 
 
+#: Both turns of the conversation that op4 adds: control strings inside a text.
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
+    read = chat.read_back(chat.format_conversations(rows.unionByName(extra)))
+    every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(every, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text"), 256).alias("loss_sha256"), "formatted_chars", "valid")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return warc.archive_and_read(table(spark, sf_dir, "pages").select("page_id", "url", "html"), least_bytes=0).drop("payload")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
@@ -66,11 +84,22 @@ def op8_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dups.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), 0.95)
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a folder for each source, in it one for each thousand ids, and in that one
+    for each hundred, whose first document is its licence file."""
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 100 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 100), name)
+    found = licenses.scan_licenses(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text"))
+    return found.withColumnRenamed("file_id", "doc_id")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.systematic_mix(table(spark, sf_dir, "documents"), n_words(F.col("text")))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_fingerprints": op3_fingerprints, "op6_minhash": op6_minhash, "op7_langid": op7_langid, "op8_embedding_dups": op8_embedding_dups, "op10_mixing": op10_mixing}
+QUERIES = {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_fingerprints": op3_fingerprints, "op4_chat": op4_chat, "op5_warc": op5_warc, "op6_minhash": op6_minhash, "op7_langid": op7_langid, "op8_embedding_dups": op8_embedding_dups, "op9_licenses": op9_licenses, "op10_mixing": op10_mixing}
 
 SQL = {"op10_mixing": "select doc_id, size, source_size, target, copies * size as taken from (" + mixing.MIX_SQL.format(docs="documents") + ")"}
