@@ -37,9 +37,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return ranked.withColumn("level", level).withColumn("source_key", F.coalesce(F.concat(F.lit("1"), F.col("source")), F.lit("2"))).withColumn("first", first).select("source", "source_size", F.least(F.col("limit"), F.col("weight") * F.col("first")).alias("target"))
 
 
-def systematic_mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, offset: float = OFFSET, splits: int = SPLITS) -> DataFrame:
-    """How often the mix takes each document: all columns of docs' (doc_id, source) plus
-    ``size, source_size, target, copies``.
+def systematic_mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, offset: float = OFFSET, splits: int = SPLITS, carry: bool = False) -> DataFrame:
+    """How often the mix takes each document: doc_id, source, plus
+    ``size, source_size, target, copies``; with ``carry``, the whole rows come along as a struct ``doc``.
 
     Each document of a source is expected target / source_size times. In a source, documents stand
     in the order of size class (bits of the size), doc_id mod ``splits``, size and doc_id. The
@@ -51,7 +51,8 @@ def systematic_mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEI
     Null texts have size 0; a null source is a source of its own; null ids count as 0 in the order
     and repeated rows are documents of their own; sources without words have target 0 and no copies.
     """
-    rows = docs.select("doc_id", "source", size.alias("size"))
+    doc = [F.struct(*docs.columns).alias("doc")] if carry else []
+    rows = docs.select("doc_id", "source", size.alias("size"), *doc)
     rows = rows.withColumn("cls", F.length(F.bin("size"))).withColumn("split", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(splits)).cast("int"))
     groups = rows.groupBy("source", "cls", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     totals = source_targets(groups.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
@@ -64,7 +65,7 @@ def systematic_mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEI
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     place = F.col("ahead") + F.col("rank")
     copies = F.floor(place * rate + F.lit(offset)) - F.floor((place - 1) * rate + F.lit(offset))
-    return ranked.select("doc_id", "source", "size", "source_size", "target", F.least(copies, F.lit(most)).cast("long").alias("copies"))
+    return ranked.select(*(["doc"] if carry else []), "doc_id", "source", "size", "source_size", "target", F.least(copies, F.lit(most)).cast("long").alias("copies"))
 
 
 #: DuckDB SQL for the taken words of a table ``documents``; {docs} is the table.
