@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from histospark.plans import graphs, images, pixel_queries, regions, slides, statistics  # noqa: F401
+from histospark.plans.registry import QUERIES, SQL
+
 FLAGSHIP = "portality_stats"
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
