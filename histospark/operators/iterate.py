@@ -66,7 +66,7 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         hooks = seen.join(state, seen.a == state.node).select("node", "component", "least")
         told = hooks.select("node", "least").union(hooks.select("component", "least")).union(state.select("node", "component")).groupBy("node").agg(F.min("least").alias("parent"))
         up = told.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
-        old = state.withColumnRenamed("component", "was")
+        old = state.select("node", F.col("component").alias("was"))
         new = written(told.join(up, "parent").join(old, "node").select("node", F.least("parent", "root").alias("component"), "was"), "components")
         moved = new.where("component <> was").limit(1).count()
         removed(spark, state)
