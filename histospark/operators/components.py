@@ -30,8 +30,8 @@ def tile_labels(on: np.ndarray, eight: bool) -> np.ndarray:
             a = label[: label.shape[0] - dy, max(0, -dx) : label.shape[1] - max(0, dx)]
             b = label[dy:, max(0, dx) : label.shape[1] + min(0, dx)]
             both = (a < n) & (b < n)
-            low = np.minimum(a, b)
-            a[both], b[both] = low[both], low[both]
+            a[both] = np.minimum(a, b)[both]
+            b[both] = np.minimum(a, b)[both]  # a and b overlap, so this reads what the line above has written
         flat = np.append(label.ravel(), n)
         label = flat[label]
         if (label == old).all():

@@ -120,7 +120,61 @@ def forest(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     return seen
 
 
-def bridges(edges: DataFrame) -> DataFrame:
+#: Components of at most so many edges are searched for bridges in one task each.
+LOCAL_EDGES = 50_000
+
+
+def local_bridges(u: list[int], v: list[int]) -> list[int]:
+    """Indices of the edges on no cycle, by a depth-first search with low points."""
+    near: dict[int, list[tuple[int, int]]] = {}
+    for i, (a, b) in enumerate(zip(u, v, strict=True)):
+        near.setdefault(a, []).append((b, i))
+        near.setdefault(b, []).append((a, i))
+    order, low, out = {}, {}, []
+    for root in near:
+        if root in order:
+            continue
+        order[root] = low[root] = len(order)
+        path = [(root, -1, iter(near[root]))]
+        while path:
+            node, by, rest = path[-1]
+            for other, i in rest:
+                if i == by:
+                    continue
+                if other in order:
+                    low[node] = min(low[node], order[other])
+                else:
+                    order[other] = low[other] = len(order)
+                    path.append((other, i, iter(near[other])))
+                    break
+            else:
+                path.pop()
+                if path:
+                    up = path[-1][0]
+                    low[up] = min(low[up], low[node])
+                    if low[node] > order[up]:
+                        out.append(by)
+    return out
+
+
+def bridges(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
+    """u, v of edges on no cycle. Components of at most ``local`` edges are searched in one task each;
+    the edges of larger ones are labelled over the whole cluster (``labelled_bridges``)."""
+    plain = written(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v"))
+    found = connected_components(plain.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    named = plain.join(found.select(F.col("node").alias("u"), "component"), "u")
+    sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("edges"))
+    named = written(named.join(sizes, "component"))
+
+    def search(pdf):
+        return pdf[["u", "v"]].iloc[local_bridges(pdf["u"].tolist(), pdf["v"].tolist())]
+
+    near = named.where(F.col("edges") <= local).groupBy("component").applyInPandas(search, "u long, v long")
+    large = named.where(F.col("edges") > local).select("u", "v")
+    return near.union(labelled_bridges(large)) if large.limit(1).count() else near
+
+
+def labelled_bridges(edges: DataFrame) -> DataFrame:
     """u, v of edges on no cycle. Each edge outside a breadth-first forest gets a random label; a tree
     edge's label is the xor of those below it, summed level by level from the leaves; 0 is a bridge.
     A wrong answer needs two of 2**64 labels to cancel."""

@@ -1 +1,169 @@
-"""Queries."""
+"""Queries of planar-graph operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from histospark.operators import graph
+from histospark.operators.gridjoin import cells_of_box
+from histospark.plans.registry import query
+from histospark.plans.statistics import rounded
+from histospark.sources import tables as t
+from histospark.sources.tables import DENSE_GRAPH, MASK_SQL, POLYLINES, RASTER, SPARSE_GRAPH, sql
+
+#: A sample of the lines keeps the all-pairs SQL affordable; it is part of the view, for both engines.
+SEGS = """segs as (select line, seq, px as ax, py as ay, bx, by_ as "by" from (select *, lead(px) over (partition by line order by seq) as bx, lead(py) over (partition by line order by seq) as by_ from lines) where bx is not null and (px <> bx or py <> by_))"""
+
+
+def mask_edges(spark, sf_dir):
+    return t.sparse_graph(spark, sf_dir).withColumn("length", ((F.col("u") * 7 + F.col("v") * 13) % 29 + 1))
+
+
+@query(sql("select u, v from edges", RASTER, MASK_SQL, SPARSE_GRAPH))
+def mask_graph(spark, sf_dir):
+    return t.sparse_graph(spark, sf_dir)
+
+
+@query(sql("select node, cast(count(*) as bigint) as degree, count(*) >= 3 as junction from (select u as node from edges union all select v from edges) group by node", RASTER, MASK_SQL, SPARSE_GRAPH))
+def node_degrees(spark, sf_dir):
+    return graph.degrees(t.sparse_graph(spark, sf_dir))
+
+
+@query()
+def prune_branches(spark, sf_dir):
+    return graph.pruned(t.sparse_graph(spark, sf_dir))
+
+
+@query(sql("select line, seq, ax, ay, bx, \"by\" from segs", POLYLINES, SEGS))
+def line_segments(spark, sf_dir):
+    return graph.segments(t.polylines(spark, sf_dir))
+
+
+CROSSING = """select a.line, a.seq, b.line as line2, b.seq as seq2, a.ax, a.ay, a.bx, a."by", b.ax as qax, b.ay as qay, b.bx as qbx, b."by" as qby,
+  (a.bx - a.ax) * (b.ay - a.ay) - (a."by" - a.ay) * (b.ax - a.ax) as d1, (a.bx - a.ax) * (b."by" - a.ay) - (a."by" - a.ay) * (b.bx - a.ax) as d2,
+  (b.bx - b.ax) * (a.ay - b.ay) - (b."by" - b.ay) * (a.ax - b.ax) as d3, (b.bx - b.ax) * (a."by" - b.ay) - (b."by" - b.ay) * (a.bx - b.ax) as d4
+  from segs a join segs b on a.line < b.line where a.line % 10 = 0 and b.line % 10 = 0"""
+
+
+@query(sql(f"select line, seq, line2, seq2, round(ax + d3 / cast(d3 - d4 as double) * (bx - ax), 6) as x, round(ay + d3 / cast(d3 - d4 as double) * (\"by\" - ay), 6) as y from ({CROSSING}) where sign(d1) * sign(d2) < 0 and sign(d3) * sign(d4) < 0", POLYLINES, SEGS))
+def seg_intersections(spark, sf_dir):
+    """Lines of users divisible by ten."""
+    segs = graph.segments(t.polylines(spark, sf_dir)).where("line % 10 = 0")
+    return rounded(graph.intersections(segs), "x", "y")
+
+
+@query(sql("""select end_line, end_seq, line, seq, round(t, 9) as t from (
+  select e.line as end_line, e.seq as end_seq, s.line, s.seq, ((e.px - s.ax) * (s.bx - s.ax) + (e.py - s.ay) * (s."by" - s.ay)) / cast((s.bx - s.ax) * (s.bx - s.ax) + (s."by" - s.ay) * (s."by" - s.ay) as double) as t, e.px, e.py, s.ax, s.ay, s.bx, s."by", e.dx, e.dy
+  from (select line, seq, px, py, case when i = 1 then nx - px else qx - px end as dx, case when i = 1 then ny - py else qy - py end as dy from (
+    select *, row_number() over (partition by line order by seq) as i, row_number() over (partition by line order by seq desc) as j, lead(px) over (partition by line order by seq) as nx, lead(py) over (partition by line order by seq) as ny, lag(px) over (partition by line order by seq) as qx, lag(py) over (partition by line order by seq) as qy from lines) where i = 1 or j = 1) e
+  join segs s on s.line <> e.line where dx <> 0 or dy <> 0)
+  where t between 0.02 and 0.98 and power(px - ax - t * (bx - ax), 2) + power(py - ay - t * ("by" - ay), 2) <= 4.0
+  and degrees(acos(least(1.0, abs(dx * (bx - ax) + dy * ("by" - ay)) / (sqrt((bx - ax) * (bx - ax) + ("by" - ay) * ("by" - ay)) * sqrt(dx * dx + dy * dy))))) >= 20""", POLYLINES, SEGS))
+def t_junctions(spark, sf_dir):
+    lines = t.polylines(spark, sf_dir)
+    return rounded(graph.t_junctions(lines, graph.segments(lines), 2.0), "t", digits=9)
+
+
+POINTS = "points as (select event_id as id, (event_id * 37) % 1009 / 3.0::double as x, (event_id * 91) % 997 / 3.0::double as y from events where event_id % 4 = 0)"
+
+
+def points(spark, sf_dir):
+    """A quarter of the events as points; the quarter is part of the view, for both engines."""
+    e = t.table(spark, sf_dir, "events").where("event_id % 4 = 0")
+    return e.select(F.col("event_id").alias("id"), ((F.col("event_id") * 37) % 1009 / F.lit(3.0)).alias("x"), ((F.col("event_id") * 91) % 997 / F.lit(3.0)).alias("y"))
+
+
+NEARBY = "nearby as (select a.id as a, b.id as b from points a join points b on a.id <> b.id and b.x between a.x - 2.5 and a.x + 2.5 and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 6.25)"
+
+
+@query(sql("""select c.cluster, cast(count(*) as bigint) as n, round(avg(x), 6) as x, round(avg(y), 6) as y from (select node, min(label) as cluster from walk group by node) c join points p on p.id = c.node group by c.cluster""", POINTS, NEARBY, "walk(node, label) as (select id, id from points union select n.b, w.label from walk w join nearby n on n.a = w.node where w.label < n.b)"))
+def cluster_points(spark, sf_dir):
+    return rounded(graph.clustered_points(points(spark, sf_dir), 2.5), "x", "y")
+
+
+@query(sql("select p.id, arg_min(c.id, ((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y), c.id)) as center, round(min((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y)), 6) as d2 from points p left join points c on c.id % 40 = 0 and (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) <= 100 group by p.id", POINTS))
+def nearest_center(spark, sf_dir):
+    p = points(spark, sf_dir)
+    centers = p.where("id % 40 = 0").select(F.col("id").alias("center"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    return rounded(graph.nearest_center(p, centers, 10.0), "d2")
+
+
+@query()
+def chain_contraction(spark, sf_dir):
+    return graph.chains(mask_edges(spark, sf_dir))
+
+
+@query()
+def bridges(spark, sf_dir):
+    return graph.bridges(t.sparse_graph(spark, sf_dir))
+
+
+
+
+@query(sql("""select 1 as source, node, min(dist) as dist from walk group by node""", DENSE_GRAPH, "both_ways as (select u as a, v as b, length from weighted union all select v, u, length from weighted)", "walk(node, dist, hops) as (select 1::bigint, 0::bigint, 0 union select * from (select b.b, min(w.dist + b.length)::bigint, any_value(w.hops) + 1 from walk w join both_ways b on b.a = w.node where w.hops < 12 group by b.b))"))
+def shortest_path(spark, sf_dir):
+    """Distances from node 1; paths of more than twelve edges are never shortest here."""
+    sources = spark.range(1).select(F.lit(1).cast("long").alias("source"))
+    return graph.shortest_paths(t.dense_graph(spark, sf_dir), sources).select(F.col("source").cast("int").alias("source"), "node", "dist")
+
+
+@query()
+def spanning_tree(spark, sf_dir):
+    return graph.spanning_tree(t.dense_graph(spark, sf_dir))
+
+
+@query()
+def terminal_mst(spark, sf_dir):
+    """The tree that connects the nodes whose number is divisible by 100."""
+    e = t.dense_graph(spark, sf_dir)
+    terminals = graph.both_ends(e).where("node % 100 = 0").select(F.col("node").alias("source")).distinct()
+    return graph.terminal_tree(e, terminals)
+
+
+@query(sql("select line, round(degrees(atan2(cast(last(py order by seq) - first(py order by seq) as double), cast(last(px order by seq) - first(px order by seq) as double))), 6) as angle from (select * from lines where seq <= 4) group by line", POLYLINES))
+def edge_angles(spark, sf_dir):
+    return rounded(graph.angle_at(t.polylines(spark, sf_dir)), "angle")
+
+
+@query()
+def node_arms(spark, sf_dir):
+    return graph.arms(graph.angle_at(t.polylines(spark, sf_dir)).withColumn("node", F.col("line") % 10), "node")
+
+
+LOOPS = "loops as (select (u // 50) as loop, u, v from weighted where u // 50 = v // 50), deg as (select node, count(*) as degree from (select u as node from weighted union all select v from weighted) group by node)"
+
+
+def loops(spark, sf_dir):
+    return t.dense_graph(spark, sf_dir).where("u div 50 = v div 50").select(F.expr("u div 50").alias("loop"), "u", "v")
+
+
+@query(sql("select loop, cast(count(j.node) as bigint) as junctions from (select distinct loop, unnest([u, v]) as node from loops) n left join (select node from deg where degree >= 195) j on j.node = n.node group by loop having count(j.node) <= 20", DENSE_GRAPH, LOOPS))
+def rule_a(spark, sf_dir):
+    """Loops that touch few nodes of high degree."""
+    e = t.dense_graph(spark, sf_dir)
+    return graph.loops_with_few_junctions(loops(spark, sf_dir), graph.degrees(e).where("degree >= 195"), 20)
+
+
+@query(sql("select u, v from marked d where dead and cast(exists (select 1 from alive a where a.node = d.u) as int) + cast(exists (select 1 from alive a where a.node = d.v) as int) <= 1", RASTER, MASK_SQL, SPARSE_GRAPH, "marked as (select u, v, (u * 7 + v * 13) % 3 <> 0 as dead from edges), alive as (select u as node from marked where not dead union select v from marked where not dead)"))
+def rule_c(spark, sf_dir):
+    return graph.weak_connectors(t.sparse_graph(spark, sf_dir).withColumn("dead", (F.col("u") * 7 + F.col("v") * 13) % 3 != 0))
+
+
+@query(sql("select eid, u, v, length from (select *, row_number() over (partition by least(u, v), greatest(u, v) order by length, eid) as r from multi) where r > 1", "multi as (select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as eid, l_orderkey % 50 as u, l_partkey % 50 as v, cast(l_quantity as bigint) as length from lineitem where l_returnflag = 'A')"))
+def parallel_edges(spark, sf_dir):
+    from pyspark.sql import Window
+
+    order = Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    e = t.table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select(F.row_number().over(order).cast("long").alias("eid"), (F.col("l_orderkey") % 50).alias("u"), (F.col("l_partkey") % 50).alias("v"), F.col("l_quantity").cast("long").alias("length"))
+    return graph.parallel_edges(e)
+
+
+@query(sql("select p.id, cast(count(c.id) as bigint) as near from points p join points c on c.id <> p.id and abs(p.x - c.x) <= 3 and abs(p.y - c.y) <= 3 group by p.id", POINTS))
+def points_in_reach(spark, sf_dir):
+    from histospark.operators.gridjoin import grid_join
+
+    p = points(spark, sf_dir)
+    q = p.toDF("id2", "x2", "y2")
+    own = F.array(F.struct(F.floor(F.col("x2") / 3).alias("cx"), F.floor(F.col("y2") / 3).alias("cy")))
+    met = grid_join(p, q, cells_of_box(F.col("x"), F.col("y"), F.col("x"), F.col("y"), 3.0, 3.0), own, [], F.expr("id <> id2 and abs(x - x2) <= 3 and abs(y - y2) <= 3"), ["id", "id2"])
+    return met.groupBy("id").agg(F.count(F.lit(1)).alias("near"))

@@ -1 +1,248 @@
-"""Queries."""
+"""Queries of components, distances, portality, superpixel features and zones."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from histospark.operators import components as comp
+from histospark.operators import distance, features
+from histospark.plans.registry import query
+from histospark.plans.statistics import otsu_sql, rounded
+from histospark.sources import tables as t
+from histospark.sources.tables import MASK_SQL, RASTER, sql
+
+W = comp.WIDE
+
+
+def label_sql(name: str, source: str, eight: bool = False) -> str:
+    """Components by repeated spreading of the least place, as a recursive view ``name`` (uid, y, x, label)."""
+    near = "abs(b.y - a.y) <= 1 and abs(b.x - a.x) <= 1" if eight else "abs(b.y - a.y) + abs(b.x - a.x) <= 1"
+    return f"""{name}_walk(uid, y, x, label) as (select uid, y, x, y * {W} + x from {source} union
+  select b.uid, b.y, b.x, a.label from {name}_walk a join {source} b on a.uid = b.uid and b.y between a.y - 1 and a.y + 1 and b.x between a.x - 1 and a.x + 1 and {near} where a.label < b.y * {W} + b.x),
+{name} as (select uid, y, x, min(label) as label from {name}_walk group by uid, y, x)"""
+
+
+WHOLE = "full_slides as (select uid from raster group by uid having count(*) = 3000)"
+OFF = "off as (select r.uid, y, x from raster r join full_slides f on r.uid = f.uid where not (c2 >= 128 and c0 >= 40))"
+ON = "whole as (select r.uid, y, x from raster r join full_slides f on r.uid = f.uid where c2 >= 128 and c0 >= 40)"
+EDGE = "(y = 0 or x = 0 or y = 49 or x = 59)"
+
+
+def whole_mask(spark, sf_dir):
+    r = t.raster(spark, sf_dir)
+    full = r.groupBy("uid").count().where("count = 3000").select("uid")
+    return r.where(t.MASK).select("uid", "y", "x").join(F.broadcast(full), "uid", "left_semi")
+
+
+@query(sql("select uid, y, x, label from lab", RASTER, MASK_SQL, label_sql("lab", "mask")))
+def label4(spark, sf_dir):
+    return comp.labelled(t.mask(spark, sf_dir), tile=16)
+
+
+@query(sql("select uid, y, x, label from lab", RASTER, MASK_SQL, label_sql("lab", "mask", True)))
+def label8(spark, sf_dir):
+    return comp.labelled(t.mask(spark, sf_dir), eight=True, tile=16)
+
+
+@query(sql(f"select uid, y, x, label from lab where (uid, label) in (select (uid, label) from lab where {EDGE})", RASTER, MASK_SQL, label_sql("lab", "mask")))
+def border_connected(spark, sf_dir):
+    return comp.border_connected(t.mask(spark, sf_dir), 50, 60).select("uid", "y", "x", "label")
+
+
+HOLES = f"holes as (select uid, y, x, label from offl where (uid, label) not in (select (uid, label) from offl where {EDGE}))"
+
+
+@query(sql("select uid, y, x, label from holes", RASTER, WHOLE, OFF, label_sql("offl", "off"), HOLES))
+def holes(spark, sf_dir):
+    return comp.holes(whole_mask(spark, sf_dir), 50, 60).select("uid", "y", "x", "label")
+
+
+@query(sql("select uid, y, x from whole union all select uid, y, x from holes", RASTER, WHOLE, OFF, ON, label_sql("offl", "off"), HOLES))
+def fill_holes(spark, sf_dir):
+    return comp.filled(whole_mask(spark, sf_dir), 50, 60)
+
+
+@query(sql("select uid, y, x, label from lab where (uid, label) in (select (uid, label) from lab group by uid, label having count(*) >= 20)", RASTER, MASK_SQL, label_sql("lab", "mask")))
+def remove_small(spark, sf_dir):
+    return comp.without_small(t.mask(spark, sf_dir), 20).select("uid", "y", "x", "label")
+
+
+@query(sql("select uid, y, x from whole union all select uid, y, x from holes where (uid, label) in (select (uid, label) from holes group by uid, label having count(*) < 5)", RASTER, WHOLE, OFF, ON, label_sql("offl", "off"), HOLES))
+def remove_small_holes(spark, sf_dir):
+    return comp.without_small_holes(whole_mask(spark, sf_dir), 5, 50, 60)
+
+
+@query(sql("select uid, y, x, label from lab where (uid, label) in (select (uid, arg_max(label, (n, -label))) from (select uid, label, count(*) as n from lab group by all) group by uid)", RASTER, MASK_SQL, label_sql("lab", "mask")))
+def largest_component(spark, sf_dir):
+    return comp.largest(t.mask(spark, sf_dir)).select("uid", "y", "x", "label")
+
+
+@query(sql("""select a.uid, a.label, area, perimeter, round(4 * 3.141592653589793::double * area / (perimeter * perimeter), 9) as circularity, y0, x0, y1, x1 from
+  (select uid, label, count(*) as area, min(y) as y0, min(x) as x0, max(y) + 1 as y1, max(x) + 1 as x1 from lab group by all) a
+  join (select p.uid, p.label, 4 * count(distinct (p.y, p.x)) - count(q.y) as perimeter from lab p left join lab q on q.uid = p.uid and q.label = p.label and abs(q.y - p.y) + abs(q.x - p.x) = 1 group by all) b on a.uid = b.uid and a.label = b.label""", RASTER, MASK_SQL, label_sql("lab", "mask")))
+def component_shapes(spark, sf_dir):
+    return rounded(comp.shapes_of(comp.labelled(t.mask(spark, sf_dir))), "circularity", digits=9)
+
+
+@query()
+def holes_of_largest(spark, sf_dir):
+    return comp.holes_of_largest(whole_mask(spark, sf_dir), 50, 60)
+
+
+@query(sql("select a.uid, a.y, a.x, round(coalesce((select sqrt(min((b.y - a.y) * (b.y - a.y) + (b.x - a.x) * (b.x - a.x))) from raster b where b.uid = a.uid and b.c0 >= 250), 'inf'::double), 9) as distance from raster a", RASTER))
+def edt(spark, sf_dir):
+    return rounded(distance.distance_to(t.raster(spark, sf_dir), t.TARGET), "distance", digits=9)
+
+
+PORT = """lobes as (select uid, y, x, case when c2 >= 20 then c2 // 64 end as label, c0 >= 252 as central, c1 <= 2 as portal from raster),
+rim as (select * , coalesce(portal, false) or (label is not null and (select count(*) from lobes b where b.uid = a.uid and b.label = a.label and b.y between a.y - 1 and a.y + 1 and b.x between a.x - 1 and a.x + 1) < 9) as rim from lobes a),
+dist as (select uid, y, x, label, central, rim, coalesce((select sqrt(min((b.y - a.y) * (b.y - a.y) + (b.x - a.x) * (b.x - a.x))) from rim b where b.uid = a.uid and b.rim), 'inf'::double) as dp,
+  coalesce((select sqrt(min((b.y - a.y) * (b.y - a.y) + (b.x - a.x) * (b.x - a.x))) from rim b where b.uid = a.uid and b.central), 'inf'::double) as dc from rim a)"""
+
+
+@query(sql("select uid, y, x, round(case when central then 1.0 when label is null then null when rim then 0.0 when isinf(dc) then 0.0 when isinf(dp) then 1.0 else dp / (dp + dc + 1e-8) end, 9) as portality from dist", RASTER, PORT))
+def portality(spark, sf_dir):
+    lobes = t.raster(spark, sf_dir).select("uid", "y", "x", F.expr("case when c2 >= 20 then c2 div 64 end as label"), F.expr("c0 >= 252 as central"), F.expr("c1 <= 2 as portal"))
+    return rounded(distance.portality(lobes), "portality", digits=9)
+
+
+@query()
+def tissue_mask(spark, sf_dir):
+    """Blur, threshold, close, fill and drop small pieces."""
+    from histospark.plans.pipeline import tissue_mask as run
+
+    return run(t.raster(spark, sf_dir).select("uid", "y", "x", F.col("c2").alias("value")), 50, 60)
+
+
+@query()
+def roi(spark, sf_dir):
+    from histospark.plans.pipeline import region_of_interest
+
+    return region_of_interest(t.raster(spark, sf_dir).select("uid", "y", "x", F.col("c2").alias("value")), 50, 60)
+
+
+CELLS = "cells as (select uid, (y // 5) * 12 + x // 5 as label, y, x, c0, c1, c2 from raster)"
+MEANS = "means as (select uid, label, count(*) as area, avg(c0) as c0, avg(c1) as c1, avg(c2) as c2 from cells group by uid, label)"
+
+
+def cells(spark, sf_dir):
+    return t.raster(spark, sf_dir).select("uid", (F.expr("y div 5") * 12 + F.expr("x div 5")).alias("label"), "y", "x", "c0", "c1", "c2")
+
+
+def means(spark, sf_dir):
+    return features.region_means(cells(spark, sf_dir), ["uid"], ["c0", "c1", "c2"])
+
+
+@query(sql("select uid, label, area, round(c0, 6) as c0, round(c1, 6) as c1, round(c2, 6) as c2 from means", RASTER, CELLS, MEANS))
+def superpixel_means(spark, sf_dir):
+    return rounded(means(spark, sf_dir), "c0", "c1", "c2")
+
+
+@query(sql("select m.uid, label, round(case when hi - lo > 1e-6 then power((greatest(lo, least(hi, c2)) - lo) / (hi - lo), 0.7) * (hi - lo) + lo else c2 end, 6) as weighted from means m join (select uid, quantile_cont(c2, 0.01) as lo, quantile_cont(c2, 0.99) as hi from means group by uid) q on m.uid = q.uid", RASTER, CELLS, MEANS))
+def gamma_weight(spark, sf_dir):
+    return rounded(features.gamma_weighted(means(spark, sf_dir), ["uid"], "c2", 0.7), "weighted").select("uid", "label", "weighted")
+
+
+@query(sql("select uid, label, round((rank() over (partition by uid order by c2) + (count(*) over (partition by uid, c2) - 1) / 2.0::double - 1) / (count(*) over (partition by uid) - 1), 9) as quantile from (select uid, label, round(c2, 2) as c2 from means)", RASTER, CELLS, MEANS))
+def quantile_norm(spark, sf_dir):
+    return rounded(features.quantile_normalised(means(spark, sf_dir).withColumn("c2", F.round("c2", 2)), ["uid"], "c2"), "quantile", digits=9).select("uid", "label", "quantile")
+
+
+ADJ = "adj as (select distinct a.uid * 1000 + a.label as a, b.uid * 1000 + b.label as b from cells a join cells b on a.uid = b.uid and a.label < b.label and abs(a.y - b.y) + abs(a.x - b.x) = 1), ends as (select a as node, b as near from adj union all select b, a from adj), feats as (select uid * 1000 + label as node, c0, c2, cast(floor(c2 / 40) as bigint) as label from means)"
+
+
+def adjacency(spark, sf_dir):
+    from histospark.operators.stencil import label_adjacency
+
+    return label_adjacency(cells(spark, sf_dir).select("uid", "y", "x", "label"), ["uid"]).select((F.col("uid") * 1000 + F.col("a")).alias("a"), (F.col("uid") * 1000 + F.col("b")).alias("b"))
+
+
+def nodes(spark, sf_dir):
+    return means(spark, sf_dir).select("uid", (F.col("uid") * 1000 + F.col("label")).alias("node"), "c0", "c2", F.floor(F.col("c2") / 40).alias("label"))
+
+
+@query(sql("select f.node, cast(count(near) as bigint) as degree, round(2.0 / (2.0 + count(near)), 9) as own, round(1.0 / (2.0 + count(near)), 9) as each from feats f left join ends b on f.node = b.node group by f.node", RASTER, CELLS, MEANS, ADJ))
+def adjacency_weights(spark, sf_dir):
+    return rounded(features.adjacency_weights(adjacency(spark, sf_dir), nodes(spark, sf_dir), 2.0), "own", "each", digits=9)
+
+
+SMOOTH1 = "s1 as (select f.node, (f.c2 * 2.0::double + coalesce(sum(g.c2), 0)) / (2.0::double + count(g.c2)) as c2 from feats f left join ends b on f.node = b.node left join feats g on g.node = b.near group by f.node, f.c2)"
+
+
+@query(sql("select f.node, round((f.c2 * 2.0::double + coalesce(sum(g.c2), 0)) / (2.0::double + count(g.c2)), 6) as c2 from s1 f left join ends b on f.node = b.node left join s1 g on g.node = b.near group by f.node, f.c2", RASTER, CELLS, MEANS, ADJ, SMOOTH1))
+def smooth_features(spark, sf_dir):
+    return rounded(features.smoothed_features(nodes(spark, sf_dir), adjacency(spark, sf_dir), ["c2"], 2, 2.0), "c2")
+
+
+@query(sql("select node, arg_max(label, (n, -label)) as label from (select node, label, count(*) as n from (select node, label from feats union all select b.node, f.label from ends b join feats f on f.node = b.near) group by all) group by node", RASTER, CELLS, MEANS, ADJ))
+def smooth_labels(spark, sf_dir):
+    return features.smoothed_labels(nodes(spark, sf_dir), adjacency(spark, sf_dir))
+
+
+@query()
+def kmeans_zones(spark, sf_dir):
+    n = nodes(spark, sf_dir).drop("label")
+    clustered = n.join(features.k_means(n, "uid", ["c0", "c2"], k=7), ["uid", "node"])
+    return features.zones_by_rank(clustered, "uid", "c2")
+
+
+RANKED = "ranked as (select uid, cluster, row_number() over (partition by uid order by mean, cluster) as r from (select uid, label % 7 as cluster, avg(c2) as mean from means group by all))"
+
+
+@query(sql("select uid, cluster, case when r <= 1 then 'PV' when r <= 5 then 'MID' else 'PP' end as zone from ranked", RASTER, CELLS, MEANS, RANKED))
+def zones_by_rank(spark, sf_dir):
+    return features.zones_by_rank(means(spark, sf_dir).withColumn("cluster", F.col("label") % 7), "uid", "c2")
+
+
+@query(sql("""select uid, cluster, case when cluster = p then 'PP' when row_number() over (partition by uid order by cast(cluster = p as int), pv desc, cluster) = 1 then 'PV' else 'MID' end as zone from
+  (select uid, label % 5 as cluster, avg(c0) as pp, avg(c2) as pv from means group by all) m join (select uid as u, arg_max(cluster, (pp, -cluster)) as p from (select uid, label % 5 as cluster, avg(c0) as pp from means group by all) group by uid) b on m.uid = b.u""", RASTER, CELLS, MEANS))
+def zones_by_score(spark, sf_dir):
+    return features.zones_by_score(means(spark, sf_dir).withColumn("cluster", F.col("label") % 5), "uid", "c0", "c2")
+
+
+@query(sql("select c.uid, c.y, c.x, m.area from cells c join means m on c.uid = m.uid and c.label = m.label", RASTER, CELLS, MEANS))
+def label_lookup(spark, sf_dir):
+    return cells(spark, sf_dir).join(means(spark, sf_dir).select("uid", "label", "area"), ["uid", "label"]).select("uid", "y", "x", "area")
+
+
+@query()
+def slic(spark, sf_dir):
+    return features.superpixels(t.raster(spark, sf_dir), ["uid"], ["c0", "c2"], step=10, rounds=3)
+
+
+@query(sql("select l.uid, y, x, threshold, l.c2 > threshold as tissue from raster l join otsu o on l.uid = o.uid", RASTER, otsu_sql("raster", "uid", "c2")))
+def otsu_mask(spark, sf_dir):
+    from histospark.operators.hist import otsu
+
+    r = t.raster(spark, sf_dir)
+    return r.join(F.broadcast(otsu(r, ["uid"], "c2")), "uid").select("uid", "y", "x", "threshold", (F.col("c2") > F.col("threshold")).alias("tissue"))
+
+
+@query()
+def filter_channels(spark, sf_dir):
+    from histospark.plans.pipeline import filtered_channels
+
+    return filtered_channels(t.pixels(spark, sf_dir).where("channel <> 1"))
+
+
+@query()
+def load_stack(spark, sf_dir):
+    from histospark.plans.pipeline import loaded_stack
+
+    return loaded_stack(t.pixels(spark, sf_dir), 50, 60, [1], 0.5)
+
+
+@query()
+def vessels(spark, sf_dir):
+    from histospark.plans.pipeline import vessels as classed
+
+    zone = F.when(F.col("c2") >= 170, "PV").when(F.col("c2") >= 85, "MID").otherwise("PP")
+    zones = t.raster(spark, sf_dir).select("uid", "y", "x", zone.alias("zone"))
+    return classed(comp.holes(whole_mask(spark, sf_dir), 50, 60), zones, 2, 5, 0.4)
+
+
+@query()
+def instances(spark, sf_dir):
+    from histospark.plans.pipeline import gap_closed_instances
+
+    return gap_closed_instances(t.raster(spark, sf_dir).where("c2 between 100 and 110").select("uid", "y", "x"), 50, 60)

@@ -1 +1,157 @@
-"""Queries."""
+"""Queries of slide catalogs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from histospark.functions import color
+from histospark.plans.registry import query
+from histospark.sources import catalog as cat
+from histospark.sources import tables as t
+from histospark.sources.tables import MANIFEST, sql
+
+NAME = "list_extract(string_split(path, '/'), -1)"
+
+
+@query(sql(f"select uid, {NAME} as filename, regexp_extract({NAME}, '(\\.[^.]+)$', 1) as format, regexp_replace({NAME}, '(\\.[^.]+)+$', '') as stem, '19700101-' || left(sha256(path), 8) as stable_uid from manifest", MANIFEST))
+def record_defaults(spark, sf_dir):
+    return cat.with_defaults(t.manifest(spark, sf_dir)).select("uid", "filename", "format", "stem", "stable_uid")
+
+
+@query(sql("select uid, version, channel from manifest where uid % 3 <> 0 or uid % 2 = 0 union all select uid, version + case when uid % 2 = 0 then -1 else 1 end, 'new' from manifest where uid % 3 = 0 and uid % 2 <> 0", MANIFEST))
+def catalog_upsert(spark, sf_dir):
+    m = t.manifest(spark, sf_dir).select("uid", "version", "channel")
+    new = m.where("uid % 3 = 0").select("uid", (F.col("version") + F.when(F.col("uid") % 2 == 0, -1).otherwise(1)).alias("version"), F.lit("new").alias("channel"))
+    return cat.upserted(m, new)
+
+
+@query(sql("select uid, path from manifest where uid % 7 <> 0", MANIFEST))
+def catalog_delete(spark, sf_dir):
+    m = t.manifest(spark, sf_dir).select("uid", "path")
+    return cat.deleted(m, m.where("uid % 7 = 0"))
+
+
+@query(sql("select uid, path from manifest where uid % 5 = 1", MANIFEST))
+def missing_files(spark, sf_dir):
+    m = t.manifest(spark, sf_dir).select("uid", F.col("path").alias("path_storage"))
+    return cat.missing_files(m, m.where("uid % 5 <> 1").select(F.col("path_storage").alias("path"))).select("uid", F.col("path_storage").alias("path"))
+
+
+def pack_sql(colour: tuple[int, int, int]) -> str:
+    v = colour[0] << 24 | colour[1] << 16 | colour[2] << 8 | 255
+    return str(v - (1 << 32) if v >= 1 << 31 else v)
+
+
+DYE_SQL = "case " + " ".join(f"when regexp_matches(lower(name), '{p}') then {pack_sql(c)}" for p, c in color.DYE_COLOURS) + " else (case index " + " ".join(f"when {i} then {pack_sql(color.PALETTE[i])}" for i in range(4)) + " end) end"
+
+
+@query(sql(f"select uid, index, name, {DYE_SQL} as color from (select uid, index, case when index = 0 then channel when index = 2 then 'Cy3 ' || uid else 'ch' || index end as name from manifest, (select unnest(range(4)) as index))", MANIFEST))
+def channel_defaults(spark, sf_dir):
+    m = t.manifest(spark, sf_dir).withColumn("stains", F.create_map(F.lit(0), F.col("channel"), F.lit(2), F.concat(F.lit("Cy3 "), F.col("uid")), F.lit(3), F.lit("")))
+    return cat.channel_defaults(m, 4).withColumns({"index": F.col("index").cast("long"), "color": F.col("color").cast("int")})
+
+
+@query(sql("select uid, case uid % 10 " + " ".join(f"when {i} then {pack_sql(c)}" for i, c in enumerate(color.PALETTE)) + " end as color from manifest", MANIFEST))
+def palette_pack(spark, sf_dir):
+    return t.manifest(spark, sf_dir).select("uid", color.packed_rgba(color.palette_rgb(F.col("uid"))).alias("color"))
+
+
+UNITS = ("um", " micron ", "µm", "mm", "", "Micrometer")
+
+
+@query(sql(f"select uid, case trim(u) when '' then null when 'mm' then 'mm' else 'µm' end as unit, regexp_replace(channel || '/' || uid, '[^A-Za-z0-9._-]', '_', 'g') as slug from (select *, {list(UNITS)}[uid % 6 + 1] as u from manifest)", MANIFEST))
+def units_and_slugs(spark, sf_dir):
+    u = F.element_at(F.array(*map(F.lit, UNITS)), (F.col("uid") % 6 + 1).cast("int"))
+    return t.manifest(spark, sf_dir).select("uid", color.length_unit(u).alias("unit"), color.slug(F.concat("channel", F.lit("/"), "uid")).alias("slug"))
+
+
+@query(sql("select c.uid, coalesce(c.size_um, p.size_um) as size_um, 'µm' as unit from manifest c left join manifest p on p.uid = c.uid // 10", MANIFEST))
+def inherit_calibration(spark, sf_dir):
+    m = t.manifest(spark, sf_dir)
+    children = m.select("uid", F.expr("uid div 10").alias("parent_uid"), "size_um", F.when(F.col("uid") % 2 == 0, "um").alias("unit"))
+    return cat.calibrated(children, m.select("uid", "size_um", F.lit("micron").alias("unit")))
+
+
+@query(sql("select uid, case when size_um is null and s is null then 0.5::double else size_um end as x, case when size_um is null and s is null then 0.5::double else s end as y from (select *, case when uid % 3 = 0 then size_um end as s from manifest)", MANIFEST))
+def inject_calibration(spark, sf_dir):
+    x, y = cat.injected_calibration(F.col("size_um"), F.when(F.col("uid") % 3 == 0, F.col("size_um")), F.lit(0.5))
+    return t.manifest(spark, sf_dir).select("uid", x.alias("x"), y.alias("y"))
+
+
+DERIVED = f"regexp_replace(path, '[^/]*$', '') || regexp_replace({NAME}, '(\\.[^.]+)+$', '') || o || '.tiff'"
+
+
+@query(sql(f"select uid || '-' || left(sha256(p), 8) as uid, uid as parent_uid, p as path from (select uid, {DERIVED} as p from manifest, (select unnest(['_cropped', '-ch_0']) as o))", MANIFEST))
+def derived_records(spark, sf_dir):
+    return cat.derived_records(t.manifest(spark, sf_dir), ["_cropped", "-ch 0"])
+
+
+@query(sql("select uid, case when image_type = 'fluorescence' then 'fluorescence' when image_type = 'brightfield' then 'brightfield' when uid % 4 <> 3 then 'fluorescence' when uid % 2 = 0 then 'fluorescence' else 'brightfield' end as modality from manifest", MANIFEST))
+def modality(spark, sf_dir):
+    return t.manifest(spark, sf_dir).select("uid", cat.modality(F.col("image_type"), (F.col("uid") % 4).cast("int"), F.col("uid") % 2 == 0).alias("modality"))
+
+
+@query(sql("select uid, case when uid % 5 = 0 then 'HED' when uid % 5 = 1 then 'HDAB' when uid % 5 = 2 then 'HE' when uid % 5 = 3 then 'HDAB' else null end as profile, case when channel = 'unknown' then 'stain_' || uid else channel end as display from manifest", MANIFEST))
+def stain_profiles(spark, sf_dir):
+    r = F.col("uid") % 5
+    profile = cat.stain_profile(F.when(r == 0, "HED").when(r == 1, "h-dab"), F.when(r == 2, F.array(F.lit("Hematoxylin"), F.lit("Eosin"))).otherwise(F.array(F.lit("x"))), F.when(r == 3, "slide_ihc_2").otherwise("plain"))
+    return t.manifest(spark, sf_dir).select("uid", profile.alias("profile"), cat.display_name(F.when(F.col("channel") != "unknown", F.col("channel")), F.lit(" "), index=F.col("uid")).alias("display"))
+
+
+@query(sql(f"""select n.s as name, coalesce(min(path) filter (base = n.s || '.ome.tif'), min(path) filter (base = n.s || '.tiff'), min(path)) as file
+  from (select distinct regexp_replace({NAME}, '(\\.[^.]+)+$', '') as s from manifest where uid >= 100) n join (select path, {NAME} as base from manifest where uid >= 100) f on starts_with(f.base, n.s) group by n.s""", MANIFEST))
+def registered_files(spark, sf_dir):
+    m = t.manifest(spark, sf_dir).where("uid >= 100")
+    names = m.select(color.stem(color.file_name(F.col("path"))).alias("name")).distinct()
+    files = m.select(F.col("path").alias("file"))
+    return cat.registered_files(names, files, [".ome.tif", ".tiff"])
+
+
+@query(sql(f"select uid, path, case when uid % 2 = 0 then path || '.reg' when uid % 3 = 0 then regexp_replace({NAME}, '(\\.[^.]+)+$', '') || '.tiff.reg' end as registered from manifest", MANIFEST))
+def registered_paths(spark, sf_dir):
+    m = t.manifest(spark, sf_dir).select("uid", "path")
+    exact = m.where("uid % 2 = 0").select("path", F.concat("path", F.lit(".reg")).alias("registered"))
+    by_stem = m.where("uid % 3 = 0 and uid % 2 <> 0").select(F.concat(color.stem(color.file_name(F.col("path"))), F.lit(".tiff")).alias("path"))
+    return cat.updated_paths(m, exact.union(by_stem.select("path", F.concat("path", F.lit(".reg")).alias("registered"))))
+
+
+@query(sql("select uid as index, path from manifest where uid in (0, 4, 7)", MANIFEST))
+def input_selection(spark, sf_dir):
+    return cat.selected_inputs(t.manifest(spark, sf_dir).select(F.col("uid").alias("index"), "path"), [1, 5, 8])
+
+
+OME = "<OME xmlns=\"o\"><Image><Pixels PhysicalSizeX=\"{x}\" PhysicalSizeXUnit=\"um\"><Channel Name=\"{n}\"/><Channel Name=\"second\"/></Pixels></Image></OME>"
+
+
+def xml(m):
+    return m.withColumn("xml", F.concat(F.lit(OME.split("{x}")[0]), F.coalesce(F.col("size_um").cast("string"), F.lit("?")), F.lit(OME.split("{x}")[1].split("{n}")[0]), "channel", F.lit(OME.split("{n}")[1])))
+
+
+@query(sql("select uid, size_um as size_x, cast(null as double) as size_y, 'µm' as unit, channel || ',second' as names from manifest", MANIFEST))
+def ome_records(spark, sf_dir):
+    return cat.ome_records(xml(t.manifest(spark, sf_dir)), "xml").withColumn("names", F.array_join("names", ","))
+
+
+@query(sql("select uid, index, case index when 0 then channel when 1 then 'second' else 'Channel 3' end as name from manifest, (select unnest(range(3)) as index)", MANIFEST))
+def channel_names(spark, sf_dir):
+    return cat.channel_names(xml(t.manifest(spark, sf_dir)), "xml", 3).withColumn("index", F.col("index").cast("long"))
+
+
+@query(sql("select uid, case when uid % 2 = 0 then 9.0::double else size_um end as size_x, size_um as size_y, case when uid % 2 = 0 then 'nm' else 'µm' end as unit from manifest", MANIFEST))
+def enrich(spark, sf_dir):
+    m = t.manifest(spark, sf_dir)
+    own = m.select("uid", F.when(F.col("uid") % 2 == 0, 9.0).alias("size_x"), F.lit(None).cast("double").alias("size_y"), F.when(F.col("uid") % 2 == 0, "nm").alias("unit"))
+    return cat.enriched(own, m.select("uid", F.col("size_um").alias("size_x"), F.col("size_um").alias("size_y"), F.lit("µm").alias("unit")))
+
+
+@query(sql("select uid, case when uid % 3 = 0 then 20.0::double when uid % 3 = 1 then round_even(2.5::double * (uid % 7), 0) else 1.0::double end as magnification, uid % 2 = 0 and uid % 5 in (0, 1) as rgb from manifest", MANIFEST))
+def magnification(spark, sf_dir):
+    scales = F.when(F.col("uid") % 3 == 1, F.array(F.lit(2.5), (F.col("uid") % 7).cast("double"))).otherwise(F.array().cast("array<double>"))
+    r = F.col("uid") % 5
+    rgb = cat.true_rgb(F.when(F.col("uid") % 2 == 0, 1).otherwise(3), F.when(r == 0, "Bgr24").otherwise("Gray8"), F.when(r == 1, 3).otherwise(1), F.lit(1))
+    return t.manifest(spark, sf_dir).select("uid", cat.magnification(F.when(F.col("uid") % 3 == 0, 20.0), scales).alias("magnification"), rgb.alias("rgb"))
+
+
+@query(sql("select path, case when path like '%.czi' then null when regexp_matches(path, '\\.tiff?$') then path end as source from manifest", MANIFEST))
+def ome_source(spark, sf_dir):
+    return cat.ome_source(t.manifest(spark, sf_dir).select("path"))

@@ -113,7 +113,7 @@ def polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("line"), "event_id", F.expr("event_id % 97").cast("long").alias("px"), (F.col("value").cast("int") % 89).cast("long").alias("py"))
-    return e.withColumn("seq", F.row_number().over(Window.partitionBy("line").orderBy("event_id"))).drop("event_id")
+    return e.withColumn("seq", F.row_number().over(Window.partitionBy("line").orderBy("event_id")).cast("long")).drop("event_id")
 
 
 POLYLINES = "lines as (select user_id as line, row_number() over (partition by user_id order by event_id) as seq, event_id % 97 as px, cast(trunc(value) as bigint) % 89 as py from events)"
