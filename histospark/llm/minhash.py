@@ -17,10 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from histospark.llm.common import removed, written
-from histospark.llm.components import connected_components
+from histospark.operators.iterate import connected_components
 
 PERMUTATIONS, ROWS = 64, 4
 BANDS = 2 * PERMUTATIONS // ROWS
+#: Buckets of more members than this are searched by differences from their hub, others pair by pair.
+SMALL = 16
+#: Longs in the bitmap of a member's differences.
+WORDS = 8
 FACTORS = np.random.default_rng(20240601).integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -95,9 +99,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     Copies (equal shingle sets) become one node, named by their least id. Nodes that share a bucket
     are candidates. So that a bucket of many near copies doesn't emit all its pairs, each member is
-    first compared with the bucket's least node; only members that end up in different components
-    are then compared with each other, so no link between different components is lost. Links are
-    confirmed on full sets of 64-bit shingle hashes.
+    first compared with the bucket's hub, the node that meets most others. Then members that are
+    still in different components are compared: in buckets of up to SMALL members pair by pair, in
+    larger ones by what each differs in from the hub (``by_differences``). No link between different
+    components is lost. Links are confirmed on full sets of 64-bit shingle hashes.
 
     Null and empty texts have no shingles and link with nothing; fewer words than k are one shingle.
     Ids should be unique: rows that repeat an id with the same text share its result; rows without
@@ -107,33 +112,65 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     signed = written(signatures(docs, k), "signatures")
     rows = signed.where("doc_id is not null and n_shingles > 0")
     copies = written(rows.groupBy("set_key").agg(F.min("doc_id").alias("node")), "copies")
-    nodes = rows.join(copies.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"])
-    dealt = written(nodes.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"), F.col("n_shingles").alias("n")), "buckets")
-    hubs = dealt.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = written(dealt.join(hubs, "bucket").select("bucket", "node", "n", "hub"), "members")
+    nodes = written(rows.join(copies.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"]).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands"), "nodes")
+    dealt = nodes.select(F.explode("bands").alias("bucket"), "node", "n").distinct()
+    shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = written(dealt.join(shared, "bucket"), "members")
+    weights = met.groupBy("node").agg(F.sum("size").alias("weight"))
+    hub = F.max(F.struct("weight", (-F.col("node")).alias("minus"), F.col("n").alias("hub_n")))
+    hubs = met.join(weights, "node").groupBy("bucket").agg(hub.alias("h")).select("bucket", (-F.col("h.minus")).alias("hub"), "h.hub_n")
+    members = written(met.join(hubs, "bucket"), "members")
     alike = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * percent  # noqa: E731  else the sizes alone rule a link out
-    first = members.where((F.col("node") != F.col("hub.node")) & alike(F.col("n"), F.col("hub.n"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-    first = written(first, "pairs")
-    open_nodes = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(open_nodes, "doc_id", "left_semi")
+    first = written(members.where((F.col("node") != F.col("hub")) & alike(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(met.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = written(shingle_sets(texts, k).dropDuplicates(["node"]), "sets")
-    links = confirmed(first, sets, percent)
-    links = written(links, "links")
+    links = written(confirmed(first, sets, percent), "links")
     found = connected_components(links)
-    placed = members.join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+    placed = members.where("size > 2").join(found, "node", "left").select("bucket", "node", "n", "size", "hub", F.coalesce("component", "node").alias("component"))
     mixed_up = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     rest = written(placed.join(mixed_up, "bucket", "left_semi"), "rest")
-    left, right = rest.toDF("bucket", "a", "n_a", "c_a"), rest.toDF("bucket", "b", "n_b", "c_b")
-    second = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & alike(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    second = written(confirmed(written(second, "pairs"), sets, percent), "links")
+    few = rest.where(F.col("size") <= SMALL).select("bucket", "node", "n", "component")
+    left, right = few.toDF("bucket", "a", "n_a", "c_a"), few.toDF("bucket", "b", "n_b", "c_b")
+    pairs = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & alike(F.col("n_a"), F.col("n_b"))).select("a", "b")
+    many = rest.where(F.col("size") > SMALL).select("hub", "node", "component").distinct()
+    pairs = written(pairs.union(by_differences(many, sets, percent)).distinct(), "pairs")
+    second = written(confirmed(pairs, sets, percent), "links")
     found = connected_components(links.union(second))
     named = copies.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    removed(spark, dealt, members, sets, rest, links, second)
+    removed(spark, nodes, met, members, first, sets, rest, links, pairs, second)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def by_differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members(hub, node, component) of one hub and different components that may be linked.
+
+    A member is what it lacks of the hub's set, A, and what it has beyond it, B; its differences D are
+    both. For members x and m, |x and m| = |hub| - |Ax| - |Am| + s, where s counts the differences
+    they share, so a link needs an s that sizes alone give. As one of them, x, isn't linked with the
+    hub (else both would be in its component), s must exceed 100 / (100 + percent) * |Am| +
+    percent / (100 + percent) * |Bm|. So x holds at least one of m's first differences, all but so
+    many; members are joined on these. Bitmaps of the differences bound s from above.
+    """
+    own = members.where("hub <> node").join(sets.toDF("node", "own"), "node").join(sets.toDF("hub", "base"), "hub")
+    lacks, beyond = F.array_except("base", "own"), F.array_except("own", "base")
+    told = own.select("hub", "node", "component", F.size("own").alias("n"), F.size("base").alias("base_n"), lacks.alias("lacks"), beyond.alias("beyond"))
+    bits = [F.aggregate(F.filter(F.concat("beyond", "lacks"), lambda e: F.pmod(e, F.lit(WORDS)) == w), F.lit(0).cast("long"), lambda acc, e: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("shiftright", e, F.lit(8)).bitwiseAND(F.lit(63)).cast("int")))).alias(f"w{w}") for w in range(WORDS)]
+    told = written(told.select("*", *bits).select("hub", "node", "component", "n", "base_n", F.size("lacks").alias("na"), F.size("beyond").alias("nb"), F.concat("beyond", "lacks").alias("d"), *[f"w{w}" for w in range(WORDS)]), "differences")
+    linked = (F.col("base_n") - F.col("na")) * 100 >= (F.col("n") + F.col("na")) * percent
+    some = F.floor((F.col("na") * 100 + F.col("nb") * percent) / (100 + percent)).cast("int")
+    spread = lambda t, d: t.select("hub", F.explode(d).alias("e"), *[F.col(c) for c in ("node", "component", "n", "base_n", "na", "nb")], *[f"w{w}" for w in range(WORDS)])
+    x = spread(told.where(~linked), F.col("d"))
+    m = spread(told, F.slice("d", 1, F.size("d") - some)).withColumnsRenamed({c: f"m_{c}" for c in ("node", "component", "n", "base_n", "na", "nb", *[f"w{w}" for w in range(WORDS)])})
+    both = sum(F.bit_count(F.col(f"w{w}").bitwiseAND(F.col(f"m_w{w}"))) for w in range(WORDS))
+    kept = sum(F.bit_count(F.col(f"m_w{w}")) for w in range(WORDS))
+    least = F.least(F.least("na", "m_na") + F.least("nb", "m_nb"), both + F.col("m_na") + F.col("m_nb") - kept)
+    enough = (F.col("base_n") - F.col("na") - F.col("m_na") + least) * (100 + percent) >= (F.col("n") + F.col("m_n")) * percent
+    pairs = x.join(m, ["hub", "e"]).where((F.col("component") != F.col("m_component")) & enough)
+    return pairs.select(F.least("node", "m_node").alias("a"), F.greatest("node", "m_node").alias("b"))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     with_b = pairs.join(sets.toDF("b", "set_b"), "b")
