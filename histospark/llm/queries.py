@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histospark.llm import bpe, chat, embedding_dups, fingerprint, langid, licenses, minhash, mixing, quality, warc
-from histospark.llm.common import held_out, n_words, small_batches, table
+from histospark.llm.common import WORD, held_out, n_words, small_batches, table
 
 #: The tokenizer file that the queries use.
 TOKENIZER = "byte_bpe_50k.json"
@@ -103,4 +103,35 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_fingerprints": op3_fingerprints, "op4_chat": op4_chat, "op5_warc": op5_warc, "op6_minhash": op6_minhash, "op7_langid": op7_langid, "op8_embedding_dups": op8_embedding_dups, "op9_licenses": op9_licenses, "op10_mixing": op10_mixing}
 
-SQL = {"op10_mixing": "select doc_id, size, source_size, target, copies * size as taken from (" + mixing.MIX_SQL.format(docs="documents") + ")"}
+#: A hexadecimal digest of 160 bits in base32: five hexadecimal digits give four signs.
+BASE32 = "list_reduce(list_transform(range(0, 8), lambda g: list_reduce(list_transform([15, 10, 5, 0], lambda s: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((cast('0x' || sha[5 * g + 1 : 5 * g + 5] as bigint) >> s) & 31) + 1]), lambda x, y: x || y)), lambda x, y: x || y)"
+
+#: Components of links(a, b) over nodes(id), as a recursive view comps(id, component).
+COMPONENTS = """walk(id, label) as (select id, id from nodes union select l.b, w.label from walk w join (select a, b from links union all select b, a from links) l on l.a = w.id where w.label < l.b),
+comps as (select id, min(label) as component from walk group by id)"""
+
+SQL = {
+    "op4_chat": r"""with raw as (select conv_id, turn, role, text from conversations union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from raw),
+e as (select *, '### ' || case role when 'system' then 'System' when 'user' then 'User' when 'assistant' then 'Assistant' else '@' || regexp_replace(role, '(\\|###|</turn>|:)', '\\\1', 'g') end || ': ' || regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g') || '</turn>' as piece from t)
+select conv_id, cast(count(*) as bigint) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(length(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(length(string_agg(piece, chr(10) order by turn nulls first, role, text)) as bigint) as formatted_chars,
+  regexp_full_match(string_agg(case role when 'system' then 's' when 'user' then 'u' when 'assistant' then 'a' else 'x' end, '' order by turn nulls first, role, text), 's?(ua)+') as valid
+from e group by conv_id""",
+    "op5_warc": f"""with p as (select coalesce(page_id, -1) as page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as sha from pages), k as (select sha, max(page_id) as kept from p group by sha)
+select page_id, cast(strlen(html) as bigint) as payload_bytes, {BASE32} as payload_digest, case when page_id < kept then 'revisit' else 'response' end as record_type, case when page_id < kept then kept end as refers_to from p join k using (sha)""",
+    "op6_minhash": rf"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') as words from documents),
+s as (select distinct doc_id, array_to_string(words[i : i + 3], ' ') as shingle from (select doc_id, words, unnest(range(1, greatest(1, len(words) - 3) + 1)) as i from w where len(words) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+links as (select a.doc_id as a, b.doc_id as b from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id group by a.doc_id, b.doc_id, na.n, nb.n having 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+nodes as (select doc_id as id from documents), {COMPONENTS}
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, component as component_id, d.doc_id = component as kept from documents d left join n on n.doc_id = d.doc_id join comps c on c.id = d.doc_id""",
+    "op8_embedding_dups": f"""with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id < b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.95),
+nodes as (select vec_id as id from embeddings), {COMPONENTS},
+deg as (select id, count(*) as n from (select a as id from links union all select b from links) group by id)
+select vec_id, cast(coalesce(n, 0) as bigint) as n_links, component as component_id, vec_id = component as kept from embeddings e join comps c on c.id = e.vec_id left join deg on deg.id = e.vec_id""",
+    "op10_mixing": "select doc_id, size, source_size, target, copies * size as taken from (" + mixing.MIX_SQL.format(docs="documents") + ")",
+}
