@@ -124,7 +124,7 @@ def format_conversations(conversations: DataFrame, template: Template = DEFAULT)
                         spans.append({"start": at, "end": at + len(text)})
                     at += len(text)
                 out.append((formatter.valid([r for r, _ in turns]), "".join(p for p, _ in parts), spans))
-            yield pd.DataFrame({"conv_id": batch["conv_id"], "valid": [o[0] for o in out], "formatted": [o[1] for o in out], "loss_spans": [o[2] for o in out]})
+            yield pd.DataFrame({"conv_id": batch["conv_id"], "valid": [o[0] for o in out], "formatted": [o[1] for o in out], "loss_spans": [o[2] for o in out]}, dtype=object)
 
     kind = conversations.schema["conv_id"].dataType.simpleString()
     return gathered.mapInPandas(write, f"conv_id {kind}, valid boolean, formatted string, loss_spans array<struct<start:long,end:long>>")
@@ -138,7 +138,7 @@ def read_back(formatted: DataFrame, template: Template = DEFAULT) -> DataFrame:
         for batch in batches:
             turns = [[{"role": r, "text": t} for r, t in formatter.parse(f)] for f in batch["formatted"]]
             loss = ["".join(formatter.unescape(f[s["start"] : s["end"]]) for s in spans) for f, spans in zip(batch["formatted"], batch["loss_spans"], strict=True)]
-            yield pd.DataFrame({"conv_id": batch["conv_id"], "valid": batch["valid"], "turns": turns, "loss_text": loss, "formatted_chars": [len(f) for f in batch["formatted"]]})
+            yield pd.DataFrame({"conv_id": batch["conv_id"], "valid": batch["valid"], "turns": turns, "loss_text": loss, "formatted_chars": [len(f) for f in batch["formatted"]]}, dtype=object)
 
     kind = formatted.schema["conv_id"].dataType.simpleString()
     return formatted.mapInPandas(read, f"conv_id {kind}, valid boolean, turns array<struct<role:string,text:string>>, loss_text string, formatted_chars long")

@@ -151,6 +151,6 @@ def language(text: Column, model: LanguageModel, spark) -> Column:
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = held.value
         for batch in batches:
-            yield pd.DataFrame([own.predict(t) for t in batch], columns=["lang", "score", "ambiguous"])
+            yield pd.DataFrame([own.predict(t) for t in batch], columns=["lang", "score", "ambiguous"], dtype=object)
 
     return predict(text)

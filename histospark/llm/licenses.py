@@ -55,7 +55,7 @@ def document_frequencies(files: DataFrame) -> tuple[int, dict[str, int]]:
             for text in batch["text"]:
                 found.update(known.intersection(terms(text)) if text else ())
             n += len(batch)
-        yield pd.DataFrame([("", n), *found.items()], columns=["term", "n"])
+        yield pd.DataFrame([("", n), *found.items()], columns=["term", "n"], dtype=object)
 
     counts = {r["term"]: r["n"] for r in files.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     return counts.pop("", 0), counts
@@ -121,7 +121,7 @@ def scan_licenses(files: DataFrame, alike: float = ALIKE) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = pd.DataFrame([matcher.scan(t) for t in batch["text"]], columns=["license_id", "score", "line", "whole"])
+            out = pd.DataFrame([matcher.scan(t) for t in batch["text"]], columns=["license_id", "score", "line", "whole"], dtype=object)
             yield pd.concat([batch[["file_id", "path"]].reset_index(drop=True), out], axis=1)
 
     kind = files.schema["file_id"].dataType.simpleString()

@@ -18,7 +18,6 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
@@ -147,9 +146,9 @@ class CaptureIndex:
                 full = [block(held[k : k + lines]) for k in range(0, len(held) - lines + 1, lines)]
                 held = held[len(full) * lines :]
                 if full:
-                    yield pd.DataFrame(full)
+                    yield pd.DataFrame(full, dtype=object)
             if held:
-                yield pd.DataFrame([block(held)])
+                yield pd.DataFrame([block(held)], dtype=object)
 
         # no more ranges than blocks, so that the last block of each range adds few to their number
         ranges = max(1, min(int(pointers.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // lines))
@@ -183,7 +182,7 @@ class CaptureIndex:
                         while at < len(lines) and lines[at].startswith(key + "\t"):
                             found.append(lines[at].split("\t"))
                             at += 1
-                    yield pd.DataFrame({"key": [x[0] for x in found], "file": [x[1] for x in found], "offset": [int(x[2]) for x in found], "length": [int(x[3]) for x in found]})
+                    yield pd.DataFrame({"key": [x[0] for x in found], "file": [x[1] for x in found], "offset": [int(x[2]) for x in found], "length": [int(x[3]) for x in found]}, dtype=object)
 
         return self.blocks.join(asked, "first_key").select("block", "keys").mapInPandas(search, "key string, file string, offset long, length long")
 
@@ -208,8 +207,7 @@ def read_records(pointers: DataFrame, folder: str) -> DataFrame:
                     name, source = file, store.open_input_file(file)
                 source.seek(int(offset))
                 rows.append(parsed(gzip.decompress(source.read(int(length)))))
-            out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
-            yield out.assign(refers_to=pd.array([None if r is None or (isinstance(r, float) and np.isnan(r)) else int(r) for r in out["refers_to"]], dtype="Int64"))
+            yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"], dtype=object)
 
     dealt = pointers.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
     return dealt.mapInPandas(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
