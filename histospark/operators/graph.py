@@ -288,3 +288,29 @@ def parallel_edges(edges: DataFrame) -> DataFrame:
     """Edges (eid, u, v, length) of the same node pair as a shorter one (or an equal one of lesser id)."""
     order = Window.partitionBy(F.least("u", "v"), F.greatest("u", "v")).orderBy("length", "eid")
     return edges.withColumn("rank", F.row_number().over(order)).where("rank > 1").drop("rank")
+
+
+def rasterised(segs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, y, x: pixels of segments (ax, ay, bx, by) by equal steps along the longer axis, rounded half up, each once."""
+    steps = F.greatest(F.abs(F.expr("bx - ax")), F.abs(F.expr("`by` - ay"))).cast("int")
+    at = segs.withColumn("steps", steps).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("steps"))))
+    along = lambda a, b: F.floor(F.col(a) + F.col("i") * (F.col(b) - F.col(a)) / F.greatest(F.col("steps"), F.lit(1)) + 0.5)
+    return at.select(*keys, along("ay", "by").alias("y"), along("ax", "bx").alias("x")).distinct()
+
+
+def skeleton_parts(mask: DataFrame, key: str = "uid") -> tuple[DataFrame, DataFrame]:
+    """Nodes (key, y, x, degree) of a skeleton, its pixels without exactly two 8-neighbours, and edges
+    (key, y, x, label), the 8-connected runs of the others; closed rings are edges without a node."""
+    from histospark.operators.components import labelled
+    from histospark.operators.stencil import RING, neighbours
+
+    near = neighbours(mask.select(key, "y", "x"), RING).groupBy(key, "y", "x").agg(F.count(F.lit(1)).alias("degree"))
+    degree = written(mask.select(key, "y", "x").join(near, [key, "y", "x"], "left").withColumn("degree", F.coalesce("degree", F.lit(0))))
+    return degree.where("degree <> 2"), labelled(degree.where("degree = 2").select(key, "y", "x"), key, eight=True)
+
+
+def face_classes(faces: DataFrame, central: DataFrame, least: int, key: str = "uid") -> DataFrame:
+    """key, label, area, marked: a face (labelled pixels) is marked where it is small or holds no pixel of ``central``."""
+    inside = faces.join(central.select(key, "y", "x", F.lit(1).alias("c")), [key, "y", "x"], "left")
+    out = inside.groupBy(key, "label").agg(F.count(F.lit(1)).alias("area"), F.coalesce(F.max("c"), F.lit(0)).alias("c"))
+    return out.select(key, "label", "area", ((F.col("area") < least) | (F.col("c") == 0)).alias("marked"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from histospark.operators import graph
 from histospark.operators.gridjoin import cells_of_box
 from histospark.plans.registry import query
+from histospark.plans.regions import HOLES, OFF, WHOLE, label_sql, whole_mask
 from histospark.plans.statistics import rounded
 from histospark.sources import tables as t
 from histospark.sources.tables import DENSE_GRAPH, MASK_SQL, POLYLINES, RASTER, SPARSE_GRAPH, sql
@@ -167,3 +168,29 @@ def points_in_reach(spark, sf_dir):
     own = F.array(F.struct(F.floor(F.col("x2") / 3).alias("cx"), F.floor(F.col("y2") / 3).alias("cy")))
     met = grid_join(p, q, cells_of_box(F.col("x"), F.col("y"), F.col("x"), F.col("y"), 3.0, 3.0), own, [], F.expr("id <> id2 and abs(x - x2) <= 3 and abs(y - y2) <= 3"), ["id", "id2"])
     return met.groupBy("id").agg(F.count(F.lit(1)).alias("near"))
+
+
+@query(sql("""select distinct line, cast(floor(ay + i * ("by" - ay) / cast(greatest(s, 1) as double) + 0.5) as bigint) as y, cast(floor(ax + i * (bx - ax) / cast(greatest(s, 1) as double) + 0.5) as bigint) as x
+  from (select *, unnest(range(0, s + 1)) as i from (select *, greatest(abs(bx - ax), abs("by" - ay)) as s from segs))""", POLYLINES, SEGS))
+def rasterise(spark, sf_dir):
+    return graph.rasterised(graph.segments(t.polylines(spark, sf_dir)), ["line"])
+
+
+DEGREES = "degrees as (select m.uid, m.y, m.x, count(n.y) as degree from mask m left join mask n on n.uid = m.uid and n.y between m.y - 1 and m.y + 1 and n.x between m.x - 1 and m.x + 1 and (n.y <> m.y or n.x <> m.x) group by m.uid, m.y, m.x)"
+
+
+@query(sql("select uid, y, x, degree from degrees where degree <> 2", RASTER, MASK_SQL, DEGREES))
+def skeleton_nodes(spark, sf_dir):
+    return graph.skeleton_parts(t.mask(spark, sf_dir))[0]
+
+
+@query(sql("select uid, label, cast(count(*) as bigint) as length from lab group by uid, label", RASTER, MASK_SQL, DEGREES, "thin_rest as (select uid, y, x from degrees where degree = 2)", label_sql("lab", "thin_rest", True)))
+def skeleton_edges(spark, sf_dir):
+    return graph.skeleton_parts(t.mask(spark, sf_dir))[1].groupBy("uid", "label").agg(F.count(F.lit(1)).alias("length"))
+
+
+@query(sql("select h.uid, h.label, cast(count(*) as bigint) as area, count(*) < 5 or count(*) filter (c0 >= 252) = 0 as marked from holes h join raster r on r.uid = h.uid and r.y = h.y and r.x = h.x group by h.uid, h.label", RASTER, WHOLE, OFF, label_sql("offl", "off"), HOLES))
+def face_classes(spark, sf_dir):
+    from histospark.operators.components import holes
+
+    return graph.face_classes(holes(whole_mask(spark, sf_dir), 50, 60), t.raster(spark, sf_dir).where("c0 >= 252"), 5)

@@ -212,3 +212,9 @@ def apply_affine(spark, sf_dir):
 def tile_round_trip(spark, sf_dir):
     tiles = pyramid.tiled(t.raster(spark, sf_dir).select("uid", F.lit(0).alias("channel"), "y", "x", F.col("c0").alias("value")), ["uid", "channel"], 16)
     return pyramid.untiled(tiles, ["uid", "channel"])
+
+
+@query(sql("select p_partkey as uid, case when a <= b and a <= c then 0 when b <= c then 1 else 2 end as axis from (select p_partkey, p_partkey % 5 + 1 as a, p_partkey % 7 + 3 as b, p_partkey % 11 + 2 as c from part)"))
+def channel_axis(spark, sf_dir):
+    k = F.col("p_partkey")
+    return t.table(spark, sf_dir, "part").select(k.alias("uid"), px.channel_axis(F.array(k % 5 + 1, k % 7 + 3, k % 11 + 2)).cast("int").alias("axis"))

@@ -246,3 +246,17 @@ def instances(spark, sf_dir):
     from histospark.plans.pipeline import gap_closed_instances
 
     return gap_closed_instances(t.raster(spark, sf_dir).where("c2 between 100 and 110").select("uid", "y", "x"), 50, 60)
+
+
+PREVIEW = """gam as (select m.uid, label, (case when h0 - l0 > 1e-6 then power((greatest(l0, least(h0, c0)) - l0) / (h0 - l0), 0.7) * (h0 - l0) + l0 else c0 end) * 1.2::double as c0, (case when h2 - l2 > 1e-6 then power((greatest(l2, least(h2, c2)) - l2) / (h2 - l2), 0.7) * (h2 - l2) + l2 else c2 end) * 0.8::double as c2
+  from means m join (select uid, quantile_cont(c0, 0.01) as l0, quantile_cont(c0, 0.99) as h0, quantile_cont(c2, 0.01) as l2, quantile_cont(c2, 0.99) as h2 from means group by uid) q on m.uid = q.uid)"""
+
+
+@query(sql("select uid, label, round((c0 + c2) / 2, 6) as preview from gam", RASTER, CELLS, MEANS, PREVIEW))
+def weighting_preview(spark, sf_dir):
+    """Gamma and polarity weighting of a portal and a central channel, and their mean."""
+    out = means(spark, sf_dir)
+    for c in ("c0", "c2"):
+        out = features.gamma_weighted(out, ["uid"], c, 0.7).drop(c).withColumnRenamed("weighted", c)
+    out = features.polarity_weighted(out, ["c0"], ["c2"], 1.2)
+    return rounded(out.select("uid", "label", ((F.col("c0") + F.col("c2")) / 2).alias("preview")), "preview")
