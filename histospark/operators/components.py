@@ -128,3 +128,28 @@ def shapes_of(labels: DataFrame, key: str = "uid") -> DataFrame:
     box = labels.groupBy(key, "label").agg(F.count(F.lit(1)).alias("area"), F.min("y").alias("y0"), F.min("x").alias("x0"), (F.max("y") + 1).alias("y1"), (F.max("x") + 1).alias("x1"))
     out = box.join(like, [key, "label"], "left").withColumn("perimeter", F.col("area") * 4 - F.coalesce("inside", F.lit(0))).drop("inside")
     return out.withColumn("circularity", 4 * 3.141592653589793 * F.col("area") / F.pow(F.col("perimeter").cast("double"), F.lit(2)))
+
+
+def without_nested(labels: DataFrame, key: str = "uid", rounds: int = 50) -> DataFrame:
+    """key, label of components that aren't nested: in descending area, one is dropped if its centroid
+    lies on a pixel of a kept larger one (ties: of lesser label). Decided in rounds: a component is
+    settled once all larger ones that hold its centroid are."""
+    shape = labels.groupBy(key, "label").agg(F.count(F.lit(1)).alias("area"), F.floor(F.avg("y") + 0.5).alias("y"), F.floor(F.avg("x") + 0.5).alias("x"))
+    size = shape.select(key, F.col("label").alias("outer"), F.col("area").alias("outer_area"))
+    at = shape.join(labels.withColumnRenamed("label", "outer"), [key, "y", "x"]).join(size, [key, "outer"])
+    above = written(at.where("outer <> label and (outer_area > area or (outer_area = area and outer < label))").select(key, "label", "outer"))
+    state = written(shape.select(key, "label").join(above.select(key, "label").distinct().withColumn("open", F.lit(True)), [key, "label"], "left").select(key, "label", F.when(F.col("open").isNull(), True).alias("kept")))
+    for _ in range(rounds):
+        outer = state.select(key, F.col("label").alias("outer"), F.col("kept").alias("outer_kept"))
+        told = above.join(outer, [key, "outer"]).groupBy(key, "label").agg(F.max(F.coalesce("outer_kept", F.lit(False)).cast("int")).alias("inside"), F.sum(F.col("outer_kept").isNull().cast("int")).alias("unsettled"))
+        joined = state.join(told, [key, "label"], "left")
+        state = written(joined.select(key, "label", F.coalesce("kept", F.when(F.col("inside") == 1, False).when(F.col("unsettled") == 0, True)).alias("kept")))
+        if not state.where("kept is null").limit(1).count():
+            break
+    return state.where("kept").select(key, "label")
+
+
+def inner_regions(regions: DataFrame, h: int, w: int, excluded: DataFrame, key: str = "uid") -> DataFrame:
+    """key, label of regions (labelled pixels) that neither touch the image's edge nor are among the excluded (key, label)."""
+    edge = frame_edge(regions, h, w).select(key, "label").distinct()
+    return regions.select(key, "label").distinct().join(edge, [key, "label"], "left_anti").join(excluded, [key, "label"], "left_anti")

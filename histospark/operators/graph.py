@@ -314,3 +314,33 @@ def face_classes(faces: DataFrame, central: DataFrame, least: int, key: str = "u
     inside = faces.join(central.select(key, "y", "x", F.lit(1).alias("c")), [key, "y", "x"], "left")
     out = inside.groupBy(key, "label").agg(F.count(F.lit(1)).alias("area"), F.coalesce(F.max("c"), F.lit(0)).alias("c"))
     return out.select(key, "label", "area", ((F.col("area") < least) | (F.col("c") == 0)).alias("marked"))
+
+
+def edge_faces(edge_pixels: DataFrame, face_pixels: DataFrame, least: float = 0.6, key: str = "uid") -> DataFrame:
+    """key, edge, face, share: faces that at least ``least`` of an edge's pixels (key, y, x, edge) touch, themselves or by an 8-neighbour of face_pixels (key, y, x, face)."""
+    from histospark.operators.stencil import RING, neighbours
+
+    near = neighbours(edge_pixels, [(0, 0), *RING]).join(face_pixels, [key, "y", "x"])
+    touching = near.select(key, "edge", "face", "from_y", "from_x").distinct().groupBy(key, "edge", "face").agg(F.count(F.lit(1)).alias("n"))
+    length = edge_pixels.groupBy(key, "edge").agg(F.count(F.lit(1)).alias("length"))
+    return touching.join(length, [key, "edge"]).withColumn("share", F.col("n") / F.col("length")).where(F.col("share") >= least).select(key, "edge", "face", "share")
+
+
+def loop_groups(loop_edges: DataFrame) -> DataFrame:
+    """loop, group: loops (loop, u, v) that share nodes, transitively; the group is its least loop."""
+    nodes = loop_edges.select("loop", F.explode(F.array("u", "v")).alias("node")).distinct()
+    least = nodes.groupBy("node").agg(F.min("loop").alias("b"))
+    links = nodes.join(least, "node").where("loop <> b").select(F.col("loop").alias("a"), "b").distinct()
+    found = connected_components(links)
+    return nodes.select("loop").distinct().join(found.withColumnRenamed("node", "loop"), "loop", "left").select("loop", F.coalesce("component", "loop").alias("group"))
+
+
+def weakly_attached_groups(loop_edges: DataFrame, edges: DataFrame, most: int = 1) -> DataFrame:
+    """group, exits: loop groups that edges outside them touch at ``most`` nodes or fewer."""
+    groups = written(loop_groups(loop_edges))
+    own = loop_edges.join(groups, "loop").select("group", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    nodes = own.select("group", F.explode(F.array("u", "v")).alias("node")).distinct()
+    outside = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(own, ["u", "v"], "left_anti")
+    met = both_ends(outside).select("node").distinct().withColumn("out", F.lit(1))
+    exits = nodes.join(met, "node", "left").groupBy("group").agg(F.coalesce(F.sum("out"), F.lit(0)).alias("exits"))
+    return exits.where(F.col("exits") <= most)

@@ -194,3 +194,22 @@ def face_classes(spark, sf_dir):
     from histospark.operators.components import holes
 
     return graph.face_classes(holes(whole_mask(spark, sf_dir), 50, 60), t.raster(spark, sf_dir).where("c0 >= 252"), 5)
+
+
+EDGE_PX = "epx as (select uid, y, x, y // 10 as edge from mask where x % 7 = 0), fpx as (select uid, y, x, c1 // 64 as face from raster where c1 >= 64)"
+
+
+@query(sql("""select n.uid, n.edge, n.face, round(n.n / cast(l.length as double), 9) as share from (select uid, edge, face, count(*) as n from (select distinct e.uid, e.edge, f.face, e.y, e.x from epx e join fpx f on f.uid = e.uid and f.y between e.y - 1 and e.y + 1 and f.x between e.x - 1 and e.x + 1) group by all) n
+  join (select uid, edge, count(*) as length from epx group by all) l on l.uid = n.uid and l.edge = n.edge where n.n >= 0.6 * l.length""", RASTER, MASK_SQL, EDGE_PX))
+def edge_faces(spark, sf_dir):
+    edges = t.mask(spark, sf_dir).where("x % 7 = 0").withColumn("edge", F.expr("y div 10"))
+    faces = t.raster(spark, sf_dir).where("c1 >= 64").select("uid", "y", "x", F.expr("c1 div 64").alias("face"))
+    return rounded(graph.edge_faces(edges, faces), "share", digits=9)
+
+
+@query()
+def rule_b(spark, sf_dir):
+    """Groups of loops on the mask's graph, a loop being what lies in one cell of 30 pixels, with few exits."""
+    e = t.sparse_graph(spark, sf_dir)
+    loop = e.withColumn("loop", F.expr("u div 30")).where("u div 30 = v div 30")
+    return graph.weakly_attached_groups(loop, e, 3)

@@ -260,3 +260,23 @@ def weighting_preview(spark, sf_dir):
         out = features.gamma_weighted(out, ["uid"], c, 0.7).drop(c).withColumnRenamed("weighted", c)
     out = features.polarity_weighted(out, ["c0"], ["c2"], 1.2)
     return rounded(out.select("uid", "label", ((F.col("c0") + F.col("c2")) / 2).alias("preview")), "preview")
+
+
+@query()
+def vessels_not_nested(spark, sf_dir):
+    return comp.without_nested(comp.labelled(t.mask(spark, sf_dir), eight=True))
+
+
+@query(sql("select distinct uid, label from cells where (uid, label) not in (select (uid, label) from cells where y = 0 or x = 0 or y = 49 or x = 59) and (uid, label) not in (select (uid, label) from means where c0 > 130)", RASTER, CELLS, MEANS))
+def inner_regions(spark, sf_dir):
+    return comp.inner_regions(cells(spark, sf_dir), 50, 60, means(spark, sf_dir).where("c0 > 130").select("uid", "label"))
+
+
+@query(sql("""select o.uid, o.label, coalesce(taken, zone) as zone from (select uid, label, min(case when c2 >= 128 then 'PV' else 'PP' end) as zone from cells group by uid, label) o
+  left join (select uid, label, arg_min(case when c1 % 2 = 0 then 'PP' else 'MID' end, (c1, case when c1 % 2 = 0 then 'PP' else 'MID' end)) as taken from cells where c0 >= 245 group by uid, label) v on v.uid = o.uid and v.label = o.label""", RASTER, CELLS))
+def zones_under_vessels(spark, sf_dir):
+    from histospark.plans.pipeline import reassigned
+
+    own = cells(spark, sf_dir).select("uid", "label", "y", "x", F.when(F.col("c2") >= 128, "PV").otherwise("PP").alias("zone"))
+    under = t.raster(spark, sf_dir).where("c0 >= 245").select("uid", "y", "x", F.when(F.col("c1") % 2 == 0, "PP").otherwise("MID").alias("vessel_zone"), F.col("c1").alias("area"))
+    return reassigned(own, under)

@@ -176,3 +176,17 @@ def test_stream_equals_batch(spark, tmp_path):
     densities = lambda d: d.select("uid", *[stain.optical_density(F.col(f"c{k}")).alias(f"o{k}") for k in range(3)])
     transformed_stream(spark, str(tmp_path / "in"), df.schema, densities, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert sorted(spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(densities(df).collect())
+
+
+def test_nested_components_go(spark):
+    big = [(1, y, x, 1) for y in range(4) for x in range(4)]
+    rows = big + [(1, 0, 5, 2), (1, 5, 0, 2), (1, 9, 9, 3), (2, 0, 0, 7)]
+    labels = spark.createDataFrame(rows, "uid long, y long, x long, label long")
+    assert {(r.uid, r.label) for r in components.without_nested(labels).collect()} == {(1, 1), (1, 3), (2, 7)}
+
+
+def test_loop_groups_and_exits(spark):
+    loops = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 0, 2), (2, 2, 3), (2, 3, 4), (2, 2, 4), (3, 10, 11), (3, 11, 12), (3, 10, 12)], "loop long, u long, v long")
+    edges = loops.select("u", "v").union(spark.createDataFrame([(4, 5), (10, 20), (11, 20)], "u long, v long"))
+    assert {(r.loop, r.group) for r in graph.loop_groups(loops).collect()} == {(1, 1), (2, 1), (3, 3)}
+    assert {(r.group, r.exits) for r in graph.weakly_attached_groups(loops, edges).collect()} == {(1, 1)}
