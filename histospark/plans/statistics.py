@@ -15,7 +15,7 @@ LONG = f"""kept as (select {BIN} as bin, * from stat_pixels where portality is n
 melted as (select 'stain_0' as stain, bin, stain_0 as v from kept union all select 'stain_1', bin, stain_1 from kept union all select 'stain_2', bin, stain_2 from kept),
 summary as (select stain, bin, cast(count(v) as double) as "count", round(avg(v), 6) as mean, round(stddev_pop(v), 6) as std, min(v) as "min", max(v) as "max",
   quantile_cont(v, 0.01) as p01, quantile_cont(v, 0.1) as p10, quantile_cont(v, 0.5) as p50, quantile_cont(v, 0.9) as p90, quantile_cont(v, 0.99) as p99 from melted group by stain, bin)"""
-BINS = "bins(bin, portality_left, portality_right, portality_center) as (values " + ", ".join(f"({k}, {a!r}, {b!r}, {(a + b) / 2!r})" for k, (a, b) in enumerate(zip(stats.edges(10), stats.edges(10)[1:], strict=False))) + ")"
+BINS = "bins(bin, portality_left, portality_right, portality_center) as (values " + ", ".join(f"({k}, {a!r}::double, {b!r}::double, {(a + b) / 2!r}::double)" for k, (a, b) in enumerate(zip(stats.edges(10), stats.edges(10)[1:], strict=False))) + ")"
 
 
 def rounded(df, *columns, digits=6):
