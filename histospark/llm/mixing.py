@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from histospark.llm.common import written
+
 #: Weights of the sources in code-point order, repeating; a null source comes last.
 WEIGHTS = (5, 2, 1)
 #: No source and no document counts more often than this.
@@ -53,6 +55,7 @@ def systematic_mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEI
     """
     doc = [F.struct(*docs.columns).alias("doc")] if carry else []
     rows = docs.select("doc_id", "source", size.alias("size"), *doc)
+    rows = rows if carry else written(rows, "sizes")  # texts are read once
     rows = rows.withColumn("cls", F.length(F.bin("size"))).withColumn("split", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(splits)).cast("int"))
     groups = rows.groupBy("source", "cls", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     totals = source_targets(groups.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
