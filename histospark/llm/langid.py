@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from histospark.llm.common import held_out
 
 #: Bounds of the labelled sample that fits the classifiers, over all languages; languages at most.
-SAMPLE_ROWS, MOST_LANGUAGES = 6000, 200
+SAMPLE_ROWS, MOST_LANGUAGES = 4000, 200
 FEATURES, LONGEST = 4096, 3
 EPOCHS, BATCH, RATE, DECAY = 30, 64, 0.5, 1e-5
 UNKNOWN = "und"
@@ -136,11 +136,11 @@ def fit_languages(docs: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageModel:
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "lang")), "doc_id").select("doc_id", "lang", "text")
     got = chosen.mapInPandas(grams, "doc_id long, lang string, x binary").where("x is not null").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").toLocalIterator()
-    x, y = [], []
+    x, y = np.zeros((max(20, rows // len(known)) * len(known), FEATURES), dtype=np.float32), []
     for row in got:
-        x.append(np.frombuffer(row["x"], dtype=np.float32))
+        x[len(y)] = np.frombuffer(row["x"], dtype=np.float32)
         y.append(row["lang"])
-    return fit_grams(np.array(x, dtype=np.float64).reshape(-1, FEATURES), y)
+    return fit_grams(x[: len(y)], y)
 
 
 def language(text: Column, model: LanguageModel, spark) -> Column:
