@@ -2,8 +2,10 @@
 
 Words get context vectors by random indexing: each word owns a sparse vector of a few +1 and -1
 entries, and a word's context vector sums those of the words beside it. The shape of a token (runs
-of capitals, small letters and digits as one sign each, punctuation as it stands) is a second word.
-A document is the mean vector of its words and of its shapes, with their lengths and the log count.
+of capitals, small letters and digits as one sign each, punctuation as it stands) is a second word; a
+token that repeats the one before it has a shape of its own. A document is the mean vector of its
+words and of its shapes, drawn towards the corpus where it is short, with their lengths and the log
+count.
 The network has one hidden layer; a temperature fitted on rows left out calibrates its probability.
 """
 
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 from histospark.llm.common import held_out
 
 #: Bounds of the labelled sample that fits the model: rows, and characters over these rows.
-SAMPLE_ROWS, SAMPLE_CHARS = 6000, 24_000_000
+SAMPLE_ROWS, SAMPLE_CHARS = 4000, 9_000_000
 DIMENSIONS, ENTRIES, BESIDE, LEAST_COUNT, MOST_WORDS, BUCKETS = 64, 4, 2, 3, 30_000, 1 << 15
+#: Shape of a token that repeats the one before it; tokens' worth of the corpus mean in a document's mean.
+REPEAT, PRIOR = "=repeat", 4
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 128, 3e-3, 1e-3
 
 CAPITALS, SMALL, DIGITS = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"\d+")
@@ -66,6 +70,13 @@ class Seen(dict):
         return out
 
 
+def token_ids(tokens: list[str], seen: Seen) -> np.ndarray:
+    """Word id << 24 | shape id of each token."""
+    both = np.fromiter(map(seen.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+    again = np.concatenate(([False], both[1:] == both[:-1]))
+    return np.where(again, (both >> 24 << 24) | seen.shapes[REPEAT], both)
+
+
 def context_vectors(docs: list[np.ndarray], n: int, index: np.ndarray) -> np.ndarray:
     """Each word's sum of the index vectors beside it, at unit length, plus half its own."""
     total = np.zeros(n * DIMENSIONS)
@@ -96,6 +107,7 @@ class QualityModel:
     centre: np.ndarray | None = None
     scale: np.ndarray | None = None
     temperature: float = 1.0
+    base: np.ndarray = field(default_factory=lambda: np.zeros(2 * DIMENSIONS, dtype=np.float32))
 
     def __post_init__(self):
         self.seen = Seen(self.words, self.shapes)
@@ -107,18 +119,19 @@ class QualityModel:
         self.__dict__.update(state)
         self.seen = Seen(self.words, self.shapes)
 
-    def features(self, texts: list[str | None], step: int = 1 << 17) -> np.ndarray:
+    def features(self, texts: list[str | None], step: int = 1 << 15) -> np.ndarray:
         out = np.zeros((len(texts), 2 * DIMENSIONS + 3), dtype=np.float32)
         for i, text in enumerate(texts):
             tokens = (text or "").split()
             if not tokens:
+                out[i, : 2 * DIMENSIONS] = self.base
                 continue
-            both = np.fromiter(map(self.seen.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+            both = token_ids(tokens, self.seen)
             for k in range(0, len(both), step):
                 part = both[k : k + step]
                 out[i, :DIMENSIONS] += self.word_vectors[part >> 24].sum(axis=0)
                 out[i, DIMENSIONS : 2 * DIMENSIONS] += self.shape_vectors[part & 0xFFFFFF].sum(axis=0)
-            out[i, : 2 * DIMENSIONS] /= len(tokens)
+            out[i, : 2 * DIMENSIONS] = (out[i, : 2 * DIMENSIONS] + PRIOR * self.base) / (len(tokens) + PRIOR)
             out[i, -3] = np.linalg.norm(out[i, :DIMENSIONS])
             out[i, -2] = np.linalg.norm(out[i, DIMENSIONS : 2 * DIMENSIONS])
             out[i, -1] = np.log1p(len(tokens))
@@ -156,19 +169,24 @@ def train(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> list[np.nda
 
 def fit_texts(texts: list[str], labels: np.ndarray) -> QualityModel:
     rng = np.random.default_rng(11)
-    tokens = [t.split() for t in texts]
-    count, forms = Counter(w.lower() for doc in tokens for w in doc), Counter()
-    for token, n in Counter(w for doc in tokens for w in doc).items():
+    raw, count, forms = Counter(), Counter(), Counter()
+    for text in texts:
+        raw.update(text.split())
+    for token, n in raw.items():
+        count[token.lower()] += n
         forms[shape(token)] += n
     words = {w: i for i, (w, n) in enumerate(count.most_common(MOST_WORDS)) if n >= LEAST_COUNT}
     shapes = {w: i for i, (w, n) in enumerate(forms.most_common(MOST_WORDS // 10)) if n >= LEAST_COUNT}
+    shapes = {w: i for i, w in enumerate([REPEAT, *shapes])}
     seen = Seen(words, shapes)
-    both = [np.fromiter(map(seen.__getitem__, doc), dtype=np.int64, count=len(doc)) for doc in tokens]
+    both = [token_ids(text.split(), seen) if text.split() else np.zeros(0, dtype=np.int64) for text in texts]
+    del raw, count, forms
     vectors = []
     for n, seed, ids in ((len(words), 1, [d >> 24 for d in both]), (len(shapes), 2, [d & 0xFFFFFF for d in both])):
         index = index_vectors(n + BUCKETS, seed)
         vectors.append(np.concatenate([context_vectors(ids, n, index), dense(index[n:])]))
     model = QualityModel(words, shapes, *vectors)
+    model.base = model.features(texts)[:, : 2 * DIMENSIONS].mean(axis=0)
     x, y = model.features(texts), labels.astype(np.float64)
     model.centre, model.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     z = (x - model.centre) / model.scale
