@@ -118,7 +118,7 @@ def merge_rows(vocabulary: Vocabulary, words: list[bytes], size: np.ndarray, wid
 class Encoder:
     """Encodes texts; remembers at most ``most`` pieces of text with their ids."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 300_000, cells: int = 1 << 19):
+    def __init__(self, vocabulary: Vocabulary, most: int = 200_000, cells: int = 1 << 18):
         self.vocabulary, self.most, self.cells = vocabulary, most, cells
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}

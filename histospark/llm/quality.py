@@ -58,7 +58,7 @@ class Seen(dict):
         self.words, self.shapes = words, shapes
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         low = token.lower()
         word = self.words.get(low)
