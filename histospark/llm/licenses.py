@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from math import log, sqrt
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,48 +45,84 @@ def terms(text: str) -> list[str]:
 
 
 VOCABULARY = sorted({t for _, text in TEMPLATES for t in terms(text)})
+#: The most frequent words, whose document frequencies every task gets; those of rarer words are joined.
+COMMON = 20_000
+#: Distinct words that a task holds before it passes their counts on.
+HELD = 100_000
 
 
-def document_frequencies(files: DataFrame) -> tuple[int, dict[str, int]]:
-    """How many files there are and, for each word of the templates, how many hold it."""
+def document_frequencies(files: DataFrame) -> DataFrame:
+    """term and n: how many files hold a word, of all words of at least two files; and of "", how many files there are."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, found, n = set(VOCABULARY), Counter(), 0
+        found: Counter = Counter()
         for batch in batches:
+            found[""] += len(batch)
             for text in batch["text"]:
-                found.update(known.intersection(terms(text)) if text else ())
-            n += len(batch)
-        yield pd.DataFrame([("", n), *found.items()], columns=["term", "n"], dtype=object)
+                found.update(set(terms(text)) if text else ())
+            if len(found) > HELD:
+                yield pd.DataFrame(list(found.items()), columns=["term", "n"], dtype=object)
+                found.clear()
+        yield pd.DataFrame(list(found.items()), columns=["term", "n"], dtype=object)
 
-    counts = {r["term"]: r["n"] for r in files.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return counts.pop("", 0), counts
+    counts = files.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return written(counts.where("n > 1 or term = ''"), "frequencies")
 
 
 class Matcher:
-    """Compares texts with the templates under given document frequencies."""
+    """Compares texts with the templates under given document frequencies; a word without one is in at most ``most`` files."""
 
-    def __init__(self, files: int, counts: dict[str, int], alike: float = ALIKE):
+    def __init__(self, files: int, counts: dict[str, int], alike: float = ALIKE, most: int = 0):
         self.alike = alike
-        self.rare = log(files + 1.0) + 1
-        self.idf = {t: log((files + 1.0) / (counts.get(t, 0) + 1)) + 1 for t in VOCABULARY}
+        self.least = log((files + 1.0) / (most + 1)) + 1
+        self.idf = {t: log((files + 1.0) / (n + 1)) + 1 for t, n in (dict.fromkeys(VOCABULARY, 0) | counts).items()}
         self.templates = [(name, v, sqrt(sum(x * x for x in v.values()))) for name, v in ((name, self.vector(terms(text))) for name, text in TEMPLATES)]
+        self.along: dict[str, list[tuple[int, float]]] = {}
+        for k, (_, v, norm) in enumerate(self.templates):
+            for t, x in v.items():
+                self.along.setdefault(t, []).append((k, x / norm))
         # a text that shares none of a template's anchors can't reach the least cosine with it
-        self.anchors = sorted({t for _, v, norm in self.templates for t in self.heaviest(v, norm)})
+        self.anchors = {t for _, v, norm in self.templates for t in self.rarest(v, norm)}
 
     def vector(self, words: list[str]) -> dict[str, float]:
-        return {t: n * self.idf.get(t, self.rare) for t, n in Counter(words).items()}
+        return {t: n * self.idf.get(t, self.least) for t, n in Counter(words).items()}
 
-    def heaviest(self, v: dict[str, float], norm: float) -> list[str]:
-        """The fewest terms without which the rest of the template is shorter than alike * norm."""
+    def rarest(self, v: dict[str, float], norm: float) -> list[str]:
+        """The rarest terms without which the rest of the template is shorter than alike * norm."""
         left, out = norm * norm, []
-        for t, x in sorted(v.items(), key=lambda p: (-p[1], p[0])):
+        for t, x in sorted(v.items(), key=lambda p: (-self.idf[p[0]], p[0])):
             if left < (self.alike * norm) ** 2 * (1 - 1e-9):
                 break
             out.append(t)
             left -= x * x
         return out
 
+    def compare(self, found: Counter) -> tuple[str, float, float, list[tuple[str, int]]] | None:
+        """Licence of the nearest template, the vector's length along it, the squared length of the words
+        with a document frequency, and the other words; None if the cosine is surely too low."""
+        if self.anchors.isdisjoint(found):
+            return None
+        dots, known, rest = [0.0] * len(self.templates), 0.0, []
+        for t in sorted(found):  # so that equal texts get equal sums
+            if t not in self.idf:
+                rest.append((t, found[t]))
+                continue
+            x = found[t] * self.idf[t]
+            known += x * x
+            for k, y in self.along.get(t, ()):
+                dots[k] += x * y
+        length, name = max((dot, name) for dot, (name, _, _) in zip(dots, self.templates, strict=True))
+        at_least = sqrt(known + sum((n * self.least) ** 2 for _, n in rest))
+        return (name, length, known, rest) if length >= self.alike * at_least * (1 - 1e-9) else None
+
+    def candidates(self, text: str | None) -> list[tuple[int, str, float, float, list[tuple[str, int]]]]:
+        """Line (from 0; -1: the file as a whole) and comparison of what may reach the least cosine."""
+        lines = [Counter(terms(line)) for line in (text or "").split("\n")]
+        units = [(-1, sum_of(lines)), *enumerate(lines)]
+        return [(k, *c) for k, found in units if (c := self.compare(found))]
+
     def best(self, text: str) -> tuple[float, str | None]:
+        """Cosine and licence of the nearest template, words without a document frequency being as frequent as they may be."""
         v = self.vector(terms(text))
         norm = sqrt(sum(x * x for x in v.values()))
         found = [(sum(x * t.get(k, 0.0) for k, x in v.items()) / (norm * size), name) for name, t, size in self.templates] if norm else []
@@ -93,20 +130,20 @@ class Matcher:
 
     def scan(self, text: str | None) -> tuple[str | None, float, int, bool]:
         """Licence, cosine, line (from 0; -1: the file as a whole) of the best match, and whether the whole file is a licence."""
-        low = (text or "").lower()
-        if not any(a in low for a in self.anchors):
-            return None, 0.0, -1, False
-        whole, name = self.best(low)
-        top = (whole, name, -1)
-        for k, line in enumerate(low.split("\n")):
-            if any(a in line for a in self.anchors):
-                score, other = self.best(line)
-                if score > top[0]:
-                    top = (score, other, k)
-        return (top[1], min(top[0], 1.0), top[2], whole >= self.alike) if top[0] >= self.alike else (None, 0.0, -1, False)
-
-
-def scan_licenses(files: DataFrame, alike: float = ALIKE) -> DataFrame:
+        found = [(length / sqrt(known + sum((n * self.least) ** 2 for _, n in rest)), -k, name) for k, name, length, known, rest in self.candidates(text)]
+        found = [f for f in found if f[0] >= self.alike]
+        score, k, name = max(found, default=(0.0, 1, None))
+        return name, min(score, 1.0), -k, any(f[1] == 1 for f in found)
+
+
+def sum_of(counters: list[Counter]) -> Counter:
+    out: Counter = Counter()
+    for c in counters:
+        out.update(c)
+    return out
+
+
+def scan_licenses(files: DataFrame, alike: float = ALIKE, common: int = COMMON) -> DataFrame:
     """file_id, path, license_id, score, line, inherited_from, for files(file_id, path, text).
 
     A file's own licence is that of its best line, or of the file as a whole, at a cosine of at least
@@ -116,16 +153,33 @@ def scan_licenses(files: DataFrame, alike: float = ALIKE) -> DataFrame:
     ``inherited_from`` names that directory. Null or empty texts have no own licence; a null path is
     in no directory; repeated rows are files each.
     """
-    n, counts = document_frequencies(files)
-    matcher = Matcher(n, counts, alike)
+    frequencies = document_frequencies(files)
+    n = sum(r["n"] for r in frequencies.where("term = ''").collect())
+    words = frequencies.where("term <> ''")
+    often = words.orderBy(F.desc("n"), "term").limit(common).collect()
+    counts = {r["term"]: r["n"] for r in often} | {r["term"]: r["n"] for r in words.where(F.col("term").isin(VOCABULARY)).collect()}
+    # a template's word that isn't among them is in one file at most; if no file holds it, it doesn't matter how rare it is
+    matcher = Matcher(n, dict.fromkeys(VOCABULARY, 1) | counts, alike, most=often[-1]["n"] if len(often) == common else 1)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            out = pd.DataFrame([matcher.scan(t) for t in batch["text"]], columns=["license_id", "score", "line", "whole"], dtype=object)
-            yield pd.concat([batch[["file_id", "path"]].reset_index(drop=True), out], axis=1)
+            units = [[{"line": k, "name": name, "along": length, "known": known, "rest": [{"term": t, "times": m} for t, m in rest]} for k, name, length, known, rest in matcher.candidates(text)] for text in batch["text"]]
+            yield pd.DataFrame({"row": range(row, row + len(batch)), "file_id": batch["file_id"], "path": batch["path"], "units": units})
+            row += len(batch)
 
     kind = files.schema["file_id"].dataType.simpleString()
-    scanned = files.select("file_id", "path", "text").mapInPandas(scan, f"file_id {kind}, path string, license_id string, score double, line long, whole boolean")
+    unit = "struct<line: long, name: string, along: double, known: double, rest: array<struct<term: string, times: long>>>"
+    rows = written(files.select("file_id", "path", "text").mapInPandas(scan, f"row long, file_id {kind}, path string, units array<{unit}>"), "candidates")
+    units = rows.select("row", F.inline("units"))
+    # what isn't among the frequencies is in one file
+    idf = F.log((n + 1.0) / (F.coalesce("n", F.lit(1)) + 1)) + 1
+    rest = units.select("row", "line", F.inline("rest")).join(words, "term", "left").groupBy("row", "line").agg(F.sort_array(F.collect_list(F.struct("term", F.pow(F.col("times") * idf, 2).alias("x")))).alias("rest"))
+    square = F.coalesce(F.aggregate("rest", F.lit(0.0), lambda a, w: a + w["x"]), F.lit(0.0)) + F.col("known")
+    scored = units.drop("rest").join(rest, ["row", "line"], "left").withColumn("score", F.col("along") / F.sqrt(square)).where(F.col("score") >= alike)
+    top = scored.groupBy("row").agg(F.max(F.struct("score", (-F.col("line")).alias("before"), "name")).alias("top"), F.max(F.col("line") == -1).alias("whole"))
+    best = top.select("row", "whole", F.col("top.name").alias("license_id"), F.least(F.col("top.score"), F.lit(1.0)).alias("score"), (-F.col("top.before")).alias("line"))
+    scanned = rows.drop("units").join(best, "row", "left").drop("row").fillna({"whole": False, "score": 0.0, "line": -1})
     scanned = written(scanned.withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", "")), "licences")
     named = F.col("whole") | F.regexp_replace("path", r"^.*/", "").rlike(LICENCE_FILE)
     declared = scanned.where(F.col("license_id").isNotNull() & F.col("path").isNotNull() & named).groupBy("dir").agg(F.min(F.struct(-F.col("score"), "path", "license_id"))["license_id"].alias("dir_license"))
