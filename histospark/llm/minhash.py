@@ -2,8 +2,8 @@
 
 Each of ``PERMUTATIONS`` hash functions gives a document two values, the least and the greatest over
 its shingles: both agree between two documents with the probability of their Jaccard similarity, so
-64 evaluations a shingle fill a signature of 128 values. Bands of four values are bucketed; a pair
-of similarity 0.8 meets in no bucket with a probability of 5e-8.
+80 evaluations a shingle fill a signature of 160 values. Bands of five values are bucketed; a pair
+of similarity 0.8 meets in no bucket with a probability of 3e-6.
 """
 
 from __future__ import annotations
@@ -19,10 +19,8 @@ from pyspark.sql import functions as F
 from histospark.llm.common import removed, written
 from histospark.operators.iterate import connected_components
 
-PERMUTATIONS, ROWS = 64, 4
+PERMUTATIONS, ROWS = 80, 5
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Buckets of more members than this are searched by differences from their hub, others pair by pair.
-SMALL = 16
 #: Longs in the bitmap of a member's differences.
 WORDS = 8
 FACTORS = np.random.default_rng(20240601).integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -100,9 +98,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Copies (equal shingle sets) become one node, named by their least id. Nodes that share a bucket
     are candidates. So that a bucket of many near copies doesn't emit all its pairs, each member is
     first compared with the bucket's hub, the node that meets most others. Then members that are
-    still in different components are compared: in buckets of up to SMALL members pair by pair, in
-    larger ones by what each differs in from the hub (``by_differences``). No link between different
-    components is lost. Links are confirmed on full sets of 64-bit shingle hashes.
+    still in different components are compared by what each differs in from the hub
+    (``by_differences``), whatever the bucket's size. No link between different components is lost.
+    Links are confirmed on full sets of 64-bit shingle hashes.
 
     Null and empty texts have no shingles and link with nothing; fewer words than k are one shingle.
     Ids should be unique: rows that repeat an id with the same text share its result; rows without
@@ -126,23 +124,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sets = written(shingle_sets(texts, k).dropDuplicates(["node"]), "sets")
     links = written(confirmed(first, sets, percent), "links")
     found = connected_components(links)
-    placed = members.where("size > 2").join(found, "node", "left").select("bucket", "node", "n", "size", "hub", F.coalesce("component", "node").alias("component"))
+    placed = members.where("size > 2").join(found, "node", "left").select("bucket", "node", "hub", F.coalesce("component", "node").alias("component"))
     mixed_up = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    rest = written(placed.join(mixed_up, "bucket", "left_semi"), "rest")
-    few = rest.where(F.col("size") <= SMALL).select("bucket", "node", "n", "component")
-    left, right = few.toDF("bucket", "a", "n_a", "c_a"), few.toDF("bucket", "b", "n_b", "c_b")
-    pairs = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & alike(F.col("n_a"), F.col("n_b"))).select("a", "b")
-    many = rest.where(F.col("size") > SMALL).select("hub", "node", "component").distinct()
-    pairs = written(pairs.union(by_differences(many, sets, percent)).distinct(), "pairs")
+    rest = written(placed.join(mixed_up, "bucket", "left_semi").select("hub", "node", "component").distinct(), "rest")
+    ordered = rare_first(sets, rest.select("node").union(rest.select("hub")).distinct())
+    pairs = written(by_differences(rest, ordered, percent).distinct(), "pairs")
     second = written(confirmed(pairs, sets, percent), "links")
     found = connected_components(links.union(second))
     named = copies.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    removed(spark, nodes, met, members, first, sets, rest, links, pairs, second)
+    removed(spark, nodes, met, members, first, sets, rest, ordered, links, pairs, second)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def rare_first(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The sets of the given nodes, each with the shingles that fewest of these nodes hold first."""
+    each = written(sets.join(nodes, "node").select("node", F.explode("shingles").alias("e")), "elements")
+    held = each.groupBy("e").agg(F.count(F.lit(1)).alias("held"))
+    order = F.sort_array(F.collect_list(F.struct("held", "e")))
+    return written(each.join(held, "e").groupBy("node").agg(F.transform(order, lambda x: x["e"]).alias("shingles")), "ordered")
+
+
 def by_differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members(hub, node, component) of one hub and different components that may be linked.
 
@@ -150,18 +153,24 @@ def by_differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     both. For members x and m, |x and m| = |hub| - |Ax| - |Am| + s, where s counts the differences
     they share, so a link needs an s that sizes alone give. As one of them, x, isn't linked with the
     hub (else both would be in its component), s must exceed 100 / (100 + percent) * |Am| +
-    percent / (100 + percent) * |Bm|. So x holds at least one of m's first differences, all but so
-    many; members are joined on these. Bitmaps of the differences bound s from above.
+    percent / (100 + percent) * |Bm|; and whatever m is, (100 + percent) * s must reach
+    100 * |Ax| + percent * |Bx| - (100 - percent) * |hub|. So x and m share one of x's first
+    differences, all but so many, and of m's first, all but so many, in any order that all members
+    keep: what is beyond the hub's set comes first, the rarest ahead, then what is lacking, what
+    most members hold ahead, as few lack it. Members are joined on these. Bitmaps of the differences
+    bound s from above.
     """
     own = members.where("hub <> node").join(sets.toDF("node", "own"), "node").join(sets.toDF("hub", "base"), "hub")
-    lacks, beyond = F.array_except("base", "own"), F.array_except("own", "base")
+    lacks, beyond = F.array_except(F.reverse("base"), "own"), F.array_except("own", "base")
     told = own.select("hub", "node", "component", F.size("own").alias("n"), F.size("base").alias("base_n"), lacks.alias("lacks"), beyond.alias("beyond"))
     bits = [F.aggregate(F.filter(F.concat("beyond", "lacks"), lambda e: F.pmod(e, F.lit(WORDS)) == w), F.lit(0).cast("long"), lambda acc, e: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("shiftright", e, F.lit(8)).bitwiseAND(F.lit(63)).cast("int")))).alias(f"w{w}") for w in range(WORDS)]
     told = written(told.select("*", *bits).select("hub", "node", "component", "n", "base_n", F.size("lacks").alias("na"), F.size("beyond").alias("nb"), F.concat("beyond", "lacks").alias("d"), *[f"w{w}" for w in range(WORDS)]), "differences")
     linked = (F.col("base_n") - F.col("na")) * 100 >= (F.col("n") + F.col("na")) * percent
-    some = F.floor((F.col("na") * 100 + F.col("nb") * percent) / (100 + percent)).cast("int")
+    weight = F.col("na") * 100 + F.col("nb") * percent
+    some = F.floor(weight / (100 + percent)).cast("int")
+    need = F.greatest(F.lit(1), F.ceil((weight - F.col("base_n") * (100 - percent)) / (100 + percent))).cast("int")
     spread = lambda t, d: t.select("hub", F.explode(d).alias("e"), *[F.col(c) for c in ("node", "component", "n", "base_n", "na", "nb")], *[f"w{w}" for w in range(WORDS)])
-    x = spread(told.where(~linked), F.col("d"))
+    x = spread(told.where(~linked), F.slice("d", 1, F.size("d") - need + 1))
     m = spread(told, F.slice("d", 1, F.size("d") - some)).withColumnsRenamed({c: f"m_{c}" for c in ("node", "component", "n", "base_n", "na", "nb", *[f"w{w}" for w in range(WORDS)])})
     both = sum(F.bit_count(F.col(f"w{w}").bitwiseAND(F.col(f"m_w{w}"))) for w in range(WORDS))
     kept = sum(F.bit_count(F.col(f"m_w{w}")) for w in range(WORDS))

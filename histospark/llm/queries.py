@@ -120,8 +120,9 @@ select conv_id, cast(count(*) as bigint) as n_turns, sha256(string_agg(role || c
   cast(length(string_agg(piece, chr(10) order by turn nulls first, role, text)) as bigint) as formatted_chars,
   regexp_full_match(string_agg(case role when 'system' then 's' when 'user' then 'u' when 'assistant' then 'a' else 'x' end, '' order by turn nulls first, role, text), 's?(ua)+') as valid
 from e group by conv_id""",
-    "op5_warc": f"""with p as (select coalesce(page_id, -1) as page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as sha from pages), k as (select sha, max(page_id) as kept from p group by sha)
-select page_id, cast(strlen(html) as bigint) as payload_bytes, {BASE32} as payload_digest, case when page_id < kept then 'revisit' else 'response' end as record_type, case when page_id < kept then kept end as refers_to from p join k using (sha)""",
+    "op5_warc": f"""with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as sha from pages), k as (select sha, max(page_id) as kept from p group by sha),
+r as (select *, coalesce(page_id < kept, kept is not null) as again from p join k using (sha))
+select page_id, cast(strlen(html) as bigint) as payload_bytes, {BASE32} as payload_digest, case when again then 'revisit' else 'response' end as record_type, case when again then kept end as refers_to from r""",
     "op6_minhash": rf"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') as words from documents),
 s as (select distinct doc_id, array_to_string(words[i : i + 3], ' ') as shingle from (select doc_id, words, unnest(range(1, greatest(1, len(words) - 3) + 1)) as i from w where len(words) > 0)),
 n as (select doc_id, count(*) as n from s group by doc_id),

@@ -31,6 +31,8 @@ from histospark.llm.common import fresh_path, written
 BLOCK_LINES, MOST_BLOCKS = 2000, 1 << 17
 #: Fixed value: every record's date, so that archives don't depend on when they were written.
 DATE = "2024-01-01T00:00:00Z"
+#: Stands for a null page_id, as the least of all; a page of this very id comes back as null.
+NO_PAGE = -(2**63)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 POINTERS = "key string, page_id long, file string, offset long, length long"
 
@@ -45,9 +47,19 @@ def reversed_host_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
 
 
+def visible(text: str) -> str:
+    """Spaces and control characters as %XX, so that a line of the index is one capture and a header is one line."""
+    return "".join(c if c > " " and c not in "\x7f\x85\u2028\u2029" else f"%{ord(c):02X}" for c in text)
+
+
 def capture_key(url: str | None, page_id: int) -> str:
     """The sort key of a capture: the URL's key, then the page in twenty digits."""
-    return f"{reversed_host_key(url)} {page_id + (1 << 63):020d}"
+    return f"{visible(reversed_host_key(url))} {page_id + (1 << 63):020d}"
+
+
+def store_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """The store of a folder, and its path there; the names that Hadoop has for S3 are understood."""
+    return fs.FileSystem.from_uri("s3://" + folder.partition("://")[2] if folder.startswith(("s3a://", "s3n://")) else folder)
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -62,8 +74,7 @@ def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None)
     """A response with its payload, or a revisit with the payload's digest and length alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
-    target = "".join(c if c > " " else f"%{ord(c):02X}" for c in url or "")
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Target-URI: {target}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}", f"X-Page-ID: {page_id}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Target-URI: {visible(url or '')}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}", f"X-Page-ID: {page_id}"]
     if refers_to is not None:
         head += [f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}", f"WARC-Profile: {PROFILE}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -81,15 +92,15 @@ def parsed(raw: bytes) -> dict:
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if fields["WARC-Type"] == "response":
         assert len(payload) == size and base32_sha1(payload) == digest, "the payload isn't what its headers say"
-    other = fields.get("X-Refers-To-Page-ID")
-    return {"page_id": int(fields["X-Page-ID"]), "record_type": fields["WARC-Type"], "payload_bytes": size, "payload_digest": digest, "refers_to": None if other is None else int(other), "payload": payload}
+    other, page = fields.get("X-Refers-To-Page-ID"), int(fields["X-Page-ID"])
+    return {"page_id": None if page == NO_PAGE else page, "record_type": fields["WARC-Type"], "payload_bytes": size, "payload_digest": digest, "refers_to": None if other is None else int(other), "payload": payload}
 
 
 def mark_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, html and refers_to: of equal payloads of at least least_bytes, the largest page_id is
     kept and the others refer to it. Only digests and ids are grouped; each page is then shuffled at
     most once, by its id. Repeated rows of that page are responses each."""
-    pages = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(-1)).alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    pages = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_PAGE)).alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     light = pages.where(F.octet_length("html") >= least_bytes).select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("sha"))
     kept = light.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("refers_to > least")
     revisits = light.join(kept, "sha").where("page_id < refers_to").select("page_id", "sha", "refers_to").distinct()
@@ -104,7 +115,7 @@ def write_archives(marked: DataFrame, folder: str, level: int = 6) -> DataFrame:
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = fs.FileSystem.from_uri(folder)
+        store, path = store_of(folder)
         store.create_dir(path, recursive=True)
         file = f"{path}/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
         at, out = 0, None
@@ -156,21 +167,26 @@ class CaptureIndex:
         blocks = written(ordered.mapInPandas(pack, "first_key string, n long, block binary"), "blocks")
         return cls(blocks, sorted(r["first_key"] for r in blocks.select("first_key").toLocalIterator()))
 
-    def block_of(self, key: Column) -> Column:
-        """The first key of the block that a key is in, by binary search in the directory."""
+    def blocks_of(self, key: Column) -> Column:
+        """The first keys of the blocks that may hold a key, by binary search in the directory."""
         held = self.blocks.sparkSession.sparkContext.broadcast(self.first_keys)
 
-        @F.pandas_udf("string")
+        @F.pandas_udf("array<string>")
         def find(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for batch in keys:
-                yield pd.Series([first_block(held.value, k) for k in batch], dtype=object)
+                yield pd.Series([first_keys_for(held.value, k) for k in batch], dtype=object)
 
         return find(key)
 
     def lookup(self, keys: DataFrame) -> DataFrame:
-        """key, file, offset and length of the captures with the given keys (a column ``key``)."""
-        wanted = keys.select("key").distinct().withColumn("first_key", self.block_of(F.col("key"))).where("first_key is not null")
+        """key, file, offset and length of the captures with the given keys (a column ``key``), each capture once.
+
+        A key that repeats may run over the end of a block: all blocks that begin with it are
+        searched, and the one before them.
+        """
+        wanted = keys.select("key").distinct().withColumn("first_key", F.explode(self.blocks_of(F.col("key"))))
         asked = wanted.groupBy("first_key").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # at most a block's keys
+        tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # else a few megabytes of blocks make one task
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -184,21 +200,20 @@ class CaptureIndex:
                             at += 1
                     yield pd.DataFrame({"key": [x[0] for x in found], "file": [x[1] for x in found], "offset": [int(x[2]) for x in found], "length": [int(x[3]) for x in found]}, dtype=object)
 
-        return self.blocks.join(asked, "first_key").select("block", "keys").mapInPandas(search, "key string, file string, offset long, length long")
+        return self.blocks.join(asked, "first_key").select("block", "keys").repartition(tasks).mapInPandas(search, "key string, file string, offset long, length long")
 
 
-def first_block(first_keys: list[str], key: str) -> str | None:
+def first_keys_for(first_keys: list[str], key: str) -> list[str]:
+    """The last first key below the key, and the key itself if a block begins with it."""
     at = bisect_left(first_keys, key)
-    if at < len(first_keys) and first_keys[at] == key:
-        return key
-    return first_keys[at - 1] if at else None
+    return first_keys[max(at - 1, 0) : at] + ([key] if at < len(first_keys) and first_keys[at] == key else [])
 
 
 def read_records(pointers: DataFrame, folder: str) -> DataFrame:
     """Reads each pointer's byte range and parses the record; a task reads an archive's ranges in order."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, _ = fs.FileSystem.from_uri(folder)
+        store, _ = store_of(folder)
         name, source = None, None
         for batch in batches:
             rows = []
@@ -220,13 +235,15 @@ def keys_of(pages: DataFrame) -> DataFrame:
     def key(urls: pd.Series, pages: pd.Series) -> pd.Series:
         return pd.Series([capture_key(u, int(p)) for u, p in zip(urls, pages, strict=True)], dtype=object)
 
-    return pages.select(key(F.col("url"), F.coalesce(F.col("page_id").cast("long"), F.lit(-1))).alias("key"))
+    return pages.select(key(F.col("url"), F.coalesce(F.col("page_id").cast("long"), F.lit(NO_PAGE))).alias("key"))
 
 
 def archive_and_read(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Writes all pages as WARC records, indexes them, looks every page up and reads its record back.
 
-    A null html is an empty payload, a null url an empty one, a null page_id is page -1.
+    A null html is an empty payload, a null url an empty one; a null page_id is the least and comes
+    back as null. Repeated rows come back as often as they are there. Control characters of URLs
+    stand as %XX in keys and headers.
     """
     folder = fresh_path(pages.sparkSession, "warc")
     index = CaptureIndex.build(write_archives(mark_revisits(pages, least_bytes), folder))

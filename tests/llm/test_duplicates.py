@@ -76,6 +76,29 @@ def test_near_copies_of_one_text_keep_every_link(spark):
     assert got == components(links, range(300))
 
 
+def test_a_hot_group_of_near_copies_is_exact(spark):
+    """Two thousand copies with up to a fifth of their words changed or cut: many are linked with others than the hub."""
+    rng = random.Random(4)
+    base, other = [f"w{k}" for k in range(80)], [f"o{k}" for k in range(25)]
+    texts = []
+    for n in range(2000):
+        copy = list(base) if n % 10 else base[:50] + other
+        for _ in range(rng.randint(0, 5)):
+            copy[rng.randrange(len(copy))] = f"v{rng.randrange(40)}"
+        cut = rng.choice([0, 0, 0, 8, 15])
+        texts.append(" ".join(copy[cut:]))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 80).collect()}
+    sets = [shingle_set(t, 5) for t in texts]
+    at = {s: k for k, s in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(sets), len(at)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        held[i, [at[x] for x in s]] = 1
+    both, size = held @ held.T, held.sum(axis=1)
+    links = np.argwhere(np.triu(100 * both >= 80 * (size[:, None] + size - both), 1))
+    want = components([tuple(map(int, p)) for p in links], range(len(texts)))
+    assert len(set(want.values())) > 50 and got == want
+
+
 def test_near_duplicates_of_odd_tables(spark):
     kind = "doc_id long, text string"
     assert minhash.near_duplicates(spark.createDataFrame([], kind)).count() == 0
@@ -135,6 +158,18 @@ def test_archives_of_odd_tables(spark):
     assert sorted((r.page_id, r.record_type) for r in twice) == [(1, "response"), (1, "response"), (2, "response")]
 
 
+ODD_URLS = ["http://[bad\tx", "http://[bad\nx", "http://h:99999999/a\nb", "http://[bad x\r", "\t\n", " ", "http://h/\u2028\x85", "x" * 5000, "http://h%zz/?\x7f", None]
+
+
+def test_archives_return_every_row_of_repeated_pages_and_odd_urls(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 7)
+    rows = [(k, u, f"t{k % 3}") for k, u in enumerate(ODD_URLS)] + [(50, "http://a/x", "five")] * 23 + [(None, "http://b/", "none")] * 16 + [(None, "http://c/", "five"), (51, "http://d/", "one")]
+    got = warc.archive_and_read(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id is None, r.page_id or 0) for r in got) == sorted((p is None, p or 0) for p, _, _ in rows)
+    assert {r.refers_to for r in got if r.payload_digest == warc.base32_sha1(b"five")} == {None, 50}
+    assert all(r.record_type == "response" for r in got if r.payload_digest == warc.base32_sha1(b"none"))
+
+
 def test_index_finds_what_is_there(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 7)
     pages = spark.range(100).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), (F.col("id") % 9).cast("string"), F.lit(".org/p")).alias("url"), F.lit("t").alias("html"))
