@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from histospark.llm.common import held_out
 
-#: Bounds of the labelled sample that fits the classifiers, over all languages; languages at most.
-SAMPLE_ROWS, MOST_LANGUAGES = 4000, 200
+#: Bound of the labelled sample that fits the classifiers, over all languages; rows of each language at least.
+SAMPLE_ROWS, LEAST_ROWS = 4000, 20
 FEATURES, LONGEST = 4096, 3
 EPOCHS, BATCH, RATE, DECAY = 30, 64, 0.5, 1e-5
 UNKNOWN = "und"
@@ -116,27 +116,40 @@ def fit_grams(x: np.ndarray, y: list[str]) -> LanguageModel:
     return LanguageModel(languages, code, w, b, trust / max(trust.mean(), 1e-9))
 
 
+def sampled(labelled: DataFrame, share: int) -> DataFrame:
+    """lang, text and place of the first ``share`` rows of each language by a hash of the id.
+
+    Each language's count gives a bound of the hash that about twice as many rows and fifty more
+    pass, so no more than these are shuffled and ranked, however frequent the language is.
+    """
+    order = F.xxhash64(F.col("doc_id").cast("long"), F.lit(9))
+    below = F.pmod(order, F.lit(1 << 40)) * F.col("rows") < F.lit(float(2 * share + 50)) * (1 << 40)
+    counts = labelled.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("rows"))
+    few = labelled.join(counts, F.col("lang") == F.col("of")).where(below).select("doc_id", "lang", "text")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id", "text"))
+    return few.withColumn("place", place).where(F.col("place") <= share)
+
+
 def fit_languages(docs: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Fits on at most ``rows`` documents with a language, as many of each, none of them held out.
+    """Fits on at most ``rows`` documents with a language, as many of each, none of them held out; where
+    there are many languages, on ``LEAST_ROWS`` of each. Every language of a labelled row is learned.
 
-    Of a language, rows are taken in the order of a hash of the id. The ``MOST_LANGUAGES`` most
-    frequent languages are learned; without labelled rows every prediction is ``und``.
+    Of a language, rows are taken in the order of a hash of the id; rows that repeat an id are rows
+    each. Without labelled rows every prediction is ``und``.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
+    known = labelled.select("lang").distinct().count()
     if not known:
         return LanguageModel([], np.zeros((0, 0)), np.zeros((FEATURES, 0)), np.zeros(0), np.zeros(0))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("long"), F.lit(9)), "doc_id")
-    ids = labelled.where(F.col("lang").isin(known)).select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(20, rows // len(known)))
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = [gram_counts(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"], "x": [None if v is None else v.astype(np.float32).tobytes() for v in x]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"], "x": [None if v is None else v.astype(np.float32).tobytes() for v in x]}, dtype=object)
 
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "lang")), "doc_id").select("doc_id", "lang", "text")
-    got = chosen.mapInPandas(grams, "doc_id long, lang string, x binary").where("x is not null").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").toLocalIterator()
-    x, y = np.zeros((max(20, rows // len(known)) * len(known), FEATURES), dtype=np.float32), []
+    chosen = sampled(labelled, max(LEAST_ROWS, rows // known)).select("doc_id", "lang", "text")
+    got = chosen.mapInPandas(grams, "doc_id long, lang string, x binary").where("x is not null").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id", "x").toLocalIterator()
+    x, y = np.zeros((known * max(LEAST_ROWS, rows // known), FEATURES), dtype=np.float32), []
     for row in got:
         x[len(y)] = np.frombuffer(row["x"], dtype=np.float32)
         y.append(row["lang"])
