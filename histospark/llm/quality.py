@@ -24,19 +24,21 @@ from pyspark.sql import functions as F
 
 from histospark.llm.common import held_out
 
-#: Bounds of the labelled sample that fits the model: rows, and characters over these rows.
+#: Bounds of the labelled sample that fits the model: rows, and characters, after which no further row is taken.
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 9_000_000
 DIMENSIONS, ENTRIES, BESIDE, LEAST_COUNT, MOST_WORDS, BUCKETS = 64, 4, 2, 3, 30_000, 1 << 15
 #: Shape of a token that repeats the one before it; tokens' worth of the corpus mean in a document's mean.
 REPEAT, PRIOR = "=repeat", 4
+#: Longer tokens aren't remembered by a worker.
+LONG = 64
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 128, 3e-3, 1e-3
 
 CAPITALS, SMALL, DIGITS = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"\d+")
 
 
 def shape(token: str) -> str:
-    """'The' is 'Aa', 'NOW!!' is 'A!!', '3.50' is '9.9'; at most twelve signs."""
-    return DIGITS.sub("9", SMALL.sub("a", CAPITALS.sub("A", token)))[:12]
+    """'The' is 'Aa', 'NOW!!' is 'A!!', '3.50' is '9.9'."""
+    return DIGITS.sub("9", SMALL.sub("a", CAPITALS.sub("A", token)))
 
 
 def index_vectors(n: int, seed: int) -> np.ndarray:
@@ -66,7 +68,9 @@ class Seen(dict):
         own = self.shapes.get(form)
         word = len(self.words) + crc32(low.encode("utf-8", "surrogatepass")) % BUCKETS if word is None else word
         own = len(self.shapes) + crc32(form.encode("utf-8", "surrogatepass")) % BUCKETS if own is None else own
-        self[token] = out = word << 24 | own
+        out = word << 24 | own
+        if len(token) <= LONG:
+            self[token] = out
         return out
 
 
@@ -204,18 +208,22 @@ def fit_texts(texts: list[str], labels: np.ndarray) -> QualityModel:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> QualityModel:
-    """Fits on at most ``rows`` labelled documents and ``chars`` characters, in the order of a hash of
-    the id, none of them held out. Rows without id, label or text are passed over; without any
+    """Fits on at most ``rows`` labelled documents in the order of a hash of the id, none of them held
+    out; the row that brings the sample to ``chars`` characters is its last, whatever its length, so
+    long texts are as likely as others. Rows without id, label or text, and ids whose labels
+    contradict each other, are passed over; of texts that repeat an id, the least counts. Without any
     labelled row, every score is one half."""
     order = F.xxhash64(F.col("doc_id").cast("long"), F.lit(5))
-    chosen = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality").dropDuplicates(["doc_id"]).orderBy(order).limit(rows)
-    sized = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").dropDuplicates(["doc_id"])
+    told = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
+    chosen = told.where("quality = most").select("doc_id", "quality").orderBy(order).limit(rows)
+    # at most rows ids: they may be broadcast
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     sample, used = [], 0
-    for row in sized.orderBy(order).toLocalIterator():
-        if used + len(row["text"]) > chars:
-            continue
+    for row in found.orderBy(order).toLocalIterator():
         used += len(row["text"])
         sample.append((row["text"], row["quality"]))
+        if used >= chars:
+            break
     return fit_texts([t for t, _ in sample], np.array([q for _, q in sample] or [], dtype=np.float64)) if sample else fit_texts([""], np.array([0.5]))
 
 
