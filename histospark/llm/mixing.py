@@ -13,8 +13,14 @@ WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 #: The one random offset of the sample, a dyadic fraction so that sums with it are exact.
 OFFSET = 0.40625
-#: Documents of one source and size class are ranked in this many groups, so no window holds a whole hot source.
-SPLITS = 64
+#: Documents of one source and size class are dealt by a hash of their id, in so many groups that each holds
+#: about this many, and at most 2**SLOT_BITS groups: no window holds a whole hot source.
+GROUP_ROWS, SLOT_BITS = 1000, 16
+
+
+def slot(doc_id: Column) -> Column:
+    """The first sixteen bits of the MD5 digest of the id as text."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, SLOT_BITS // 4), 16, 10).cast("int")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -24,7 +30,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     what a source can't take goes to the others by weight, again and again until all fit. That is
     the level L with sum(min(most * size, weight * L)) = sum(size): the sources are filled up in
     the order of most * size / weight, and running sums give the first at which the rest fits.
-    The windows run over one row per source.
+    The windows run over one row per source, which is a small table unless sources are that many.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     fill = Window.orderBy("at", F.col("source").asc_nulls_last())
@@ -39,15 +45,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return ranked.withColumn("level", level).withColumn("source_key", F.coalesce(F.concat(F.lit("1"), F.col("source")), F.lit("2"))).withColumn("first", first).select("source", "source_size", F.least(F.col("limit"), F.col("weight") * F.col("first")).alias("target"))
 
 
-def systematic_mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, offset: float = OFFSET, splits: int = SPLITS, carry: bool = False) -> DataFrame:
+def systematic_mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, offset: float = OFFSET, group_rows: int = GROUP_ROWS, carry: bool = False) -> DataFrame:
     """How often the mix takes each document: doc_id, source, plus
     ``size, source_size, target, copies``; with ``carry``, the whole rows come along as a struct ``doc``.
 
     Each document of a source is expected target / source_size times. In a source, documents stand
-    in the order of size class (bits of the size), doc_id mod ``splits``, size and doc_id. The
+    in the order of size class (bits of the size), group (a hash of the id; the number of groups is
+    the power of two that brings them to ``group_rows`` rows or less on average), size and doc_id. The
     expected copies are prefix-summed in that order, the offset is added, and a document is taken
     once for each integer that its interval crosses. As like sizes stand together, a source's taken
-    words come near its target. The prefix sum has two levels: ranks within (source, class, split)
+    words come near its target. The prefix sum has two levels: ranks within (source, class, group)
     and the counts of these groups before it, so that no task holds a source.
 
     Null texts have size 0; a null source is a source of its own; null ids count as 0 in the order
@@ -56,15 +63,20 @@ def systematic_mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEI
     doc = [F.struct(*docs.columns).alias("doc")] if carry else []
     rows = docs.select("doc_id", "source", size.alias("size"), *doc)
     rows = rows if carry else written(rows, "sizes")  # texts are read once
-    rows = rows.withColumn("cls", F.length(F.bin("size"))).withColumn("split", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(splits)).cast("int"))
-    groups = rows.groupBy("source", "cls", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
-    totals = source_targets(groups.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
-    ahead = Window.partitionBy("source").orderBy("cls", "split").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n", "words")
     key = F.coalesce(F.concat(F.lit("1"), F.col("source")), F.lit("2"))  # a null source joins itself
-    groups = groups.withColumn("k", key).drop("source").join(totals.withColumn("k", key).drop("source"), "k")
-    order = Window.partitionBy("k", "cls", "split").orderBy("size", "doc_id")
-    ranked = rows.withColumn("k", key).withColumn("rank", F.row_number().over(order)).join(groups, ["k", "cls", "split"])
+    rows = rows.withColumn("k", key).withColumn("cls", F.length(F.bin("size"))).withColumn("slot", slot(F.col("doc_id")))
+    slots = written(rows.groupBy("k", "cls", "slot").agg(F.first("source").alias("source"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "slots")
+    classes = slots.groupBy("k", "cls").agg(F.sum("n").alias("n"))
+    bits = F.greatest(F.lit(0), F.least(F.lit(SLOT_BITS), F.ceil(F.log2(F.col("n") / group_rows)))).cast("int")
+    classes = classes.select("k", "cls", F.pow(F.lit(2), SLOT_BITS - bits).cast("int").alias("wide"))
+    part = F.floor(F.col("slot") / F.col("wide")).cast("int").alias("part")
+    groups = slots.join(classes, ["k", "cls"]).groupBy("k", "cls", part).agg(F.sum("n").alias("n"))
+    totals = source_targets(slots.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
+    ahead = Window.partitionBy("k").orderBy("cls", "part").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n").join(totals.withColumn("k", key).drop("source"), "k")
+    order = Window.partitionBy("k", "cls", "part").orderBy("size", "doc_id")
+    dealt = rows.join(classes, ["k", "cls"]).withColumn("part", part).drop("slot", "wide")
+    ranked = dealt.withColumn("rank", F.row_number().over(order)).join(groups, ["k", "cls", "part"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     place = F.col("ahead") + F.col("rank")
     copies = F.floor(place * rate + F.lit(offset)) - F.floor((place - 1) * rate + F.lit(offset))
@@ -82,9 +94,11 @@ l as (select *, lim / weight as fills, (cast(sum(source_size) over () as double)
               - coalesce(sum(lim) over (order by lim / weight, source asc nulls last rows between unbounded preceding and 1 preceding), 0.0))
               / sum(weight) over (order by lim / weight, source asc nulls last rows between current row and unbounded following) as level from w),
 t as (select *, least(lim, weight * (select z.level from l z where z.level <= z.fills order by z.fills, z.source asc nulls last limit 1)) as target from l),
-r as (select d.*, t.source_size, t.target,
-             row_number() over (partition by d.source order by length(bin(d.size)), coalesce(d.doc_id, 0) % 64, d.size, d.doc_id) as place
-      from d join t on d.source is not distinct from t.source),
+e as (select *, length(bin(size)) as cls, cast(cast('0x' || md5(coalesce(cast(doc_id as varchar), ''))[1:4] as integer) as bigint) as slot,
+             count(*) over (partition by source, length(bin(size))) as n from d),
+r as (select e.*, t.source_size, t.target,
+             row_number() over (partition by e.source order by cls, floor(slot / pow(2, 16 - greatest(0, least(16, ceil(log2(n / 1000)))))), e.size, e.doc_id) as place
+      from e join t on e.source is not distinct from t.source),
 c as (select *, case when source_size > 0 then target / source_size else 0.0::double end as rate from r)
 select doc_id, source, size, source_size, target,
        least(cast(floor(place * rate + 0.40625) - floor((place - 1) * rate + 0.40625) as bigint), 3) as copies
