@@ -7,7 +7,6 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from histospark.llm import bpe, chat, fingerprint, langid, licenses, mixing, quality
 from histospark.llm.common import held_out, n_words
@@ -76,6 +75,52 @@ def test_fingerprints_combine(spark):
     assert got[0] == got[1] and got[2] == got[3]
 
 
+def fingerprint_in_python(text):
+    """What the fingerprint of a text should be, paragraph by paragraph."""
+    import re
+    import struct
+
+    import xxhash
+
+    word = lambda p: xxhash.xxh64_intdigest(p.encode(), seed=42)
+    again = lambda h, k: xxhash.xxh64_intdigest(struct.pack("<i", k), seed=h)
+    exact, lanes, n = [0] * 4, [0] * 124, 0
+    for paragraph in text.split("\n"):
+        h = word(paragraph)
+        exact = [(x + (again(h, k) & (1 << 56) - 1)) % (1 << 56) for k, x in enumerate(exact)]
+        for phrase in re.split(r"(?<=[a-z]{6}) |(?<=[a-z]{6}[.,]) ", paragraph):
+            h, n = word(phrase), n + 1
+            for k, own in enumerate((h, again(xxhash.xxh64_intdigest(struct.pack("<Q", h), seed=42), 1))):
+                for j in range(62):
+                    lanes[62 * k + j] += own >> j & 1
+    packed = [lanes[62 * k + j] | lanes[62 * k + 31 + j] << 31 for k in range(2) for j in range(31)]
+    return "".join(f"{x:014x}" for x in exact) + f"-{n:x}-" + ".".join(f"{x:x}" for x in packed)
+
+
+def test_fingerprints_equal_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) + rng.choice(["", "", ",", "."])
+    texts = ["", "a", "\n", "x" * 300_000, "longer words " * 40_000] + ["\n".join(" ".join(word() for _ in range(rng.randint(0, 20))) for _ in range(rng.randint(1, 6))) for _ in range(40)]
+    got = [r[0] for r in fp(spark, *texts).select(fingerprint.as_text(F.col("fp"))).collect()]
+    assert got == [fingerprint_in_python(t) for t in texts]
+
+
+def test_likeness_is_near_the_cosine_of_phrases(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+    errors = []
+    for share in (0.0, 0.3, 0.6, 0.9, 1.0):
+        for _ in range(6):
+            w = [word() for _ in range(300)]
+            other = w[: int(300 * share)] + [word() for _ in range(300 - int(300 * share))]
+            rng.shuffle(other)
+            errors.append((share, " ".join(w), " ".join(other)))
+    df = spark.createDataFrame(errors, "share double, a string, b string")
+    got = df.select("share", fingerprint.likeness(fingerprint.fingerprint(F.col("a")), fingerprint.fingerprint(F.col("b"))).alias("l")).collect()
+    off = [r.l - r.share for r in got]
+    assert max(map(abs, off)) < 0.3 and sum(x * x for x in off) / len(off) < 0.09**2
+
+
 def test_likeness(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
@@ -237,7 +282,3 @@ def test_sha1_names():
     from histospark.llm.warc import base32_sha1
 
     assert base32_sha1(b"") == base64.b32encode(hashlib.sha1(b"").digest()).decode() and len(base32_sha1(b"x")) == 32
-
-
-def test_schema_of_extra_columns():
-    assert isinstance(T.StructType.fromDDL(DOCS), T.StructType)
