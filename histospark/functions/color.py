@@ -6,13 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Colours of channels without a known dye, in order.
-PALETTE = ((0, 0, 255), (0, 255, 0), (255, 0, 0), (255, 0, 255), (0, 255, 255), (255, 255, 0), (255, 128, 0), (128, 0, 255), (0, 128, 255), (255, 255, 255))
+PALETTE = ((255, 0, 0), (0, 255, 0), (0, 0, 255), (255, 0, 255), (0, 255, 255), (255, 255, 0), (255, 128, 0), (153, 0, 255), (0, 179, 77), (255, 153, 153))
 #: Parts of dye names, in the order in which they are tried, and their colours.
 DYE_COLOURS = (
     ("dapi|hoechst", (0, 0, 255)),
-    ("fitc|gfp|488|cy2", (0, 255, 0)),
-    ("tritc|cy3|555|568|texas red|tdtomato|mcherry", (255, 0, 0)),
-    ("cy5|647|far red", (255, 0, 255)),
+    ("fitc|gfp|alexa 488|af488|cy2", (0, 255, 0)),
+    ("tritc|cy3|alexa 555|alexa 568|af555|af568|texas red|tdtomato|mcherry", (255, 0, 0)),
+    ("cy5|alexa 647|af647|far red|far-red", (255, 0, 255)),
 )
 MICRON = "µm"
 

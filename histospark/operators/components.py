@@ -113,7 +113,7 @@ def largest(mask: DataFrame, key: str = "uid", eight: bool = False) -> DataFrame
     """Pixels of each image's largest component; ties go to the least label."""
     labels = written(labelled(mask, key, eight))
     best = areas(labels, key).groupBy(key).agg(F.max_by("label", F.struct("area", -F.col("label"))).alias("label"))
-    return labels.join(F.broadcast(best), [key, "label"], "left_semi")
+    return labels.join(best, [key, "label"], "left_semi")
 
 
 def holes_of_largest(mask: DataFrame, h: int, w: int, key: str = "uid") -> DataFrame:
@@ -130,7 +130,7 @@ def shapes_of(labels: DataFrame, key: str = "uid") -> DataFrame:
     return out.withColumn("circularity", 4 * 3.141592653589793 * F.col("area") / F.pow(F.col("perimeter").cast("double"), F.lit(2)))
 
 
-def without_nested(labels: DataFrame, key: str = "uid", rounds: int = 50) -> DataFrame:
+def without_nested(labels: DataFrame, key: str = "uid") -> DataFrame:
     """key, label of components that aren't nested: in descending area, one is dropped if its centroid
     lies on a pixel of a kept larger one (ties: of lesser label). Decided in rounds: a component is
     settled once all larger ones that hold its centroid are."""
@@ -139,7 +139,7 @@ def without_nested(labels: DataFrame, key: str = "uid", rounds: int = 50) -> Dat
     at = shape.join(labels.withColumnRenamed("label", "outer"), [key, "y", "x"]).join(size, [key, "outer"])
     above = written(at.where("outer <> label and (outer_area > area or (outer_area = area and outer < label))").select(key, "label", "outer"))
     state = written(shape.select(key, "label").join(above.select(key, "label").distinct().withColumn("open", F.lit(True)), [key, "label"], "left").select(key, "label", F.when(F.col("open").isNull(), True).alias("kept")))
-    for _ in range(rounds):
+    while True:  # the largest unsettled component is settled in each round
         outer = state.select(key, F.col("label").alias("outer"), F.col("kept").alias("outer_kept"))
         told = above.join(outer, [key, "outer"]).groupBy(key, "label").agg(F.max(F.coalesce("outer_kept", F.lit(False)).cast("int")).alias("inside"), F.sum(F.col("outer_kept").isNull().cast("int")).alias("unsettled"))
         joined = state.join(told, [key, "label"], "left")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from histospark.operators.gridjoin import cells_of_box, grid_join
-from histospark.operators.iterate import connected_components, removed, until_stable, written
+from histospark.operators.iterate import connected_components, removed, written
 
 
 def both_ends(edges: DataFrame, *more: str) -> DataFrame:
@@ -19,10 +21,10 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both_ends(edges).groupBy("node").agg(F.count(F.lit(1)).alias("degree")).withColumn("junction", F.col("degree") >= 3)
 
 
-def pruned(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def pruned(edges: DataFrame) -> DataFrame:
     """Takes away edges with an end of degree 1, again and again; loops stay."""
     state = written(edges.select("u", "v"))
-    for _ in range(rounds):
+    while True:
         ends = degrees(state).where("degree = 1").select("node")
         kept = state.join(ends.withColumnRenamed("node", "u"), "u", "left_anti").join(ends.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v")
         new = written(kept)
@@ -31,7 +33,6 @@ def pruned(edges: DataFrame, rounds: int = 1000) -> DataFrame:
         state = new
         if same:
             return state
-    return state
 
 
 def segments(lines: DataFrame, keys: list[str] = ()) -> DataFrame:
@@ -90,9 +91,10 @@ def nearest_center(points: DataFrame, centers: DataFrame, reach: float) -> DataF
 
 
 def chains(edges: DataFrame) -> DataFrame:
-    """u, v, length, pieces: maximal runs through nodes of degree 2 become one edge; rings keep one node, their least."""
+    """u, v, length, pieces: maximal runs through nodes of degree 2 become one edge; rings keep one node,
+    their least. Rows are edges each, so parallel edges between junctions stay apart."""
     deg = degrees(edges)
-    ided = written(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "length").withColumn("eid", F.xxhash64("u", "v")))
+    ided = written(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "length").withColumn("eid", F.monotonically_increasing_id()))
     inside = deg.where("degree = 2").select("node")
     at = both_ends(ided, "eid").join(inside, "node", "left_semi")
     pairs = at.groupBy("node").agg(F.min("eid").alias("a"), F.max("eid").alias("b")).where("a <> b")
@@ -103,12 +105,12 @@ def chains(edges: DataFrame) -> DataFrame:
     return totals.join(ends, "chain", "left").select(F.coalesce("u", "low").alias("u"), F.coalesce("v", "low").alias("v"), "length", "pieces")
 
 
-def forest(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def forest(edges: DataFrame) -> DataFrame:
     """node, root, depth, parent: breadth-first trees from each component's least node, by frontier joins."""
     near = written(both_ends(edges).where("node <> other").distinct())
     found = connected_components(edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
     seen = written(found.where("node = component").select("node", F.col("component").alias("root"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")))
-    for k in range(rounds):
+    for k in count():
         front = seen.where(F.col("depth") == k)
         new = front.select(F.col("node").alias("p"), "root").join(near.withColumnRenamed("node", "p"), "p").groupBy(F.col("other").alias("node")).agg(F.min("root").alias("root"), F.min("p").alias("parent"))
         grown = written(seen.union(new.join(seen, "node", "left_anti").select("node", "root", F.lit(k + 1).alias("depth"), "parent")))
@@ -193,11 +195,11 @@ def labelled_bridges(edges: DataFrame) -> DataFrame:
     return cut.join(plain.where("n = 1"), ["u", "v"], "left_semi")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 1000) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """source, node, dist, pred: frontier relaxation from each source (column ``source``) until nothing improves; ties go to the least pred."""
     near = written(both_ends(edges, "length"))
     state = written(sources.select("source", F.col("source").alias("node"), F.lit(0).cast("long").alias("dist"), F.lit(None).cast("long").alias("pred"), F.lit(True).alias("fresh")))
-    for _ in range(rounds):
+    while True:
         step = state.where("fresh").join(near, "node").select("source", F.col("other").alias("node"), (F.col("dist") + F.col("length")).alias("dist"), F.col("node").alias("pred"), F.lit(True).alias("fresh"))
         best = state.withColumn("fresh", F.lit(False)).unionByName(step).groupBy("source", "node").agg(F.min(F.struct("dist", F.coalesce("pred", F.lit(-1)).alias("p"))).alias("m"))
         old = state.select("source", "node", F.col("dist").alias("was"), F.coalesce("pred", F.lit(-1)).alias("was_p"))
@@ -216,7 +218,7 @@ def path_edges(paths: DataFrame, targets: DataFrame) -> DataFrame:
     at = targets.select("source", "target", F.col("target").alias("node"))
     got = None
     step = paths.select("source", "node", "pred")
-    for _ in range(1000):
+    while True:
         hop = written(at.join(step, ["source", "node"]).where("pred is not null").select("source", "target", "node", "pred"))
         if not hop.limit(1).count():
             break
@@ -226,12 +228,12 @@ def path_edges(paths: DataFrame, targets: DataFrame) -> DataFrame:
     return got if got is not None else targets.select("source", "target", F.col("source").alias("u"), F.col("target").alias("v")).where("false")
 
 
-def spanning_tree(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def spanning_tree(edges: DataFrame) -> DataFrame:
     """u, v, length of the minimum spanning forest: Boruvka rounds; ties go to the least edge."""
     plain = written(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "length").where("u <> v").groupBy("u", "v").agg(F.min("length").alias("length")))
     chosen = None
     found = written(both_ends(plain).select("node", F.col("node").alias("component")).distinct())
-    for _ in range(rounds):
+    while True:
         c = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
         out = plain.join(c("u"), "u").join(c("v"), "v").where("cu <> cv")
         pick = F.min(F.struct("length", "u", "v")).alias("m")
@@ -263,9 +265,12 @@ def angle_at(lines: DataFrame, most: int = 4) -> DataFrame:
 
 
 def arms(angles: DataFrame, key: str, tolerance: float = 15.0) -> DataFrame:
-    """key, arms: greedy count of directions that differ by more than the tolerance, in ascending order."""
-    sorted_ = angles.groupBy(key).agg(F.array_sort(F.collect_list("angle")).alias("a"))
-    fold = F.aggregate("a", F.struct(F.lit(0).alias("n"), F.lit(-1e9).alias("last")), lambda acc, x: F.when(x - acc["last"] > tolerance, F.struct((acc["n"] + 1).alias("n"), x.alias("last"))).otherwise(acc), lambda acc: acc["n"])
+    """key, arms: greedy count of directions, in ascending order from 0 to 360: one that lies more than
+    the tolerance around the circle from the last counted one counts."""
+    sorted_ = angles.groupBy(key).agg(F.array_sort(F.collect_list(F.pmod("angle", F.lit(360.0)))).alias("a"))
+    apart = lambda x, y: F.least(F.abs(x - y), 360.0 - F.abs(x - y))
+    start = F.struct(F.lit(1).alias("n"), F.element_at("a", 1).alias("last"))
+    fold = F.aggregate("a", start, lambda acc, x: F.when(apart(x, acc["last"]) > tolerance, F.struct((acc["n"] + 1).alias("n"), x.alias("last"))).otherwise(acc), lambda acc: acc["n"])
     return sorted_.select(key, fold.alias("arms"))
 
 
@@ -290,6 +295,45 @@ def parallel_edges(edges: DataFrame) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(order)).where("rank > 1").drop("rank")
 
 
+def turned(a: Column, b: Column) -> Column:
+    """The difference of two directions in degrees, at most 180."""
+    return F.abs(F.pmod(a - b + 180.0, F.lit(360.0)) - 180.0)
+
+
+def without_parallel(edges: DataFrame, lines: DataFrame, overlap: float = 0.5, most_turn: float = 25.0) -> DataFrame:
+    """eid of the edges (eid, u, v) that stay: of edges of one node pair, in the order of their pixels,
+    one goes if it runs along those that stay.
+
+    lines holds each edge's vertices (line = eid, seq, px, py), from u to v. An edge runs along others
+    where at least ``overlap`` of its pixels are among their pixels or beside one (eight
+    neighbours), and its directions at both ends are within ``most_turn`` degrees of one of them.
+    Edges are settled in rounds, one for each place in the order of a pair, as it depends on those
+    before; all pairs go through a round together, by joins.
+    """
+    drawn = written(rasterised(segments(lines), ["line"]).withColumnRenamed("line", "eid"))
+    head, tail = angle_at(lines), angle_at(lines.withColumn("seq", -F.col("seq")))
+    turns = head.select(F.col("line").alias("eid"), F.col("angle").alias("start")).join(tail.select(F.col("line").alias("eid"), F.col("angle").alias("end")), "eid")
+    flipped = F.col("u") > F.col("v")  # directions from the lesser node and from the greater one
+    sized = edges.select("eid", "u", "v").join(drawn.groupBy("eid").agg(F.count(F.lit(1)).alias("size")), "eid", "left").join(turns, "eid", "left")
+    both = sized.select("eid", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), F.coalesce("size", F.lit(0)).alias("size"), F.when(flipped, F.col("end")).otherwise(F.col("start")).alias("at_a"), F.when(flipped, F.col("start")).otherwise(F.col("end")).alias("at_b"))
+    ranked = written(both.withColumn("place", F.row_number().over(Window.partitionBy("a", "b").orderBy("size", "eid"))))
+    last = ranked.agg(F.max("place")).first()[0] or 0
+    kept = written(ranked.where("place = 1").drop("place"))
+    for place in range(2, last + 1):
+        now = ranked.where(F.col("place") == place)
+        rival = kept.select("a", "b", F.col("eid").alias("other"), F.col("at_a").alias("o_a"), F.col("at_b").alias("o_b"))
+        met = now.join(rival, ["a", "b"])
+        like = met.where((turned(F.col("at_a"), F.col("o_a")) <= most_turn) & (turned(F.col("at_b"), F.col("o_b")) <= most_turn)).select("eid").distinct()
+        wide = met.join(like, "eid", "left_semi").select("eid", "other").join(drawn.withColumnRenamed("eid", "other"), "other")
+        around = F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
+        near = wide.select("eid", around.alias("p")).select("eid", "p.y", "p.x").distinct()
+        share = drawn.join(near, ["eid", "y", "x"], "left_semi").groupBy("eid").agg(F.count(F.lit(1)).alias("n"))
+        gone = now.join(share, "eid").where(F.col("n") >= overlap * F.col("size")).select("eid")
+        more = now.join(gone, "eid", "left_anti").drop("place")
+        kept = written(kept.union(more.select(*kept.columns)))
+    return kept.select("eid")
+
+
 def rasterised(segs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, y, x: pixels of segments (ax, ay, bx, by) by equal steps along the longer axis, rounded half up, each once."""
     steps = F.greatest(F.abs(F.expr("bx - ax")), F.abs(F.expr("`by` - ay"))).cast("int")
@@ -298,6 +342,25 @@ def rasterised(segs: DataFrame, keys: list[str]) -> DataFrame:
     return at.select(*keys, along("ay", "by").alias("y"), along("ax", "bx").alias("x")).distinct()
 
 
+def filled_polygons(vertices: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, y, x: the pixels of closed polygons (line, seq, px, py; whole numbers), edges included, each once.
+
+    Each edge meets the image rows from its upper end to before its lower one; a polygon's meetings
+    in a row, sorted, are the ends of its runs (even-odd).
+    """
+    order = Window.partitionBy(*keys, "line").orderBy("seq")
+    back = vertices.withColumn("_i", F.row_number().over(order)).where("_i = 1").drop("_i").withColumn("seq", F.lit(1 << 62).cast("long"))
+    sides = segments(vertices.select(*keys, "line", F.col("seq").cast("long").alias("seq"), "px", "py").union(back.select(*keys, "line", "seq", "px", "py")), keys)
+    rows = sides.where("ay <> `by`").withColumn("y", F.explode(F.sequence(F.least("ay", "by"), F.greatest("ay", "by") - 1)))
+    at = rows.select(*keys, "line", "y", (F.col("ax") + (F.col("y") - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))).alias("at"))
+    met = at.groupBy(*keys, "line", "y").agg(F.array_sort(F.collect_list("at")).alias("xs"))
+    ends = F.transform(F.sequence(F.lit(0), F.size("xs") - 2, F.lit(2)), lambda i: F.struct(F.ceil(F.get("xs", i)).alias("lo"), F.floor(F.get("xs", i + 1)).alias("hi")))
+    runs = met.select(*keys, "y", F.explode(ends).alias("r")).where("r.lo <= r.hi")
+    inside = runs.select(*keys, F.col("y").cast("long").alias("y"), F.explode(F.sequence("r.lo", "r.hi")).alias("x"))
+    points = vertices.select(*keys, F.col("py").cast("long").alias("y"), F.col("px").cast("long").alias("x"))
+    return inside.union(rasterised(sides, keys)).union(points).distinct()
+
+
 def skeleton_parts(mask: DataFrame, key: str = "uid") -> tuple[DataFrame, DataFrame]:
     """Nodes (key, y, x, degree) of a skeleton, its pixels without exactly two 8-neighbours, and edges
     (key, y, x, label), the 8-connected runs of the others; closed rings are edges without a node."""

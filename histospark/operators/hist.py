@@ -47,7 +47,7 @@ def multi_otsu(df: DataFrame, keys: list[str], value: str, low: int = 0, high: i
 
 def three_classes(df: DataFrame, thresholds: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Adds label: how many of the group's two thresholds lie below or at the value."""
-    return df.join(F.broadcast(thresholds), keys).withColumn("label", (F.col(value) > F.col("t1")).cast("long") + (F.col(value) > F.col("t2")).cast("long"))
+    return df.join(thresholds, keys).withColumn("label", (F.col(value) > F.col("t1")).cast("long") + (F.col(value) > F.col("t2")).cast("long"))
 
 
 def class_means(df: DataFrame, keys: list[str], label: str, value: str) -> DataFrame:
@@ -84,7 +84,7 @@ def background_estimate(df: DataFrame, keys: list[str], value: str, bins: int =
     higher than one (edges count), of at least ``least_peak`` of the highest. Groups of one value get it.
     """
     range_ = df.groupBy(*keys).agg(F.min(value).cast("double").alias("lo"), F.percentile(value, 0.99).alias("hi"), F.percentile(value, 0.5).alias("mid"))
-    binned = df.join(F.broadcast(range_), keys).where(F.col(value) <= F.col("hi")).where("hi > lo")
+    binned = df.join(range_, keys).where(F.col(value) <= F.col("hi")).where("hi > lo")
     binned = binned.groupBy(*keys, F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("lo")) * bins / (F.col("hi") - F.col("lo")))).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     every = range_.where("hi > lo").select(*keys, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     order = Window.partitionBy(*keys).orderBy("bin")
@@ -100,7 +100,7 @@ def equal_bins(df: DataFrame, keys: list[str], value: str, bins: int = 50) -> Da
     """keys, bin, n: counts in equal bins between each group's least and greatest value; the last bin is closed."""
     ends = df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     at = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))))).otherwise(0)
-    return df.join(F.broadcast(ends), keys).groupBy(*keys, at.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return df.join(ends, keys).groupBy(*keys, at.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def bounding_box(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -113,15 +113,17 @@ def signal_share(df: DataFrame, keys: list[str], value: Column, least: float) ->
     return df.groupBy(*keys).agg(F.avg((value > 0).cast("double")).alias("share")).withColumn("foreground", F.col("share") > least)
 
 
-def dark_share(df: DataFrame, keys: list[str], value: str, threshold: float, least: float) -> DataFrame:
-    """keys, dark_share, dark: the share of pixels below a threshold scaled to the group's value range.
+def dark_share(df: DataFrame, keys: list[str], value: str, threshold: float, least: float, image: list[str], foreground: str = "true") -> DataFrame:
+    """keys, dark_share, dark: the share of a region's pixels at or below a threshold scaled to the
+    image's value range. Regions outside the ``foreground`` (an expression) are never dark.
 
-    The 99.5th percentile tells the range: up to 1.5 the threshold is divided by 255, above 255 it is
-    scaled by percentile / 255.
+    The 99.5th percentile of the image's foreground tells the range: up to 1.5 the threshold is
+    divided by 255, above 255 it is scaled by percentile / 255; an image without foreground keeps it.
     """
-    p = percentiles(df, keys, value, [0.995]).withColumnRenamed("p99_5", "p")
+    p = percentiles(df.where(foreground), image, value, [0.995]).withColumnRenamed("p99_5", "p")
     t = F.when(F.col("p") <= 1.5, F.lit(threshold) / 255).when(F.col("p") > 255, F.lit(threshold) * F.col("p") / 255).otherwise(F.lit(threshold))
-    return df.join(F.broadcast(p), keys).groupBy(*keys).agg(F.avg((F.col(value) < t).cast("double")).alias("dark_share")).withColumn("dark", F.col("dark_share") >= least)
+    share = F.avg((F.col(value) <= t).cast("double")).alias("dark_share")
+    return df.withColumn("_front", F.expr(foreground)).join(p, image, "left").groupBy(*keys).agg(share, F.bool_and("_front").alias("_front")).withColumn("dark", (F.col("dark_share") >= least) & F.col("_front")).drop("_front")
 
 
 def lifted(df: DataFrame, filtered: str, raw: str) -> Column:

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or an own one where unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, an own
+    one if all run on one machine, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -39,18 +42,7 @@ def removed(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int = 100) -> DataFrame:
-    """Applies ``step``, whose result has a boolean column ``moved``, until no row moved."""
-    for _ in range(rounds):
-        new = written(step(state))
-        moving = new.where("moved").limit(1).count()
-        state = new.drop("moved")
-        if not moving:
-            break
-    return state
-
-
-def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) for the nodes of links(a, b) of longs.
 
     Each round, a node and the component it is in take the least component among its neighbours,
@@ -61,7 +53,7 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     spark = links.sparkSession
     edges = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "edges")
     state = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "components")
-    for _ in range(rounds):
+    while True:
         seen = edges.join(state, edges.b == state.node).groupBy("a").agg(F.min("component").alias("least"))
         hooks = seen.join(state, seen.a == state.node).select("node", "component", "least")
         told = hooks.select("node", "least").union(hooks.select("component", "least")).union(state.select("node", "component")).groupBy("node").agg(F.min("least").alias("parent"))

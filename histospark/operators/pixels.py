@@ -31,7 +31,7 @@ def unit_range(df: DataFrame, keys: list[str], value: str = "value", over: float
     p = percentiles(df, keys, value, [0.01, 0.99])
     v, lo, hi = F.col(value), F.col("p1"), F.col("p99")
     unit = F.when((hi > over) & (hi > lo), (v - lo) / (hi - lo)).otherwise(v)
-    return df.join(F.broadcast(p), keys).withColumn("unit", F.greatest(F.lit(0.0), F.least(F.lit(1.0), unit))).drop("p1", "p99")
+    return df.join(p, keys).withColumn("unit", F.greatest(F.lit(0.0), F.least(F.lit(1.0), unit))).drop("p1", "p99")
 
 
 def gray8(pixels: DataFrame, keys: list[str], bits: int = 8) -> DataFrame:
@@ -47,7 +47,7 @@ def minmax8(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Adds ``byte``: each image's range stretched to 0..255 and truncated; a constant image is 0."""
     ends = df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     byte = F.when(F.col("hi") <= F.col("lo"), 0).otherwise(F.floor((F.col(value) - F.col("lo")) * 255 / (F.col("hi") - F.col("lo"))))
-    return df.join(F.broadcast(ends), keys).withColumn("byte", byte.cast("long")).drop("lo", "hi")
+    return df.join(ends, keys).withColumn("byte", byte.cast("long")).drop("lo", "hi")
 
 
 def max_projection(pixels: DataFrame, keys: list[str], stretch: bool = False) -> DataFrame:
@@ -56,7 +56,7 @@ def max_projection(pixels: DataFrame, keys: list[str], stretch: bool = False) ->
         return pixels.groupBy(*keys, "y", "x").agg(F.max("value").alias("value"))
     ends = pixels.groupBy(*keys, "channel").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     unit = F.when(F.col("hi") > F.col("lo"), (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
-    return pixels.join(F.broadcast(ends), [*keys, "channel"]).groupBy(*keys, "y", "x").agg(F.max(unit).alias("value"))
+    return pixels.join(ends, [*keys, "channel"]).groupBy(*keys, "y", "x").agg(F.max(unit).alias("value"))
 
 
 def stretch99(df: DataFrame, keys: list[str], value: str = "value", low: bool = False) -> DataFrame:
@@ -68,7 +68,7 @@ def stretch99(df: DataFrame, keys: list[str], value: str = "value", low: bool =
         out = F.when(hi > lo, (v - lo) / (hi - lo)).otherwise(0.0)
     else:
         out = v / F.when(F.col("p99") > 0, F.col("p99")).when(F.col("mx") > 0, F.col("mx")).otherwise(1.0)
-    return df.join(F.broadcast(p), keys).withColumn("stretched", F.greatest(F.lit(0.0), F.least(F.lit(1.0), out))).drop("p1", "p99", "mn", "mx")
+    return df.join(p, keys).withColumn("stretched", F.greatest(F.lit(0.0), F.least(F.lit(1.0), out))).drop("p1", "p99", "mn", "mx")
 
 
 def tinted(stretched: Column, colour: Column) -> Column:
@@ -88,7 +88,7 @@ def masked(pixels: DataFrame, mask: DataFrame, keys: list[str]) -> DataFrame:
 
 def cropped(df: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
     """Rows inside each image's half-open box (y0, x0, y1, x1); images without a box go."""
-    return df.join(F.broadcast(boxes), keys).where("y >= y0 and y < y1 and x >= x0 and x < x1").drop("y0", "x0", "y1", "x1")
+    return df.join(boxes, keys).where("y >= y0 and y < y1 and x >= x0 and x < x1").drop("y0", "x0", "y1", "x1")
 
 
 def scaled_box(boxes: DataFrame, shapes: DataFrame, key: str = "uid") -> DataFrame:
@@ -108,7 +108,7 @@ def padded(df: DataFrame, pad: int) -> DataFrame:
 def common_crop(df: DataFrame, keys: list[str]) -> DataFrame:
     """Crops all images to the least height and width among them."""
     least = df.groupBy(*keys).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w")).agg(F.min("h").alias("h"), F.min("w").alias("w"))
-    return df.join(F.broadcast(least)).where("y < h and x < w").drop("h", "w")
+    return df.join(least).where("y < h and x < w").drop("h", "w")
 
 
 def suppressed(value: Column, background: float, strict: bool = False) -> Column:
@@ -119,13 +119,13 @@ def suppressed(value: Column, background: float, strict: bool = False) -> Column
 def normalised_nonzero(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Adds ``byte``: value over the 99th percentile of the values above 0 (255 where there is none), times 255, clipped and truncated."""
     p = df.groupBy(*keys).agg(F.coalesce(F.percentile(F.when(F.col(value) > 0, F.col(value)), 0.99), F.lit(255.0)).alias("p"))
-    return df.join(F.broadcast(p), keys).withColumn("byte", F.floor(F.least(F.lit(255.0), F.col(value) / F.col("p") * 255) + 1e-9).cast("long")).drop("p")
+    return df.join(p, keys).withColumn("byte", F.floor(F.least(F.lit(255.0), F.col(value) / F.col("p") * 255) + 1e-9).cast("long")).drop("p")
 
 
 def without_background(pixels: DataFrame, background: DataFrame, keys: list[str], top: int = 255) -> DataFrame:
     """value less its channel's background, not below 0, clipped and truncated."""
     rest = F.floor(F.least(F.lit(float(top)), F.greatest(F.col("value") - F.col("background"), F.lit(0.0)))).cast("long")
-    return pixels.join(F.broadcast(background), keys).withColumn("value", rest).drop("background")
+    return pixels.join(background, keys).withColumn("value", rest).drop("background")
 
 
 def kept_channels(pixels: DataFrame, least: float, blank: int = 255) -> DataFrame:
@@ -147,3 +147,29 @@ def mapped_points(df: DataFrame, scale: float, dy: float, dx: float, pad: int =
     """Points of a padded region in coordinates of the base image, truncated to integers."""
     to = lambda c, d: ((F.col(c) - pad) * scale + d).cast("int").cast("long")
     return df.withColumns({"y": to("y", dy), "x": to("x", dx)})
+
+
+def first_three(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, y, x, r, g, b: the first three channels; of two, their maximum is the third; one stands for all three."""
+    rows = pixels.where(F.col("channel").between(0, 2)).groupBy(*keys, "y", "x").agg(*[F.max(F.when(F.col("channel") == c, F.col("value"))).alias(n) for c, n in enumerate("rgb")])
+    return rows.select(*keys, "y", "x", "r", F.coalesce("g", "r").alias("g"), F.coalesce("b", F.greatest("r", "g")).alias("b"))
+
+
+def native_rgb(rgb: DataFrame, keys: list[str], kind: str) -> DataFrame:
+    """r, g and b as bytes without a stretch by channel: uint8 stands, uint16 is divided by 257, and other
+    values by the image's greatest (by 1 where that isn't positive); results are cut off."""
+    if kind == "uint8":
+        return rgb
+    clip = lambda v: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), v))).cast("long")
+    if kind == "uint16":
+        return rgb.withColumns({c: clip(F.col(c) / 257) for c in "rgb"})
+    greatest = rgb.groupBy(*keys).agg(F.max(F.greatest("r", "g", "b")).alias("_top"))
+    top = F.when(F.col("_top") > 0, F.col("_top")).otherwise(1)
+    return rgb.join(greatest, keys).withColumns({c: clip(F.col(c) / top * 255) for c in "rgb"}).drop("_top")
+
+
+def mask_bytes(mask: DataFrame, keys: list[str], value: str = "value", on: int = 255) -> DataFrame:
+    """Adds ``byte``: values of an image that has none above 1 times ``on``; other images stand."""
+    top = mask.groupBy(*keys).agg(F.max(F.col(value).cast("long")).alias("_top"))
+    v = F.col(value).cast("long")
+    return mask.join(top, keys).withColumn("byte", F.when(F.col("_top") <= 1, v * on).otherwise(v)).drop("_top")

@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 from histospark.operators.hist import otsu
 from histospark.operators.pixels import luma
 
-#: White level, reference basis and reference concentrations of the H&E normaliser.
+#: White level, reference basis and reference concentrations of the H&E normaliser.
 WHITE = 240
 REFERENCE = ((0.5626, 0.2159), (0.7201, 0.8012), (0.4062, 0.5581))
 REFERENCE_MAX = (1.9705, 1.0308)
 #: Stain vectors (red, green, blue) of the brightfield profiles, and their stains' names.
 PROFILES = {
-    "HE": {"Hematoxylin": (0.65, 0.70, 0.29), "Eosin": (0.07, 0.99, 0.11)},
-    "HDAB": {"Hematoxylin": (0.65, 0.70, 0.29), "DAB": (0.27, 0.57, 0.78)},
-    "HED": {"Hematoxylin": (0.65, 0.70, 0.29), "Eosin": (0.07, 0.99, 0.11), "DAB": (0.27, 0.57, 0.78)},
+    "HE": {"Hematoxylin": (0.650, 0.704, 0.286), "Eosin": (0.072, 0.990, 0.105)},
+    "HDAB": {"Hematoxylin": (0.650, 0.704, 0.286), "DAB": (0.268, 0.570, 0.776)},
+    "HED": {"Hematoxylin": (0.650, 0.704, 0.286), "Eosin": (0.072, 0.990, 0.105), "DAB": (0.268, 0.570, 0.776)},
 }
 
 
@@ -41,7 +41,7 @@ def od_covariance(df: DataFrame, keys: list[str]) -> DataFrame:
 def tissue_sample(df: DataFrame, keys: list[str], width: int, every: int = 10) -> DataFrame:
     """Pixels darker than the Otsu threshold of their luma, one in ``every`` of the image's places."""
     gray = df.withColumn("gray", luma(F.col("c0"), F.col("c1"), F.col("c2")))
-    return gray.join(F.broadcast(otsu(gray, keys, "gray")), keys).where(F.col("gray") < F.col("threshold")).where(F.pmod(F.col("y") * width + F.col("x"), F.lit(every)) == 0).drop("gray", "threshold")
+    return gray.join(otsu(gray, keys, "gray"), keys).where(F.col("gray") < F.col("threshold")).where(F.pmod(F.col("y") * width + F.col("x"), F.lit(every)) == 0).drop("gray", "threshold")
 
 
 def stain_basis(sample: DataFrame, keys: list[str], alpha: float = 1.0) -> DataFrame:
@@ -64,7 +64,7 @@ def stain_basis(sample: DataFrame, keys: list[str], alpha: float = 1.0) -> DataF
     fields = ", ".join(f"{k} {sample.schema[k].dataType.simpleString()}" for k in keys)
     planes = od_covariance(sample, keys).mapInPandas(lambda it: map(plane, it), f"{fields}, a0 double, a1 double, a2 double, b0 double, b1 double, b2 double")
     od = [optical_density(F.col(f"c{k}")) for k in range(3)]
-    on = sample.join(F.broadcast(planes), keys)
+    on = sample.join(planes, keys)
     p, q = (sum(od[k] * F.col(f"{v}{k}") for k in range(3)) for v in "ab")
     angles = on.groupBy(*keys, "a0", "a1", "a2", "b0", "b1", "b2").agg(F.percentile(F.atan2(q, p), F.array(F.lit(alpha / 100), F.lit(1 - alpha / 100))).alias("t"))
     for n, i in (("u", 0), ("w", 1)):
@@ -76,7 +76,7 @@ def stain_basis(sample: DataFrame, keys: list[str], alpha: float = 1.0) -> DataF
 
 def concentrations(df: DataFrame, basis: DataFrame, keys: list[str]) -> DataFrame:
     """Adds conc0 and conc1: the least-squares fit of each pixel's densities to its image's two vectors, in closed form."""
-    on = df.join(F.broadcast(basis), keys)
+    on = df.join(basis, keys)
     h, e = ([F.col(f"{v}{k}") for k in range(3)] for v in "he")
     dot = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
     od = [optical_density(F.col(f"c{k}")) for k in range(3)]
@@ -101,14 +101,14 @@ def rebuilt(white: float = WHITE) -> list[Column]:
 def normalised_stain(df: DataFrame, basis: DataFrame, keys: list[str]) -> DataFrame:
     """keys, y, x, c0, c1, c2: concentrations scaled to the reference maxima and rebuilt with the reference basis."""
     c = concentrations(df, basis, keys)
-    scaled = c.join(F.broadcast(max_concentrations(c, keys)), keys).withColumns({f"n{k}": F.col(f"conc{k}") / (F.col(f"max{k}") / REFERENCE_MAX[k]) for k in range(2)})
+    scaled = c.join(max_concentrations(c, keys), keys).withColumns({f"n{k}": F.col(f"conc{k}") / (F.col(f"max{k}") / REFERENCE_MAX[k]) for k in range(2)})
     return scaled.select(*keys, "y", "x", *rebuilt())
 
 
 def separated_stains(df: DataFrame, basis: DataFrame, keys: list[str], white: float = WHITE) -> DataFrame:
     """keys, y, x, h, e: gray planes of the two stains, concentrations divided by their 99th percentiles."""
     c = concentrations(df, basis, keys)
-    scaled = c.join(F.broadcast(max_concentrations(c, keys)), keys)
+    scaled = c.join(max_concentrations(c, keys), keys)
     return scaled.select(*keys, "y", "x", *[as_byte(white * F.exp(-(F.col(f"conc{k}") / F.col(f"max{k}")))).alias(n) for k, n in enumerate("he")])
 
 
@@ -146,7 +146,7 @@ def separated_channels(pixels: DataFrame, keys: list[str]) -> DataFrame:
     from histospark.operators.pixels import without_background
 
     top = pixels.groupBy(*keys).agg(F.max("level").alias("level"))
-    small = pixels.join(F.broadcast(top), [*keys, "level"])
+    small = pixels.join(top, [*keys, "level"])
     return without_background(pixels, background_estimate(small, [*keys, "channel"], "value"), [*keys, "channel"])
 
 

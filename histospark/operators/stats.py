@@ -43,7 +43,7 @@ def bin_table(spark, bins: int) -> DataFrame:
 def long_form(statistics: DataFrame, bins: int = 10, keys: tuple[str, ...] = ()) -> DataFrame:
     """One row per stain, bin and statistic with the bin's left and right edge and centre."""
     long = statistics.unpivot([*keys, "stain", "bin"], list(STATISTICS), "statistic", "value")
-    return long.join(F.broadcast(bin_table(statistics.sparkSession, bins)), "bin", "left")
+    return long.join(bin_table(statistics.sparkSession, bins), "bin", "left")
 
 
 def portality_statistics(pixels: DataFrame, stains: list[str], bins: int = 10) -> DataFrame:
@@ -59,7 +59,7 @@ def box_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, q1, median, q3, whisker_low, whisker_high, fliers: whiskers end at the last values within 1.5 interquartile ranges."""
     q = df.where(finite(F.col(value).cast("double"))).groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     q = q.select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    near = df.where(finite(F.col(value).cast("double"))).join(F.broadcast(q), keys)
+    near = df.where(finite(F.col(value).cast("double"))).join(q, keys)
     spread = F.col("q3") - F.col("q1")
     inside = F.col(value).between(F.col("q1") - spread * 1.5, F.col("q3") + spread * 1.5)
     return near.groupBy(*keys, "q1", "median", "q3").agg(F.min(F.when(inside, F.col(value))).alias("whisker_low"), F.max(F.when(inside, F.col(value))).alias("whisker_high"), F.count(F.when(~inside, 1)).alias("fliers"))
@@ -74,11 +74,11 @@ def violin_density(df: DataFrame, keys: list[str], value: str, points: int = 100
     counted = df.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     weighted = lambda e: F.sum(F.col("n") * e)
     shape = counted.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"), (weighted(F.col("v")) / F.sum("n")).alias("mu"))
-    spread = counted.join(F.broadcast(shape), keys).groupBy(*keys, "lo", "hi", "total").agg((F.sum(F.col("n") * F.pow(F.col("v") - F.col("mu"), F.lit(2))) / (F.first("total") - 1)).alias("var"))
+    spread = counted.join(shape, keys).groupBy(*keys, "lo", "hi", "total").agg((F.sum(F.col("n") * F.pow(F.col("v") - F.col("mu"), F.lit(2))) / (F.first("total") - 1)).alias("var"))
     width = F.sqrt("var") * F.pow(F.col("total").cast("double"), F.lit(-0.2))
     grid = spread.where("hi > lo").select(*keys, "total", width.alias("h"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / (points - 1))).alias("point", "at"))
     kernel = F.exp(-0.5 * F.pow((F.col("at") - F.col("v")) / F.col("h"), F.lit(2))) * F.col("n")
-    return counted.join(F.broadcast(grid), keys).groupBy(*keys, "point", "at").agg((F.sum(kernel) / (F.first("total") * F.first("h") * sqrt(2 * 3.141592653589793))).alias("density"))
+    return counted.join(grid, keys).groupBy(*keys, "point", "at").agg((F.sum(kernel) / (F.first("total") * F.first("h") * sqrt(2 * 3.141592653589793))).alias("density"))
 
 
 def registration_error(attempts: DataFrame, families: list[str], key: str = "attempt") -> DataFrame:

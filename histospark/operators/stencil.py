@@ -124,6 +124,25 @@ def ring(mask: DataFrame, keys: list[str], radius: int) -> DataFrame:
     return dilated(mask, keys, radius).join(eroded(mask, keys, radius), [*keys, "y", "x"], "left_anti")
 
 
+def border_rings(regions: DataFrame, background: DataFrame, keys: list[str], radius: int, least: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """Holes and rings (keys, label, y, x) made inside regions (keys, label, y, x) that the background cuts open.
+
+    Of a region, at least ``least`` of its pixels must lie in the background (keys, y, x) grown by the
+    radius. It is shrunk once, and once more for the hole; the ring is what lies between. Regions
+    whose hole or ring is empty have neither.
+    """
+    own = [*keys, "label"]
+    grown = dilated(background, keys, radius).select(*keys, "y", "x", F.lit(1.0).alias("met"))
+    share = regions.join(grown, [*keys, "y", "x"], "left").groupBy(*own).agg(F.avg(F.coalesce("met", F.lit(0.0))).alias("share"))
+    open_ = regions.join(share.where(F.col("share") >= least), own, "left_semi").select(*own, "y", "x")
+    within = eroded(open_, own, radius)
+    hole = eroded(within, own, radius)
+    rim = within.join(hole, [*own, "y", "x"], "left_anti")
+    names = rim.select(*own).distinct()
+    hole = hole.join(names, own, "left_semi")
+    return hole, rim.join(hole.select(*own).distinct(), own, "left_semi")
+
+
 def boundary(labels: DataFrame, keys: list[str]) -> DataFrame:
     """Labelled pixels (keys, y, x, label) with an 8-neighbour of another label or none: fewer than 8 like neighbours."""
     near = neighbours(labels, RING).groupBy(*keys, "y", "x", "label").agg(F.count(F.lit(1)).alias("like"))
@@ -142,7 +161,7 @@ def label_borders(labels: DataFrame, keys: list[str]) -> DataFrame:
     return labels.join(near, [*keys, "y", "x"]).where("label <> other").select(*keys, "y", "x", "label").distinct()
 
 
-def thinned(mask: DataFrame, keys: list[str], per_round: int = 8, tile: int = 256, rounds: int = 200) -> DataFrame:
+def thinned(mask: DataFrame, keys: list[str], per_round: int = 8, tile: int = 256) -> DataFrame:
     """The Zhang-Suen skeleton. A round runs ``per_round`` pairs of sub-iterations on each tile, whose
     halo of twice as many pixels keeps the inner tile exact, and rounds go on until no pixel goes."""
     from histospark.operators.iterate import written
@@ -162,20 +181,23 @@ def thinned(mask: DataFrame, keys: list[str], per_round: int = 8, tile: int = 25
 
     state = written(mask.select(*keys, "y", "x"))
     left = state.count()
-    for _ in range(rounds):
+    while True:
         state = written(stencil(state.withColumn("value", F.lit(1.0)), keys, radius, step, max(tile, radius)).drop("value"))
         now = state.count()
         if now == left:
-            break
+            return state
         left = now
-    return state
 
 
-def equalised(df: DataFrame, keys: list[str], cell: int = 16, clip: float = 2.0, value: str = "value", levels: int = 256) -> DataFrame:
-    """CLAHE: adds ``byte``. Each cell's histogram is clipped and what is cut off spread evenly, its
-    cumulative form maps values, and a pixel blends the maps of the four nearest cells bilinearly."""
+def equalised(df: DataFrame, keys: list[str], grid: int = 16, clip: float = 2.0, value: str = "value", levels: int = 256) -> DataFrame:
+    """CLAHE: adds ``byte``. Each image is cut into ``grid`` by ``grid`` cells (the last ones may be
+    smaller or absent). A cell's histogram is clipped and what is cut off spread evenly, its cumulative
+    form maps values, and a pixel blends the maps of the four nearest cells bilinearly."""
     v = F.col(value).cast("int")
-    here = df.withColumns({"cy": F.expr(f"cast(y div {cell} as long)"), "cx": F.expr(f"cast(x div {cell} as long)")})
+    cell = lambda c: F.ceil((F.max(c) + 1) / grid).cast("long")
+    sizes = df.groupBy(*keys).agg(cell("y").alias("sy"), cell("x").alias("sx"))
+    sized = df.join(sizes, keys)
+    here = sized.withColumns({"cy": F.expr("cast(y div sy as long)"), "cx": F.expr("cast(x div sx as long)")})
     cells = here.groupBy(*keys, "cy", "cx").agg(F.count(F.lit(1)).alias("total"))
     counts = here.groupBy(*keys, "cy", "cx", v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
     limit = F.greatest(F.lit(1.0), F.col("total") * clip / levels)
@@ -185,7 +207,7 @@ def equalised(df: DataFrame, keys: list[str], cell: int = 16, clip: float = 2.0,
     run = whole.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     maps = cut.withColumn("to", F.sum(F.col("kept") + F.col("spare")).over(run) / F.col("total") * (levels - 1)).select(*keys, "cy", "cx", "v", "to")
     ends = cells.groupBy(*keys).agg(F.max("cy").alias("my"), F.max("cx").alias("mx"))
-    at = df.join(F.broadcast(ends), keys).withColumns({"fy": (F.col("y") + 0.5) / cell - 0.5, "fx": (F.col("x") + 0.5) / cell - 0.5})
+    at = sized.join(ends, keys).withColumns({"fy": F.col("y") / F.col("sy") - 0.5, "fx": F.col("x") / F.col("sx") - 0.5})
     corners = []
     for dy in (0, 1):
         for dx in (0, 1):

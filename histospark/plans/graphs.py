@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from histospark.operators import graph
 from histospark.operators.gridjoin import cells_of_box
 from histospark.plans.registry import query
-from histospark.plans.regions import HOLES, OFF, WHOLE, label_sql, whole_mask
+from histospark.plans.regions import HOLES, OFF, label_sql
 from histospark.plans.statistics import rounded
 from histospark.sources import tables as t
 from histospark.sources.tables import DENSE_GRAPH, MASK_SQL, POLYLINES, RASTER, SPARSE_GRAPH, sql
 
-#: A sample of the lines keeps the all-pairs SQL affordable; it is part of the view, for both engines.
 SEGS = """segs as (select line, seq, px as ax, py as ay, bx, by_ as "by" from (select *, lead(px) over (partition by line order by seq) as bx, lead(py) over (partition by line order by seq) as by_ from lines) where bx is not null and (px <> bx or py <> by_))"""
 
 
@@ -43,13 +42,15 @@ def line_segments(spark, sf_dir):
 CROSSING = """select a.line, a.seq, b.line as line2, b.seq as seq2, a.ax, a.ay, a.bx, a."by", b.ax as qax, b.ay as qay, b.bx as qbx, b."by" as qby,
   (a.bx - a.ax) * (b.ay - a.ay) - (a."by" - a.ay) * (b.ax - a.ax) as d1, (a.bx - a.ax) * (b."by" - a.ay) - (a."by" - a.ay) * (b.bx - a.ax) as d2,
   (b.bx - b.ax) * (a.ay - b.ay) - (b."by" - b.ay) * (a.ax - b.ax) as d3, (b.bx - b.ax) * (a."by" - b.ay) - (b."by" - b.ay) * (a.bx - b.ax) as d4
-  from segs a join segs b on a.line < b.line where a.line % 10 = 0 and b.line % 10 = 0"""
+  from far a join far b on a.line < b.line and a.line // 2 = b.line // 2"""
+FAR = "far as (select line, seq, ax + line // 2 * 100 as ax, ay, bx + line // 2 * 100 as bx, \"by\" from segs)"
 
 
-@query(sql(f"select line, seq, line2, seq2, round(ax + d3 / cast(d3 - d4 as double) * (bx - ax), 6) as x, round(ay + d3 / cast(d3 - d4 as double) * (\"by\" - ay), 6) as y from ({CROSSING}) where sign(d1) * sign(d2) < 0 and sign(d3) * sign(d4) < 0", POLYLINES, SEGS))
+@query(sql(f"select line, seq, line2, seq2, round(ax + d3 / cast(d3 - d4 as double) * (bx - ax), 6) as x, round(ay + d3 / cast(d3 - d4 as double) * (\"by\" - ay), 6) as y from ({CROSSING}) where sign(d1) * sign(d2) < 0 and sign(d3) * sign(d4) < 0", POLYLINES, SEGS, FAR))
 def seg_intersections(spark, sf_dir):
-    """Lines of users divisible by ten."""
-    segs = graph.segments(t.polylines(spark, sf_dir)).where("line % 10 = 0")
+    """Two users' lines share a field of view, a hundred pixels from the next."""
+    lines = t.polylines(spark, sf_dir).withColumn("px", F.col("px") + F.expr("line div 2") * 100)
+    segs = graph.segments(lines)
     return rounded(graph.intersections(segs), "x", "y")
 
 
@@ -65,13 +66,13 @@ def t_junctions(spark, sf_dir):
     return rounded(graph.t_junctions(lines, graph.segments(lines), 2.0), "t", digits=9)
 
 
-POINTS = "points as (select event_id as id, (event_id * 37) % 1009 / 3.0::double as x, (event_id * 91) % 997 / 3.0::double as y from events where event_id % 4 = 0)"
+POINTS = "points as (select event_id as id, (event_id * 37) % 1009 / 3.0::double + event_id // 4000 * 400 as x, (event_id * 91) % 997 / 3.0::double as y from events)"
 
 
 def points(spark, sf_dir):
-    """A quarter of the events as points; the quarter is part of the view, for both engines."""
-    e = t.table(spark, sf_dir, "events").where("event_id % 4 = 0")
-    return e.select(F.col("event_id").alias("id"), ((F.col("event_id") * 37) % 1009 / F.lit(3.0)).alias("x"), ((F.col("event_id") * 91) % 997 / F.lit(3.0)).alias("y"))
+    """The events as points, in fields of four thousand."""
+    e = t.table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("id"), ((F.col("event_id") * 37) % 1009 / F.lit(3.0) + F.expr("event_id div 4000") * 400).alias("x"), ((F.col("event_id") * 91) % 997 / F.lit(3.0)).alias("y"))
 
 
 NEARBY = "nearby as (select a.id as a, b.id as b from points a join points b on a.id <> b.id and b.x between a.x - 2.5 and a.x + 2.5 and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 6.25)"
@@ -126,9 +127,15 @@ def edge_angles(spark, sf_dir):
     return rounded(graph.angle_at(t.polylines(spark, sf_dir)), "angle")
 
 
-@query()
+ARMS = """around as (select node, angle, row_number() over (partition by node order by angle) as i from (
+  select line % 10 as node, (degrees(atan2(cast(last(py order by seq) - first(py order by seq) as double), cast(last(px order by seq) - first(px order by seq) as double))) + 360) % 360 as angle from (select * from lines where seq <= 4) group by line)),
+fold(node, i, n, base) as (select node, i, 1, angle from around where i = 1 union all
+  select f.node, a.i, f.n + cast(least(abs(a.angle - f.base), 360 - abs(a.angle - f.base)) > 3 as int), case when least(abs(a.angle - f.base), 360 - abs(a.angle - f.base)) > 3 then a.angle else f.base end from fold f join around a on a.node = f.node and a.i = f.i + 1)"""
+
+
+@query(sql("select node, max(n) as arms from fold group by node", POLYLINES, ARMS))
 def node_arms(spark, sf_dir):
-    return graph.arms(graph.angle_at(t.polylines(spark, sf_dir)).withColumn("node", F.col("line") % 10), "node")
+    return graph.arms(graph.angle_at(t.polylines(spark, sf_dir)).withColumn("node", F.col("line") % 10), "node", 3.0)
 
 
 LOOPS = "loops as (select (u // 50) as loop, u, v from weighted where u // 50 = v // 50), deg as (select node, count(*) as degree from (select u as node from weighted union all select v from weighted) group by node)"
@@ -150,15 +157,21 @@ def rule_c(spark, sf_dir):
     return graph.weak_connectors(t.sparse_graph(spark, sf_dir).withColumn("dead", (F.col("u") * 7 + F.col("v") * 13) % 3 != 0))
 
 
-@query(sql("select eid, u, v, length from (select *, row_number() over (partition by least(u, v), greatest(u, v) order by length, eid) as r from multi) where r > 1", "multi as (select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as eid, l_orderkey % 50 as u, l_partkey % 50 as v, cast(l_quantity as bigint) as length from lineitem where l_returnflag = 'A')"))
+@query(sql("select eid, u, v, length from (select *, row_number() over (partition by least(u, v), greatest(u, v) order by length, eid) as r from multi) where r > 1", "multi as (select l_orderkey * 8 + l_linenumber as eid, l_orderkey % 50 as u, l_partkey % 50 as v, cast(l_quantity as bigint) as length from lineitem)"))
 def parallel_edges(spark, sf_dir):
-    from pyspark.sql import Window
-
-    order = Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    e = t.table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select(F.row_number().over(order).cast("long").alias("eid"), (F.col("l_orderkey") % 50).alias("u"), (F.col("l_partkey") % 50).alias("v"), F.col("l_quantity").cast("long").alias("length"))
+    e = t.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("eid"), (F.col("l_orderkey") % 50).alias("u"), (F.col("l_partkey") % 50).alias("v"), F.col("l_quantity").cast("long").alias("length"))
     return graph.parallel_edges(e)
 
 
+@query()
+def drop_parallel(spark, sf_dir):
+    """Edges drawn as two steps of a user's line; every second is the one before moved by one pixel, and joins the same nodes."""
+    step = t.polylines(spark, sf_dir).where("seq <= 3")
+    moved = step.select((F.col("line") * 2).alias("line"), "seq", "px", "py").union(step.select((F.col("line") * 2 + 1).alias("line"), "seq", F.col("px") + F.col("line") % 2, "py"))
+    edges = moved.groupBy(F.col("line").alias("eid")).agg(F.expr("min(line div 2)").alias("u")).select("eid", (F.col("u") * 2).alias("u"), (F.col("u") * 2 + 1).alias("v"))
+    return graph.without_parallel(edges, moved).select("eid")
+
+
 @query(sql("select p.id, cast(count(c.id) as bigint) as near from points p join points c on c.id <> p.id and abs(p.x - c.x) <= 3 and abs(p.y - c.y) <= 3 group by p.id", POINTS))
 def points_in_reach(spark, sf_dir):
     from histospark.operators.gridjoin import grid_join
@@ -189,20 +202,20 @@ def skeleton_edges(spark, sf_dir):
     return graph.skeleton_parts(t.mask(spark, sf_dir))[1].groupBy("uid", "label").agg(F.count(F.lit(1)).alias("length"))
 
 
-@query(sql("select h.uid, h.label, cast(count(*) as bigint) as area, count(*) < 5 or count(*) filter (c0 >= 252) = 0 as marked from holes h join raster r on r.uid = h.uid and r.y = h.y and r.x = h.x group by h.uid, h.label", RASTER, WHOLE, OFF, label_sql("offl", "off"), HOLES))
+@query(sql("select h.uid, h.label, cast(count(*) as bigint) as area, count(*) < 5 or count(*) filter (c0 >= 252) = 0 as marked from holes h join raster r on r.uid = h.uid and r.y = h.y and r.x = h.x group by h.uid, h.label", RASTER, MASK_SQL, OFF, HOLES))
 def face_classes(spark, sf_dir):
     from histospark.operators.components import holes
 
-    return graph.face_classes(holes(whole_mask(spark, sf_dir), 50, 60), t.raster(spark, sf_dir).where("c0 >= 252"), 5)
+    return graph.face_classes(holes(t.mask(spark, sf_dir), 50, 60), t.raster(spark, sf_dir).where("c0 >= 252"), 5)
 
 
-EDGE_PX = "epx as (select uid, y, x, y // 10 as edge from mask where x % 7 = 0), fpx as (select uid, y, x, c1 // 64 as face from raster where c1 >= 64)"
+EDGE_PX = "epx as (select uid, y, x, y // 10 as edge from mask), fpx as (select uid, y, x, c1 // 64 as face from raster where c1 >= 64)"
 
 
 @query(sql("""select n.uid, n.edge, n.face, round(n.n / cast(l.length as double), 9) as share from (select uid, edge, face, count(*) as n from (select distinct e.uid, e.edge, f.face, e.y, e.x from epx e join fpx f on f.uid = e.uid and f.y between e.y - 1 and e.y + 1 and f.x between e.x - 1 and e.x + 1) group by all) n
   join (select uid, edge, count(*) as length from epx group by all) l on l.uid = n.uid and l.edge = n.edge where n.n >= 0.6 * l.length""", RASTER, MASK_SQL, EDGE_PX))
 def edge_faces(spark, sf_dir):
-    edges = t.mask(spark, sf_dir).where("x % 7 = 0").withColumn("edge", F.expr("y div 10"))
+    edges = t.mask(spark, sf_dir).withColumn("edge", F.expr("y div 10"))
     faces = t.raster(spark, sf_dir).where("c1 >= 64").select("uid", "y", "x", F.expr("c1 div 64").alias("face"))
     return rounded(graph.edge_faces(edges, faces), "share", digits=9)
 
@@ -213,3 +226,12 @@ def rule_b(spark, sf_dir):
     e = t.sparse_graph(spark, sf_dir)
     loop = e.withColumn("loop", F.expr("u div 30")).where("u div 30 = v div 30")
     return graph.weakly_attached_groups(loop, e, 3)
+
+
+@query(sql("""select n, y, x from (select n, x0, y0, w, h, unnest(range(y0, y0 + h + 1)) as y from boxes) b, lateral (select unnest(range(x0, x0 + w + 1)) as x) p where h > 0 or w > 0""", "boxes as (select event_id as n, event_id % 50 as x0, event_id % 37 as y0, event_id % 5 + 1 as w, event_id % 4 + 1 as h from events)"))
+def fill_polygons(spark, sf_dir):
+    """A rectangle for each event; other polygons are tested against brute force."""
+    e = t.table(spark, sf_dir, "events").select(F.col("event_id").alias("line"), (F.col("event_id") % 50).alias("x0"), (F.col("event_id") % 37).alias("y0"), (F.col("event_id") % 5 + 1).alias("w"), (F.col("event_id") % 4 + 1).alias("h"))
+    corners = F.array(*[F.struct(px.alias("px"), py.alias("py")) for px, py in ((F.col("x0"), F.col("y0")), (F.col("x0") + F.col("w"), F.col("y0")), (F.col("x0") + F.col("w"), F.col("y0") + F.col("h")), (F.col("x0"), F.col("y0") + F.col("h")))])
+    v = e.select("line", F.posexplode(corners).alias("seq", "c")).select(F.col("line").alias("n"), "line", "seq", "c.px", "c.py")
+    return graph.filled_polygons(v, ["n"])

@@ -89,22 +89,32 @@ def separate_stains(spark, sf_dir):
     return stain.separated_stains(r, stain.stain_basis(stain.tissue_sample(r, ["uid"], 60), ["uid"]), ["uid"])
 
 
-def deconvolution_sql(profile: str) -> str:
-    m, inverse = stain.deconvolution_matrix(stain.PROFILES[profile])
+#: The stain vectors, written out again for the SQL, which scales and inverts them itself (by cofactors).
+STAINS_SQL = "(values ('Hematoxylin', 0.650::double, 0.704::double, 0.286::double), ('Eosin', 0.072, 0.990, 0.105), ('DAB', 0.268, 0.570, 0.776)) as v(stain, r, g, b)"
+
+
+def deconvolution_sql(names: tuple[str, ...]) -> str:
+    """Each stain alone; where two are given, the third vector is their cross product."""
+    unit = f"unit as (select stain, r / sqrt(r * r + g * g + b * b) as r, g / sqrt(r * r + g * g + b * b) as g, b / sqrt(r * r + g * g + b * b) as b from {STAINS_SQL} where stain in {names})"
+    a, b = (f"select * from unit where stain = '{n}'" for n in names[:2])
+    crossed = f"select 'rest' as stain, p.g * q.b - p.b * q.g as r, p.b * q.r - p.r * q.b as g, p.r * q.g - p.g * q.r as b from ({a}) p, ({b}) q"
+    third = f"select * from unit where stain = '{names[2]}'" if len(names) > 2 else f"select stain, r / sqrt(r * r + g * g + b * b) as r, g / sqrt(r * r + g * g + b * b) as g, b / sqrt(r * r + g * g + b * b) as b from ({crossed})"
+    flat = f"flat as (select a.r as a0, a.g as a1, a.b as a2, b.r as b0, b.g as b1, b.b as b2, c.r as c0, c.g as c1, c.b as c2 from ({a}) a, ({b}) b, ({third}) c)"
+    whole = "whole as (select *, a0 * (b1 * c2 - b2 * c1) - b0 * (a1 * c2 - a2 * c1) + c0 * (a1 * b2 - a2 * b1) as det from flat)"
+    d = {"a": "(p0 * (b1 * c2 - b2 * c1) + p1 * (b2 * c0 - b0 * c2) + p2 * (b0 * c1 - b1 * c0)) / det", "b": "(p0 * (a2 * c1 - a1 * c2) + p1 * (a0 * c2 - a2 * c0) + p2 * (a1 * c0 - a0 * c1)) / det", "c": "(p0 * (a1 * b2 - a2 * b1) + p1 * (a2 * b0 - a0 * b2) + p2 * (a0 * b1 - a1 * b0)) / det"}
     out = []
-    for j, name in enumerate(stain.PROFILES[profile]):
-        d = "(" + " + ".join(f"p{k} * {float(inverse[j, k])!r}::double" for k in range(3)) + ")"
-        planes = ", ".join(f"cast(floor(255 * greatest(0.0, least(1.0, exp(-{d} * {float(m[c, j])!r}::double * 2.302585092994046::double))) + 1e-9) as bigint) as {n}" for c, n in enumerate("rgb"))
-        out.append(f"select uid, y, x, '{name}' as stain, {planes} from dens")
-    return sql(" union all ".join(out), RASTER, "dens as (select uid, y, x, " + ", ".join(f"-log10(greatest(c{k} / 255.0::double, 1e-8)) as p{k}" for k in range(3)) + " from raster)")
+    for n, v in zip(names, "abc", strict=False):
+        planes = ", ".join(f"cast(floor(255 * greatest(0.0, least(1.0, pow(10, -({d[v]}) * {v}{k}))) + 1e-9) as bigint) as {c}" for k, c in enumerate("rgb"))
+        out.append(f"select uid, y, x, '{n}' as stain, {planes} from dens, whole")
+    return sql(" union all ".join(out), RASTER, unit, flat, whole, "dens as (select uid, y, x, " + ", ".join(f"-log10(greatest(c{k} / 255.0::double, 1e-8)) as p{k}" for k in range(3)) + " from raster)")
 
 
-@query(deconvolution_sql("HED"))
+@query(deconvolution_sql(("Hematoxylin", "Eosin", "DAB")))
 def deconvolve_hed(spark, sf_dir):
     return stain.deconvolved(t.raster(spark, sf_dir), ["uid"], stain.PROFILES["HED"])
 
 
-@query(deconvolution_sql("HE"))
+@query(deconvolution_sql(("Hematoxylin", "Eosin")))
 def deconvolve_he(spark, sf_dir):
     return stain.deconvolved(t.raster(spark, sf_dir), ["uid"], stain.PROFILES["HE"])
 
@@ -191,13 +201,15 @@ def thin(spark, sf_dir):
     return stencil.thinned(t.mask(spark, sf_dir), ["uid"], tile=32)
 
 
-CLAHE = """cc as (select uid, y // 16 as cy, x // 16 as cx, count(*) as total from raster group by all),
-ch as (select uid, y // 16 as cy, x // 16 as cx, c0 as v, count(*) as n from raster group by all),
+CLAHE = """cs as (select uid, (max(y) + 16) // 16 as sy, (max(x) + 16) // 16 as sx from raster group by uid),
+cz as (select r.*, sy, sx, y // sy as cy, x // sx as cx from raster r join cs using (uid)),
+cc as (select uid, cy, cx, count(*) as total from cz group by all),
+ch as (select uid, cy, cx, c0 as v, count(*) as n from cz group by all),
 cf as (select cc.uid, cc.cy, cc.cx, total, lv.v, coalesce(n, 0)::double as n from cc cross join (select unnest(range(256)) as v) lv left join ch on ch.uid = cc.uid and ch.cy = cc.cy and ch.cx = cc.cx and ch.v = lv.v),
 ck as (select *, least(n, greatest(1.0::double, total * 2.0::double / 256)) as kept, sum(n - least(n, greatest(1.0::double, total * 2.0::double / 256))) over (partition by uid, cy, cx) / 256 as spare from cf),
 cm as (select uid, cy, cx, v, sum(kept + spare) over (partition by uid, cy, cx order by v rows unbounded preceding) / total * 255 as mapped from ck),
 ce as (select uid, max(cy) as my, max(cx) as mx from cc group by uid),
-cp as (select r.uid, r.y, r.x, c0 as v, my, mx, (y + 0.5::double) / 16 - 0.5 as fy, (x + 0.5::double) / 16 - 0.5 as fx from raster r join ce on r.uid = ce.uid),
+cp as (select r.uid, r.y, r.x, c0 as v, my, mx, cast(y as double) / sy - 0.5 as fy, cast(x as double) / sx - 0.5 as fx from cz r join ce on r.uid = ce.uid),
 cq as (select uid, y, x, v, greatest(0, least(my, cast(floor(fy) as bigint) + dy)) as cy, greatest(0, least(mx, cast(floor(fx) as bigint) + dx)) as cx,
   case when dy = 1 then fy - floor(fy) else 1 - (fy - floor(fy)) end * case when dx = 1 then fx - floor(fx) else 1 - (fx - floor(fx)) end as w from cp, (select unnest([0, 1]) as dy), (select unnest([0, 1]) as dx))"""
 

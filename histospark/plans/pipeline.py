@@ -16,7 +16,7 @@ def tissue_mask(gray: DataFrame, h: int, w: int, close_radius: int = 2, least_ob
     blurred = written(stencil.gaussian_blur(gray, ["uid"], max(1, int(0.007 * min(h, w)))).withColumn("value", F.floor(F.col("value") + 0.5).cast("long")))
     t = hist.otsu(blurred, ["uid"], "value")
     darker = F.col("value") < F.col("threshold") if brightfield else F.col("value") > F.col("threshold")
-    first = blurred.join(F.broadcast(t), "uid").where(darker).select("uid", "y", "x")
+    first = blurred.join(t, "uid").where(darker).select("uid", "y", "x")
     closed = stencil.closed(first, ["uid"], close_radius).where(F.col("y").between(0, h - 1) & F.col("x").between(0, w - 1))
     solid = written(comp.filled(written(closed), h, w))
     big = written(comp.without_small(solid, max(1, int(least_object * h * w))).select("uid", "y", "x"))
@@ -45,7 +45,7 @@ def loaded_stack(pixels_: DataFrame, h: int, w: int, invert: list[int], least_sh
     inside = pixels.cropped(pixels.masked(bytes_, tissue, ["uid"]), hist.bounding_box(tissue, ["uid"]), ["uid"])
     turned = written(pixels.inverted(inside, invert))
     kept = pixels.kept_channels(turned, least_share)
-    return turned.join(F.broadcast(kept.select("channel", "new_channel")), "channel").select("uid", F.col("new_channel").alias("channel"), "y", "x", "value")
+    return turned.join(kept.select("channel", "new_channel"), "channel").select("uid", F.col("new_channel").alias("channel"), "y", "x", "value")
 
 
 def vessels(candidates: DataFrame, zones: DataFrame, radius: int, least_area: int, least_share: float) -> DataFrame:
@@ -68,12 +68,15 @@ def reassigned(superpixels: DataFrame, vessel_pixels: DataFrame) -> DataFrame:
 
 
 def gap_closed_instances(barriers: DataFrame, h: int, w: int, most: int = 4) -> DataFrame:
-    """uid, y, x, label: regions that barriers enclose, after growing and closing them by the first radius of 1 to ``most`` that leaves any."""
-    open_ = None
+    """uid, y, x, label: regions that barriers enclose, after growing and closing them by the first
+    radius of 1 to ``most`` that leaves any, for each slide on its own. A slide that has none at any radius has no rows."""
+    found, left = None, written(barriers.select("uid", "y", "x"))
     for radius in range(1, most + 1):
-        grown = stencil.closed(stencil.dilated(barriers, ["uid"], radius), ["uid"], radius)
+        grown = stencil.closed(stencil.dilated(left, ["uid"], radius), ["uid"], radius)
         wall = written(grown.where(F.col("y").between(0, h - 1) & F.col("x").between(0, w - 1)))
-        open_ = written(comp.holes(wall, h, w).select("uid", "y", "x", "label"))
-        if open_.limit(1).count():
+        new = written(comp.holes(wall, h, w).select("uid", "y", "x", "label"))
+        found = new if found is None else found.union(new)
+        left = written(left.join(new.select("uid").distinct(), "uid", "left_anti"))
+        if not left.limit(1).count():
             break
-    return open_
+    return found

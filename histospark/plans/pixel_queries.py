@@ -199,13 +199,11 @@ def size_capped(spark, sf_dir):
     return rounded(pyramid.size_capped(t.raster(spark, sf_dir).select("uid", "y", "x", F.col("c0").alias("value")), ["uid"], 15), "value")
 
 
-@query(sql("""select g.uid, g.y, g.x, r.c0 as value from raster g join raster r on r.uid = g.uid and r.y = cast(floor(0.9::double * g.y + 0.1::double * g.x + 2 + 0.5) as bigint) and r.x = cast(floor(-0.1::double * g.y + 1.1::double * g.x + g.uid + 0.5) as bigint) where g.uid < (select max(o_orderkey) // 3000 from orders)""", RASTER))
+@query(sql("""select g.uid, g.y, g.x, r.c0 as value from raster g join raster r on r.uid = g.uid and r.y = cast(floor(0.9::double * g.y + 0.1::double * g.x + 2 + 0.5) as bigint) and r.x = cast(floor(-0.1::double * g.y + 1.1::double * g.x + g.uid + 0.5) as bigint)""", RASTER))
 def apply_affine(spark, sf_dir):
     r = t.raster(spark, sf_dir)
-    top = r.agg(F.max("uid").alias("top"))
-    whole = r.join(F.broadcast(top)).where("uid < top").drop("top")
-    moves = whole.select("uid").distinct().select("uid", F.lit(0.9).alias("a00"), F.lit(0.1).alias("a01"), F.lit(-0.1).alias("a10"), F.lit(1.1).alias("a11"), F.lit(2.0).alias("b0"), F.col("uid").cast("double").alias("b1"))
-    return pyramid.affine_sampled(whole.select("uid", "y", "x", F.col("c0").alias("value")), moves, "uid", 50, 60)
+    moves = r.select("uid").distinct().select("uid", F.lit(0.9).alias("a00"), F.lit(0.1).alias("a01"), F.lit(-0.1).alias("a10"), F.lit(1.1).alias("a11"), F.lit(2.0).alias("b0"), F.col("uid").cast("double").alias("b1"))
+    return pyramid.affine_sampled(r.select("uid", "y", "x", F.col("c0").alias("value")), moves, "uid", 50, 60)
 
 
 @query(sql("select uid, y, x, 0 as channel, cast(c0 as float) as value from raster", RASTER))
@@ -218,3 +216,27 @@ def tile_round_trip(spark, sf_dir):
 def channel_axis(spark, sf_dir):
     k = F.col("p_partkey")
     return t.table(spark, sf_dir, "part").select(k.alias("uid"), px.channel_axis(F.array(k % 5 + 1, k % 7 + 3, k % 11 + 2)).cast("int").alias("axis"))
+
+
+@query(sql("select uid, y, x, cast(floor(c0 * 300 / 257.0::double) as bigint) as r, cast(floor(least(255.0::double, c1 * 300 / 257.0::double)) as bigint) as g, cast(floor(least(255.0::double, greatest(c0, c1) * 300 / 257.0::double)) as bigint) as b from (select uid, y, x, least(c0, 218) as c0, c1 from raster)", RASTER))
+def native_rgb(spark, sf_dir):
+    """Two channels of sixteen bits as colours; the third is their maximum."""
+    r = t.raster(spark, sf_dir).withColumn("c0", F.least("c0", F.lit(218)))
+    two = r.select("uid", "y", "x", F.posexplode(F.array(F.col("c0") * 300, F.col("c1") * 300)).alias("channel", "value"))
+    return px.native_rgb(px.first_three(two, ["uid"]), ["uid"], "uint16")
+
+
+@query(sql("select uid, y, x, cast(floor(c0 * 255.0::double / top) as bigint) as r, cast(floor(c1 * 255.0::double / top) as bigint) as g, cast(floor(c2 * 255.0::double / top) as bigint) as b from raster join (select uid, max(greatest(c0, c1, c2)) as top from raster group by uid) using (uid)", RASTER))
+def native_rgb_scaled(spark, sf_dir):
+    """Three channels scaled by the image's greatest value."""
+    rgb = t.raster(spark, sf_dir).select("uid", "y", "x", F.col("c0").alias("r"), F.col("c1").alias("g"), F.col("c2").alias("b"))
+    exact = rgb.withColumns({c: F.col(c).cast("double") for c in "rgb"})
+    got = px.native_rgb(exact, ["uid"], "float")
+    return got.select("uid", "y", "x", "r", "g", "b")
+
+
+@query(sql("select uid, y, x, case when uid % 2 = 0 then cast(c0 >= 128 as bigint) * 255 else c0 end as byte from raster", RASTER))
+def mask_bytes(spark, sf_dir):
+    """Even slides are masks of 0 and 1."""
+    m = t.raster(spark, sf_dir).select("uid", "y", "x", F.when(F.col("uid") % 2 == 0, (F.col("c0") >= 128).cast("long")).otherwise(F.col("c0")).alias("value"))
+    return px.mask_bytes(m, ["uid"]).select("uid", "y", "x", "byte")

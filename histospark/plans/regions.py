@@ -22,18 +22,11 @@ def label_sql(name: str, source: str, eight: bool = False) -> str:
 {name} as (select uid, y, x, min(label) as label from {name}_walk group by uid, y, x)"""
 
 
-WHOLE = "full_slides as (select uid from raster group by uid having count(*) = 3000)"
-OFF = "off as (select r.uid, y, x from raster r join full_slides f on r.uid = f.uid where not (c2 >= 128 and c0 >= 40))"
-ON = "whole as (select r.uid, y, x from raster r join full_slides f on r.uid = f.uid where c2 >= 128 and c0 >= 40)"
+#: Pixels that a slide lacks are background, in the operators and here.
+OFF = "off as (select u.uid, p.y, p.x from (select distinct uid from mask) u, (select y, x from (select unnest(range(50)) as y), (select unnest(range(60)) as x)) p where not exists (select 1 from mask m where m.uid = u.uid and m.y = p.y and m.x = p.x))"
 EDGE = "(y = 0 or x = 0 or y = 49 or x = 59)"
 
 
-def whole_mask(spark, sf_dir):
-    r = t.raster(spark, sf_dir)
-    full = r.groupBy("uid").count().where("count = 3000").select("uid")
-    return r.where(t.MASK).select("uid", "y", "x").join(F.broadcast(full), "uid", "left_semi")
-
-
 @query(sql("select uid, y, x, label from lab", RASTER, MASK_SQL, label_sql("lab", "mask")))
 def label4(spark, sf_dir):
     return comp.labelled(t.mask(spark, sf_dir), tile=16)
@@ -49,17 +42,24 @@ def border_connected(spark, sf_dir):
     return comp.border_connected(t.mask(spark, sf_dir), 50, 60).select("uid", "y", "x", "label")
 
 
-HOLES = f"holes as (select uid, y, x, label from offl where (uid, label) not in (select (uid, label) from offl where {EDGE}))"
+def holes_sql(name: str, off: str) -> str:
+    """Labelled pixels of ``off`` that the image's edge doesn't reach, as a view ``name``: a flood from the edge, then labels of the rest."""
+    return f"""{name}_reach(uid, y, x) as (select uid, y, x from {off} where {EDGE} union select b.uid, b.y, b.x from {name}_reach a join {off} b on b.uid = a.uid and b.y between a.y - 1 and a.y + 1 and b.x between a.x - 1 and a.x + 1 and abs(b.y - a.y) + abs(b.x - a.x) = 1),
+{name}_rest as (select uid, y, x from {off} except select uid, y, x from {name}_reach),
+{label_sql(name, name + "_rest")}"""
+
 
+HOLES = holes_sql("holes", "off")
 
-@query(sql("select uid, y, x, label from holes", RASTER, WHOLE, OFF, label_sql("offl", "off"), HOLES))
+
+@query(sql("select uid, y, x, label from holes", RASTER, MASK_SQL, OFF, HOLES))
 def holes(spark, sf_dir):
-    return comp.holes(whole_mask(spark, sf_dir), 50, 60).select("uid", "y", "x", "label")
+    return comp.holes(t.mask(spark, sf_dir), 50, 60).select("uid", "y", "x", "label")
 
 
-@query(sql("select uid, y, x from whole union all select uid, y, x from holes", RASTER, WHOLE, OFF, ON, label_sql("offl", "off"), HOLES))
+@query(sql("select uid, y, x from mask union all select uid, y, x from holes", RASTER, MASK_SQL, OFF, HOLES))
 def fill_holes(spark, sf_dir):
-    return comp.filled(whole_mask(spark, sf_dir), 50, 60)
+    return comp.filled(t.mask(spark, sf_dir), 50, 60)
 
 
 @query(sql("select uid, y, x, label from lab where (uid, label) in (select (uid, label) from lab group by uid, label having count(*) >= 20)", RASTER, MASK_SQL, label_sql("lab", "mask")))
@@ -67,9 +67,9 @@ def remove_small(spark, sf_dir):
     return comp.without_small(t.mask(spark, sf_dir), 20).select("uid", "y", "x", "label")
 
 
-@query(sql("select uid, y, x from whole union all select uid, y, x from holes where (uid, label) in (select (uid, label) from holes group by uid, label having count(*) < 5)", RASTER, WHOLE, OFF, ON, label_sql("offl", "off"), HOLES))
+@query(sql("select uid, y, x from mask union all select uid, y, x from holes where (uid, label) in (select (uid, label) from holes group by uid, label having count(*) < 5)", RASTER, MASK_SQL, OFF, HOLES))
 def remove_small_holes(spark, sf_dir):
-    return comp.without_small_holes(whole_mask(spark, sf_dir), 5, 50, 60)
+    return comp.without_small_holes(t.mask(spark, sf_dir), 5, 50, 60)
 
 
 @query(sql("select uid, y, x, label from lab where (uid, label) in (select (uid, arg_max(label, (n, -label))) from (select uid, label, count(*) as n from lab group by all) group by uid)", RASTER, MASK_SQL, label_sql("lab", "mask")))
@@ -84,9 +84,12 @@ def component_shapes(spark, sf_dir):
     return rounded(comp.shapes_of(comp.labelled(t.mask(spark, sf_dir))), "circularity", digits=9)
 
 
-@query()
+BIG = "big as (select uid, y, x from lab where (uid, label) in (select (uid, arg_max(label, (n, -label))) from (select uid, label, count(*) as n from lab group by all) group by uid)), bigoff as (select u.uid, p.y, p.x from (select distinct uid from big) u, (select y, x from (select unnest(range(50)) as y), (select unnest(range(60)) as x)) p where not exists (select 1 from big m where m.uid = u.uid and m.y = p.y and m.x = p.x))"
+
+
+@query(sql("select b.uid, b.y, b.x, b.label from bl b where not exists (select 1 from mask m where m.uid = b.uid and m.y = b.y and m.x = b.x)", RASTER, MASK_SQL, label_sql("lab", "mask", True), BIG, holes_sql("bl", "bigoff")))
 def holes_of_largest(spark, sf_dir):
-    return comp.holes_of_largest(whole_mask(spark, sf_dir), 50, 60)
+    return comp.holes_of_largest(t.mask(spark, sf_dir), 50, 60)
 
 
 @query(sql("select a.uid, a.y, a.x, round(coalesce((select sqrt(min((b.y - a.y) * (b.y - a.y) + (b.x - a.x) * (b.x - a.x))) from raster b where b.uid = a.uid and b.c0 >= 250), 'inf'::double), 9) as distance from raster a", RASTER))
@@ -94,13 +97,14 @@ def edt(spark, sf_dir):
     return rounded(distance.distance_to(t.raster(spark, sf_dir), t.TARGET), "distance", digits=9)
 
 
-PORT = """lobes as (select uid, y, x, case when c2 >= 20 then c2 // 64 end as label, c0 >= 252 as central, c1 <= 2 as portal from raster),
-rim as (select * , coalesce(portal, false) or (label is not null and (select count(*) from lobes b where b.uid = a.uid and b.label = a.label and b.y between a.y - 1 and a.y + 1 and b.x between a.x - 1 and a.x + 1) < 9) as rim from lobes a),
-dist as (select uid, y, x, label, central, rim, coalesce((select sqrt(min((b.y - a.y) * (b.y - a.y) + (b.x - a.x) * (b.x - a.x))) from rim b where b.uid = a.uid and b.rim), 'inf'::double) as dp,
-  coalesce((select sqrt(min((b.y - a.y) * (b.y - a.y) + (b.x - a.x) * (b.x - a.x))) from rim b where b.uid = a.uid and b.central), 'inf'::double) as dc from rim a)"""
+#: Distances to what lies inside, over the pixels inside only; the rim has a neighbour of another label, or none.
+PORT = """lobes as (select uid, y, x, c2 // 64 as label, c0 >= 252 as central, c1 <= 2 as portal from raster where c2 >= 20),
+rim as (select *, portal or (select count(*) from lobes b where b.uid = a.uid and b.label = a.label and b.y between a.y - 1 and a.y + 1 and b.x between a.x - 1 and a.x + 1) < 9 as rim from lobes a),
+near as (select a.uid, a.y, a.x, any_value(a.central) as central, any_value(a.rim) as rim, sqrt(min((b.y - a.y) * (b.y - a.y) + (b.x - a.x) * (b.x - a.x)) filter (b.rim)) as dp, sqrt(min((b.y - a.y) * (b.y - a.y) + (b.x - a.x) * (b.x - a.x)) filter (b.central)) as dc
+  from rim a join rim b on b.uid = a.uid and (b.rim or b.central) group by a.uid, a.y, a.x)"""
 
 
-@query(sql("select uid, y, x, round(case when central then 1.0 when label is null then null when rim then 0.0 when isinf(dc) then 0.0 when isinf(dp) then 1.0 else dp / (dp + dc + 1e-8) end, 9) as portality from dist", RASTER, PORT))
+@query(sql("select r.uid, r.y, r.x, round(case when n.uid is null then null when central then 1.0 when rim or dc is null then 0.0 when dp is null then 1.0 else dp / (dp + dc + 1e-8) end, 9) as portality from raster r left join near n on n.uid = r.uid and n.y = r.y and n.x = r.x", RASTER, PORT))
 def portality(spark, sf_dir):
     lobes = t.raster(spark, sf_dir).select("uid", "y", "x", F.expr("case when c2 >= 20 then c2 div 64 end as label"), F.expr("c0 >= 252 as central"), F.expr("c1 <= 2 as portal"))
     return rounded(distance.portality(lobes), "portality", digits=9)
@@ -215,14 +219,14 @@ def otsu_mask(spark, sf_dir):
     from histospark.operators.hist import otsu
 
     r = t.raster(spark, sf_dir)
-    return r.join(F.broadcast(otsu(r, ["uid"], "c2")), "uid").select("uid", "y", "x", "threshold", (F.col("c2") > F.col("threshold")).alias("tissue"))
+    return r.join(otsu(r, ["uid"], "c2"), "uid").select("uid", "y", "x", "threshold", (F.col("c2") > F.col("threshold")).alias("tissue"))
 
 
 @query()
 def filter_channels(spark, sf_dir):
     from histospark.plans.pipeline import filtered_channels
 
-    return filtered_channels(t.pixels(spark, sf_dir).where("channel <> 1"))
+    return filtered_channels(t.pixels(spark, sf_dir))
 
 
 @query()
@@ -238,7 +242,7 @@ def vessels(spark, sf_dir):
 
     zone = F.when(F.col("c2") >= 170, "PV").when(F.col("c2") >= 85, "MID").otherwise("PP")
     zones = t.raster(spark, sf_dir).select("uid", "y", "x", zone.alias("zone"))
-    return classed(comp.holes(whole_mask(spark, sf_dir), 50, 60), zones, 2, 5, 0.4)
+    return classed(comp.holes(t.mask(spark, sf_dir), 50, 60), zones, 2, 5, 0.4)
 
 
 @query()
@@ -248,18 +252,18 @@ def instances(spark, sf_dir):
     return gap_closed_instances(t.raster(spark, sf_dir).where("c2 between 100 and 110").select("uid", "y", "x"), 50, 60)
 
 
-PREVIEW = """gam as (select m.uid, label, (case when h0 - l0 > 1e-6 then power((greatest(l0, least(h0, c0)) - l0) / (h0 - l0), 0.7) * (h0 - l0) + l0 else c0 end) * 1.2::double as c0, (case when h2 - l2 > 1e-6 then power((greatest(l2, least(h2, c2)) - l2) / (h2 - l2), 0.7) * (h2 - l2) + l2 else c2 end) * 0.8::double as c2
+PREVIEW = """gam as (select m.uid, label, (case when h0 - l0 > 1e-6 then power((greatest(l0, least(h0, c0)) - l0) / (h0 - l0), 0.7) * (h0 - l0) + l0 else c0 end) * 1.2::double as c0, (case when h2 - l2 > 1e-6 then power((greatest(l2, least(h2, c2)) - l2) / (h2 - l2), 0.7) * (h2 - l2) + l2 else c2 end) * 1.7::double as c2
   from means m join (select uid, quantile_cont(c0, 0.01) as l0, quantile_cont(c0, 0.99) as h0, quantile_cont(c2, 0.01) as l2, quantile_cont(c2, 0.99) as h2 from means group by uid) q on m.uid = q.uid)"""
 
 
-@query(sql("select uid, label, round((c0 + c2) / 2, 6) as preview from gam", RASTER, CELLS, MEANS, PREVIEW))
+@query(sql("select uid, label, round(case when hi > lo then ((c0 + c2) / 2 - lo) / (hi - lo) else 0 end, 6) as preview from (select *, min((c0 + c2) / 2) over (partition by uid) as lo, max((c0 + c2) / 2) over (partition by uid) as hi from gam)", RASTER, CELLS, MEANS, PREVIEW))
 def weighting_preview(spark, sf_dir):
     """Gamma and polarity weighting of a portal and a central channel, and their mean."""
     out = means(spark, sf_dir)
     for c in ("c0", "c2"):
         out = features.gamma_weighted(out, ["uid"], c, 0.7).drop(c).withColumnRenamed("weighted", c)
-    out = features.polarity_weighted(out, ["c0"], ["c2"], 1.2)
-    return rounded(out.select("uid", "label", ((F.col("c0") + F.col("c2")) / 2).alias("preview")), "preview")
+    out = features.polarity_weighted(out, ["c0"], ["c2"], 1.2, 1.7)
+    return rounded(features.preview(out, ["uid"], ["c0", "c2"]).select("uid", "label", "preview"), "preview")
 
 
 @query()

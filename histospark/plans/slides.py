@@ -13,9 +13,18 @@ from histospark.sources.tables import MANIFEST, sql
 NAME = "list_extract(string_split(path, '/'), -1)"
 
 
-@query(sql(f"select uid, {NAME} as filename, regexp_extract({NAME}, '(\\.[^.]+)$', 1) as format, regexp_replace({NAME}, '(\\.[^.]+)+$', '') as stem, '19700101-' || left(sha256(path), 8) as stable_uid from manifest", MANIFEST))
+@query(sql(f"select uid as n, {NAME} as filename, regexp_extract({NAME}, '(\\.[^.]+)$', 1) as format, regexp_replace({NAME}, '(\\.[^.]+)+$', '') as stem, case when uid % 2 = 0 then 's' || uid else '20240229-' || left(sha256(path), 8) end as stable_uid from manifest", MANIFEST))
 def record_defaults(spark, sf_dir):
-    return cat.with_defaults(t.manifest(spark, sf_dir)).select("uid", "filename", "format", "stem", "stable_uid")
+    """Every second record has a uid already."""
+    m = t.manifest(spark, sf_dir).select(F.col("uid").alias("n"), "path", F.when(F.col("uid") % 2 == 0, F.concat(F.lit("s"), "uid")).alias("uid"))
+    return cat.with_defaults(m, on="20240229").select("n", "filename", "format", "stem", "stable_uid")
+
+
+@query(sql("select uid, case when uid % 3 = 0 then 'set' else channel end as channel, case when uid % 3 = 0 and uid % 2 = 0 then 2.5::double else size_um end as size_um from manifest", MANIFEST))
+def set_fields(spark, sf_dir):
+    """A change sets the channel of every third record, and the size of every sixth."""
+    m = t.manifest(spark, sf_dir).select("uid", "channel", "size_um")
+    return cat.updated(m, m.where("uid % 3 = 0").select("uid", F.lit("set").alias("channel"), F.when(F.col("uid") % 2 == 0, 2.5).alias("size_um")))
 
 
 @query(sql("select uid, version, channel from manifest where uid % 3 <> 0 or uid % 2 = 0 union all select uid, version + case when uid % 2 = 0 then -1 else 1 end, 'new' from manifest where uid % 3 = 0 and uid % 2 <> 0", MANIFEST))
@@ -37,21 +46,21 @@ def missing_files(spark, sf_dir):
     return cat.missing_files(m, m.where("uid % 5 <> 1").select(F.col("path_storage").alias("path"))).select("uid", F.col("path_storage").alias("path"))
 
 
-def pack_sql(colour: tuple[int, int, int]) -> str:
-    v = colour[0] << 24 | colour[1] << 16 | colour[2] << 8 | 255
-    return str(v - (1 << 32) if v >= 1 << 31 else v)
-
+#: The dyes' and the palette's colours as packed integers, written out so that the SQL doesn't repeat the code.
+BLUE, GREEN, RED, MAGENTA = 65535, 16711935, -16776961, -16711681
+PACKED = (RED, GREEN, BLUE, MAGENTA, 16777215, -65281, -8388353, -1727987713, 11750911, -6710785)
+DYES = ("DAPI", "FITC", "TRITC", "Cy5", "AF568 x", "far-red", "Alexa 488", "filter 555", "Texas Red", "none")
+DYE_SQL = f"case when name in ('DAPI', 'Hoechst 33342') then {BLUE} when name in ('FITC', 'GFP', 'Alexa 488') then {GREEN} when name in ('TRITC', 'Texas Red', 'AF568 x') or name like 'Cy3%' then {RED} when name in ('Cy5', 'far-red') then {MAGENTA} when index = 0 then {RED} when index = 1 then {GREEN} when index = 2 then {BLUE} else {MAGENTA} end"
 
-DYE_SQL = "case " + " ".join(f"when regexp_matches(lower(name), '{p}') then {pack_sql(c)}" for p, c in color.DYE_COLOURS) + " else (case index " + " ".join(f"when {i} then {pack_sql(color.PALETTE[i])}" for i in range(4)) + " end) end"
 
-
-@query(sql(f"select uid, index, name, {DYE_SQL} as color from (select uid, index, case when index = 0 then channel when index = 2 then 'Cy3 ' || uid else 'ch' || index end as name from manifest, (select unnest(range(4)) as index))", MANIFEST))
+@query(sql(f"select uid, index, name, {DYE_SQL} as color from (select uid, index, case when index = 0 then channel when index = 2 then 'Cy3 ' || uid when index = 1 then {list(DYES)}[uid % 10 + 1] else 'ch' || index end as name from manifest, (select unnest(range(4)) as index))", MANIFEST))
 def channel_defaults(spark, sf_dir):
-    m = t.manifest(spark, sf_dir).withColumn("stains", F.create_map(F.lit(0), F.col("channel"), F.lit(2), F.concat(F.lit("Cy3 "), F.col("uid")), F.lit(3), F.lit("")))
+    dye = F.element_at(F.array(*map(F.lit, DYES)), (F.col("uid") % 10 + 1).cast("int"))
+    m = t.manifest(spark, sf_dir).withColumn("stains", F.create_map(F.lit(0), F.col("channel"), F.lit(1), dye, F.lit(2), F.concat(F.lit("Cy3 "), F.col("uid")), F.lit(3), F.lit("")))
     return cat.channel_defaults(m, 4).withColumns({"index": F.col("index").cast("long"), "color": F.col("color").cast("int")})
 
 
-@query(sql("select uid, case uid % 10 " + " ".join(f"when {i} then {pack_sql(c)}" for i, c in enumerate(color.PALETTE)) + " end as color from manifest", MANIFEST))
+@query(sql(f"select uid, {list(PACKED)}[uid % 10 + 1] as color from manifest", MANIFEST))
 def palette_pack(spark, sf_dir):
     return t.manifest(spark, sf_dir).select("uid", color.packed_rgba(color.palette_rgb(F.col("uid"))).alias("color"))
 
@@ -86,25 +95,33 @@ def derived_records(spark, sf_dir):
     return cat.derived_records(t.manifest(spark, sf_dir), ["_cropped", "-ch 0"])
 
 
-@query(sql("select uid, case when image_type = 'fluorescence' then 'fluorescence' when image_type = 'brightfield' then 'brightfield' when uid % 4 <> 3 then 'fluorescence' when uid % 2 = 0 then 'fluorescence' else 'brightfield' end as modality from manifest", MANIFEST))
+@query(sql("""select uid, case when word = 'Fluorescence' then 'fluorescence'
+  when word = 'fluor H&E' then case when colour then 'brightfield' else 'fluorescence' end
+  when colour then 'brightfield' when word in ('IHC', 'the other') and (channels = 1 or dims = 2) then 'brightfield' when dims = 3 and channels > 1 then 'fluorescence' else 'brightfield' end as modality
+  from (select *, dims = 3 and channels = 3 and uid % 2 = 0 as colour from (select uid, ['Fluorescence', 'fluor H&E', 'IHC', 'the other', 'plain', null][uid % 6 + 1] as word, uid // 6 % 4 + 1 as channels, uid // 24 % 2 + 2 as dims from manifest))""", MANIFEST))
 def modality(spark, sf_dir):
-    return t.manifest(spark, sf_dir).select("uid", cat.modality(F.col("image_type"), (F.col("uid") % 4).cast("int"), F.col("uid") % 2 == 0).alias("modality"))
+    """Six image types with one to four channels, two or three dimensions, bytes or not."""
+    word = F.element_at(F.array(*map(F.lit, ("Fluorescence", "fluor H&E", "IHC", "the other", "plain", None))), (F.col("uid") % 6 + 1).cast("int"))
+    return t.manifest(spark, sf_dir).select("uid", cat.modality(word, F.expr("uid div 6 % 4 + 1"), F.expr("uid div 24 % 2 + 2"), F.col("uid") % 2 == 0).alias("modality"))
 
 
-@query(sql("select uid, case when uid % 5 = 0 then 'HED' when uid % 5 = 1 then 'HDAB' when uid % 5 = 2 then 'HE' when uid % 5 = 3 then 'HDAB' else null end as profile, case when channel = 'unknown' then 'stain_' || uid else channel end as display from manifest", MANIFEST))
+@query(sql("select uid, ['HED', 'HDAB', 'HE', 'HDAB', null, 'HE', null, 'HDAB', 'HE'][uid % 9 + 1] as profile, case when channel = 'unknown' then 'stain_' || uid else channel end as display from manifest", MANIFEST))
 def stain_profiles(spark, sf_dir):
-    r = F.col("uid") % 5
-    profile = cat.stain_profile(F.when(r == 0, "HED").when(r == 1, "h-dab"), F.when(r == 2, F.array(F.lit("Hematoxylin"), F.lit("Eosin"))).otherwise(F.array(F.lit("x"))), F.when(r == 3, "slide_ihc_2").otherwise("plain"))
+    """By alias, by stains, by words of the type and the name; eosin alone and unknown aliases fit nothing."""
+    r = F.col("uid") % 9
+    stains = F.when(r == 2, F.array(F.lit(" Hematoxylin"), F.lit("eosin"))).when(r == 3, F.array(F.lit("DAB"), F.lit("hematoxylin"), F.lit("x"))).when(r == 4, F.array(F.lit("Eosin")))
+    kind, name = F.when(r == 7, "IHC").when(r == 5, "H&E"), F.when(r == 8, "the_slide.tiff").otherwise("plain")
+    profile = cat.stain_profile(F.when(r == 0, "HED").when(r == 1, "H_DAB").when(r == 6, "he"), stains, kind, name)
     return t.manifest(spark, sf_dir).select("uid", profile.alias("profile"), cat.display_name(F.when(F.col("channel") != "unknown", F.col("channel")), F.lit(" "), index=F.col("uid")).alias("display"))
 
 
 @query(sql(f"""select n.s as name, coalesce(min(path) filter (base = n.s || '.ome.tif'), min(path) filter (base = n.s || '.tiff'), min(path)) as file
-  from (select distinct regexp_replace({NAME}, '(\\.[^.]+)+$', '') as s from manifest where uid >= 100) n join (select path, {NAME} as base from manifest where uid >= 100) f on starts_with(f.base, n.s) group by n.s""", MANIFEST))
+  from (select distinct regexp_replace({NAME}, '(\\.[^.]+)+$', '') as s from manifest union select 'ab' union select 'h') n join (select path, {NAME} as base from manifest) f on starts_with(f.base, n.s) group by n.s""", MANIFEST))
 def registered_files(spark, sf_dir):
-    m = t.manifest(spark, sf_dir).where("uid >= 100")
-    names = m.select(color.stem(color.file_name(F.col("path"))).alias("name")).distinct()
-    files = m.select(F.col("path").alias("file"))
-    return cat.registered_files(names, files, [".ome.tif", ".tiff"])
+    """The stems of all slides, and two short names."""
+    m = t.manifest(spark, sf_dir)
+    names = m.select(color.stem(color.file_name(F.col("path"))).alias("name")).union(spark.range(2).select(F.when(F.col("id") == 0, "ab").otherwise("h"))).distinct()
+    return cat.registered_files(names, m.select(F.col("path").alias("file")), [".ome.tif", ".tiff"])
 
 
 @query(sql(f"select uid, path, case when uid % 2 = 0 then path || '.reg' when uid % 3 = 0 then regexp_replace({NAME}, '(\\.[^.]+)+$', '') || '.tiff.reg' end as registered from manifest", MANIFEST))
@@ -120,16 +137,35 @@ def input_selection(spark, sf_dir):
     return cat.selected_inputs(t.manifest(spark, sf_dir).select(F.col("uid").alias("index"), "path"), [1, 5, 8])
 
 
-OME = "<OME xmlns=\"o\"><Image><Pixels PhysicalSizeX=\"{x}\" PhysicalSizeXUnit=\"um\"><Channel Name=\"{n}\"/><Channel Name=\"second\"/></Pixels></Image></OME>"
+OME = "<OME xmlns=\"o\"><Image><Pixels PhysicalSizeX=\"{x}\" PhysicalSizeYUnit=\"um\"><Channel ID=\"C:0\" Name=\"{n}\"/><Channel ID=\"C:1\" Name=\"second\" Color=\"65535\"/></Pixels></Image></OME>"
 
 
 def xml(m):
     return m.withColumn("xml", F.concat(F.lit(OME.split("{x}")[0]), F.coalesce(F.col("size_um").cast("string"), F.lit("?")), F.lit(OME.split("{x}")[1].split("{n}")[0]), "channel", F.lit(OME.split("{n}")[1])))
 
 
-@query(sql("select uid, size_um as size_x, cast(null as double) as size_y, 'µm' as unit, channel || ',second' as names from manifest", MANIFEST))
+@query(sql("select uid, size_um as size_x, cast(null as double) as size_y, 'µm' as unit, channel || ',second' as names, '-,65535' as colors from manifest", MANIFEST))
 def ome_records(spark, sf_dir):
-    return cat.ome_records(xml(t.manifest(spark, sf_dir)), "xml").withColumn("names", F.array_join("names", ","))
+    return cat.ome_records(xml(t.manifest(spark, sf_dir)), "xml").withColumns({"names": F.array_join("names", ","), "colors": F.array_join(F.col("colors").cast("array<string>"), ",", "-")})
+
+
+@query(sql("select uid, case when uid % 2 = 0 then 'own' else channel end as first, 'second' as other, case when uid % 2 = 0 then 7 end as color0, 65535 as color1 from manifest", MANIFEST))
+def enrich_channels(spark, sf_dir):
+    """Names and colours from OME XML, where the record has none of its own."""
+    m = xml(t.manifest(spark, sf_dir))
+    none = F.lit(None).cast("double")
+    own = m.select("uid", none.alias("size_x"), none.alias("size_y"), F.lit(None).cast("string").alias("unit"), F.when(F.col("uid") % 2 == 0, F.create_map(F.lit(0), F.lit("own"), F.lit(1), F.lit(""))).alias("stains"), F.when(F.col("uid") % 2 == 0, F.create_map(F.lit(0), F.lit(7))).alias("channel_colors"))
+    got = cat.enriched(own, cat.ome_records(m, "xml"))
+    at = lambda c, k: F.try_element_at(c, F.lit(k))
+    return got.select("uid", at("stains", 0).alias("first"), at("stains", 1).alias("other"), at("channel_colors", 0).alias("color0"), at("channel_colors", 1).alias("color1"))
+
+
+@query(sql(f"select '20240229-' || left(sha256(path), 8) as uid, path, {NAME} as filename, size_um as size_x, 'µm' as unit, channel as first, 65535 as color1 from manifest", MANIFEST))
+def import_slides(spark, sf_dir):
+    """Files become records: defaults, then what their OME XML says."""
+    m = xml(t.manifest(spark, sf_dir))
+    got = cat.import_slides(m.select("path"), m.select("path", "xml"), "20240229")
+    return got.select("uid", "path", "filename", "size_x", "unit", F.try_element_at("stains", F.lit(0)).alias("first"), F.try_element_at("channel_colors", F.lit(1)).alias("color1"))
 
 
 @query(sql("select uid, index, case index when 0 then channel when 1 then 'second' else 'Channel 3' end as name from manifest, (select unnest(range(3)) as index)", MANIFEST))

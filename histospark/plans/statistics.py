@@ -168,10 +168,11 @@ def signal_share(spark, sf_dir):
     return rounded(hist.signal_share(cells(spark, sf_dir), ["uid", "label"], F.col("c2"), 0.98), "share")
 
 
-@query(sql("""select c.uid, c.label, round(avg(cast(c2 < case when p <= 1.5 then 60 / 255.0 when p > 255 then 60 * p / 255 else 60 end as double)), 6) as dark_share, avg(cast(c2 < case when p <= 1.5 then 60 / 255.0 when p > 255 then 60 * p / 255 else 60 end as double)) >= 0.3 as dark
-  from cells c join (select uid, label, quantile_cont(c2, 0.995) as p from cells group by all) q on c.uid = q.uid and c.label = q.label group by c.uid, c.label""", RASTER, CELLS))
+@query(sql("""select c.uid, c.label, round(avg(cast(c2 <= case when p <= 1.5 then 60 / 255.0 when p > 255 then 60 * p / 255 else 60 end as double)), 6) as dark_share, c.label >= 100 and avg(cast(c2 <= case when p <= 1.5 then 60 / 255.0 when p > 255 then 60 * p / 255 else 60 end as double)) >= 0.3 as dark
+  from cells c join (select uid, quantile_cont(c2, 0.995) as p from cells where label >= 100 group by uid) q on c.uid = q.uid group by c.uid, c.label""", RASTER, CELLS))
 def dark_share(spark, sf_dir):
-    return rounded(hist.dark_share(cells(spark, sf_dir), ["uid", "label"], "c2", 60.0, 0.3), "dark_share")
+    """The first row of cells isn't foreground."""
+    return rounded(hist.dark_share(cells(spark, sf_dir), ["uid", "label"], "c2", 60.0, 0.3, ["uid"], "label >= 100"), "dark_share")
 
 
 def cells(spark, sf_dir):

@@ -28,9 +28,18 @@ SLIDES = T.StructType(
         T.StructField("is_float", T.BooleanType()),
     ]
 )
-#: Keywords that name the modality, and the brightfield profiles' aliases.
-FLUORESCENCE, BRIGHTFIELD = "fluor|immunofl|dapi|multiplex", "bright|histo|h&e|he|ihc"
-PROFILE_ALIASES = {"HE": "^(h&e|he|hematoxylin.?eosin)$", "HDAB": "^(h-?dab|dab|ihc)$", "HED": "^(hed|h-?e-?dab)$"}
+#: Words of an image type that name the modality, and the brightfield profiles' aliases.
+FLUORESCENCE, BRIGHTFIELD = ("fluor", "fluorescence"), ("brightfield", "immunohistochemistry", "ihc", "h&e", "he", "dab")
+PROFILE_ALIASES = {"HE": "HE", "H_E": "HE", "H-E": "HE", "H&E": "HE", "HDAB": "HDAB", "H-DAB": "HDAB", "H_DAB": "HDAB", "HED": "HED"}
+#: Words of an image type or a file name that name a profile, in the order in which they are tried.
+PROFILE_WORDS = (("HDAB", ("ihc", "dab", "h-dab", "hdab")), ("HE", ("he", "h&e")))
+
+
+def has_any(text: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.coalesce(text.contains(w), F.lit(False))
+    return out
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -50,10 +59,22 @@ def missing_files(slides: DataFrame, files: DataFrame) -> DataFrame:
     return slides.join(files.select(F.col("path").alias("path_storage")), "path_storage", "left_anti")
 
 
-def with_defaults(df: DataFrame, path: str = "path") -> DataFrame:
-    """Adds file name, suffix, stem and a uid of date and eight hex digits of the path's hash, where uid is null."""
+def with_defaults(df: DataFrame, path: str = "path", on: str = "19700101") -> DataFrame:
+    """Adds file name, suffix, stem and stable_uid, which is the record's uid (where it has one) or the
+    day ``on`` and eight hex digits of the path's hash."""
     name = file_name(F.col(path))
-    return df.withColumns({"filename": name, "format": suffix(name), "stem": stem(name), "stable_uid": F.concat(F.lit("19700101-"), F.substring(F.sha2(F.col(path), 256), 1, 8))})
+    made = F.concat(F.lit(f"{on}-"), F.substring(F.sha2(F.col(path), 256), 1, 8))
+    own = F.col("uid").cast("string") if "uid" in df.columns else F.lit(None).cast("string")
+    return df.withColumns({"filename": name, "format": suffix(name), "stem": stem(name), "stable_uid": F.coalesce(own, made)})
+
+
+def updated(catalog: DataFrame, changes: DataFrame, key: str = "uid", overwrite: bool = True) -> DataFrame:
+    """The catalog with the values that ``changes`` (key and some of its columns) sets; nulls there set
+    nothing, and without ``overwrite`` only what is null in the record is set."""
+    sets = [c for c in changes.columns if c != key]
+    new = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in sets])
+    pick = lambda c: F.coalesce(f"_new_{c}", c) if overwrite else F.coalesce(c, f"_new_{c}")
+    return catalog.join(new, key, "left").select(*[pick(c).alias(c) if c in sets else F.col(c) for c in catalog.columns])
 
 
 def upserted(catalog: DataFrame, new: DataFrame, key: str = "uid", newest: str = "version") -> DataFrame:
@@ -95,21 +116,32 @@ def derived_records(slides: DataFrame, outputs: list[str]) -> DataFrame:
     return each.select(F.concat_ws("-", F.col("uid"), F.substring(F.sha2(path, 256), 1, 8)).alias("uid"), F.col("uid").alias("parent_uid"), path.alias("path"))
 
 
-def modality(image_type: Column, channels: Column, is_float: Column) -> Column:
-    """fluorescence or brightfield: by the image type's words, else by more than three or fewer than three channels, else by the values' type."""
+def modality(image_type: Column, channels: Column, dims: Column, is_bytes: Column) -> Column:
+    """fluorescence or brightfield, from words of the image type and the image's form.
+
+    An image of three dimensions with three 8-bit channels looks like colour. Fluorescence words win
+    unless it looks so and brightfield words are there too; then what looks like colour is brightfield;
+    then brightfield words count for one channel or fewer than three dimensions; then several
+    channels mean fluorescence.
+    """
     t = F.lower(F.coalesce(image_type, F.lit("")))
-    return F.when(t.rlike(FLUORESCENCE), "fluorescence").when(t.rlike(BRIGHTFIELD), "brightfield").when(channels != 3, "fluorescence").when(is_float, "fluorescence").otherwise("brightfield")
+    fluorescent, bright = has_any(t, FLUORESCENCE), has_any(t, BRIGHTFIELD)
+    colour = F.coalesce((dims == 3) & (channels == 3) & is_bytes, F.lit(False))
+    out = F.when(fluorescent & ~(colour & bright), "fluorescence").when(colour, "brightfield")
+    return out.when(bright & ((channels == 1) | (dims < 3)), "brightfield").when((dims == 3) & (channels > 1), "fluorescence").otherwise("brightfield")
 
 
-def stain_profile(alias: Column, stains: Column, name: Column) -> Column:
-    """HE, HDAB or HED: by explicit alias, by stain names, then by words of the file name; null where nothing fits."""
-    out = None
-    for profile, pattern in PROFILE_ALIASES.items():
-        hit = F.lower(alias).rlike(pattern)
-        out = F.when(hit, profile) if out is None else out.when(hit, profile)
-    s, n = F.lower(F.concat_ws(" ", stains)), F.lower(name)
-    out = out.when(s.contains("dab") & s.contains("eosin"), "HED").when(s.contains("dab"), "HDAB").when(s.contains("eosin"), "HE")
-    return out.when(n.rlike("dab|ihc"), "HDAB").when(n.rlike("(^|[^a-z])h&?e([^a-z]|$)"), "HE")
+def stain_profile(alias: Column, stains: Column, image_type: Column, name: Column, strict: bool = False) -> Column:
+    """HE, HDAB or HED: by explicit alias, by stain names (hematoxylin with eosin, or with DAB), then by
+    words of the image type and the file name. Where nothing fits, and for an unknown alias: null, or an error if ``strict``."""
+    known = F.element_at(F.create_map(*[F.lit(x) for p in PROFILE_ALIASES.items() for x in p]), alias)
+    names = F.transform(F.coalesce(stains, F.array().cast("array<string>")), lambda s: F.lower(F.trim(s)))
+    has = lambda s: F.coalesce(F.array_contains(names, s), F.lit(False))
+    words = F.lower(F.concat(F.coalesce(image_type, F.lit("")), F.lit(" "), F.coalesce(name, F.lit(""))))
+    out = F.when(F.coalesce(alias, F.lit("")) != "", known).when(has("hematoxylin") & has("eosin"), "HE").when(has("dab") & has("hematoxylin"), "HDAB")
+    for profile, tried in PROFILE_WORDS:
+        out = out.when(has_any(words, tried), profile)
+    return F.coalesce(out, F.raise_error(F.lit("no brightfield stain profile fits; name one")).cast("string")) if strict else out
 
 
 def display_name(*candidates: Column, index: Column) -> Column:
@@ -118,10 +150,16 @@ def display_name(*candidates: Column, index: Column) -> Column:
 
 
 def registered_files(names: DataFrame, files: DataFrame, extensions: list[str]) -> DataFrame:
-    """name, file: the first exact name + extension in the order of extensions, else the least file of that prefix."""
+    """name, file: the first exact name + extension in the order of extensions, else the least file of that prefix.
+
+    Each file stands for all lengths of names that there are, so a name meets only files that begin with it.
+    """
     exact = F.array_position(F.array(*map(F.lit, extensions)), F.expr("substring(base, length(name) + 1)"))
-    listed = files.select("file", file_name(F.col("file")).alias("base")).withColumn("head", F.substring("base", 1, 3))
-    joined = names.withColumn("head", F.substring("name", 1, 3)).join(listed, "head").where("startswith(base, name)")
+    named = names.withColumn("size", F.length("name"))
+    sizes = named.select("size").distinct()  # a few dozen
+    listed = files.select("file", file_name(F.col("file")).alias("base"))
+    heads = listed.join(sizes, F.col("size") <= F.length("base")).withColumn("name", F.expr("left(base, size)"))
+    joined = named.join(heads.drop("size"), "name")
     rank = F.when(exact > 0, exact).otherwise(1000)
     return joined.groupBy("name").agg(F.min(F.struct(rank.alias("r"), "file"))["file"].alias("file"))
 
@@ -151,16 +189,56 @@ def channel_names(docs: DataFrame, xml: str, n: int) -> DataFrame:
 
 
 def ome_records(docs: DataFrame, xml: str) -> DataFrame:
-    """uid, size_x, size_y, unit, names of OME XML documents, whatever their namespace; null where an attribute is absent."""
+    """uid, size_x, size_y, unit (of X, else of Y), names and colors of OME XML documents, whatever their
+    namespace; null where an attribute is absent. names and colors have one entry for each channel."""
+    at = lambda a: F.expr(f"get(xpath({xml}, \"//*[local-name()='Pixels']/@{a}\"), 0)")
     number = lambda a: F.expr(f"try_cast(get(xpath({xml}, \"//*[local-name()='Pixels']/@{a}\"), 0) as double)")
-    return docs.select("uid", number("PhysicalSizeX").alias("size_x"), number("PhysicalSizeY").alias("size_y"), length_unit(F.expr(f"get(xpath({xml}, \"//*[local-name()='Pixels']/@PhysicalSizeXUnit\"), 0)")).alias("unit"), F.expr(f"xpath({xml}, \"//*[local-name()='Channel']/@Name\")").alias("names"))
+    # an attribute that one of the channels lacks would shift a plain list of attributes: each is read by its channel's place
+    count = F.expr(f"cast(xpath_number({xml}, \"count(//*[local-name()='Pixels']/*[local-name()='Channel'])\") as int)")
+    listed = lambda a: F.expr(f"xpath({xml}, \"//*[local-name()='Pixels']/*[local-name()='Channel'][@{a}]/@{a}\")")
+    has = lambda a: F.expr(f"transform(xpath({xml}, \"//*[local-name()='Pixels']/*[local-name()='Channel'][@{a}]/@ID\"), x -> x)")
+    ids = F.expr(f"xpath({xml}, \"//*[local-name()='Pixels']/*[local-name()='Channel']/@ID\")")
+    by_id = lambda a: F.when(F.size(ids) == F.col("_n"), F.transform(ids, lambda x: F.try_element_at(F.map_from_arrays(has(a), listed(a)), x))).otherwise(F.when(F.size(listed(a)) == F.col("_n"), listed(a)))
+    rows = docs.withColumn("_n", count)
+    empty = F.array_repeat(F.lit(None).cast("string"), F.col("_n"))
+    names, colors = F.coalesce(by_id("Name"), empty), F.coalesce(by_id("Color"), empty)
+    return rows.select("uid", number("PhysicalSizeX").alias("size_x"), number("PhysicalSizeY").alias("size_y"), length_unit(F.coalesce(at("PhysicalSizeXUnit"), at("PhysicalSizeYUnit"))).alias("unit"), F.transform(names, lambda n: F.coalesce(n, F.lit(""))).alias("names"), F.transform(colors, lambda c: c.try_cast("int")).alias("colors"))
 
 
 def enriched(slides: DataFrame, records: DataFrame, overwrite: bool = False) -> DataFrame:
-    """slides(uid, size_x, size_y, unit) completed from records of the same columns; a record wins only with ``overwrite``."""
-    r = records.select("uid", *[F.col(c).alias(f"r_{c}") for c in ("size_x", "size_y", "unit")])
+    """slides(uid, size_x, size_y, unit, and if there stains and channel_colors) completed from
+    ome_records; a record wins only with ``overwrite``. Names and colours are completed by channel."""
+    r = records.select("uid", *[F.col(c).alias(f"r_{c}") for c in ("size_x", "size_y", "unit")], *[m.alias(f"r_{c}") for c, m in (("stains", channel_map), ("channel_colors", colour_map)) if c in slides.columns for m in [m(F.col("names" if c == "stains" else "colors"))]])
     pick = lambda c: F.coalesce(f"r_{c}", c) if overwrite else F.coalesce(c, f"r_{c}")
-    return slides.join(r, "uid", "left").withColumns({c: pick(c) for c in ("size_x", "size_y", "unit")}).drop("r_size_x", "r_size_y", "r_unit")
+
+    def merged(c: str) -> Column:
+        own = F.map_filter(c, lambda k, v: v.isNotNull() & (v.cast("string") != ""))
+        new = F.map_filter(f"r_{c}", lambda k, v: ~F.coalesce(F.map_contains_key(own, k), F.lit(False)))
+        return F.coalesce(f"r_{c}", c) if overwrite else F.coalesce(F.map_concat(own, new), own, f"r_{c}")
+
+    done = slides.join(r, "uid", "left").withColumns({c: pick(c) for c in ("size_x", "size_y", "unit")} | {c: merged(c) for c in ("stains", "channel_colors") if c in slides.columns})
+    return done.select(*slides.columns)
+
+
+def import_slides(files: DataFrame, docs: DataFrame, on: str = "19700101") -> DataFrame:
+    """New records of files(path, source), as one transform: defaults, then size, unit and channels from
+    the OME XML of docs(path, xml), where there is any. Columns: uid, path, filename, format, stem,
+    size_x, size_y, unit, stains and channel_colors (maps by channel)."""
+    named = with_defaults(files.select("path"), on=on).withColumnRenamed("stable_uid", "uid")
+    told = ome_records(docs.withColumnRenamed("path", "uid"), "xml").withColumnRenamed("uid", "path")
+    joined = named.join(told, "path", "left")
+    return joined.select("uid", "path", "filename", "format", "stem", "size_x", "size_y", "unit", channel_map(F.col("names")).alias("stains"), colour_map(F.col("colors")).alias("channel_colors"))
+
+
+def channel_map(names: Column) -> Column:
+    """Names by channel; an empty one is ch<i>."""
+    return F.map_from_entries(F.transform(names, lambda n, i: F.struct(i, F.when(n != "", n).otherwise(F.concat(F.lit("ch"), i)))))
+
+
+def colour_map(colors: Column) -> Column:
+    """Packed colours by channel, without channels that have none; null where no channel has one."""
+    entries = F.filter(F.transform(colors, lambda c, i: F.struct(i.alias("i"), c.alias("c"))), lambda e: e["c"].isNotNull())
+    return F.when(F.size(entries) > 0, F.map_from_entries(entries))
 
 
 def magnification(objective: Column, scales: Column) -> Column:

@@ -53,7 +53,7 @@ def levels_of(df: DataFrame, key: str = "uid") -> DataFrame:
 def common_levels(df: DataFrame, key: str = "uid") -> DataFrame:
     """Levels that every image has."""
     n = df.agg(F.count_distinct(key).alias("all"))
-    return df.groupBy("level").agg(F.count_distinct(key).alias("n")).join(F.broadcast(n)).where("n = all").select("level")
+    return df.groupBy("level").agg(F.count_distinct(key).alias("n")).join(n).where("n = all").select("level")
 
 
 def level_shapes(df: DataFrame, key: str = "uid") -> DataFrame:
@@ -111,13 +111,13 @@ def bilinear_resampled(pixels: DataFrame, keys: list[str], h: int, w: int, to_h:
 def size_capped(pixels: DataFrame, keys: list[str], longest: int) -> DataFrame:
     """Area means over square blocks, so that the longest side is at most ``longest``."""
     shape = pixels.groupBy(*keys).agg(F.ceil((F.greatest(F.max("y"), F.max("x")) + 1) / longest).cast("long").alias("stride"))
-    at = pixels.join(F.broadcast(shape), keys)
+    at = pixels.join(shape, keys)
     return at.groupBy(*keys, F.expr("y div stride").alias("y"), F.expr("x div stride").alias("x")).agg(F.avg("value").alias("value"))
 
 
 def affine_sampled(pixels: DataFrame, transforms: DataFrame, key: str, h: int, w: int) -> DataFrame:
     """key, y, x, value: each target pixel takes the source pixel that its slide's inverse transform
     (a00, a01, a10, a11, b0, b1) maps it to, rounded half up; targets that leave the image have no row."""
-    grid = F.broadcast(transforms).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(h - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(w - 1))))
+    grid = transforms.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(h - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(w - 1))))
     src = grid.select(key, F.col("y").cast("long").alias("ty"), F.col("x").cast("long").alias("tx"), F.floor(F.expr("a00 * y + a01 * x + b0 + 0.5")).alias("y"), F.floor(F.expr("a10 * y + a11 * x + b1 + 0.5")).alias("x"))
     return src.join(pixels, [key, "y", "x"]).select(key, F.col("ty").alias("y"), F.col("tx").alias("x"), "value")

@@ -190,3 +190,81 @@ def test_loop_groups_and_exits(spark):
     edges = loops.select("u", "v").union(spark.createDataFrame([(4, 5), (10, 20), (11, 20)], "u long, v long"))
     assert {(r.loop, r.group) for r in graph.loop_groups(loops).collect()} == {(1, 1), (2, 1), (3, 3)}
     assert {(r.group, r.exits) for r in graph.weakly_attached_groups(loops, edges).collect()} == {(1, 1)}
+
+
+def test_parallel_edges_stay_apart_when_chains_are_contracted(spark):
+    edges = spark.createDataFrame([(1, 2, 3), (1, 2, 5), (1, 3, 1), (1, 4, 1), (2, 5, 1), (2, 6, 1), (6, 7, 2)], "u long, v long, length long")
+    got = sorted((r.u, r.v, r.length, r.pieces) for r in graph.chains(edges).collect())
+    assert got == [(1, 2, 3, 1), (1, 2, 5, 1), (1, 3, 1, 1), (1, 4, 1, 1), (2, 5, 1, 1), (2, 7, 3, 2)]
+
+
+def test_arms_around_the_circle(spark):
+    df = spark.createDataFrame([(1, 179.0), (1, -179.0), (2, 0.0), (2, 90.0), (2, 100.0), (3, 350.0)], "node long, angle double")
+    assert {r.node: r.arms for r in graph.arms(df, "node").collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_parallel_edges_go_only_where_they_overlap(spark):
+    straight = [(0, 0), (20, 0)]
+    paths = {1: straight, 2: [(0, 1), (20, 1)], 3: [(0, 0), (10, 12), (20, 0)], 4: [(20, 0), (0, 0)], 5: [(0, 0), (0, 9)]}
+    ends = {1: (7, 8), 2: (7, 8), 3: (7, 8), 4: (8, 7), 5: (7, 9)}
+    lines = spark.createDataFrame([(e, k, x, y) for e, pts in paths.items() for k, (x, y) in enumerate(pts)], "line long, seq int, px long, py long")
+    edges = spark.createDataFrame([(e, u, v) for e, (u, v) in ends.items()], "eid long, u long, v long")
+    assert {r.eid for r in graph.without_parallel(edges, lines).collect()} == {1, 3, 5}
+    assert graph.without_parallel(edges.where("false"), lines).count() == 0
+
+
+def test_filled_polygons(spark):
+    shapes = {1: [(0, 0), (6, 0), (6, 4), (0, 4)], 2: [(2, 1), (9, 8), (2, 8)], 3: [(0, 0), (8, 0), (4, 4), (8, 8), (0, 8)], 4: [(3, 3)], 5: [(0, 0), (5, 5)]}
+    df = spark.createDataFrame([(k, k, i, x, y) for k, pts in shapes.items() for i, (x, y) in enumerate(pts)], "uid long, line long, seq int, px long, py long")
+    got = {(r.uid, r.y, r.x) for r in graph.filled_polygons(df, ["uid"]).collect()}
+
+    def inside(pts, y, x):
+        odd = False
+        for (ax, ay), (bx, by) in zip(pts, pts[1:] + pts[:1], strict=True):
+            if (by - ay) * (x - ax) == (y - ay) * (bx - ax) and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
+                return True
+            if (ay > y) != (by > y) and x < ax + (y - ay) * (bx - ax) / (by - ay):
+                odd = not odd
+        return odd
+
+    assert got == {(k, y, x) for k, pts in shapes.items() for y in range(-1, 11) for x in range(-1, 11) if inside(pts, y, x)}
+
+
+def test_portality_counts_only_what_is_inside(spark):
+    rows = ["0000000", "0111110", "0111110", "0111110", "0000000"]
+    df = image(spark, rows).select("uid", "y", "x", F.when(F.col("value") == 1, 1).alias("label"), F.expr("(y = 2 and x = 3) or (y = 0 and x = 0)").alias("central"), F.lit(False).alias("portal"))
+    got = {(r.y, r.x): r.portality for r in distance.portality(df).collect()}
+    assert got[0, 0] is None and got[2, 3] == 1.0 and got[1, 1] == 0.0 and got[2, 2] == pytest.approx(0.5) and len(got) == 35
+
+
+def test_border_rings(spark):
+    block = [(1, 1, y, x) for y in range(12) for x in range(12)] + [(1, 2, y, x) for y in range(20, 24) for x in range(20, 24)]
+    regions = spark.createDataFrame(block, "uid long, label long, y long, x long")
+    beside = spark.createDataFrame([(1, y, 12) for y in range(12)], "uid long, y long, x long")
+    hole, rim = stencil.border_rings(regions, beside, ["uid"], 2)
+    assert {r.label for r in hole.collect()} == {1} == {r.label for r in rim.collect()}
+    assert hole.count() == 16 and rim.count() == 48
+    assert stencil.border_rings(regions, beside.where("false"), ["uid"], 2)[0].count() == 0
+
+
+def test_instances_choose_their_radius_by_slide(spark):
+    walls = [(u, y, x) for u, gap in ((1, 0), (2, 3)) for y in range(10, 31) for x in range(10, 31) if (y in (10, 30) or x in (10, 30)) and not (y == 10 and 20 <= x < 20 + gap)]
+    got = pipeline.gap_closed_instances(spark.createDataFrame(walls, "uid long, y long, x long"), 41, 41)
+    assert {r.uid for r in got.select("uid").distinct().collect()} == {1, 2}
+
+
+def test_statistics_round_trip_as_csv(spark, tmp_path):
+    from histospark.sources.reports import read_statistics, write_statistics
+
+    raw, summary = spark.createDataFrame([("a,b", 1.5)], "stain string, value double"), spark.createDataFrame([("a", 2)], "stain string, n long")
+    write_statistics(raw, summary, str(tmp_path))
+    assert read_statistics(spark, str(tmp_path), "lobule_stats_raw", raw.schema.simpleString()[7:-1].replace(":", " ")).collect() == raw.collect()
+    assert read_statistics(spark, str(tmp_path), "summarized_stats", "stain string, n long").collect() == summary.collect()
+
+
+def test_unknown_profiles_are_errors_when_strict(spark):
+    none = F.lit(None).cast("string")
+    df = spark.createDataFrame([("eosin",)], "s string")
+    assert df.select(catalog.stain_profile(none, F.array("s"), none, none)).first()[0] is None
+    with pytest.raises(Exception, match="profile"):
+        df.select(catalog.stain_profile(none, F.array("s"), none, none, strict=True)).collect()

@@ -9,6 +9,8 @@ import pytest
 from histospark.plans import catalog
 
 SLOW = {"bridges", "terminal_mst", "spanning_tree", "chain_contraction", "prune_branches", "load_stack", "roi"}
+#: Queries whose result may be empty on the smallest tables.
+MAY_BE_EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -39,8 +41,8 @@ def test_query_equals_sql(spark, data, db, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL) - SLOW))
 def test_query_runs(spark, data, name):
-    df = catalog.QUERIES[name](spark, data)
-    assert df.columns and df.count() >= 0
+    rows = catalog.QUERIES[name](spark, data).collect()
+    assert rows or name in MAY_BE_EMPTY
 
 
 def test_entry_has_rows(spark):
