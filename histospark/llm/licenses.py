@@ -1,8 +1,10 @@
 """Licence scans: TF-IDF cosine of lines and files to templates, then inheritance by directories.
 
-Every line of a file and the file as a whole are compared with licence templates: sparse vectors of
-their words, weighted by inverse document frequencies over all files, and the cosine. A licence file
-gives its licence to the files below its directory that name none; the nearest ancestor counts.
+Every line of a file, runs of lines and the file as a whole are compared with licence templates
+(notices, headers wrapped over lines, and whole texts of short licences): sparse vectors of their
+words, weighted by inverse document frequencies over all files, and the cosine. Long licences are
+recognised by the notice that their text holds. An SPDX tag names its licence outright. A licence
+file gives its licence to the files below its directory that name none; the nearest ancestor counts.
 """
 
 from __future__ import annotations
@@ -19,20 +21,53 @@ from pyspark.sql import functions as F
 
 from histospark.llm.common import written
 
-#: Licence notices as they are commonly written, by SPDX identifier.
+#: Parts that licence texts share, as they are commonly written.
+BSD_START = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+#: Licence notices, headers and texts as they are commonly written, by SPDX identifier.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
+    (
+        "Apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    ),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
+    ("MIT", MIT_GRANT),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3."),
+    (
+        "GPL-3.0",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.""",
+    ),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("BSD-3-Clause", "\n".join((BSD_START, BSD_THIRD, BSD_END))),
+    ("BSD-2-Clause", "\n".join((BSD_START, BSD_END))),
+    ("ISC", ISC_TEXT),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 )
+#: A tag that names the licence of its file.
+TAG = re.compile(r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.+-]+)")
+#: Runs of lines have at most and at least so many times a template's words.
+LONGEST, SHORTEST = 1.7, 0.5
 #: Least cosine of a line or file to a template.
 ALIKE = 0.8
 #: File names that hold a directory's licence.
@@ -82,7 +117,10 @@ class Matcher:
             for t, x in v.items():
                 self.along.setdefault(t, []).append((k, x / norm))
         # a text that shares none of a template's anchors can't reach the least cosine with it
-        self.anchors = {t for _, v, norm in self.templates for t in self.rarest(v, norm)}
+        own = [set(self.rarest(v, norm)) for _, v, norm in self.templates]
+        self.anchors = set().union(*own)
+        #: anchors, words, and each word's share of the squared length, of each template
+        self.shapes = [(a, len(terms(text)), {t: (x / norm) ** 2 for t, x in v.items()}) for a, (_, text), (_, v, norm) in zip(own, TEMPLATES, self.templates, strict=True)]
 
     def vector(self, words: list[str]) -> dict[str, float]:
         return {t: n * self.idf.get(t, self.least) for t, n in Counter(words).items()}
@@ -97,9 +135,9 @@ class Matcher:
             left -= x * x
         return out
 
-    def compare(self, found: Counter) -> tuple[str, float, float, list[tuple[str, int]]] | None:
-        """Licence of the nearest template, the vector's length along it, the squared length of the words
-        with a document frequency, and the other words; None if the cosine is surely too low."""
+    def compare(self, found: Counter, only: int | None = None) -> tuple[str, float, float, list[tuple[str, int]]] | None:
+        """Licence of the nearest template (or of one alone), the vector's length along it, the squared length of the
+        words with a document frequency, and the other words; None if the cosine is surely too low."""
         if self.anchors.isdisjoint(found):
             return None
         dots, known, rest = [0.0] * len(self.templates), 0.0, []
@@ -111,15 +149,44 @@ class Matcher:
             known += x * x
             for k, y in self.along.get(t, ()):
                 dots[k] += x * y
-        length, name = max((dot, name) for dot, (name, _, _) in zip(dots, self.templates, strict=True))
+        length, name = max((dot, name) for k, (dot, (name, _, _)) in enumerate(zip(dots, self.templates, strict=True)) if only in (None, k))
         at_least = sqrt(known + sum((n * self.least) ** 2 for _, n in rest))
         return (name, length, known, rest) if length >= self.alike * at_least * (1 - 1e-9) else None
 
+    def may_reach(self, k: int, held: Counter | set[str]) -> bool:
+        """Whether the words of template k among these are long enough for the least cosine."""
+        anchors, _, shares = self.shapes[k]
+        return not anchors.isdisjoint(held) and sum(x for t, x in shares.items() if t in held) >= self.alike**2 * (1 - 1e-9)
+
+    def runs(self, lines: list[Counter]) -> Iterator[tuple[int, tuple]]:
+        """First line and comparison of runs of two lines or more that may reach a template."""
+        every = set().union(*lines)
+        sizes = [c.total() for c in lines]
+        for k, (_, words, shares) in enumerate(self.shapes):
+            if not self.may_reach(k, every):
+                continue
+            hit = [not shares.keys().isdisjoint(c) for c in lines]
+            for start in range(len(lines)):
+                if not hit[start]:
+                    continue
+                run, size = Counter(lines[start]), sizes[start]
+                for end in range(start + 1, len(lines)):
+                    size += sizes[end]
+                    if size > LONGEST * words:
+                        break
+                    run.update(lines[end])
+                    if size >= SHORTEST * words and hit[end] and self.may_reach(k, run) and (c := self.compare(run, k)):
+                        yield start, c
+
     def candidates(self, text: str | None) -> list[tuple[int, str, float, float, list[tuple[str, int]]]]:
-        """Line (from 0; -1: the file as a whole) and comparison of what may reach the least cosine."""
-        lines = [Counter(terms(line)) for line in (text or "").split("\n")]
+        """Line (from 0; -1: the file as a whole) and comparison of what may reach the least cosine; an
+        SPDX tag is a line of its own with a cosine of 1."""
+        raw = (text or "").split("\n")
+        tags = [(k, m[1], 1.0, 1.0, []) for k, line in enumerate(raw) if "SPDX" in line and (m := TAG.search(line))]
+        lines = [Counter(terms(line)) for line in raw]
         units = [(-1, sum_of(lines)), *enumerate(lines)]
-        return [(k, *c) for k, found in units if (c := self.compare(found))]
+        found = tags + [(k, *c) for k, found in units if (c := self.compare(found))]
+        return found + ([(k, *c) for k, c in self.runs(lines)] if len(lines) > 1 and not self.anchors.isdisjoint(units[0][1]) else [])
 
     def best(self, text: str) -> tuple[float, str | None]:
         """Cosine and licence of the nearest template, words without a document frequency being as frequent as they may be."""
@@ -146,8 +213,9 @@ def sum_of(counters: list[Counter]) -> Counter:
 def scan_licenses(files: DataFrame, alike: float = ALIKE, common: int = COMMON) -> DataFrame:
     """file_id, path, license_id, score, line, inherited_from, for files(file_id, path, text).
 
-    A file's own licence is that of its best line, or of the file as a whole, at a cosine of at least
-    ``alike``. Licence files are those of such a name with an own licence, and those that are a
+    A file's own licence is that of its best line or run of lines (``line`` is its first), or of the
+    file as a whole (-1), at a cosine of at least ``alike``; a run has at most LONGEST times the words
+    of the template that it is compared with. An SPDX tag counts as a line with a cosine of 1. Licence files are those of such a name with an own licence, and those that are a
     licence as a whole. A file without an own licence gets that of the nearest directory above it
     with a licence file (of several there, the one with the best score, then the least path), and
     ``inherited_from`` names that directory. Null or empty texts have no own licence; a null path is
@@ -171,12 +239,12 @@ def scan_licenses(files: DataFrame, alike: float = ALIKE, common: int = COMMON)
     kind = files.schema["file_id"].dataType.simpleString()
     unit = "struct<line: long, name: string, along: double, known: double, rest: array<struct<term: string, times: long>>>"
     rows = written(files.select("file_id", "path", "text").mapInPandas(scan, f"row long, file_id {kind}, path string, units array<{unit}>"), "candidates")
-    units = rows.select("row", F.inline("units"))
+    units = rows.select("row", F.posexplode("units").alias("unit", "u")).select("row", "unit", "u.*")
     # what isn't among the frequencies is in one file
     idf = F.log((n + 1.0) / (F.coalesce("n", F.lit(1)) + 1)) + 1
-    rest = units.select("row", "line", F.inline("rest")).join(words, "term", "left").groupBy("row", "line").agg(F.sort_array(F.collect_list(F.struct("term", F.pow(F.col("times") * idf, 2).alias("x")))).alias("rest"))
+    rest = units.select("row", "unit", F.inline("rest")).join(words, "term", "left").groupBy("row", "unit").agg(F.sort_array(F.collect_list(F.struct("term", F.pow(F.col("times") * idf, 2).alias("x")))).alias("rest"))
     square = F.coalesce(F.aggregate("rest", F.lit(0.0), lambda a, w: a + w["x"]), F.lit(0.0)) + F.col("known")
-    scored = units.drop("rest").join(rest, ["row", "line"], "left").withColumn("score", F.col("along") / F.sqrt(square)).where(F.col("score") >= alike)
+    scored = units.drop("rest").join(rest, ["row", "unit"], "left").withColumn("score", F.col("along") / F.sqrt(square)).where(F.col("score") >= alike)
     top = scored.groupBy("row").agg(F.max(F.struct("score", (-F.col("line")).alias("before"), "name")).alias("top"), F.max(F.col("line") == -1).alias("whole"))
     best = top.select("row", "whole", F.col("top.name").alias("license_id"), F.least(F.col("top.score"), F.lit(1.0)).alias("score"), (-F.col("top.before")).alias("line"))
     scanned = rows.drop("units").join(best, "row", "left").drop("row").fillna({"whole": False, "score": 0.0, "line": -1})

@@ -87,11 +87,12 @@ def op8_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: a folder for each source, in it one for each thousand ids, and in that one
-    for each hundred, whose first document is its licence file."""
+    for each hundred, whose first document is its licence file; a null source is 'none', and documents
+    without an id stand in no folder."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     name = F.when(F.col("doc_id") % 100 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 100), name)
+    path = F.when(F.col("doc_id").isNotNull(), F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 100), name))
     found = licenses.scan_licenses(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text"))
     return found.withColumnRenamed("file_id", "doc_id")
 

@@ -282,3 +282,68 @@ def test_sha1_names():
     from histospark.llm.warc import base32_sha1
 
     assert base32_sha1(b"") == base64.b32encode(hashlib.sha1(b"").digest()).decode() and len(base32_sha1(b"x")) == 32
+
+
+def wrapped(text, mark="", width=70):
+    import textwrap
+
+    return "\n".join(f"{mark}{line}" for part in text.split("\n") for line in textwrap.wrap(part, width))
+
+
+def test_whole_licences_headers_and_tags(spark):
+    import os
+
+    code = "\n".join(f"value_{k} = compute({k}, other_{k % 7})" for k in range(200))
+    mit = "MIT License\n\nCopyright (c) 2021 Some Body\n\n" + wrapped(licenses.MIT_GRANT)
+    bsd3 = "Copyright 2020 A. B.\n" + wrapped("\n".join((licenses.BSD_START, licenses.BSD_THIRD, licenses.BSD_END)))
+    bsd2 = "Copyright 2020 A. B.\n" + wrapped("\n".join((licenses.BSD_START, licenses.BSD_END)))
+    gpl, apache = (next(t for n, t in licenses.TEMPLATES if n == name and t.count("\n")) for name in ("GPL-3.0", "Apache-2.0"))
+    files = {"MIT": [mit, "# head\n" + code + "\n" + wrapped(licenses.MIT_GRANT, "# ")], "BSD-3-Clause": [bsd3], "BSD-2-Clause": [bsd2, wrapped(bsd2, " * ") + "\n" + code], "ISC": [wrapped(licenses.ISC_TEXT, "// ") + "\n" + code]}
+    files |= {"GPL-3.0": [wrapped(gpl, "# ") + "\n" + code, wrapped(gpl.split("\n")[0], "# ") + "\n" + code], "Apache-2.0": [wrapped(apache, " * ", 60) + "\n" + code, "// SPDX-License-Identifier: Apache-2.0\n" + code], "MPL-2.0": ["<!-- SPDX-License-Identifier: (MPL-2.0 OR MIT) -->"]}
+    for name, file in (("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3"), ("MPL-2.0", "MPL-2.0")):
+        if os.path.exists(f"/usr/share/common-licenses/{file}"):
+            files[name].append(open(f"/usr/share/common-licenses/{file}", encoding="utf-8").read())
+    want = [(name, text) for name, texts in files.items() for text in texts] + [(None, code), (None, "licensed under no terms at all by the software people")]
+    got = scan(spark, [(k, f"d{k}/f", text) for k, (_, text) in enumerate(want)])
+    assert [got[k].license_id for k in range(len(want))] == [name for name, _ in want]
+
+
+def brute_scan(texts):
+    """Licence and cosine of each text: all lines, runs of lines and the whole, under exact document frequencies."""
+    from collections import Counter
+    from math import log, sqrt
+
+    own = [[licenses.terms(line) for line in (t or "").split("\n")] for t in texts]
+    held = Counter(w for t in own for w in {w for line in t for w in line})
+    idf = lambda w: log((len(texts) + 1) / (max(held[w], 1) + 1)) + 1
+    vector = lambda ws: {w: n * idf(w) for w, n in Counter(ws).items()}
+    size = lambda v: sqrt(sum(x * x for x in v.values()))
+    made = [(name, len(licenses.terms(t)), vector(licenses.terms(t))) for name, t in licenses.TEMPLATES]
+    out = []
+    for lines in own:
+        best = (0.0, None)
+        for name, words, v in made:
+            runs = [[w for line in lines for w in line], *lines]
+            runs += [r for a in range(len(lines)) for b in range(a + 2, len(lines) + 1) if licenses.SHORTEST * words <= len(r := [w for line in lines[a:b] for w in line]) <= licenses.LONGEST * words]
+            for u in map(vector, runs):
+                if u:
+                    cosine = sum(x * v.get(w, 0) for w, x in u.items()) / size(u) / size(v)
+                    best = max(best, (cosine, name), key=lambda p: (round(p[0], 9), p[1] or ""))
+        out.append(best if best[0] >= licenses.ALIKE else (0.0, None))
+    return out
+
+
+def test_license_cosines_equal_brute_force(spark):
+    rng = random.Random(21)
+    filler = [f"word{k}" for k in range(40)] + ["software", "license", "the", "of", "copyright"]
+    texts = [None, "", "\n\n"]
+    for _ in range(60):
+        _, t = rng.choice(licenses.TEMPLATES)
+        kept = " ".join(w for w in t.split() if rng.random() < rng.choice([0.8, 0.95, 1.0]))
+        prose = lambda: "\n".join(" ".join(rng.choice(filler) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 6)))
+        texts.append(f"{prose()}\n{wrapped(kept, '# ', rng.choice([30, 60]))}\n{prose()}")
+    got = scan(spark, [(k, None, t) for k, t in enumerate(texts)] + [(999, None, texts[5])])
+    want = brute_scan([*texts, texts[5]])
+    for k in range(len(texts)):
+        assert (got[k].license_id is None) == (want[k][1] is None) and abs(got[k].score - min(want[k][0], 1.0)) < 1e-6, k
+        assert got[k].license_id in (want[k][1], next((n for c, n in [want[k]] if c), None))
