@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from histospark.llm import bpe, langid, minhash, mixing, quality
-from histospark.llm.common import fresh_path, n_words, small_batches, table
+from histospark.llm.common import fresh_path, n_words, quoted, small_batches, table
 from histospark.llm.queries import GOOD, tokenizer_path
 
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -42,7 +42,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     small_batches(spark)
     found = minhash.near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
     extra = found.where("not kept").select(F.col("doc_id").alias("_extra")).distinct()
-    row = docs.select(F.struct(*docs.columns).alias("doc"))
+    row = docs.select(F.struct(*map(quoted, docs.columns)).alias("doc"))
     left = row.join(extra, F.col("doc.doc_id") == F.col("_extra"), "left_anti")
     place = F.row_number().over(Window.partitionBy(F.col("doc.doc_id"), F.when(F.col("doc.doc_id").isNull(), F.xxhash64("doc.text"))).orderBy("doc.text"))
     return left.withColumn("place", place).where((F.col("place") == 1) | F.col("doc.doc_id").isNull()).select("doc.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from histospark.operators.iterate import fresh_path, removed, shared_dir, written
 
-__all__ = ["WORD", "fresh_path", "held_out", "n_words", "removed", "shared_dir", "small_batches", "table", "written"]
+__all__ = ["WORD", "fresh_path", "held_out", "n_words", "quoted", "removed", "shared_dir", "small_batches", "table", "written"]
 
 #: A word: a maximal run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,7 +26,13 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def quoted(name: str) -> str:
+    """A column's name as F.col and the like take it, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Python workers get at most so many texts at once, so that their memory stays bounded."""
+    """Python workers get at most so many texts at once, so that their memory stays bounded. The session
+    keeps this setting, as queries run after their functions return."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from histospark.llm.common import written
+from histospark.llm.common import quoted, written
 
 #: Weights of the sources in code-point order, repeating; a null source comes last.
 WEIGHTS = (5, 2, 1)
@@ -60,7 +60,7 @@ def systematic_mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEI
     Null texts have size 0; a null source is a source of its own; null ids count as 0 in the order
     and repeated rows are documents of their own; sources without words have target 0 and no copies.
     """
-    doc = [F.struct(*docs.columns).alias("doc")] if carry else []
+    doc = [F.struct(*map(quoted, docs.columns)).alias("doc")] if carry else []
     rows = docs.select("doc_id", "source", size.alias("size"), *doc)
     rows = rows if carry else written(rows, "sizes")  # texts are read once
     key = F.coalesce(F.concat(F.lit("1"), F.col("source")), F.lit("2"))  # a null source joins itself

@@ -185,7 +185,7 @@ def test_pipeline_keeps_what_it_should(spark, data):
 
     rows = spark.read.parquet(f"{data}/documents.parquet")
     odd = spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "", "en", "s", 0), (None, "Some plain words in a row here.", "en", None, 3)], rows.schema)
-    docs = rows.union(odd).union(rows.limit(5)).withColumns({"doc": F.lit(1), "score": F.lit("x"), "copies": F.lit(None).cast("int")})
+    docs = rows.union(odd).union(rows.limit(5)).withColumns({"doc": F.lit(1), "score": F.lit("x"), "copies": F.lit(None).cast("int"), "a.b`c": F.lit(2)})
     seen = docs
     for name, stage in p.STAGES[:-1]:
         out = stage(spark, docs, data)
