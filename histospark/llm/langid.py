@@ -116,7 +116,7 @@ def fit_grams(x: np.ndarray, y: list[str]) -> LanguageModel:
     return LanguageModel(languages, code, w, b, trust / max(trust.mean(), 1e-9))
 
 
-def sampled(labelled: DataFrame, share: int) -> DataFrame:
+def sampled(labelled: DataFrame, counts: dict[str, int], share: int) -> DataFrame:
     """lang, text and place of the first ``share`` rows of each language by a hash of the id.
 
     Each language's count gives a bound of the hash that about twice as many rows and fifty more
@@ -124,8 +124,10 @@ def sampled(labelled: DataFrame, share: int) -> DataFrame:
     """
     order = F.xxhash64(F.col("doc_id").cast("long"), F.lit(9))
     below = F.pmod(order, F.lit(1 << 40)) * F.col("rows") < F.lit(float(2 * share + 50)) * (1 << 40)
-    counts = labelled.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("rows"))
-    few = labelled.join(counts, F.col("lang") == F.col("of")).where(below).select("doc_id", "lang", "text")
+    rows = labelled.sparkSession.createDataFrame(sorted(counts.items()), "of string, rows long")
+    # the model holds a codeword for each language anyway; beyond so many, texts are shuffled for the join
+    rows = F.broadcast(rows) if len(counts) <= 100_000 else rows
+    few = labelled.join(rows, F.col("lang") == F.col("of")).where(below).select("doc_id", "lang", "text")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id", "text"))
     return few.withColumn("place", place).where(F.col("place") <= share)
 
@@ -138,7 +140,8 @@ def fit_languages(docs: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageModel:
     each. Without labelled rows every prediction is ``und``.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    known = labelled.select("lang").distinct().count()
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().toLocalIterator()}
+    known = len(counts)
     if not known:
         return LanguageModel([], np.zeros((0, 0)), np.zeros((FEATURES, 0)), np.zeros(0), np.zeros(0))
 
@@ -147,7 +150,7 @@ def fit_languages(docs: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageModel:
             x = [gram_counts(t) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"], "x": [None if v is None else v.astype(np.float32).tobytes() for v in x]}, dtype=object)
 
-    chosen = sampled(labelled, max(LEAST_ROWS, rows // known)).select("doc_id", "lang", "text")
+    chosen = sampled(labelled, counts, max(LEAST_ROWS, rows // known)).select("doc_id", "lang", "text")
     got = chosen.mapInPandas(grams, "doc_id long, lang string, x binary").where("x is not null").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id", "x").toLocalIterator()
     x, y = np.zeros((known * max(LEAST_ROWS, rows // known), FEATURES), dtype=np.float32), []
     for row in got:

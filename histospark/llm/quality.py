@@ -50,7 +50,7 @@ def dense(index: np.ndarray) -> np.ndarray:
     out = np.zeros((len(index), DIMENSIONS), dtype=np.float32)
     for j in range(ENTRIES):
         out[np.arange(len(index)), index[:, j] // 2] += 1 - 2 * (index[:, j] % 2)
-    return out / np.sqrt(ENTRIES)
+    return out / np.float32(np.sqrt(ENTRIES))
 
 
 class Seen(dict):
@@ -60,7 +60,7 @@ class Seen(dict):
         self.words, self.shapes = words, shapes
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 150_000:
+        if len(self) > 60_000:
             self.clear()
         low = token.lower()
         word = self.words.get(low)
@@ -101,7 +101,7 @@ def context_vectors(docs: list[np.ndarray], n: int, index: np.ndarray) -> np.nda
 
 @dataclass
 class QualityModel:
-    """All that a score needs; about ten megabytes, whatever the size of the corpus."""
+    """All that a score needs; about 25 megabytes, whatever the size of the corpus."""
 
     words: dict[str, int]
     shapes: dict[str, int]
