@@ -69,6 +69,7 @@ def systematic_mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEI
     classes = slots.groupBy("k", "cls").agg(F.sum("n").alias("n"))
     bits = F.greatest(F.lit(0), F.least(F.lit(SLOT_BITS), F.ceil(F.log2(F.col("n") / group_rows)))).cast("int")
     classes = classes.select("k", "cls", F.pow(F.lit(2), SLOT_BITS - bits).cast("int").alias("wide"))
+    classes = written(classes, "classes")  # so that its size is known where the documents are joined with it
     part = F.floor(F.col("slot") / F.col("wide")).cast("int").alias("part")
     groups = slots.join(classes, ["k", "cls"]).groupBy("k", "cls", part).agg(F.sum("n").alias("n"))
     totals = source_targets(slots.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
