@@ -56,8 +56,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     path = tokenizer_path()
-    ids = docs.select("doc_id", "source", "lang", bpe.bpe_encode(F.col("text"), path).alias("ids"))
-    both = ids.withColumn("decoded", bpe.bpe_decode(F.col("ids"), path))
+    both = docs.select("doc_id", "source", "lang", bpe.bpe_round_trip(F.col("text"), path).alias("both")).select("doc_id", "source", "lang", "both.*")
     return both.select("doc_id", "source", "lang", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 

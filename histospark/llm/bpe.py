@@ -228,6 +228,21 @@ def bpe_decode(ids: Column, path: str) -> Column:
     return decode(ids)
 
 
+def bpe_round_trip(text: Column, path: str, step: int = 256) -> Column:
+    """struct<ids, decoded>: the token ids of each text, and the text that these ids give, in one pass through a
+    worker. Both are as bpe_encode and bpe_decode have them."""
+
+    @F.pandas_udf("ids array<int>, decoded string")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = encoder(path)
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch]
+            ids = [x for k in range(0, len(texts), step) for x in own.encode(texts[k : k + step])]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([decoded(own.vocabulary.bytes, x) for x in ids], dtype=object)})
+
+    return both(text)
+
+
 def decoded(known: list[bytes], ids: np.ndarray | None) -> str:
     if ids is None:
         return ""

@@ -151,7 +151,7 @@ def fit_languages(docs: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageModel:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"], "x": [None if v is None else v.astype(np.float32).tobytes() for v in x]}, dtype=object)
 
     chosen = sampled(labelled, counts, max(LEAST_ROWS, rows // known)).select("doc_id", "lang", "text")
-    order = (F.xxhash64("doc_id", F.lit(9)), F.col("doc_id"), F.col("x"))
+    order = (F.xxhash64("doc_id", F.lit(9)), F.col("doc_id"), F.xxhash64("x"))
     sample = chosen.mapInPandas(grams, "doc_id long, lang string, x binary").where("x is not null")
     # rows come to the driver a few hundred at a time
     got = sample.repartitionByRange(max(1, known * max(LEAST_ROWS, rows // known) // 250), *order).sortWithinPartitions(*order).toLocalIterator()

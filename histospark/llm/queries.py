@@ -34,8 +34,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     path = tokenizer_path()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = docs.select("doc_id", bpe.bpe_encode(F.col("text"), path).alias("ids"))
-    both = ids.select("doc_id", "ids", bpe.bpe_decode(F.col("ids"), path).alias("decoded"))
+    both = docs.select("doc_id", bpe.bpe_round_trip(F.col("text"), path).alias("both")).select("doc_id", "both.*")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 

@@ -44,6 +44,16 @@ def test_bpe_equals_the_library(spark, tokenizer):
         assert row.back == tokenizer.decode(list(row.ids), skip_special_tokens=False) == (text or "")
 
 
+def test_bpe_in_one_pass_equals_both_steps(spark):
+    texts = [*ODD, *ODD]
+    df = docs(spark, texts)
+    got = df.select("doc_id", bpe.bpe_round_trip(F.col("text"), tokenizer_path()).alias("b")).select("doc_id", "b.ids", "b.decoded")
+    ids = df.select("doc_id", bpe.bpe_encode(F.col("text"), tokenizer_path()).alias("ids"))
+    want = ids.select("doc_id", "ids", bpe.bpe_decode(F.col("ids"), tokenizer_path()).alias("decoded"))
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert df.where("false").select(bpe.bpe_round_trip(F.col("text"), tokenizer_path())).count() == 0
+
+
 def test_bpe_decode_of_odd_ids(spark):
     rows = spark.createDataFrame([(None,), ([],), ([10**6, -1],)], "ids array<int>")
     assert [r[0] for r in rows.select(bpe.bpe_decode(F.col("ids"), tokenizer_path())).collect()] == ["", "", ""]
