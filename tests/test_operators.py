@@ -268,3 +268,10 @@ def test_unknown_profiles_are_errors_when_strict(spark):
     assert df.select(catalog.stain_profile(none, F.array("s"), none, none)).first()[0] is None
     with pytest.raises(Exception, match="profile"):
         df.select(catalog.stain_profile(none, F.array("s"), none, none, strict=True)).collect()
+
+
+def test_vessels_take_the_zone_around_them(spark):
+    hole = spark.createDataFrame([(1, 1, y, x) for y in range(10, 14) for x in range(10, 14)], "uid long, label long, y long, x long")
+    zones = spark.createDataFrame([(1, y, x, "PP" if x < 18 else "PV") for y in range(24) for x in range(24)], "uid long, y long, x long, zone string")
+    assert [(r.label, r.zone) for r in pipeline.vessels(hole, zones, 2, 5, 0.4).collect()] == [(1, "PP")]
+    assert pipeline.vessels(hole, zones, 2, 50, 0.4).count() == 0

@@ -9,8 +9,8 @@ import pytest
 from histospark.plans import catalog
 
 SLOW = {"bridges", "terminal_mst", "spanning_tree", "chain_contraction", "prune_branches", "load_stack", "roi"}
-#: Queries whose result may be empty on the smallest tables.
-MAY_BE_EMPTY: set[str] = set()
+#: The smallest tables hold half a slide, in which these find nothing; tests/test_operators.py has cases with results.
+MAY_BE_EMPTY = {"instances", "rule_b", "vessels"}
 
 
 @pytest.fixture(scope="module")
