@@ -118,7 +118,7 @@ def merge_rows(vocabulary: Vocabulary, words: list[bytes], size: np.ndarray, wid
 class Encoder:
     """Encodes texts; remembers at most ``most`` pieces of text with their ids."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 200_000, cells: int = 1 << 18):
+    def __init__(self, vocabulary: Vocabulary, most: int = 60_000, cells: int = 1 << 17):
         self.vocabulary, self.most, self.cells = vocabulary, most, cells
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -228,7 +228,7 @@ def bpe_decode(ids: Column, path: str) -> Column:
     return decode(ids)
 
 
-def bpe_round_trip(text: Column, path: str, step: int = 256) -> Column:
+def bpe_round_trip(text: Column, path: str, step: int = 192) -> Column:
     """struct<ids, decoded>: the token ids of each text, and the text that these ids give, in one pass through a
     worker. Both are as bpe_encode and bpe_decode have them."""
 
