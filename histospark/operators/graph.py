@@ -389,11 +389,12 @@ def edge_faces(edge_pixels: DataFrame, face_pixels: DataFrame, least: float = 0.
     return touching.join(length, [key, "edge"]).withColumn("share", F.col("n") / F.col("length")).where(F.col("share") >= least).select(key, "edge", "face", "share")
 
 
-def loop_groups(loop_edges: DataFrame) -> DataFrame:
-    """loop, group: loops (loop, u, v) that share nodes, transitively; the group is its least loop."""
+def loop_groups(loop_edges: DataFrame, junctions: DataFrame | None = None) -> DataFrame:
+    """loop, group: loops (loop, u, v) that share nodes, transitively; the group is its least loop. With junctions (node), only those link."""
     nodes = loop_edges.select("loop", F.explode(F.array("u", "v")).alias("node")).distinct()
-    least = nodes.groupBy("node").agg(F.min("loop").alias("b"))
-    links = nodes.join(least, "node").where("loop <> b").select(F.col("loop").alias("a"), "b").distinct()
+    links = nodes if junctions is None else nodes.join(junctions, "node", "left_semi")
+    least = links.groupBy("node").agg(F.min("loop").alias("b"))
+    links = links.join(least, "node").where("loop <> b").select(F.col("loop").alias("a"), "b").distinct()
     found = connected_components(links)
     return nodes.select("loop").distinct().join(found.withColumnRenamed("node", "loop"), "loop", "left").select("loop", F.coalesce("component", "loop").alias("group"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from histospark.operators import graph
+from histospark.operators import graph, network
 from histospark.operators.gridjoin import cells_of_box
 from histospark.plans.registry import query
 from histospark.plans.regions import HOLES, OFF, label_sql
@@ -235,3 +235,93 @@ def fill_polygons(spark, sf_dir):
     corners = F.array(*[F.struct(px.alias("px"), py.alias("py")) for px, py in ((F.col("x0"), F.col("y0")), (F.col("x0") + F.col("w"), F.col("y0")), (F.col("x0") + F.col("w"), F.col("y0") + F.col("h")), (F.col("x0"), F.col("y0") + F.col("h")))])
     v = e.select("line", F.posexplode(corners).alias("seq", "c")).select(F.col("line").alias("n"), "line", "seq", "c.px", "c.py")
     return graph.filled_polygons(v, ["n"])
+
+
+ENDS = """ends as (select d.uid, d.y, d.x, d.y - n.y as dy, d.x - n.x as dx, l.label as own from degrees d join mask n on n.uid = d.uid and n.y between d.y - 1 and d.y + 1 and n.x between d.x - 1 and d.x + 1 and (n.y <> d.y or n.x <> d.x) left join lab l on l.uid = n.uid and l.y = n.y and l.x = n.x where d.degree = 1),
+hits as (select e.uid, e.y, e.x, m.y as to_y, m.x as to_x, (e.dy = 0 and m.y = e.y) or (e.dx = 0 and m.x = e.x) or (abs(e.dy) = abs(e.dx) and abs(m.y - e.y) = abs(m.x - e.x)) as ok from ends e join degrees m on m.uid = e.uid and greatest(abs(m.y - e.y), abs(m.x - e.x)) = 5
+  where not exists (select 1 from lab l where l.uid = m.uid and l.label = e.own and l.y between m.y - 1 and m.y + 1 and l.x between m.x - 1 and m.x + 1 and (m.degree <> 2 or (l.y = m.y and l.x = m.x))))"""
+
+
+@query(sql("select uid, y, x, to_y, to_x from (select *, count(*) over (partition by uid, y, x) as n, count(*) filter (ok) over (partition by uid, y, x) as k from hits) where n = 1 or (k = 1 and ok)", RASTER, MASK_SQL, DEGREES, "thin_rest as (select uid, y, x from degrees where degree = 2)", label_sql("lab", "thin_rest", True), ENDS))
+def gap_bridges(spark, sf_dir):
+    return network.gap_bridges(t.mask(spark, sf_dir))
+
+
+@query()
+def traced_paths(spark, sf_dir):
+    from histospark.operators.stencil import thinned
+
+    found = network.traced_paths(thinned(t.mask(spark, sf_dir), ["uid"]))
+    return found.select("uid", "eid", "u", "v", F.size("ys").cast("long").alias("vertices"))
+
+
+CATALOG = """pieces as (select l_orderkey * 8 + l_linenumber as segment, least(l_orderkey % 500, l_partkey % 500) * 500 + greatest(l_orderkey % 500, l_partkey % 500) as eid, l_orderkey % 500 as u, l_partkey % 500 as v from lineitem where l_orderkey % 500 <> l_partkey % 500),
+joined as (select u * 500 + v as eid, u, v from dense), touched as (select eid, u // 50 as loop from joined where u // 50 = v // 50)"""
+
+
+@query(sql("""select 'segment_node' as relation, segment as a, unnest([u, v]) as b from pieces union select 'node_edge', unnest([u, v]), eid from joined union select 'loop_edge', loop, eid from touched
+  union select 'loop_segment', loop, segment from touched join pieces using (eid) union select 'loop_node', loop, unnest([u, v]) from touched join joined using (eid)""", DENSE_GRAPH, CATALOG))
+def edge_catalogs(spark, sf_dir):
+    """Each line item is a piece of the edge between its nodes; an edge lies on the loop of fifty nodes that holds both its ends."""
+    a, b = F.col("l_orderkey") % 500, F.col("l_partkey") % 500
+    pieces = t.table(spark, sf_dir, "lineitem").where(a != b).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("segment"), (F.least(a, b) * 500 + F.greatest(a, b)).alias("eid"), a.alias("u"), b.alias("v"))
+    edges = t.dense_graph(spark, sf_dir).select((F.col("u") * 500 + F.col("v")).alias("eid"), "u", "v")
+    touched = edges.where("u div 50 = v div 50").select("eid", F.expr("u div 50").alias("loop"))
+    return network.relations(pieces, edges, touched)
+
+
+def drawn_steps(spark, sf_dir):
+    """Edges and vertices of the users' lines: a step is an edge from one place of the grid of ten pixels to the next."""
+    segs = graph.segments(t.polylines(spark, sf_dir))
+    place = lambda x, y: F.expr(f"line * 10000 + ({y} div 10) * 100 + ({x} div 10)")
+    ided = segs.withColumn("eid", F.col("line") * 1000000 + F.col("seq"))
+    edges = ided.select("eid", place("ax", "ay").alias("u"), place("bx", "`by`").alias("v"))
+    return edges, ided.select(F.col("eid").alias("line"), F.explode(F.expr("array(named_struct('seq', 0L, 'px', ax, 'py', ay), named_struct('seq', 1L, 'px', bx, 'py', `by`))")).alias("p")).select("line", "p.*")
+
+
+@query()
+def drop_caps(spark, sf_dir):
+    return network.without_caps(*drawn_steps(spark, sf_dir))
+
+
+@query()
+def stub_categories(spark, sf_dir):
+    """The steps of users' lines, every third marked and the others dead or untreated in turn, after their stubs are judged."""
+    edges, lines = drawn_steps(spark, sf_dir)
+    kind = F.element_at(F.array(*map(F.lit, ("marked", "dead", "untreated"))), (F.col("eid") % 3 + 1).cast("int"))
+    return network.promoted_stubs(edges.withColumn("category", kind), lines, 40)
+
+
+@query(sql("select u * 500 + v as eid, u, v, case when u // 50 <> v // 50 then 'dead' when u // 50 % 2 = 0 then 'marked' else 'untreated' end as category from dense d", DENSE_GRAPH))
+def edge_categories(spark, sf_dir):
+    """No edge of the dense graph is a bridge."""
+    edges = t.dense_graph(spark, sf_dir).select((F.col("u") * 500 + F.col("v")).alias("eid"), "u", "v")
+    touched = edges.where("u div 50 = v div 50").select("eid", (F.expr("u div 50") % 2 == 0).alias("marked"))
+    return network.categorised(edges, touched)
+
+
+@query()
+def rule_d(spark, sf_dir):
+    """Groups of fifty nodes of the dense graph, whose terminals are the least and the greatest node: the edges kept, null where a line is drawn."""
+    e = t.dense_graph(spark, sf_dir).where("u div 50 = v div 50").select(F.expr("u div 50").alias("group"), (F.col("u") * 500 + F.col("v")).alias("eid"), "u", "v", "length")
+    nodes = e.select("group", F.explode(F.array("u", "v")).alias("node"))
+    ends = nodes.groupBy("group").agg(F.array(F.min("node"), F.max("node")).alias("n")).select("group", F.explode("n").alias("node"))
+    kept, straight = network.two_terminal_paths(e, ends)
+    return kept.union(straight.select("group", F.lit(None).cast("long")))
+
+
+@query()
+def segments_to_mask(spark, sf_dir):
+    """Lobules from the thinned mask of each slide; a face needs a bright pixel to stay."""
+    from histospark.operators.stencil import thinned
+    from histospark.plans import lobules
+
+    skeleton = thinned(t.mask(spark, sf_dir), ["uid"]).select("uid", "y", "x")
+    return lobules.lobules(skeleton, t.raster(spark, sf_dir).where(t.TARGET).select("uid", "y", "x"), 50, 60, least_area=5)
+
+
+@query()
+def lobule_segmentation(spark, sf_dir):
+    from histospark.plans import lobules
+
+    return lobules.segmented(t.pixels(spark, sf_dir), 50, 60, [0], [1, 2], least_share=0.0, step=6, least_area=5)

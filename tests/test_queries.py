@@ -8,7 +8,7 @@ import pytest
 
 from histospark.plans import catalog
 
-SLOW = {"bridges", "terminal_mst", "spanning_tree", "chain_contraction", "prune_branches", "load_stack", "roi"}
+SLOW = {"bridges", "terminal_mst", "spanning_tree", "chain_contraction", "prune_branches", "load_stack", "roi", "lobule_segmentation", "segments_to_mask"}
 #: The smallest tables hold half a slide, in which these find nothing; tests/test_operators.py has cases with results.
 MAY_BE_EMPTY = {"instances", "rule_b", "vessels"}
 
