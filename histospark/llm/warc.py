@@ -224,7 +224,8 @@ def read_records(pointers: DataFrame, folder: str) -> DataFrame:
                 rows.append(parsed(gzip.decompress(source.read(int(length)))))
             yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"], dtype=object)
 
-    dealt = pointers.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    tasks = int(pointers.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # pointers are small, what they point at isn't
+    dealt = pointers.select("file", "offset", "length").repartition(tasks, "file").sortWithinPartitions("file", "offset")
     return dealt.mapInPandas(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
