@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histospark.llm import bpe, chat, embedding_dups, fingerprint, langid, licenses, minhash, mixing, quality, warc
+from histospark.llm import bpe, chat, embedding_dups, fingerprint, langid, licenses, minhash, mixing, quality, resampling, trie, urls, warc
 from histospark.llm.common import WORD, held_out, n_words, small_batches, table
 
 #: The tokenizer file that the queries use.
@@ -101,7 +101,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_fingerprints": op3_fingerprints, "op4_chat": op4_chat, "op5_warc": op5_warc, "op6_minhash": op6_minhash, "op7_langid": op7_langid, "op8_embedding_dups": op8_embedding_dups, "op9_licenses": op9_licenses, "op10_mixing": op10_mixing}
+#: The listed rules of op11: host, start of the path, verdict.
+LISTED = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged_urls(table(spark, sf_dir, "pages"), LISTED)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return trie.prefix_trie(trie.with_shared_heads(trie.conversation_rows(rows)))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_fingerprints": op3_fingerprints, "op4_chat": op4_chat, "op5_warc": op5_warc, "op6_minhash": op6_minhash, "op7_langid": op7_langid, "op8_embedding_dups": op8_embedding_dups, "op9_licenses": op9_licenses, "op10_mixing": op10_mixing, "op11_url_filter": op11_url_filter, "op12_conversation_trie": op12_conversation_trie, "op13_resampling": op13_resampling}
+
 
 #: A hexadecimal digest of 160 bits in base32: five hexadecimal digits give four signs.
 BASE32 = "list_reduce(list_transform(range(0, 8), lambda g: list_reduce(list_transform([15, 10, 5, 0], lambda s: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((cast('0x' || sha[5 * g + 1 : 5 * g + 5] as bigint) >> s) & 31) + 1]), lambda x, y: x || y)), lambda x, y: x || y)"
@@ -110,6 +129,10 @@ BASE32 = "list_reduce(list_transform(range(0, 8), lambda g: list_reduce(list_tra
 COMPONENTS = """walk(id, label) as (select id, id from nodes union select l.b, w.label from walk w join (select a, b from links union all select b, a from links) l on l.a = w.id where w.label < l.b),
 comps as (select id, min(label) as component from walk group by id)"""
 
+#: The 256 remainders of the CRC-32 of one byte, and the CRC-32 of a text's UTF-8 bytes with them.
+CRC_TABLE = "(select list_transform(range(0, 256), lambda n: list_reduce(range(0, 8), lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n)) as rest)"
+CRC = "xor(list_reduce(list_transform(range(0, octet_length(encode({0}))), lambda i: cast('0x' || substr(hex(encode({0})), 2 * i + 1, 2) as bigint)), lambda c, b: xor(c >> 8, rest[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
 SQL = {
     "op4_chat": r"""with raw as (select conv_id, turn, role, text from conversations union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from raw),
@@ -135,4 +158,28 @@ nodes as (select vec_id as id from embeddings), {COMPONENTS},
 deg as (select id, count(*) as n from (select a as id from links union all select b from links) group by id)
 select vec_id, cast(coalesce(n, 0) as bigint) as n_links, component as component_id, vec_id = component as kept from embeddings e join comps c on c.id = e.vec_id left join deg on deg.id = e.vec_id""",
     "op10_mixing": "select doc_id, size, source_size, target, copies * size as taken from (" + mixing.MIX_SQL.format(docs="documents") + ")",
+    "op12_conversation_trie": f"""with t as (select conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as key, cast(octet_length(encode(coalesce(text, ''))) as bigint) as bytes, turn from conversations where conv_id is not null),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, key) as place from t),
+c as (select conv_id, conv_id - conv_id % 5 as family, {CRC.format("cast(conv_id as varchar)")} % 9 as h from (select distinct conv_id from t), {CRC_TABLE}),
+r as (select c.conv_id, place, key, bytes from c join o on o.conv_id = c.family where place <= h union all select c.conv_id, place, key, bytes from c join o on o.conv_id = c.conv_id where place > h),
+m as (select conv_id, row_number() over w as depth, bytes, string_agg(key, '') over w as path from r window w as (partition by conv_id order by place) union all select conv_id, 0, 0, '' from c),
+n as (select path, depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(bytes) as bytes from m group by path, depth),
+e as (select path, sha256(string_agg(cast(conv_id as varchar), ',' order by conv_id)) as ends_sha256 from (select conv_id, arg_max(path, depth) as path from m group by conv_id) group by path),
+k as (select left(path, len(path) - 32) as up, count(*) as n_children from n where depth > 0 group by up),
+a as (select left(n.path, 32 * d) as path, count(*) filter (up is null) as n_leaves, sum((n_convs - 1) * bytes) as saved from (select *, unnest(range(0, depth + 1)) as d from n) n left join k on k.up = n.path group by all)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children, cast(n_leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, coalesce(ends_sha256, sha256('')) as ends_sha256
+from n left join k on k.up = n.path join a on a.path = n.path left join e on e.path = n.path left join n p on n.depth > 0 and p.path = left(n.path, len(n.path) - 32)""",
+    "op13_resampling": rf"""with w as (select 'd' as kind, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as words, row_number() over () as row from documents
+  union all select 'b', item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []), row_number() over () from benchmark),
+f as (select kind, row, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) as feature from w),
+k as (select feature, {CRC.format("feature")} % 10000 as bucket from (select distinct feature from f), {CRC_TABLE}),
+c as (select kind, row, bucket, count(*) as n from f join k using (feature) group by all),
+g as (select bucket, coalesce(sum(n) filter (kind = 'd'), 0) as s, coalesce(sum(n) filter (kind = 'b'), 0) as t from c group by bucket),
+a as (select coalesce(sum(s), 0) as s_all, coalesce(sum(t), 0) as t_all from g),
+v as (select bucket, cast(floor(1000 * ln(cast((t + 1) * (s_all + 10000) as double) / cast((s + 1) * (t_all + 10000) as double))) as bigint) as gain from g, a),
+d as (select row, cast(sum(n) as bigint) as n_features, cast(sum(n * gain) as bigint) as total from c join v using (bucket) where kind = 'd' group by row),
+x as (select doc_id, len(words) as n_words, coalesce(n_features, 0) as n_features, coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) as weight, cast('0x' || sha256('7:' || coalesce(cast(doc_id as varchar), ''))[1:8] as bigint) as h from w left join d using (row) where kind = 'd'),
+y as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296))) as bigint) as score from x),
+z as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id nulls last, n_features) as place, count(*) filter (n_words >= 20) over () as fit from y)
+select doc_id, n_features, weight, score, case when n_words >= 20 and place <= 25 * fit // 100 then place end as rank from z""",
 }
