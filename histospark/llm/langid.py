@@ -123,7 +123,7 @@ def sampled(labelled: DataFrame, counts: dict[str, int], share: int) -> DataFram
     pass, so no more than these are shuffled and ranked, however frequent the language is.
     """
     order = F.xxhash64(F.col("doc_id").cast("long"), F.lit(9))
-    below = F.pmod(order, F.lit(1 << 40)) * F.col("rows") < F.lit(float(2 * share + 50)) * (1 << 40)
+    below = F.pmod(order, F.lit(1 << 40)) < F.lit(float(2 * share + 50)) / F.col("rows") * float(1 << 40)  # in double: no count overflows it
     rows = labelled.sparkSession.createDataFrame(sorted(counts.items()), "of string, rows long")
     # the model holds a codeword for each language anyway; beyond so many, texts are shuffled for the join
     rows = F.broadcast(rows) if len(counts) <= 100_000 else rows

@@ -357,3 +357,13 @@ def test_license_cosines_equal_brute_force(spark):
     for k in range(len(texts)):
         assert (got[k].license_id is None) == (want[k][1] is None) and abs(got[k].score - min(want[k][0], 1.0)) < 1e-6, k
         assert got[k].license_id in (want[k][1], next((n for c, n in [want[k]] if c), None))
+
+
+def test_language_samples_of_any_number_of_rows(spark):
+    rows = docs(spark, [f"text {i}" for i in range(3000)])
+    got = langid.sampled(rows.select("doc_id", "lang", "text"), {"en": 10**10}, 10)  # as if these were few of very many
+    assert got.count() == 0
+    got = langid.sampled(rows.select("doc_id", "lang", "text"), {"en": 3000}, 10).collect()
+    assert sorted(r["place"] for r in got) == list(range(1, 11))
+    # a language named less often than it occurs never ranks more than its share
+    assert langid.sampled(rows.select("doc_id", "lang", "text"), {"en": 1}, 10).count() == 10
