@@ -1,95 +1,45 @@
 """Connected components of pixels, and what is built on them.
 
-Labels are the least place (y * WIDE + x) of the component, so they don't depend on how the image is
-cut: each tile is labelled alone, the labels that meet across tile borders are linked, the links'
-components are found by joins, and the tile labels renamed.
+Pixels become runs, in which regions are found (``runs``), and the results pixels again. Labels are
+the least place (y * WIDE + x) of the component, so they don't depend on how the image is cut.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histospark.operators.iterate import connected_components, written
-from histospark.operators.stencil import CROSS, RING, neighbours
-
-#: Images are narrower than this.
-WIDE = 1 << 20
-
-
-def tile_labels(on: np.ndarray, eight: bool) -> np.ndarray:
-    """The least flat index of each component of one tile; -1 elsewhere."""
-    n = on.size
-    label = np.where(on, np.arange(n).reshape(on.shape), n).astype(np.int64)
-    moves = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if eight else [])
-    while True:
-        old = label.copy()
-        for dy, dx in moves:
-            a = label[: label.shape[0] - dy, max(0, -dx) : label.shape[1] - max(0, dx)]
-            b = label[dy:, max(0, dx) : label.shape[1] + min(0, dx)]
-            both = (a < n) & (b < n)
-            a[both] = np.minimum(a, b)[both]
-            b[both] = np.minimum(a, b)[both]  # a and b overlap, so this reads what the line above has written
-        flat = np.append(label.ravel(), n)
-        label = flat[label]
-        if (label == old).all():
-            return np.where(on, label, -1)
-
-
-def labelled(mask: DataFrame, key: str = "uid", eight: bool = False, tile: int = 256) -> DataFrame:
+from histospark.operators import runs
+from histospark.operators.iterate import removed, written
+from histospark.operators.runs import WIDE, Frames, pixels_of, runs_of
+from histospark.operators.stencil import CROSS, neighbours
+
+__all__ = ["WIDE", "areas", "border_connected", "filled", "frame_edge", "holes", "holes_of_largest", "inner_regions", "labelled", "largest", "shapes_of", "without_nested", "without_small", "without_small_holes"]
+
+
+def labelled(mask: DataFrame, key: str = "uid", eight: bool = False, tile: int = 1024) -> DataFrame:
     """key, y, x, label for the rows (key, y, x) of a mask."""
-    kind = mask.schema[key].dataType.simpleString()
-    dealt = mask.select(key, "y", "x", F.floor(F.col("y") / tile).alias("ty"), F.floor(F.col("x") / tile).alias("tx"))
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = int(pdf["ty"].iloc[0]) * tile, int(pdf["tx"].iloc[0]) * tile
-        on = np.zeros((tile, tile), dtype=bool)
-        ys, xs = pdf["y"].to_numpy() - y0, pdf["x"].to_numpy() - x0
-        on[ys, xs] = True
-        own = tile_labels(on, eight)[ys, xs]
-        return pd.DataFrame({key: pdf[key], "y": pdf["y"], "x": pdf["x"], "label": (own // tile + y0) * WIDE + own % tile + x0})
-
-    tiles = written(dealt.groupBy(key, "ty", "tx").applyInPandas(label, f"{key} {kind}, y long, x long, label long"))
-    edge = tiles.where((F.col("y") % tile).isin(0, tile - 1) | (F.col("x") % tile).isin(0, tile - 1))
-    near = neighbours(edge.withColumnRenamed("label", "other"), RING if eight else CROSS)
-    met = edge.join(near, [key, "y", "x"]).where("label < other").select(key, "label", "other").distinct()
-    # a label of a slide becomes a node of its own by its rank among all that meet
-    ends = met.select(key, "label").union(met.select(key, "other")).distinct().withColumn("node", F.xxhash64(key, "label"))
-    ends = written(ends)
-    links = met.join(ends.withColumnRenamed("node", "a"), [key, "label"]).join(ends.toDF(key, "other", "b"), [key, "other"])
-    found = connected_components(links)
-    names = ends.join(found, "node")
-    least = names.groupBy("component").agg(F.min("label").alias("least"))
-    renamed = names.join(least, "component").select(key, "label", "least")
-    return tiles.join(renamed, [key, "label"], "left").select(key, "y", "x", F.coalesce("least", "label").alias("label"))
-
-
-def frame_edge(df: DataFrame, h: int, w: int) -> DataFrame:
-    return df.where((F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == h - 1) | (F.col("x") == w - 1))
-
-
-def complement(mask: DataFrame, key: str, h: int, w: int) -> DataFrame:
-    """The false pixels of each image of h x w that has a true one."""
-    every = mask.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("y")).select(key, F.col("y").cast("long").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(w - 1))).alias("x")).withColumn("x", F.col("x").cast("long"))
-    return every.join(mask, [key, "y", "x"], "left_anti")
-
-
-def border_connected(mask: DataFrame, h: int, w: int, key: str = "uid", eight: bool = False) -> DataFrame:
+    return pixels_of(runs.labelled(runs_of(mask, key), key, eight, tile)).select(key, "y", "x", "label")
+
+
+def frame_edge(df: DataFrame, frames: Frames, key: str = "uid") -> DataFrame:
+    """Rows at the edge of their slide's frame."""
+    at = df.join(runs.frames_of(df, frames, key), key)
+    return at.where("y = 0 or x = 0 or y = h - 1 or x = w - 1").drop("h", "w")
+
+
+def border_connected(mask: DataFrame, frames: Frames, key: str = "uid", eight: bool = False) -> DataFrame:
     """Labelled pixels of the components that touch the image's edge."""
-    labels = written(labelled(mask, key, eight))
-    return labels.join(frame_edge(labels, h, w).select(key, "label").distinct(), [key, "label"], "left_semi")
+    return pixels_of(runs.border_connected(runs_of(mask, key), frames, key, eight)).select(key, "y", "x", "label")
 
 
-def holes(mask: DataFrame, h: int, w: int, key: str = "uid") -> DataFrame:
+def holes(mask: DataFrame, frames: Frames, key: str = "uid") -> DataFrame:
     """Labelled false pixels that no 4-path connects with the edge."""
-    labels = written(labelled(complement(mask, key, h, w), key))
-    return labels.join(frame_edge(labels, h, w).select(key, "label").distinct(), [key, "label"], "left_anti")
+    return pixels_of(runs.holes(runs_of(mask, key), frames, key)).select(key, "y", "x", "label")
 
 
-def filled(mask: DataFrame, h: int, w: int, key: str = "uid") -> DataFrame:
-    return mask.select(key, "y", "x").union(holes(mask, h, w, key).select(key, "y", "x"))
+def filled(mask: DataFrame, frames: Frames, key: str = "uid") -> DataFrame:
+    return pixels_of(runs.filled(runs_of(mask, key), frames, key)).select(key, "y", "x")
 
 
 def areas(labels: DataFrame, key: str = "uid") -> DataFrame:
@@ -98,28 +48,23 @@ def areas(labels: DataFrame, key: str = "uid") -> DataFrame:
 
 def without_small(mask: DataFrame, least: int, key: str = "uid", eight: bool = False) -> DataFrame:
     """Labelled pixels of the components of at least ``least`` pixels."""
-    labels = written(labelled(mask, key, eight))
-    return labels.join(areas(labels, key).where(F.col("area") >= least), [key, "label"], "left_semi")
+    return pixels_of(runs.of_least_area(runs.labelled(runs_of(mask, key), key, eight), least, key)).select(key, "y", "x", "label")
 
 
-def without_small_holes(mask: DataFrame, least: int, h: int, w: int, key: str = "uid") -> DataFrame:
+def without_small_holes(mask: DataFrame, least: int, frames: Frames, key: str = "uid") -> DataFrame:
     """The mask with holes of fewer than ``least`` pixels filled."""
-    found = written(holes(mask, h, w, key))
-    small = found.join(areas(found, key).where(F.col("area") < least), [key, "label"], "left_semi")
-    return mask.select(key, "y", "x").union(small.select(key, "y", "x"))
+    return pixels_of(runs.without_small_holes(runs_of(mask, key), least, frames, key)).select(key, "y", "x")
 
 
 def largest(mask: DataFrame, key: str = "uid", eight: bool = False) -> DataFrame:
     """Pixels of each image's largest component; ties go to the least label."""
-    labels = written(labelled(mask, key, eight))
-    best = areas(labels, key).groupBy(key).agg(F.max_by("label", F.struct("area", -F.col("label"))).alias("label"))
-    return labels.join(best, [key, "label"], "left_semi")
+    return pixels_of(runs.largest(runs_of(mask, key), key, eight)).select(key, "y", "x", "label")
 
 
-def holes_of_largest(mask: DataFrame, h: int, w: int, key: str = "uid") -> DataFrame:
+def holes_of_largest(mask: DataFrame, frames: Frames, key: str = "uid") -> DataFrame:
     """Labelled holes inside the largest component's outline that the mask doesn't cover."""
-    body = written(largest(mask, key, True).select(key, "y", "x"))
-    return holes(body, h, w, key).join(mask, [key, "y", "x"], "left_anti")
+    body = runs.joined_runs(runs.largest(runs_of(mask, key), key, True), key)
+    return pixels_of(runs.holes(body, frames, key)).select(key, "y", "x", "label").join(mask, [key, "y", "x"], "left_anti")
 
 
 def shapes_of(labels: DataFrame, key: str = "uid") -> DataFrame:
@@ -143,13 +88,16 @@ def without_nested(labels: DataFrame, key: str = "uid") -> DataFrame:
         outer = state.select(key, F.col("label").alias("outer"), F.col("kept").alias("outer_kept"))
         told = above.join(outer, [key, "outer"]).groupBy(key, "label").agg(F.max(F.coalesce("outer_kept", F.lit(False)).cast("int")).alias("inside"), F.sum(F.col("outer_kept").isNull().cast("int")).alias("unsettled"))
         joined = state.join(told, [key, "label"], "left")
-        state = written(joined.select(key, "label", F.coalesce("kept", F.when(F.col("inside") == 1, False).when(F.col("unsettled") == 0, True)).alias("kept")))
+        new = written(joined.select(key, "label", F.coalesce("kept", F.when(F.col("inside") == 1, False).when(F.col("unsettled") == 0, True)).alias("kept")))
+        removed(state.sparkSession, state)
+        state = new
         if not state.where("kept is null").limit(1).count():
             break
+    removed(above.sparkSession, above)
     return state.where("kept").select(key, "label")
 
 
-def inner_regions(regions: DataFrame, h: int, w: int, excluded: DataFrame, key: str = "uid") -> DataFrame:
+def inner_regions(regions: DataFrame, frames: Frames, excluded: DataFrame, key: str = "uid") -> DataFrame:
     """key, label of regions (labelled pixels) that neither touch the image's edge nor are among the excluded (key, label)."""
-    edge = frame_edge(regions, h, w).select(key, "label").distinct()
+    edge = frame_edge(regions, frames, key).select(key, "label").distinct()
     return regions.select(key, "label").distinct().join(edge, [key, "label"], "left_anti").join(excluded, [key, "label"], "left_anti")

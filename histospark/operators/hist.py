@@ -10,18 +10,31 @@ def histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
 
 
+def product(a: str, b: str) -> Column:
+    """The exact product of two longs."""
+    return F.col(a).cast("decimal(19,0)") * F.col(b).cast("decimal(19,0)")
+
+
 def otsu(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, threshold: the value that parts each group's histogram with the largest variance between classes.
 
-    Pixels are counted before the shuffle, and windows run over one row per distinct value. Ties go
-    to the lowest value; a group of one value gets that value less one.
+    Pixels are counted before the shuffle. Ties go to the lowest value; a group of one value gets that
+    value less one.
+    """
+    return otsu_of(histogram(df, keys, value), keys, value)
+
+
+def otsu_of(h: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The same from a histogram (keys, value, n); its windows run over one row per distinct value.
+
+    The variance between classes is n0 * n1 * (mean0 - mean1)^2; products of counts would overflow a long
+    from 3e8 pixels on, so the difference of means is taken exactly as decimals and squared in double.
     """
     run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
-    h = histogram(df, keys, value)
     h = h.withColumn("w", F.sum("n").over(run)).withColumn("s", F.sum(F.col("n") * F.col(value)).over(run))
     h = h.withColumn("wt", F.sum("n").over(whole)).withColumn("st", F.sum(F.col("n") * F.col(value)).over(whole))
-    parted = F.pow(F.col("s") * F.col("wt") - F.col("st") * F.col("w"), F.lit(2)) / (F.col("w").cast("double") * (F.col("wt") - F.col("w")))
+    parted = F.pow((product("s", "wt") - product("st", "w")).cast("double"), F.lit(2)) / (F.col("w").cast("double") * (F.col("wt") - F.col("w")))
     scored = h.withColumn("between", F.when(F.col("w") < F.col("wt"), parted))
     best = scored.groupBy(*keys).agg(F.max(F.struct(F.col("between").alias("b"), (-F.col(value)).alias("v"))).alias("best"), F.max(value).alias("top"))
     return best.select(*keys, F.when(F.col("best.b").isNotNull(), -F.col("best.v")).otherwise(F.col("top") - 1).alias("threshold"))
@@ -47,7 +60,7 @@ def multi_otsu(df: DataFrame, keys: list[str], value: str, low: int = 0, high: i
 
 def three_classes(df: DataFrame, thresholds: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Adds label: how many of the group's two thresholds lie below or at the value."""
-    return df.join(thresholds, keys).withColumn("label", (F.col(value) > F.col("t1")).cast("long") + (F.col(value) > F.col("t2")).cast("long"))
+    return df.join(thresholds, keys).withColumn("label", (F.col(value) >= F.col("t1")).cast("long") + (F.col(value) >= F.col("t2")).cast("long"))
 
 
 def class_means(df: DataFrame, keys: list[str], label: str, value: str) -> DataFrame:
@@ -61,8 +74,9 @@ def bimodal(classed: DataFrame, keys: list[str], least_share: float = 0.05, leas
 
 
 def tissue_classes(classed: DataFrame, two_class: DataFrame, keys: list[str], value: str, dark: float = 10.0) -> DataFrame:
-    """keys, lowest: pixels above ``lowest`` are tissue. Two modes: the Otsu threshold; else all but
-    the darkest class where that isn't black (mean over ``dark``), else the brightest class alone."""
+    """keys, lowest, bimodal: pixels above ``lowest`` are tissue, and those at it too unless there are two
+    modes. Two modes: the Otsu threshold; else all but the darkest class where that isn't black (mean
+    over ``dark``), else the brightest class alone."""
     darkest = classed.groupBy(*keys).agg(F.avg(F.when(F.col("label") == 0, F.col(value))).alias("dark_mean"), F.max("t1").alias("t1"), F.max("t2").alias("t2"))
     joined = darkest.join(bimodal(classed, keys), keys).join(two_class, keys)
     return joined.select(*keys, F.when(F.col("bimodal"), F.col("threshold")).when(F.col("dark_mean") > dark, F.col("t1")).otherwise(F.col("t2")).alias("lowest"), "bimodal")

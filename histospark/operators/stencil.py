@@ -61,8 +61,8 @@ def gaussian_weights(sigma: float, radius: int) -> list[float]:
     return [exp(-d * d / (2 * sigma * sigma)) for d in range(-radius, radius + 1)]
 
 
-def gaussian_blur(df: DataFrame, keys: list[str], sigma: float, tile: int = 256) -> DataFrame:
-    """Weighted mean over the window of three deviations; weights of absent pixels are left out."""
+def gaussian_kernel(sigma: float) -> tuple[int, Callable[[np.ndarray], np.ndarray]]:
+    """Radius and kernel of ``gaussian_blur``."""
     radius = max(1, round(3 * sigma))
     w = np.array(gaussian_weights(sigma, radius))
 
@@ -75,10 +75,17 @@ def gaussian_blur(df: DataFrame, keys: list[str], sigma: float, tile: int = 256)
         total, weight = along(np.where(there, block, 0.0)), along(there.astype(float))
         return np.where(inner(there, radius), total / np.maximum(weight, 1e-12), np.nan)
 
+    return radius, kernel
+
+
+def gaussian_blur(df: DataFrame, keys: list[str], sigma: float, tile: int = 256) -> DataFrame:
+    """Weighted mean over the window of three deviations; weights of absent pixels are left out."""
+    radius, kernel = gaussian_kernel(sigma)
     return stencil(df, keys, radius, kernel, max(tile, radius))
 
 
-def median_blur(df: DataFrame, keys: list[str], size: int = 3, tile: int = 128) -> DataFrame:
+def median_kernel(size: int) -> tuple[int, Callable[[np.ndarray], np.ndarray]]:
+    """Radius and kernel of ``median_blur``."""
     radius = size // 2
 
     def kernel(block: np.ndarray) -> np.ndarray:
@@ -87,6 +94,11 @@ def median_blur(df: DataFrame, keys: list[str], size: int = 3, tile: int = 128)
         out[there] = np.nanmedian(windows(block, radius)[there].reshape(int(there.sum()), -1), axis=1) if there.any() else []
         return out
 
+    return radius, kernel
+
+
+def median_blur(df: DataFrame, keys: list[str], size: int = 3, tile: int = 128) -> DataFrame:
+    radius, kernel = median_kernel(size)
     return stencil(df, keys, radius, kernel, tile)
 
 
@@ -103,16 +115,22 @@ def shifted_any(block: np.ndarray, offsets: list[tuple[int, int]], radius: int)
     return out
 
 
+def dilating(radius: int) -> Callable[[np.ndarray], np.ndarray]:
+    return lambda b: np.where(shifted_any(~np.isnan(b), ellipse(radius), radius), 1.0, np.nan)
+
+
+def eroding(radius: int) -> Callable[[np.ndarray], np.ndarray]:
+    return lambda b: np.where(~shifted_any(np.isnan(b), ellipse(radius), radius), 1.0, np.nan)
+
+
 def dilated(mask: DataFrame, keys: list[str], radius: int, tile: int = 256) -> DataFrame:
     """keys, y, x of all places within the radius of a true pixel (rows of mask); places outside the frame included."""
-    kernel = lambda b: np.where(shifted_any(~np.isnan(b), ellipse(radius), radius), 1.0, np.nan)
-    return stencil(mask.withColumn("value", F.lit(1.0)), keys, radius, kernel, tile).drop("value")
+    return stencil(mask.withColumn("value", F.lit(1.0)), keys, radius, dilating(radius), tile).drop("value")
 
 
 def eroded(mask: DataFrame, keys: list[str], radius: int, tile: int = 256) -> DataFrame:
     """keys, y, x of true pixels whose whole neighbourhood is true; outside the frame is false."""
-    kernel = lambda b: np.where(~shifted_any(np.isnan(b), ellipse(radius), radius), 1.0, np.nan)
-    return stencil(mask.withColumn("value", F.lit(1.0)), keys, radius, kernel, tile).drop("value")
+    return stencil(mask.withColumn("value", F.lit(1.0)), keys, radius, eroding(radius), tile).drop("value")
 
 
 def closed(mask: DataFrame, keys: list[str], radius: int) -> DataFrame:
@@ -161,11 +179,8 @@ def label_borders(labels: DataFrame, keys: list[str]) -> DataFrame:
     return labels.join(near, [*keys, "y", "x"]).where("label <> other").select(*keys, "y", "x", "label").distinct()
 
 
-def thinned(mask: DataFrame, keys: list[str], per_round: int = 8, tile: int = 256) -> DataFrame:
-    """The Zhang-Suen skeleton. A round runs ``per_round`` pairs of sub-iterations on each tile, whose
-    halo of twice as many pixels keeps the inner tile exact, and rounds go on until no pixel goes."""
-    from histospark.operators.iterate import written
-
+def thinning_kernel(per_round: int) -> tuple[int, Callable[[np.ndarray], np.ndarray]]:
+    """Halo and kernel of a round of ``thinned``."""
     radius = 2 * per_round + 2
 
     def step(block: np.ndarray) -> np.ndarray:
@@ -179,11 +194,21 @@ def thinned(mask: DataFrame, keys: list[str], per_round: int = 8, tile: int = 25
             on &= ~(on & (count >= 2) & (count <= 6) & (turns == 1) & ~a & ~b)
         return np.where(inner(on, radius), 1.0, np.nan)
 
+    return radius, step
+
+
+def thinned(mask: DataFrame, keys: list[str], per_round: int = 8, tile: int = 256) -> DataFrame:
+    """The Zhang-Suen skeleton. A round runs ``per_round`` pairs of sub-iterations on each tile, whose
+    halo of twice as many pixels keeps the inner tile exact, and rounds go on until no pixel goes."""
+    from histospark.operators.iterate import removed, written
+
+    radius, step = thinning_kernel(per_round)
     state = written(mask.select(*keys, "y", "x"))
     left = state.count()
     while True:
-        state = written(stencil(state.withColumn("value", F.lit(1.0)), keys, radius, step, max(tile, radius)).drop("value"))
-        now = state.count()
+        new = written(stencil(state.withColumn("value", F.lit(1.0)), keys, radius, step, max(tile, radius)).drop("value"))
+        removed(state.sparkSession, state)
+        state, now = new, new.count()
         if now == left:
             return state
         left = now
@@ -205,16 +230,18 @@ def equalised(df: DataFrame, keys: list[str], grid: int = 16, clip: float = 2.0,
     whole = Window.partitionBy(*keys, "cy", "cx")
     cut = full.withColumn("kept", F.least("n", limit)).withColumn("spare", F.sum(F.col("n") - F.col("kept")).over(whole) / levels)
     run = whole.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    maps = cut.withColumn("to", F.sum(F.col("kept") + F.col("spare")).over(run) / F.col("total") * (levels - 1)).select(*keys, "cy", "cx", "v", "to")
+    maps = cut.withColumn("to", F.sum(F.col("kept") + F.col("spare")).over(run) / F.col("total") * (levels - 1))
+    maps = maps.groupBy(*keys, "cy", "cx").agg(F.array_sort(F.collect_list(F.struct("v", "to"))).alias("map")).withColumn("map", F.transform("map", lambda m: m["to"]))
+    # the pixels between four cells' centres blend the same four maps, so these come to them as one row
     ends = cells.groupBy(*keys).agg(F.max("cy").alias("my"), F.max("cx").alias("mx"))
-    at = sized.join(ends, keys).withColumns({"fy": F.col("y") / F.col("sy") - 0.5, "fx": F.col("x") / F.col("sx") - 0.5})
-    corners = []
-    for dy in (0, 1):
-        for dx in (0, 1):
-            ty, tx = F.floor("fy"), F.floor("fx")
-            wy = F.col("fy") - ty if dy else 1 - (F.col("fy") - ty)
-            wx = F.col("fx") - tx if dx else 1 - (F.col("fx") - tx)
-            corners.append(F.struct(F.greatest(F.lit(0), F.least(F.col("my"), ty + dy)).cast("long").alias("cy"), F.greatest(F.lit(0), F.least(F.col("mx"), tx + dx)).cast("long").alias("cx"), (wy * wx).alias("w")))
-    spread = at.select(*keys, "y", "x", v.alias("v"), F.explode(F.array(*corners)).alias("c")).select(*keys, "y", "x", "v", "c.*")
-    mixed = spread.join(maps, [*keys, "cy", "cx", "v"]).groupBy(*keys, "y", "x").agg(F.floor(F.sum(F.col("w") * F.col("to")) + 0.5).cast("long").alias("byte"))
-    return df.join(mixed, [*keys, "y", "x"])
+    low = F.sequence(F.lit(-1).cast("long"), F.col("my")), F.sequence(F.lit(-1).cast("long"), F.col("mx"))
+    blocks = ends.withColumn("by", F.explode(low[0])).withColumn("bx", F.explode(low[1]))
+    for name, dy, dx in (("m00", 0, 0), ("m01", 0, 1), ("m10", 1, 0), ("m11", 1, 1)):
+        at = blocks.withColumns({"cy": F.greatest(F.lit(0), F.least("my", F.col("by") + dy)), "cx": F.greatest(F.lit(0), F.least("mx", F.col("bx") + dx))})
+        blocks = at.join(maps.withColumnRenamed("map", name), [*keys, "cy", "cx"]).drop("cy", "cx")
+    placed = sized.withColumns({"fy": F.col("y") / F.col("sy") - 0.5, "fx": F.col("x") / F.col("sx") - 0.5})
+    placed = placed.withColumns({"by": F.floor("fy"), "bx": F.floor("fx")}).join(blocks.drop("my", "mx"), [*keys, "by", "bx"])
+    ty, tx = F.col("fy") - F.col("by"), F.col("fx") - F.col("bx")
+    to = lambda m: F.get(m, v)
+    mixed = (1 - ty) * (1 - tx) * to("m00") + (1 - ty) * tx * to("m01") + ty * (1 - tx) * to("m10") + ty * tx * to("m11")
+    return placed.withColumn("byte", F.floor(mixed + 0.5).cast("long")).where("byte is not null").select(*df.columns, "byte")

@@ -206,7 +206,7 @@ def skeleton_edges(spark, sf_dir):
 def face_classes(spark, sf_dir):
     from histospark.operators.components import holes
 
-    return graph.face_classes(holes(t.mask(spark, sf_dir), 50, 60), t.raster(spark, sf_dir).where("c0 >= 252"), 5)
+    return graph.face_classes(holes(t.mask(spark, sf_dir), (50, 60)), t.raster(spark, sf_dir).where("c0 >= 252"), 5)
 
 
 EDGE_PX = "epx as (select uid, y, x, y // 10 as edge from mask), fpx as (select uid, y, x, c1 // 64 as face from raster where c1 >= 64)"
@@ -317,11 +317,11 @@ def segments_to_mask(spark, sf_dir):
     from histospark.plans import lobules
 
     skeleton = thinned(t.mask(spark, sf_dir), ["uid"]).select("uid", "y", "x")
-    return lobules.lobules(skeleton, t.raster(spark, sf_dir).where(t.TARGET).select("uid", "y", "x"), 50, 60, least_area=5)
+    return lobules.lobules(skeleton, t.raster(spark, sf_dir).where(t.TARGET).select("uid", "y", "x"), (50, 60), least_area=5)
 
 
 @query()
 def lobule_segmentation(spark, sf_dir):
     from histospark.plans import lobules
 
-    return lobules.segmented(t.pixels(spark, sf_dir), 50, 60, [0], [1, 2], least_share=0.0, step=6, least_area=5)
+    return lobules.segmented(t.pixels(spark, sf_dir), (50, 60), [0], [1, 2], least_share=0.0, step=6, least_area=5)

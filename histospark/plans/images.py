@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from histospark.operators import stain, stencil
-from histospark.plans.registry import query
+from histospark.operators import stain, stencil, tiles
+from histospark.plans.registry import SQL, query
 from histospark.plans.statistics import BACKGROUND, otsu_sql, rounded
 from histospark.sources import tables as t
 from histospark.sources.tables import MASK_SQL, RASTER, sql
@@ -217,3 +217,57 @@ cq as (select uid, y, x, v, greatest(0, least(my, cast(floor(fy) as bigint) + dy
 @query(sql("select q.uid, q.y, q.x, cast(floor(sum(w * mapped) + 0.5) as bigint) as byte from cq q join cm m on q.uid = m.uid and q.cy = m.cy and q.cx = m.cx and q.v = m.v group by q.uid, q.y, q.x", RASTER, CLAHE))
 def clahe(spark, sf_dir):
     return stencil.equalised(channel0(spark, sf_dir), ["uid"]).select("uid", "y", "x", "byte")
+
+
+def tiled(spark, sf_dir, side: int) -> tiles.TileSet:
+    return tiles.packed(channel0(spark, sf_dir), ["uid"], side)
+
+
+def tiled_mask(spark, sf_dir, side: int) -> tiles.TileSet:
+    return tiles.packed(t.mask(spark, sf_dir), ["uid"], side, None)
+
+
+@query(SQL["gaussian"])
+def tile_gaussian(spark, sf_dir):
+    """The blur on packed tiles, of which only strips are shuffled."""
+    return rounded(tiles.unpacked(tiles.blurred(tiled(spark, sf_dir, 16), 1.0)), "value")
+
+
+@query(SQL["median3"])
+def tile_median3(spark, sf_dir):
+    return tiles.unpacked(tiles.medians(tiled(spark, sf_dir, 16), 3))
+
+
+@query(SQL["dilate"])
+def tile_dilate(spark, sf_dir):
+    return tiles.unpacked(tiles.dilated(tiled_mask(spark, sf_dir, 16), 2))
+
+
+@query(SQL["erode"])
+def tile_erode(spark, sf_dir):
+    return tiles.unpacked(tiles.eroded(tiled_mask(spark, sf_dir, 16), 2))
+
+
+@query(SQL["close"])
+def tile_close(spark, sf_dir):
+    return tiles.unpacked(tiles.closed(tiled_mask(spark, sf_dir, 32), 2))
+
+
+#: One pass of the Zhang-Suen rule for one of its two sub-iterations, from a view to another.
+def pass_sql(name: str, source: str, first: bool) -> str:
+    at = ["b.y = a.y - 1 and b.x = a.x", "b.y = a.y - 1 and b.x = a.x + 1", "b.y = a.y and b.x = a.x + 1", "b.y = a.y + 1 and b.x = a.x + 1", "b.y = a.y + 1 and b.x = a.x", "b.y = a.y + 1 and b.x = a.x - 1", "b.y = a.y and b.x = a.x - 1", "b.y = a.y - 1 and b.x = a.x - 1"]
+    n = ", ".join(f"coalesce(max(case when {w} then 1 end), 0) as n{k}" for k, w in enumerate(at))
+    turns = " + ".join(f"(n{k} = 0 and n{(k + 1) % 8} = 1)::int" for k in range(8))
+    spare = ("n0 * n2 * n4 = 0 and n2 * n4 * n6 = 0" if first else "n0 * n2 * n6 = 0 and n0 * n4 * n6 = 0") + f" and {' + '.join(f'n{k}' for k in range(8))} between 2 and 6 and {turns} = 1"
+    return f"{name} as materialized (select uid, y, x from (select a.uid, a.y, a.x, {n} from {source} a left join {source} b on b.uid = a.uid and b.y between a.y - 1 and a.y + 1 and b.x between a.x - 1 and a.x + 1 group by all) where not ({spare}))"
+
+
+#: A slide of the mask is thin after fewer pairs of passes than this; later ones change nothing.
+PAIRS = 12
+PASSES = [pass_sql(f"z{k + 1}", f"z{k}" if k else "mask", k % 2 == 0) for k in range(2 * PAIRS)]
+SQL["thin"] = sql(f"select uid, y, x from z{2 * PAIRS}", RASTER, MASK_SQL, *PASSES)
+
+
+@query(SQL["thin"])
+def tile_thin(spark, sf_dir):
+    return tiles.unpacked(tiles.thinned(tiled_mask(spark, sf_dir, 32), per_round=4))

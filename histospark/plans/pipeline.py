@@ -6,26 +6,89 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from histospark.operators import components as comp
-from histospark.operators import hist, pixels, stencil
-from histospark.operators.iterate import written
+from histospark.operators import hist, pixels, runs, stencil, tiles
+from histospark.operators.iterate import removed, written
+from histospark.operators.runs import Frames
+from histospark.sources.pyramid import extreme_level
 
 
-def tissue_mask(gray: DataFrame, h: int, w: int, close_radius: int = 2, least_object: float = 0.005, least_hole: float = 0.005, brightfield: bool = False) -> DataFrame:
-    """uid, y, x of tissue: blur, Otsu threshold, closing, complement of the background that touches the
-    edge, filled holes, and no pieces below a share of the image. gray has uid, y, x, value."""
-    blurred = written(stencil.gaussian_blur(gray, ["uid"], max(1, int(0.007 * min(h, w)))).withColumn("value", F.floor(F.col("value") + 0.5).cast("long")))
-    t = hist.otsu(blurred, ["uid"], "value")
-    darker = F.col("value") < F.col("threshold") if brightfield else F.col("value") > F.col("threshold")
-    first = blurred.join(t, "uid").where(darker).select("uid", "y", "x")
-    closed = stencil.closed(first, ["uid"], close_radius).where(F.col("y").between(0, h - 1) & F.col("x").between(0, w - 1))
-    solid = written(comp.filled(written(closed), h, w))
-    big = written(comp.without_small(solid, max(1, int(least_object * h * w))).select("uid", "y", "x"))
-    return comp.without_small_holes(big, max(1, int(least_hole * h * w)), h, w)
+def tissue_runs(gray: DataFrame, frames: Frames, classes: int = 2, blur_share: float = 0.007, close_share: float = 0.01, least_object: float = 0.01, least_hole: float = 0.05, brightfield: bool = False) -> DataFrame:
+    """Runs (uid, y, x0, x1) of tissue in gray images (uid, y, x, value), each slide by its own frame.
 
-
-def region_of_interest(gray: DataFrame, h: int, w: int) -> DataFrame:
-    """uid and the half-open box of its tissue; slides without tissue have none."""
-    return hist.bounding_box(tissue_mask(gray, h, w), ["uid"])
+    Thresholds come from the blurred image and part the raw one: Otsu's for two classes, or for three
+    classes what ``hist.tissue_classes`` chooses for each slide. The mask is closed, all but the background
+    that touches the edge is tissue, pieces of background below ``least_hole`` of the frame are filled, and pieces
+    of tissue below ``least_object`` go. Blur and closing have radii by the frame's shorter side; slides of
+    equal radii are run together.
+    """
+    spark = gray.sparkSession
+    size = runs.frames_of(gray, frames)
+    short = F.least("h", "w")
+    radii = written(size.select("uid", F.greatest(F.lit(1), F.floor(short * blur_share)).cast("int").alias("sigma"), F.greatest(F.lit(1), F.floor(short * (close_share / 2))).cast("int").alias("reach")))
+    blurred, groups = None, sorted((r["sigma"], r["reach"]) for r in radii.select("sigma", "reach").distinct().collect())
+    for sigma in sorted({s for s, _ in groups}):  # as many as there are different sizes of slides
+        packed = tiles.packed(gray.join(radii.where(F.col("sigma") == sigma).select("uid"), "uid", "left_semi"), ["uid"], max(tiles.SIDE, 3 * sigma))
+        one = written(tiles.unpacked(tiles.blurred(packed, sigma)).withColumn("value", F.floor(F.col("value") + 0.5).cast("long")))
+        blurred = one if blurred is None else blurred.unionByName(one)
+    if blurred is None:
+        return runs.runs_of(gray)
+    two = hist.otsu(blurred, ["uid"], "value")
+    if classes == 3:
+        three = hist.three_classes(gray, hist.multi_otsu(blurred, ["uid"], "value"), ["uid"], "value")
+        chosen = hist.tissue_classes(three, two, ["uid"], "value")
+    else:
+        chosen = two.select("uid", F.col("threshold").alias("lowest"), F.lit(True).alias("bimodal"))
+    value, lowest = F.col("value"), F.col("lowest")
+    above = value < lowest if brightfield else (value > lowest) | (~F.col("bimodal") & (value == lowest))
+    first = written(runs.runs_of(gray.join(written(chosen), "uid").where(above)))
+    closed = first.join(radii.where("reach < 2").select("uid"), "uid", "left_semi")
+    for reach in sorted({r for _, r in groups if r >= 2}):
+        mask = tiles.packed_runs(first.join(radii.where(F.col("reach") == reach).select("uid"), "uid", "left_semi"), ["uid"], max(tiles.SIDE, reach))
+        closed = closed.unionByName(runs.clipped(tiles.runs_in(tiles.closed(mask, reach)), frames))
+    solid = written(runs.filled(runs.joined_runs(closed), frames))
+    spare = runs.of_least_area(runs.labelled(runs.gaps(solid, size)), f"greatest(1, floor({least_hole} * h * w))", "uid", size, small=True)
+    even = written(runs.joined_runs(solid.unionByName(spare.drop("label"))))
+    big = runs.of_least_area(runs.labelled(even), f"greatest(1, floor({least_object} * h * w))", "uid", size)
+    out = written(runs.joined_runs(big))
+    removed(spark, first, solid, even)
+    return out
+
+
+def tissue_mask(gray: DataFrame, frames: Frames, **options) -> DataFrame:
+    """uid, y, x of tissue, by ``tissue_runs``."""
+    return runs.pixels_of(tissue_runs(gray, frames, **options)).select("uid", "y", "x")
+
+
+def region_of_interest(gray: DataFrame, frames: Frames, least_area: int = 1, **options) -> DataFrame:
+    """uid and the half-open box of its tissue in pieces of at least ``least_area`` pixels; slides without tissue have none."""
+    found = runs.of_least_area(runs.labelled(tissue_runs(gray, frames, **options)), least_area)
+    return runs.bounding_box(found, ["uid"])
+
+
+def regions_of_levels(pyramid: DataFrame, shapes: DataFrame, least_area: int = 1, **options) -> DataFrame:
+    """uid, level, y0, x0, y1, x1: each slide's region at every level of a pyramid (uid, level, y, x, value) of shapes (uid, level, h, w).
+
+    The region is found at the level of least area, scaled to the greatest level (level 0, if there is one)
+    and from there to each level; corners and sides are rounded half to even and clipped. Slides without tissue have none.
+    """
+    small = written(extreme_level(shapes).join(shapes, ["uid", "level"]))
+    full = shapes.groupBy("uid").agg(F.max(F.struct((F.col("level") == 0).alias("zero"), (F.col("h") * F.col("w")).alias("a"), "h", "w")).alias("m")).select("uid", F.col("m.h").alias("fh"), F.col("m.w").alias("fw"))
+    gray = pyramid.join(small.select("uid", "level"), ["uid", "level"], "left_semi").select("uid", "y", "x", "value")
+    box = region_of_interest(gray, small.select("uid", "h", "w"), least_area, **options)
+    near = lambda c: F.bround(c).cast("long")
+    at = box.join(small.select("uid", "h", "w"), "uid").join(full, "uid")
+    fy, fx = F.col("fh") / F.col("h"), F.col("fw") / F.col("w")
+    whole = at.select("uid", "fh", "fw", near(F.col("y0") * fy).alias("top"), near(F.col("x0") * fx).alias("left"), near((F.col("y1") - F.col("y0")) * fy).alias("high"), near((F.col("x1") - F.col("x0")) * fx).alias("wide"))
+    each = whole.join(shapes, "uid").withColumns({"sy": F.col("h") / F.col("fh"), "sx": F.col("w") / F.col("fw")})
+    y, x = near(F.col("top") * F.col("sy")), near(F.col("left") * F.col("sx"))
+    zero = F.lit(0).cast("long")
+    return each.select("uid", "level", F.greatest(zero, y).alias("y0"), F.greatest(zero, x).alias("x0"), F.least("h", y + near(F.col("high") * F.col("sy"))).alias("y1"), F.least("w", x + near(F.col("wide") * F.col("sx"))).alias("x1"))
+
+
+def cropped_levels(pyramid: DataFrame, regions: DataFrame) -> DataFrame:
+    """The pixels of every level inside its region, in coordinates of the region."""
+    inside = pyramid.join(regions, ["uid", "level"]).where("y >= y0 and y < y1 and x >= x0 and x < x1")
+    return inside.withColumns({"y": F.col("y") - F.col("y0"), "x": F.col("x") - F.col("x0")}).drop("y0", "x0", "y1", "x1")
 
 
 def filtered_channels(pixels_: DataFrame, background: float = 10, median: int = 3, suppress: float = 5) -> DataFrame:
@@ -37,11 +100,11 @@ def filtered_channels(pixels_: DataFrame, background: float = 10, median: int =
     return pixels.normalised_nonzero(written(stencil.median_blur(even, keys, 3)), keys).select(*keys, "y", "x", "byte")
 
 
-def loaded_stack(pixels_: DataFrame, h: int, w: int, invert: list[int], least_share: float) -> DataFrame:
+def loaded_stack(pixels_: DataFrame, frames: Frames, invert: list[int], least_share: float) -> DataFrame:
     """uid, channel, y, x, value: stretched to bytes, masked by tissue, cropped to its box, chosen channels inverted, near-blank channels dropped."""
     keys = ["uid", "channel"]
     bytes_ = written(pixels.minmax8(pixels_, keys).select(*keys, "y", "x", F.col("byte").alias("value")))
-    tissue = written(tissue_mask(bytes_.groupBy("uid", "y", "x").agg(F.max("value").alias("value")), h, w))
+    tissue = written(tissue_mask(bytes_.groupBy("uid", "y", "x").agg(F.max("value").alias("value")), frames))
     inside = pixels.cropped(pixels.masked(bytes_, tissue, ["uid"]), hist.bounding_box(tissue, ["uid"]), ["uid"])
     turned = written(pixels.inverted(inside, invert))
     kept = pixels.kept_channels(turned, least_share)
@@ -67,16 +130,19 @@ def reassigned(superpixels: DataFrame, vessel_pixels: DataFrame) -> DataFrame:
     return own.join(under, ["uid", "label"], "left").select("uid", "label", F.coalesce("taken", "zone").alias("zone"))
 
 
-def gap_closed_instances(barriers: DataFrame, h: int, w: int, most: int = 4) -> DataFrame:
+def gap_closed_instances(barriers: DataFrame, frames: Frames, most: int = 4) -> DataFrame:
     """uid, y, x, label: regions that barriers enclose, after growing and closing them by the first
     radius of 1 to ``most`` that leaves any, for each slide on its own. A slide that has none at any radius has no rows."""
-    found, left = None, written(barriers.select("uid", "y", "x"))
+    spark = barriers.sparkSession
+    found, left = None, written(runs.runs_of(barriers))
     for radius in range(1, most + 1):
-        grown = stencil.closed(stencil.dilated(left, ["uid"], radius), ["uid"], radius)
-        wall = written(grown.where(F.col("y").between(0, h - 1) & F.col("x").between(0, w - 1)))
-        new = written(comp.holes(wall, h, w).select("uid", "y", "x", "label"))
-        found = new if found is None else found.union(new)
-        left = written(left.join(new.select("uid").distinct(), "uid", "left_anti"))
+        grown = tiles.dilated(tiles.packed_runs(left, ["uid"]), radius)
+        wall = written(runs.joined_runs(runs.clipped(tiles.runs_in(tiles.closed(grown, radius)), frames)))
+        new = written(runs.holes(wall, frames))
+        found = new if found is None else found.unionByName(new)
+        rest = written(left.join(new.select("uid").distinct(), "uid", "left_anti"))
+        removed(spark, left, wall)
+        left = rest
         if not left.limit(1).count():
             break
-    return found
+    return runs.pixels_of(found).select("uid", "y", "x", "label")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from histospark.operators import components as comp
-from histospark.operators import distance, features
+from histospark.operators import distance, features, runs
 from histospark.plans.registry import query
 from histospark.plans.statistics import otsu_sql, rounded
 from histospark.sources import tables as t
@@ -39,12 +39,12 @@ def label8(spark, sf_dir):
 
 @query(sql(f"select uid, y, x, label from lab where (uid, label) in (select (uid, label) from lab where {EDGE})", RASTER, MASK_SQL, label_sql("lab", "mask")))
 def border_connected(spark, sf_dir):
-    return comp.border_connected(t.mask(spark, sf_dir), 50, 60).select("uid", "y", "x", "label")
+    return comp.border_connected(t.mask(spark, sf_dir), (50, 60)).select("uid", "y", "x", "label")
 
 
-def holes_sql(name: str, off: str) -> str:
+def holes_sql(name: str, off: str, edge: str = EDGE) -> str:
     """Labelled pixels of ``off`` that the image's edge doesn't reach, as a view ``name``: a flood from the edge, then labels of the rest."""
-    return f"""{name}_reach(uid, y, x) as (select uid, y, x from {off} where {EDGE} union select b.uid, b.y, b.x from {name}_reach a join {off} b on b.uid = a.uid and b.y between a.y - 1 and a.y + 1 and b.x between a.x - 1 and a.x + 1 and abs(b.y - a.y) + abs(b.x - a.x) = 1),
+    return f"""{name}_reach(uid, y, x) as (select uid, y, x from {off} where {edge} union select b.uid, b.y, b.x from {name}_reach a join {off} b on b.uid = a.uid and b.y between a.y - 1 and a.y + 1 and b.x between a.x - 1 and a.x + 1 and abs(b.y - a.y) + abs(b.x - a.x) = 1),
 {name}_rest as (select uid, y, x from {off} except select uid, y, x from {name}_reach),
 {label_sql(name, name + "_rest")}"""
 
@@ -54,12 +54,47 @@ HOLES = holes_sql("holes", "off")
 
 @query(sql("select uid, y, x, label from holes", RASTER, MASK_SQL, OFF, HOLES))
 def holes(spark, sf_dir):
-    return comp.holes(t.mask(spark, sf_dir), 50, 60).select("uid", "y", "x", "label")
+    return comp.holes(t.mask(spark, sf_dir), (50, 60)).select("uid", "y", "x", "label")
 
 
 @query(sql("select uid, y, x from mask union all select uid, y, x from holes", RASTER, MASK_SQL, OFF, HOLES))
 def fill_holes(spark, sf_dir):
-    return comp.filled(t.mask(spark, sf_dir), 50, 60)
+    return comp.filled(t.mask(spark, sf_dir), (50, 60))
+
+
+#: Slides cut to frames of different sizes.
+CUT = """frames as (select distinct uid, 50 - uid % 3 * 10 as h, 60 - uid % 4 * 5 as w from raster),
+cut as (select m.* from mask m join frames f on f.uid = m.uid where y < h and x < w),
+cutoff as (select u.uid, p.y, p.x, h, w from frames u, (select y, x from (select unnest(range(50)) as y), (select unnest(range(60)) as x)) p where p.y < h and p.x < w and not exists (select 1 from cut m where m.uid = u.uid and m.y = p.y and m.x = p.x))"""
+CUT_EDGE = "(y = 0 or x = 0 or y = h - 1 or x = w - 1)"
+
+
+def cut_runs(spark, sf_dir):
+    """Runs of the mask in frames of different sizes, and the frames."""
+    r = t.raster(spark, sf_dir)
+    frames = r.select("uid").distinct().select("uid", (50 - F.col("uid") % 3 * 10).alias("h"), (60 - F.col("uid") % 4 * 5).alias("w"))
+    return runs.clipped(runs.runs_of(t.mask(spark, sf_dir)), frames), frames
+
+
+@query(sql("select uid, y, x, label from holes", RASTER, MASK_SQL, CUT, holes_sql("holes", "cutoff", CUT_EDGE)))
+def framed_holes(spark, sf_dir):
+    """Holes over runs, each slide in a frame of its own size."""
+    mask, frames = cut_runs(spark, sf_dir)
+    return runs.pixels_of(runs.holes(mask, frames)).select("uid", "y", "x", "label")
+
+
+@query(sql(f"select distinct p.uid, p.y, p.x, p.label from lab p where (uid, label) in (select (l.uid, label) from lab l join frames f on f.uid = l.uid where {CUT_EDGE})", RASTER, MASK_SQL, CUT, label_sql("lab", "cut", True)))
+def framed_border(spark, sf_dir):
+    """8-connected components that touch the edge of their slide's own frame."""
+    mask, frames = cut_runs(spark, sf_dir)
+    return runs.pixels_of(runs.border_connected(mask, frames, eight=True)).select("uid", "y", "x", "label")
+
+
+@query(sql("select uid, label, cast(count(*) as bigint) as area, min(y) as y0, min(x) as x0, max(y) + 1 as y1, max(x) + 1 as x1 from lab group by uid, label", RASTER, MASK_SQL, label_sql("lab", "mask")))
+def run_regions(spark, sf_dir):
+    """Area and box of each component, from runs alone."""
+    labels = runs.labelled(runs.runs_of(t.mask(spark, sf_dir)), tile=32)
+    return runs.areas(labels).join(runs.bounding_box(labels, ["uid", "label"]), ["uid", "label"])
 
 
 @query(sql("select uid, y, x, label from lab where (uid, label) in (select (uid, label) from lab group by uid, label having count(*) >= 20)", RASTER, MASK_SQL, label_sql("lab", "mask")))
@@ -69,7 +104,7 @@ def remove_small(spark, sf_dir):
 
 @query(sql("select uid, y, x from mask union all select uid, y, x from holes where (uid, label) in (select (uid, label) from holes group by uid, label having count(*) < 5)", RASTER, MASK_SQL, OFF, HOLES))
 def remove_small_holes(spark, sf_dir):
-    return comp.without_small_holes(t.mask(spark, sf_dir), 5, 50, 60)
+    return comp.without_small_holes(t.mask(spark, sf_dir), 5, (50, 60))
 
 
 @query(sql("select uid, y, x, label from lab where (uid, label) in (select (uid, arg_max(label, (n, -label))) from (select uid, label, count(*) as n from lab group by all) group by uid)", RASTER, MASK_SQL, label_sql("lab", "mask")))
@@ -89,7 +124,7 @@ BIG = "big as (select uid, y, x from lab where (uid, label) in (select (uid, arg
 
 @query(sql("select b.uid, b.y, b.x, b.label from bl b where not exists (select 1 from mask m where m.uid = b.uid and m.y = b.y and m.x = b.x)", RASTER, MASK_SQL, label_sql("lab", "mask", True), BIG, holes_sql("bl", "bigoff")))
 def holes_of_largest(spark, sf_dir):
-    return comp.holes_of_largest(t.mask(spark, sf_dir), 50, 60)
+    return comp.holes_of_largest(t.mask(spark, sf_dir), (50, 60))
 
 
 @query(sql("select a.uid, a.y, a.x, round(coalesce((select sqrt(min((b.y - a.y) * (b.y - a.y) + (b.x - a.x) * (b.x - a.x))) from raster b where b.uid = a.uid and b.c0 >= 250), 'inf'::double), 9) as distance from raster a", RASTER))
@@ -110,19 +145,82 @@ def portality(spark, sf_dir):
     return rounded(distance.portality(lobes), "portality", digits=9)
 
 
-@query()
+def tissue_sql(source: str, value: str, above: str, h: int, w: int) -> str:
+    """The raw image against a threshold of the blurred one (deviation 1, so the closing has no effect), holes and small
+    background filled, small pieces gone, as a view ``tissue``."""
+    edge = f"(y = 0 or x = 0 or y = {h - 1} or x = {w - 1})"
+    off = lambda name, on: f"{name} as (select u.uid, p.y, p.x from (select distinct uid from {on}) u, (select y, x from (select unnest(range({h})) as y), (select unnest(range({w})) as x)) p except select uid, y, x from {on})"
+    return f"""g as (select uid, y, x, {value} as v from {source}),
+blur as (select a.uid, a.y, a.x, cast(floor(sum(b.v * exp(-(power(b.y - a.y, 2) + power(b.x - a.x, 2)) / 2.0::double)) / sum(exp(-(power(b.y - a.y, 2) + power(b.x - a.x, 2)) / 2.0::double)) + 0.5) as bigint) as v
+  from g a join g b on a.uid = b.uid and b.y between a.y - 3 and a.y + 3 and b.x between a.x - 3 and a.x + 3 group by a.uid, a.y, a.x),
+{otsu_sql("blur", "uid", "v")},
+{above},
+{off("void", "above")},
+{holes_sql("inner_", "void", edge)},
+solid as (select uid, y, x from above union select uid, y, x from inner_),
+{off("void2", "solid")},
+{label_sql("spare", "void2")},
+even as (select uid, y, x from solid union select uid, y, x from spare where (uid, label) in (select (uid, label) from spare group by uid, label having count(*) < {max(1, h * w // 20)})),
+{label_sql("body", "even")},
+tissue as (select uid, y, x from body where (uid, label) in (select (uid, label) from body group by uid, label having count(*) >= {max(1, h * w // 100)}))"""
+
+
+ABOVE2 = "above as (select g.uid, y, x from g join otsu o on g.uid = o.uid where v > threshold)"
+
+
+def gray2(spark, sf_dir):
+    return t.raster(spark, sf_dir).select("uid", "y", "x", F.col("c2").alias("value"))
+
+
+@query(sql("select uid, y, x from tissue", RASTER, tissue_sql("raster", "c2", ABOVE2, 50, 60)))
 def tissue_mask(spark, sf_dir):
     """Blur, threshold, close, fill and drop small pieces."""
     from histospark.plans.pipeline import tissue_mask as run
 
-    return run(t.raster(spark, sf_dir).select("uid", "y", "x", F.col("c2").alias("value")), 50, 60)
+    return run(gray2(spark, sf_dir), (50, 60))
 
 
-@query()
+@query(sql("select uid, min(y) as y0, min(x) as x0, max(y) + 1 as y1, max(x) + 1 as x1 from tissue group by uid", RASTER, tissue_sql("raster", "c2", ABOVE2, 50, 60)))
 def roi(spark, sf_dir):
     from histospark.plans.pipeline import region_of_interest
 
-    return region_of_interest(t.raster(spark, sf_dir).select("uid", "y", "x", F.col("c2").alias("value")), 50, 60)
+    return region_of_interest(gray2(spark, sf_dir), (50, 60))
+
+
+PYRAMID_C2 = "low as (select uid, y // 4 as y, x // 4 as x, c2 as value from raster where y % 4 = 0 and x % 4 = 0)"
+#: Found at level 2, scaled to level 0 and from there to every level.
+ROI_LEVELS = """select b.uid, level, greatest(0, cast(round_even(t * h / 50.0::double, 0) as bigint)) as y0, greatest(0, cast(round_even(l * w / 60.0::double, 0) as bigint)) as x0,
+  least(h, cast(round_even(t * h / 50.0::double, 0) + round_even(dy * h / 50.0::double, 0) as bigint)) as y1, least(w, cast(round_even(l * w / 60.0::double, 0) + round_even(dx * w / 60.0::double, 0) as bigint)) as x1
+from (select uid, round_even(min(y) * 50 / 13.0::double, 0) as t, round_even(min(x) * 60 / 15.0::double, 0) as l, round_even((max(y) + 1 - min(y)) * 50 / 13.0::double, 0) as dy, round_even((max(x) + 1 - min(x)) * 60 / 15.0::double, 0) as dx from tissue group by uid) b,
+  (select unnest([0, 1, 2]) as level, unnest([50, 25, 13]) as h, unnest([60, 30, 15]) as w)"""
+
+
+@query(sql(ROI_LEVELS, RASTER, PYRAMID_C2, tissue_sql("low", "value", ABOVE2, 13, 15)))
+def roi_levels(spark, sf_dir):
+    """The region of interest found at the smallest level and scaled to all."""
+    from histospark.plans.pipeline import regions_of_levels
+    from histospark.sources.pyramid import decimated
+
+    levels = decimated(gray2(spark, sf_dir), [0, 1, 2])
+    sizes = spark.createDataFrame([(0, 50, 60), (1, 25, 30), (2, 13, 15)], "level int, h long, w long")
+    return regions_of_levels(levels, gray2(spark, sf_dir).select("uid").distinct().join(sizes)).withColumn("level", F.col("level").cast("int"))
+
+
+#: Three classes of the blurred image decide for each slide, as hist.tissue_classes does.
+ABOVE3 = """bh as (select uid, v, count(*) as n from blur group by all),
+bc as (select *, sum(n) over w as w, sum(n * v) over w as s, sum(n) over (partition by uid) as wt, sum(n * v) over (partition by uid) as st from bh window w as (partition by uid order by v rows unbounded preceding)),
+bt as (select a.uid, arg_max((a.v, b.v), (round(power(a.s::double, 2) / a.w + power((b.s - a.s)::double, 2) / (b.w - a.w) + power((a.st - b.s)::double, 2) / (a.wt - b.w), 6), -a.v, -b.v)) as t from bc a join bc b on a.uid = b.uid and a.v < b.v where b.w < b.wt group by a.uid),
+b3 as (select g.uid, g.y, g.x, v, t[1] as t1, t[2] as t2, cast(v >= t[1] as int) + cast(v >= t[2] as int) as label from g join bt on g.uid = bt.uid),
+bm as (select uid, avg(cast(label = 1 as double)) < 0.05 or max(t2 - t1) < 25.5 as two, avg(v) filter (label = 0) as dark from b3 group by uid),
+above as (select b3.uid, y, x from b3 join bm on b3.uid = bm.uid join otsu o on o.uid = b3.uid where case when two then v > threshold when dark > 10 then label > 0 else label = 2 end)"""
+
+
+@query(sql("select uid, y, x from tissue", RASTER, tissue_sql("raster", "c2", ABOVE3, 50, 60)))
+def tissue_mask_three(spark, sf_dir):
+    """The mask by three classes, with the choice among three maskings for each slide."""
+    from histospark.plans.pipeline import tissue_mask as run
+
+    return run(gray2(spark, sf_dir), (50, 60), classes=3)
 
 
 CELLS = "cells as (select uid, (y // 5) * 12 + x // 5 as label, y, x, c0, c1, c2 from raster)"
@@ -233,7 +331,7 @@ def filter_channels(spark, sf_dir):
 def load_stack(spark, sf_dir):
     from histospark.plans.pipeline import loaded_stack
 
-    return loaded_stack(t.pixels(spark, sf_dir), 50, 60, [1], 0.5)
+    return loaded_stack(t.pixels(spark, sf_dir), (50, 60), [1], 0.5)
 
 
 @query()
@@ -242,14 +340,14 @@ def vessels(spark, sf_dir):
 
     zone = F.when(F.col("c2") >= 170, "PV").when(F.col("c2") >= 85, "MID").otherwise("PP")
     zones = t.raster(spark, sf_dir).select("uid", "y", "x", zone.alias("zone"))
-    return classed(comp.holes(t.mask(spark, sf_dir), 50, 60), zones, 2, 5, 0.4)
+    return classed(comp.holes(t.mask(spark, sf_dir), (50, 60)), zones, 2, 5, 0.4)
 
 
 @query()
 def instances(spark, sf_dir):
     from histospark.plans.pipeline import gap_closed_instances
 
-    return gap_closed_instances(t.raster(spark, sf_dir).where("c2 between 100 and 110").select("uid", "y", "x"), 50, 60)
+    return gap_closed_instances(t.raster(spark, sf_dir).where("c2 between 100 and 110").select("uid", "y", "x"), (50, 60))
 
 
 PREVIEW = """gam as (select m.uid, label, (case when h0 - l0 > 1e-6 then power((greatest(l0, least(h0, c0)) - l0) / (h0 - l0), 0.7) * (h0 - l0) + l0 else c0 end) * 1.2::double as c0, (case when h2 - l2 > 1e-6 then power((greatest(l2, least(h2, c2)) - l2) / (h2 - l2), 0.7) * (h2 - l2) + l2 else c2 end) * 1.7::double as c2
@@ -273,7 +371,7 @@ def vessels_not_nested(spark, sf_dir):
 
 @query(sql("select distinct uid, label from cells where (uid, label) not in (select (uid, label) from cells where y = 0 or x = 0 or y = 49 or x = 59) and (uid, label) not in (select (uid, label) from means where c0 > 130)", RASTER, CELLS, MEANS))
 def inner_regions(spark, sf_dir):
-    return comp.inner_regions(cells(spark, sf_dir), 50, 60, means(spark, sf_dir).where("c0 > 130").select("uid", "label"))
+    return comp.inner_regions(cells(spark, sf_dir), (50, 60), means(spark, sf_dir).where("c0 > 130").select("uid", "label"))
 
 
 @query(sql("""select o.uid, o.label, coalesce(taken, zone) as zone from (select uid, label, min(case when c2 >= 128 then 'PV' else 'PP' end) as zone from cells group by uid, label) o

@@ -101,7 +101,7 @@ MULTI = """mh as (select uid, c2 as v, count(*) as n from raster group by all),
 mc as (select uid, v, sum(n) over w as w, sum(n * v) over w as s, sum(n) over (partition by uid) as wt, sum(n * v) over (partition by uid) as st from mh window w as (partition by uid order by v rows unbounded preceding)),
 mp as (select a.uid, a.v as t1, b.v as t2, power(cast(a.s as double), 2) / a.w + power(cast(b.s - a.s as double), 2) / (b.w - a.w) + power(cast(b.st - b.s as double), 2) / (b.wt - b.w) as score from mc a join mc b on a.uid = b.uid and a.v < b.v where b.w < b.wt),
 multi as (select uid, arg_max(t1, (round(score, 6), -t1, -t2)) as t1, arg_max(t2, (round(score, 6), -t1, -t2)) as t2 from mp group by uid),
-classed as (select r.uid, r.y, r.x, c2, t1, t2, cast(c2 > t1 as bigint) + cast(c2 > t2 as bigint) as label from raster r join multi m on r.uid = m.uid)"""
+classed as (select r.uid, r.y, r.x, c2, t1, t2, cast(c2 >= t1 as bigint) + cast(c2 >= t2 as bigint) as label from raster r join multi m on r.uid = m.uid)"""
 
 
 @query(sql("select uid, t1, t2 from multi", RASTER, MULTI))

@@ -52,8 +52,8 @@ def test_labels_do_not_depend_on_tiles(spark, eight, tile):
 
 def test_holes(spark):
     rows = ["000000", "011110", "010010", "011110", "000000"]
-    assert {(r.y, r.x) for r in components.holes(mask_of(spark, rows), 5, 6).collect()} == {(2, 2), (2, 3)}
-    assert components.filled(mask_of(spark, rows), 5, 6).count() == 12
+    assert {(r.y, r.x) for r in components.holes(mask_of(spark, rows), (5, 6)).collect()} == {(2, 2), (2, 3)}
+    assert components.filled(mask_of(spark, rows), (5, 6)).count() == 12
 
 
 @pytest.mark.parametrize("tile", [8, 64])
@@ -150,7 +150,7 @@ def test_stain_basis_is_found(spark):
 def test_tissue_mask_finds_a_square(spark):
     rows = [(1, y, x, 200 if 10 <= y < 30 and 10 <= x < 30 else 10) for y in range(40) for x in range(40)]
     gray = spark.createDataFrame(rows, "uid long, y long, x long, value long")
-    box = pipeline.region_of_interest(gray, 40, 40).first()
+    box = pipeline.region_of_interest(gray, (40, 40)).first()
     assert abs(box.y0 - 10) <= 1 and abs(box.x1 - 30) <= 1
 
 
@@ -249,7 +249,7 @@ def test_border_rings(spark):
 
 def test_instances_choose_their_radius_by_slide(spark):
     walls = [(u, y, x) for u, gap in ((1, 0), (2, 3)) for y in range(10, 31) for x in range(10, 31) if (y in (10, 30) or x in (10, 30)) and not (y == 10 and 20 <= x < 20 + gap)]
-    got = pipeline.gap_closed_instances(spark.createDataFrame(walls, "uid long, y long, x long"), 41, 41)
+    got = pipeline.gap_closed_instances(spark.createDataFrame(walls, "uid long, y long, x long"), (41, 41))
     assert {r.uid for r in got.select("uid").distinct().collect()} == {1, 2}
 
 
