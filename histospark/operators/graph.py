@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from histospark.operators.gridjoin import cells_of_box, grid_join
+from histospark.operators.gridjoin import box_join, cells_of_box, grid_join
 from histospark.operators.iterate import connected_components, removed, written
 
 
@@ -46,15 +46,15 @@ def cross(ax: str, ay: str, bx: str, by: str, cx: str, cy: str) -> Column:
     return F.expr(f"({bx} - {ax}) * ({cy} - {ay}) - ({by} - {ay}) * ({cx} - {ax})")
 
 
-def intersections(segs: DataFrame, cell: float = 16.0) -> DataFrame:
-    """Pairs (line, seq), (line2, seq2) of segments of different lines that properly cross, and the place x, y."""
-    box = lambda p: cells_of_box(F.least(f"{p}ax", f"{p}bx"), F.least(f"{p}ay", f"{p}by"), F.greatest(f"{p}ax", f"{p}bx"), F.greatest(f"{p}ay", f"{p}by"), cell)
-    other = segs.select(*[F.col(c).alias(n) for c, n in (("line", "line2"), ("seq", "seq2"), ("ax", "qax"), ("ay", "qay"), ("bx", "qbx"), ("by", "qby"))])
+def intersections(segs: DataFrame, cell: float = 16.0, keys: list[str] = ()) -> DataFrame:
+    """Pairs keys, (line, seq), (line2, seq2) of segments of different lines that properly cross, and the place x, y."""
+    box = lambda p: (F.least(f"{p}ax", f"{p}bx"), F.least(f"{p}ay", f"{p}by"), F.greatest(f"{p}ax", f"{p}bx"), F.greatest(f"{p}ay", f"{p}by"))
+    other = segs.select(*keys, *[F.col(c).alias(n) for c, n in (("line", "line2"), ("seq", "seq2"), ("ax", "qax"), ("ay", "qay"), ("bx", "qbx"), ("by", "qby"))])
     d1, d2 = cross("ax", "ay", "bx", "by", "qax", "qay"), cross("ax", "ay", "bx", "by", "qbx", "qby")
     d3, d4 = cross("qax", "qay", "qbx", "qby", "ax", "ay"), cross("qax", "qay", "qbx", "qby", "bx", "by")
-    met = grid_join(segs, other, box(""), box("q"), [], (F.col("line") < F.col("line2")) & (F.signum(d1) * F.signum(d2) < 0) & (F.signum(d3) * F.signum(d4) < 0), ["line", "seq", "line2", "seq2"])
+    met = box_join(segs, other, box(""), box("q"), [*keys], cell).where((F.col("line") < F.col("line2")) & (F.signum(d1) * F.signum(d2) < 0) & (F.signum(d3) * F.signum(d4) < 0))
     t = d3 / (d3 - d4)
-    return met.select("line", "seq", "line2", "seq2", (F.col("ax") + t * (F.col("bx") - F.col("ax"))).alias("x"), (F.col("ay") + t * (F.col("by") - F.col("ay"))).alias("y"))
+    return met.select(*keys, "line", "seq", "line2", "seq2", (F.col("ax") + t * (F.col("bx") - F.col("ax"))).alias("x"), (F.col("ay") + t * (F.col("by") - F.col("ay"))).alias("y"))
 
 
 def t_junctions(lines: DataFrame, segs: DataFrame, reach: float, cell: float = 8.0, least_angle: float = 20.0) -> DataFrame:
@@ -71,22 +71,25 @@ def t_junctions(lines: DataFrame, segs: DataFrame, reach: float, cell: float = 8
     return near.select("end_line", "end_seq", "line", "seq", t.alias("t"))
 
 
-def clustered_points(points: DataFrame, reach: float) -> DataFrame:
-    """cluster (least id), n, x, y: points (id, x, y) linked within ``reach``, transitively; the centre is the mean."""
-    q = points.select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    own = F.array(F.struct(F.floor(F.col("x2") / reach).alias("cx"), F.floor(F.col("y2") / reach).alias("cy")))
-    links = grid_join(points, q, cells_of_box(F.col("x"), F.col("y"), F.col("x"), F.col("y"), reach, reach), own, [], F.expr(f"id < id2 and (x - x2) * (x - x2) + (y - y2) * (y - y2) <= {reach * reach}"), ["id", "id2"])
+def clustered_points(points: DataFrame, reach: float, keys: list[str] = ()) -> DataFrame:
+    """keys, cluster (least id), n, x, y: points (keys, id, x, y) linked within ``reach``, transitively; the centre is the mean."""
+    links = points_within(points, points.select(*keys, F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2")), reach, keys).where("id < id2")
     found = connected_components(links.select(F.col("id").alias("a"), F.col("id2").alias("b")))
     named = points.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("cluster", F.coalesce("component", "id"))
-    return named.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+    return named.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
 
 
-def nearest_center(points: DataFrame, centers: DataFrame, reach: float) -> DataFrame:
-    """id, center, d2: the nearest center (center, x2, y2) within ``reach`` of each point, null where there is none; ties go to the least."""
-    own = F.array(F.struct(F.floor(F.col("x2") / reach).alias("cx"), F.floor(F.col("y2") / reach).alias("cy")))
-    d2 = F.expr("(x - x2) * (x - x2) + (y - y2) * (y - y2)")
-    near = grid_join(points, centers, cells_of_box(F.col("x"), F.col("y"), F.col("x"), F.col("y"), reach, reach), own, [], d2 <= reach * reach, ["id", "center"])
-    best = near.groupBy("id").agg(F.min(F.struct(d2.alias("d2"), "center")).alias("b"))
+def points_within(points: DataFrame, others: DataFrame, reach: float, keys: list[str] = ()) -> DataFrame:
+    """keys, id, id2, x, y, x2, y2, d2: points (keys, id, x, y) and others (keys, id2, x2, y2) within ``reach`` of each other."""
+    around = tuple(F.col(c) + d for c, d in (("x", -reach), ("y", -reach), ("x", reach), ("y", reach)))
+    met = box_join(points, others, around, (F.col("x2"), F.col("y2"), F.col("x2"), F.col("y2")), [*keys], reach)
+    return met.withColumn("d2", F.expr("(x - x2) * (x - x2) + (y - y2) * (y - y2)")).where(F.col("d2") <= reach * reach)
+
+
+def nearest_center(points: DataFrame, centers: DataFrame, reach: float, keys: list[str] = ()) -> DataFrame:
+    """id, center, d2: the nearest center (keys, center, x2, y2) within ``reach`` of each point, null where there is none; ties go to the least."""
+    near = points_within(points, centers.withColumnRenamed("center", "id2"), reach, keys)
+    best = near.groupBy("id").agg(F.min(F.struct("d2", F.col("id2").alias("center"))).alias("b"))
     return points.select("id").join(best, "id", "left").select("id", F.col("b.center").alias("center"), F.col("b.d2").alias("d2"))
 
 

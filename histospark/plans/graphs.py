@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from histospark.operators import graph, network
-from histospark.operators.gridjoin import cells_of_box
+from histospark.operators import graph, network, overlay
 from histospark.plans.registry import query
 from histospark.plans.regions import HOLES, OFF, label_sql
 from histospark.plans.statistics import rounded
 from histospark.sources import tables as t
-from histospark.sources.tables import DENSE_GRAPH, MASK_SQL, POLYLINES, RASTER, SPARSE_GRAPH, sql
+from histospark.sources.tables import DENSE_GRAPH, MASK_SQL, POLYLINES, RASTER, SPARSE_GRAPH, SPOTS, WIRES, sql
 
 SEGS = """segs as (select line, seq, px as ax, py as ay, bx, by_ as "by" from (select *, lead(px) over (partition by line order by seq) as bx, lead(py) over (partition by line order by seq) as by_ from lines) where bx is not null and (px <> bx or py <> by_))"""
 
@@ -39,19 +38,49 @@ def line_segments(spark, sf_dir):
     return graph.segments(t.polylines(spark, sf_dir))
 
 
-CROSSING = """select a.line, a.seq, b.line as line2, b.seq as seq2, a.ax, a.ay, a.bx, a."by", b.ax as qax, b.ay as qay, b.bx as qbx, b."by" as qby,
+WIRE_SEGS = """wires as (select uid, line, seq, px as ax, py as ay, bx, by_ as "by" from (select *, lead(px) over w as bx, lead(py) over w as by_ from lines window w as (partition by uid, line order by seq)) where bx is not null and (px <> bx or py <> by_))"""
+#: Pairs of segments of a slide that can meet: none is longer than eight units.
+CROSSING = """select a.uid, a.line, a.seq, b.line as line2, b.seq as seq2, a.ax, a.ay, a.bx, a."by", b.ax as qax, b.ay as qay, b.bx as qbx, b."by" as qby,
   (a.bx - a.ax) * (b.ay - a.ay) - (a."by" - a.ay) * (b.ax - a.ax) as d1, (a.bx - a.ax) * (b."by" - a.ay) - (a."by" - a.ay) * (b.bx - a.ax) as d2,
   (b.bx - b.ax) * (a.ay - b.ay) - (b."by" - b.ay) * (a.ax - b.ax) as d3, (b.bx - b.ax) * (a."by" - b.ay) - (b."by" - b.ay) * (a.bx - b.ax) as d4
-  from far a join far b on a.line < b.line and a.line // 2 = b.line // 2"""
-FAR = "far as (select line, seq, ax + line // 2 * 100 as ax, ay, bx + line // 2 * 100 as bx, \"by\" from segs)"
+  from wires a join wires b on a.uid = b.uid and (a.line < b.line or (a.line = b.line and a.seq < b.seq)) and b.ax between a.ax - 18 and a.ax + 18 and b.ay between a.ay - 18 and a.ay + 18"""
 
 
-@query(sql(f"select line, seq, line2, seq2, round(ax + d3 / cast(d3 - d4 as double) * (bx - ax), 6) as x, round(ay + d3 / cast(d3 - d4 as double) * (\"by\" - ay), 6) as y from ({CROSSING}) where sign(d1) * sign(d2) < 0 and sign(d3) * sign(d4) < 0", POLYLINES, SEGS, FAR))
+@query(sql(f"select uid, line, seq, line2, seq2, round(ax + d3 / cast(d3 - d4 as double) * (bx - ax), 6) as x, round(ay + d3 / cast(d3 - d4 as double) * (\"by\" - ay), 6) as y from ({CROSSING}) where line <> line2 and sign(d1) * sign(d2) < 0 and sign(d3) * sign(d4) < 0", RASTER, WIRES, WIRE_SEGS))
 def seg_intersections(spark, sf_dir):
-    """Two users' lines share a field of view, a hundred pixels from the next."""
-    lines = t.polylines(spark, sf_dir).withColumn("px", F.col("px") + F.expr("line div 2") * 100)
-    segs = graph.segments(lines)
-    return rounded(graph.intersections(segs), "x", "y")
+    """The wires of each slide."""
+    segs = graph.segments(t.wires(spark, sf_dir), ["uid"])
+    return rounded(graph.intersections(segs, keys=["uid"]), "x", "y")
+
+
+#: Cuts of the wires: where segments cross or touch, where ends of collinear ones are near, and where ends of lines come near others' inside.
+CUTS = f"""met as (select *, (bx - ax) * (qby - qay) - ("by" - ay) * (qbx - qax) as turn from ({CROSSING}) where d1 * d2 <= 0 and d3 * d4 <= 0),
+crossed as (select *, greatest(0.0, least(1.0, ((qax - ax) * (qby - qay) - (qay - ay) * (qbx - qax)) / cast(turn as double))) as t, greatest(0.0, least(1.0, ((qax - ax) * ("by" - ay) - (qay - ay) * (bx - ax)) / cast(turn as double))) as u from met where turn <> 0),
+along as (select uid, line, seq, line2, seq2, greatest(0.0, least(1.0, ((px - ax) * (bx - ax) + (py - ay) * ("by" - ay)) / cast((bx - ax) * (bx - ax) + ("by" - ay) * ("by" - ay) as double))) as t, e, ax, ay, bx, "by", px, py, forward from (
+  select uid, line, seq, line2, seq2, ax, ay, bx, "by", unnest([qax, qbx]) as px, unnest([qay, qby]) as py, unnest([0.0, 1.0]) as e, true as forward from met where turn = 0
+  union all select uid, line, seq, line2, seq2, qax, qay, qbx, qby, unnest([ax, bx]), unnest([ay, "by"]), unnest([0.0, 1.0]), false from met where turn = 0)),
+beside as (select * from along where power(ax + t * (bx - ax) - px, 2) + power(ay + t * ("by" - ay) - py, 2) <= 1.0),
+tips as (select uid, line, px as ex, py as ey, case when i = 1 then nx - px else px - qx end as wx, case when i = 1 then ny - py else py - qy end as wy from (select *, row_number() over w as i, count(*) over (partition by uid, line) as n, lead(px) over w as nx, lead(py) over w as ny, lag(px) over w as qx, lag(py) over w as qy from lines window w as (partition by uid, line order by seq)) where i = 1 or i = n),
+tee as (select s.uid, s.line, s.seq, ((ex - ax) * (bx - ax) + (ey - ay) * ("by" - ay)) / cast((bx - ax) * (bx - ax) + ("by" - ay) * ("by" - ay) as double) as t from tips e join wires s on s.uid = e.uid and s.ax between ex - 12 and ex + 12 and s.ay between ey - 12 and ey + 12
+  where not (s.line = e.line and ((ex = ax and ey = ay) or (ex = bx and ey = "by"))) and coalesce(abs(wx * (bx - ax) + wy * ("by" - ay)) <= cos(radians(20)) * sqrt((bx - ax) * (bx - ax) + ("by" - ay) * ("by" - ay)) * sqrt(wx * wx + wy * wy), true)
+  and t between 0.02 and 0.98 and power(ax + t * (bx - ax) - ex, 2) + power(ay + t * ("by" - ay) - ey, 2) <= 2.25),
+cuts as (select uid, line, seq, t::double as t from crossed union select uid, line2, seq2, u from crossed union select uid, line, seq, t from tee union select uid, line, seq, unnest([0.0, 1.0]) from wires
+  union select uid, line, seq, case when forward then t else e end from beside union select uid, line2, seq2, case when forward then e else t end from beside)"""
+
+
+@query(sql("select uid, line, seq, round(t, 6) as t0, round(t1, 6) as t1 from (select *, lead(t) over (partition by uid, line, seq order by t) as t1 from cuts) where t1 - t > 1e-9", RASTER, WIRES, WIRE_SEGS, CUTS))
+def overlay_pieces(spark, sf_dir):
+    """The wires of each slide cut where they meet; slivers by rounding are left out of the comparison."""
+    pieces, _ = overlay.overlaid(t.wires(spark, sf_dir), ["uid"])
+    return rounded(pieces.where("t1 - t0 > 1e-9"), "t0", "t1").select("uid", "line", "seq", "t0", "t1")
+
+
+@query()
+def overlay_edges(spark, sf_dir):
+    """The network of the wires: edges between the nodes at which other than two pieces meet."""
+    pieces, nodes = overlay.overlaid(t.wires(spark, sf_dir), ["uid"])
+    at = lambda c: nodes.select(F.col("node").alias(c), F.round("x", 6).alias(f"{c}x"), F.round("y", 6).alias(f"{c}y"))
+    return overlay.chained(pieces, ["uid"]).join(at("u"), "u").join(at("v"), "v").select("uid", "ux", "uy", "vx", "vy", "pieces")
 
 
 @query(sql("""select end_line, end_seq, line, seq, round(t, 9) as t from (
@@ -66,28 +95,19 @@ def t_junctions(spark, sf_dir):
     return rounded(graph.t_junctions(lines, graph.segments(lines), 2.0), "t", digits=9)
 
 
-POINTS = "points as (select event_id as id, (event_id * 37) % 1009 / 3.0::double + event_id // 4000 * 400 as x, (event_id * 91) % 997 / 3.0::double as y from events)"
-
-
-def points(spark, sf_dir):
-    """The events as points, in fields of four thousand."""
-    e = t.table(spark, sf_dir, "events")
-    return e.select(F.col("event_id").alias("id"), ((F.col("event_id") * 37) % 1009 / F.lit(3.0) + F.expr("event_id div 4000") * 400).alias("x"), ((F.col("event_id") * 91) % 997 / F.lit(3.0)).alias("y"))
+NEARBY = "nearby as (select a.id as a, b.id as b from points a join points b on a.uid = b.uid and a.id <> b.id and b.x between a.x - 2.5 and a.x + 2.5 and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 6.25)"
 
 
-NEARBY = "nearby as (select a.id as a, b.id as b from points a join points b on a.id <> b.id and b.x between a.x - 2.5 and a.x + 2.5 and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 6.25)"
-
-
-@query(sql("""select c.cluster, cast(count(*) as bigint) as n, round(avg(x), 6) as x, round(avg(y), 6) as y from (select node, min(label) as cluster from walk group by node) c join points p on p.id = c.node group by c.cluster""", POINTS, NEARBY, "walk(node, label) as (select id, id from points union select n.b, w.label from walk w join nearby n on n.a = w.node where w.label < n.b)"))
+@query(sql("""select p.uid, c.cluster, cast(count(*) as bigint) as n, round(avg(x), 6) as x, round(avg(y), 6) as y from (select node, min(label) as cluster from walk group by node) c join points p on p.id = c.node group by p.uid, c.cluster""", RASTER, SPOTS, NEARBY, "walk(node, label) as (select id, id from points union select n.b, w.label from walk w join nearby n on n.a = w.node where w.label < n.b)"))
 def cluster_points(spark, sf_dir):
-    return rounded(graph.clustered_points(points(spark, sf_dir), 2.5), "x", "y")
+    return rounded(graph.clustered_points(t.spots(spark, sf_dir), 2.5, ["uid"]), "x", "y")
 
 
-@query(sql("select p.id, arg_min(c.id, ((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y), c.id)) as center, round(min((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y)), 6) as d2 from points p left join points c on c.id % 40 = 0 and (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) <= 100 group by p.id", POINTS))
+@query(sql("select p.id, arg_min(c.id, ((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y), c.id)) as center, round(min((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y)), 6) as d2 from points p left join points c on c.uid = p.uid and c.id % 40 = 0 and (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) <= 100 group by p.id", RASTER, SPOTS))
 def nearest_center(spark, sf_dir):
-    p = points(spark, sf_dir)
-    centers = p.where("id % 40 = 0").select(F.col("id").alias("center"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    return rounded(graph.nearest_center(p, centers, 10.0), "d2")
+    p = t.spots(spark, sf_dir)
+    centers = p.where("id % 40 = 0").select("uid", F.col("id").alias("center"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    return rounded(graph.nearest_center(p, centers, 10.0, ["uid"]), "d2")
 
 
 @query()
@@ -165,22 +185,18 @@ def parallel_edges(spark, sf_dir):
 
 @query()
 def drop_parallel(spark, sf_dir):
-    """Edges drawn as two steps of a user's line; every second is the one before moved by one pixel, and joins the same nodes."""
-    step = t.polylines(spark, sf_dir).where("seq <= 3")
+    """Edges drawn as all steps of a user's line; every second is the one before moved by one pixel, and joins the same nodes."""
+    step = t.polylines(spark, sf_dir)
     moved = step.select((F.col("line") * 2).alias("line"), "seq", "px", "py").union(step.select((F.col("line") * 2 + 1).alias("line"), "seq", F.col("px") + F.col("line") % 2, "py"))
     edges = moved.groupBy(F.col("line").alias("eid")).agg(F.expr("min(line div 2)").alias("u")).select("eid", (F.col("u") * 2).alias("u"), (F.col("u") * 2 + 1).alias("v"))
     return graph.without_parallel(edges, moved).select("eid")
 
 
-@query(sql("select p.id, cast(count(c.id) as bigint) as near from points p join points c on c.id <> p.id and abs(p.x - c.x) <= 3 and abs(p.y - c.y) <= 3 group by p.id", POINTS))
+@query(sql("select p.id, cast(count(c.id) as bigint) as near from points p join points c on c.uid = p.uid and c.id <> p.id and (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) <= 9 group by p.id", RASTER, SPOTS))
 def points_in_reach(spark, sf_dir):
-    from histospark.operators.gridjoin import grid_join
-
-    p = points(spark, sf_dir)
-    q = p.toDF("id2", "x2", "y2")
-    own = F.array(F.struct(F.floor(F.col("x2") / 3).alias("cx"), F.floor(F.col("y2") / 3).alias("cy")))
-    met = grid_join(p, q, cells_of_box(F.col("x"), F.col("y"), F.col("x"), F.col("y"), 3.0, 3.0), own, [], F.expr("id <> id2 and abs(x - x2) <= 3 and abs(y - y2) <= 3"), ["id", "id2"])
-    return met.groupBy("id").agg(F.count(F.lit(1)).alias("near"))
+    p = t.spots(spark, sf_dir)
+    met = graph.points_within(p, p.toDF("uid", "id2", "x2", "y2"), 3.0, ["uid"])
+    return met.where("id <> id2").groupBy("id").agg(F.count(F.lit(1)).alias("near"))
 
 
 @query(sql("""select distinct line, cast(floor(ay + i * ("by" - ay) / cast(greatest(s, 1) as double) + 0.5) as bigint) as y, cast(floor(ax + i * (bx - ax) / cast(greatest(s, 1) as double) + 0.5) as bigint) as x

@@ -119,6 +119,26 @@ def polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
 POLYLINES = "lines as (select user_id as line, row_number() over (partition by user_id order by event_id) as seq, event_id % 97 as px, cast(trunc(value) as bigint) % 89 as py from events)"
 
 
+def wires(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices of a wavy line along each row and each column of a slide, four units a pixel: uid, line, seq, px, py."""
+    r = raster(spark, sf_dir)
+    along = r.select("uid", F.col("y").alias("line"), F.col("x").alias("seq"), (F.col("x") * 4).alias("px"), (F.col("y") * 4 + F.col("c1") % 7 - 3).alias("py"))
+    down = r.select("uid", (F.col("x") + 1000).alias("line"), F.col("y").alias("seq"), (F.col("x") * 4 + F.col("c0") % 7 - 3).alias("px"), (F.col("y") * 4).alias("py"))
+    return along.union(down)
+
+
+WIRES = "lines as (select uid, y as line, x as seq, x * 4 as px, y * 4 + c1 % 7 - 3 as py from raster union all select uid, x + 1000, y, x * 4 + c0 % 7 - 3, y * 4 from raster)"
+
+
+def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The brightest pixels of each slide as points between pixels: uid, id, x, y."""
+    r = raster(spark, sf_dir).where("c0 >= 235")
+    return r.select("uid", (F.col("uid") * 3000 + F.col("y") * 60 + F.col("x")).alias("id"), (F.col("x") + F.col("c1") / 256).alias("x"), (F.col("y") + F.col("c2") / 256).alias("y"))
+
+
+SPOTS = "points as (select uid, uid * 3000 + y * 60 + x as id, x + c1 / 256.0::double as x, y + c2 / 256.0::double as y from raster where c0 >= 235)"
+
+
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slide records: uid, path, image_type, channel, size_um."""
     p = table(spark, sf_dir, "part").withColumn("s_suppkey", (F.col("p_partkey") % 100).cast("long"))
