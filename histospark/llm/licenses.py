@@ -179,13 +179,10 @@ class Matcher:
                         yield start, c
 
     def candidates(self, text: str | None) -> list[tuple[int, str, float, float, list[tuple[str, int]]]]:
-        """Line (from 0; -1: the file as a whole) and comparison of what may reach the least cosine; an
-        SPDX tag is a line of its own with a cosine of 1."""
-        raw = (text or "").split("\n")
-        tags = [(k, m[1], 1.0, 1.0, []) for k, line in enumerate(raw) if "SPDX" in line and (m := TAG.search(line))]
-        lines = [Counter(terms(line)) for line in raw]
+        """Line (from 0; -1: the file as a whole) and comparison of what may reach the least cosine."""
+        lines = [Counter(terms(line)) for line in (text or "").split("\n")]
         units = [(-1, sum_of(lines)), *enumerate(lines)]
-        found = tags + [(k, *c) for k, found in units if (c := self.compare(found))]
+        found = [(k, *c) for k, found in units if (c := self.compare(found))]
         return found + ([(k, *c) for k, c in self.runs(lines)] if len(lines) > 1 and not self.anchors.isdisjoint(units[0][1]) else [])
 
     def best(self, text: str) -> tuple[float, str | None]:
@@ -203,6 +200,12 @@ class Matcher:
         return name, min(score, 1.0), -k, any(f[1] == 1 for f in found)
 
 
+def tag_of(text: str | None) -> str | None:
+    """The licence that the first SPDX tag of a text names."""
+    found = TAG.search(text) if text and "SPDX" in text else None
+    return found[1] if found else None
+
+
 def sum_of(counters: list[Counter]) -> Counter:
     out: Counter = Counter()
     for c in counters:
@@ -211,11 +214,12 @@ def sum_of(counters: list[Counter]) -> Counter:
 
 
 def scan_licenses(files: DataFrame, alike: float = ALIKE, common: int = COMMON) -> DataFrame:
-    """file_id, path, license_id, score, line, inherited_from, for files(file_id, path, text).
+    """file_id, path, license_id, score, line, inherited_from, spdx_tag, for files(file_id, path, text).
 
     A file's own licence is that of its best line or run of lines (``line`` is its first), or of the
     file as a whole (-1), at a cosine of at least ``alike``; a run has at most LONGEST times the words
-    of the template that it is compared with. An SPDX tag counts as a line with a cosine of 1. Licence files are those of such a name with an own licence, and those that are a
+    of the template that it is compared with. ``spdx_tag`` is what the file's first SPDX tag names; it
+    has no part in the cosines and the inheritance. Licence files are those of such a name with an own licence, and those that are a
     licence as a whole. A file without an own licence gets that of the nearest directory above it
     with a licence file (of several there, the one with the best score, then the least path), and
     ``inherited_from`` names that directory. Null or empty texts have no own licence; a null path is
@@ -233,12 +237,12 @@ def scan_licenses(files: DataFrame, alike: float = ALIKE, common: int = COMMON)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             units = [[{"line": k, "name": name, "along": length, "known": known, "rest": [{"term": t, "times": m} for t, m in rest]} for k, name, length, known, rest in matcher.candidates(text)] for text in batch["text"]]
-            yield pd.DataFrame({"row": range(row, row + len(batch)), "file_id": batch["file_id"], "path": batch["path"], "units": units})
+            yield pd.DataFrame({"row": range(row, row + len(batch)), "file_id": batch["file_id"], "path": batch["path"], "spdx_tag": pd.Series([tag_of(t) for t in batch["text"]], dtype=object, index=batch.index), "units": units})
             row += len(batch)
 
     kind = files.schema["file_id"].dataType.simpleString()
     unit = "struct<line: long, name: string, along: double, known: double, rest: array<struct<term: string, times: long>>>"
-    rows = written(files.select("file_id", "path", "text").mapInPandas(scan, f"row long, file_id {kind}, path string, units array<{unit}>"), "candidates")
+    rows = written(files.select("file_id", "path", "text").mapInPandas(scan, f"row long, file_id {kind}, path string, spdx_tag string, units array<{unit}>"), "candidates")
     units = rows.select("row", F.posexplode("units").alias("unit", "u")).select("row", "unit", "u.*")
     # what isn't among the frequencies is in one file
     idf = F.log((n + 1.0) / (F.coalesce("n", F.lit(1)) + 1)) + 1
@@ -259,4 +263,4 @@ def scan_licenses(files: DataFrame, alike: float = ALIKE, common: int = COMMON)
     nearest = up.join(declared.withColumnRenamed("dir", "ancestor"), "ancestor").groupBy("dir").agg(F.max(F.struct("depth", "ancestor", "dir_license")).alias("near"))
     joined = scanned.join(nearest, "dir", "left")
     own = F.col("license_id").isNotNull()
-    return joined.select("file_id", "path", F.coalesce("license_id", F.col("near.dir_license")).alias("license_id"), "score", "line", F.when(~own, F.col("near.ancestor")).alias("inherited_from"))
+    return joined.select("file_id", "path", F.coalesce("license_id", F.col("near.dir_license")).alias("license_id"), "score", "line", F.when(~own, F.col("near.ancestor")).alias("inherited_from"), "spdx_tag")
