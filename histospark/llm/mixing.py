@@ -13,14 +13,15 @@ WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 #: The one random offset of the sample, a dyadic fraction so that sums with it are exact.
 OFFSET = 0.40625
-#: Documents of one source and size class are dealt by a hash of their id, in so many groups that each holds
+#: Documents of one source and size class are dealt by a hash of their id and salt, in so many groups that each holds
 #: about this many, and at most 2**SLOT_BITS groups: no window holds a whole hot source.
-GROUP_ROWS, SLOT_BITS = 1000, 16
+GROUP_ROWS, SLOT_BITS = 1000, 20
 
 
-def slot(doc_id: Column) -> Column:
-    """The first sixteen bits of the MD5 digest of the id as text."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, SLOT_BITS // 4), 16, 10).cast("int")
+def slot(doc_id: Column, salt: Column) -> Column:
+    """The first twenty bits of the MD5 digest of the id as text, a colon and the salt."""
+    named = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(salt, F.lit("")))
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, SLOT_BITS // 4), 16, 10).cast("int")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -45,12 +46,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return ranked.withColumn("level", level).withColumn("source_key", F.coalesce(F.concat(F.lit("1"), F.col("source")), F.lit("2"))).withColumn("first", first).select("source", "source_size", F.least(F.col("limit"), F.col("weight") * F.col("first")).alias("target"))
 
 
-def systematic_mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, offset: float = OFFSET, group_rows: int = GROUP_ROWS, carry: bool = False) -> DataFrame:
+def systematic_mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, offset: float = OFFSET, group_rows: int = GROUP_ROWS, carry: bool = False, salt: Column | None = None) -> DataFrame:
     """How often the mix takes each document: doc_id, source, plus
     ``size, source_size, target, copies``; with ``carry``, the whole rows come along as a struct ``doc``.
 
     Each document of a source is expected target / source_size times. In a source, documents stand
-    in the order of size class (bits of the size), group (a hash of the id; the number of groups is
+    in the order of size class (bits of the size), group (a hash of the id and ``salt``, the text for
+    instance, so that rows of one repeated or null id are spread; the number of groups is
     the power of two that brings them to ``group_rows`` rows or less on average), size and doc_id. The
     expected copies are prefix-summed in that order, the offset is added, and a document is taken
     once for each integer that its interval crosses. As like sizes stand together, a source's taken
@@ -61,10 +63,10 @@ def systematic_mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEI
     and repeated rows are documents of their own; sources without words have target 0 and no copies.
     """
     doc = [F.struct(*map(quoted, docs.columns)).alias("doc")] if carry else []
-    rows = docs.select("doc_id", "source", size.alias("size"), *doc)
+    rows = docs.select("doc_id", "source", size.alias("size"), slot(F.col("doc_id"), F.lit("") if salt is None else salt).alias("slot"), *doc)
     rows = rows if carry else written(rows, "sizes")  # texts are read once
     key = F.coalesce(F.concat(F.lit("1"), F.col("source")), F.lit("2"))  # a null source joins itself
-    rows = rows.withColumn("k", key).withColumn("cls", F.length(F.bin("size"))).withColumn("slot", slot(F.col("doc_id")))
+    rows = rows.withColumn("k", key).withColumn("cls", F.length(F.bin("size")))
     slots = written(rows.groupBy("k", "cls", "slot").agg(F.first("source").alias("source"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "slots")
     classes = slots.groupBy("k", "cls").agg(F.sum("n").alias("n"))
     bits = F.greatest(F.lit(0), F.least(F.lit(SLOT_BITS), F.ceil(F.log2(F.col("n") / group_rows)))).cast("int")
@@ -87,7 +89,8 @@ def systematic_mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEI
 #: DuckDB SQL for the taken words of a table ``documents``; {docs} is the table.
 MIX_SQL = r"""
 with d as (
-  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size from {docs}),
+  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
+             cast(cast('0x' || md5(coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, ''))[1:5] as integer) as bigint) as slot from {docs}),
 s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
 w as (select *, case (row_number() over (order by source asc nulls last) - 1) % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as weight,
              3.0::double * source_size as lim from s),
@@ -95,10 +98,9 @@ l as (select *, lim / weight as fills, (cast(sum(source_size) over () as double)
               - coalesce(sum(lim) over (order by lim / weight, source asc nulls last rows between unbounded preceding and 1 preceding), 0.0))
               / sum(weight) over (order by lim / weight, source asc nulls last rows between current row and unbounded following) as level from w),
 t as (select *, least(lim, weight * (select z.level from l z where z.level <= z.fills order by z.fills, z.source asc nulls last limit 1)) as target from l),
-e as (select *, length(bin(size)) as cls, cast(cast('0x' || md5(coalesce(cast(doc_id as varchar), ''))[1:4] as integer) as bigint) as slot,
-             count(*) over (partition by source, length(bin(size))) as n from d),
+e as (select *, length(bin(size)) as cls, count(*) over (partition by source, length(bin(size))) as n from d),
 r as (select e.*, t.source_size, t.target,
-             row_number() over (partition by e.source order by cls, floor(slot / pow(2, 16 - greatest(0, least(16, ceil(log2(n / 1000)))))), e.size, e.doc_id) as place
+             row_number() over (partition by e.source order by cls, floor(slot / pow(2, 20 - greatest(0, least(20, ceil(log2(n / 1000)))))), e.size, e.doc_id) as place
       from e join t on e.source is not distinct from t.source),
 c as (select *, case when source_size > 0 then target / source_size else 0.0::double end as rate from r)
 select doc_id, source, size, source_size, target,

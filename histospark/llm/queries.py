@@ -97,7 +97,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.systematic_mix(table(spark, sf_dir, "documents"), n_words(F.col("text")))
+    mixed = mixing.systematic_mix(table(spark, sf_dir, "documents"), n_words(F.col("text")), salt=F.col("text"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
