@@ -4,7 +4,7 @@ Each distinct pre-token is merged by a segment tree over the ranks of its adjace
 holds ``rank * width + position``, an inner node the least of its children, so the root is the
 leftmost pair of lowest rank. A merge changes three leaves; each change climbs to the root in a
 logarithmic number of steps, until the root says that no pair can merge. Trees of equal width are
-rows of one array, so many pre-tokens advance together.
+rows of one array, so many pre-tokens advance together; a few are merged one by one in plain integers.
 """
 
 from __future__ import annotations
@@ -62,6 +62,13 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.ranks[at], NONE)
 
+    def merges(self) -> dict[int, int]:
+        """Merge rank of each pair that merges, by left * base + right."""
+        if not hasattr(self, "_merges"):
+            self._merges = dict(zip(self.pairs.tolist(), self.ranks.tolist(), strict=True))
+            self._merged = self.merged.tolist()
+        return self._merges
+
     def byte_ranks(self) -> np.ndarray:
         """Merge rank of each pair of bytes."""
         if not hasattr(self, "_byte_ranks"):
@@ -115,6 +122,56 @@ def merge_rows(vocabulary: Vocabulary, words: list[bytes], size: np.ndarray, wid
     return ids[:, :width][alive], alive.sum(axis=1)
 
 
+def merge_word(vocabulary: Vocabulary, word: bytes, width: int) -> list[int]:
+    """The ids of one word by the same segment tree in plain integers: a merge of few words costs less than numpy's calls."""
+    n, base, ranks = len(word), vocabulary.base, vocabulary.merges().get
+    merged, none = vocabulary._merged, 1 << 62
+    ids = vocabulary.byte_ids[np.frombuffer(word, np.uint8)].tolist()
+    after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+    shift = width.bit_length() - 1
+    tree = [none] * (2 * width)
+    for k in range(n - 1):
+        rank = ranks(ids[k] * base + ids[k + 1])
+        if rank is not None:
+            tree[width + k] = (rank << shift) + k
+    for node in range(width - 1, 0, -1):
+        a, b = tree[2 * node], tree[2 * node + 1]
+        tree[node] = a if a < b else b
+
+    def put(node: int, value: int) -> None:
+        tree[node] = value
+        while node > 1:
+            other = tree[node ^ 1]
+            value = value if value < other else other
+            node >>= 1
+            if tree[node] == value:
+                return
+            tree[node] = value
+
+    while (root := tree[1]) < none:
+        at = root & (width - 1)
+        gone = after[at]
+        nxt = after[gone]
+        ids[at] = merged[root >> shift]
+        ids[gone] = -1
+        after[at] = nxt
+        put(width + gone, none)
+        rank = None
+        if nxt < n:
+            before[nxt] = at
+            rank = ranks(ids[at] * base + ids[nxt])
+        put(width + at, none if rank is None else (rank << shift) + at)
+        first = before[at]
+        if first >= 0:
+            rank = ranks(ids[first] * base + ids[at])
+            put(width + first, none if rank is None else (rank << shift) + first)
+    return [i for i in ids if i >= 0]
+
+
+#: Fewer words than this are merged one by one.
+FEW = 16
+
+
 class Encoder:
     """Encodes texts; remembers at most ``most`` pieces of text with their ids."""
 
@@ -142,6 +199,12 @@ class Encoder:
             step = max(1, self.cells // w)
             for k in range(0, len(of), step):
                 some = of[k : k + step]
+                if len(some) < FEW:
+                    for i in some.tolist():
+                        ids = np.array(merge_word(self.vocabulary, raw[i], w), np.int64)
+                        count[i] = len(ids)
+                        found.append((np.array([i]), ids))
+                    continue
                 ids, count[some] = merge_rows(self.vocabulary, [raw[i] for i in some.tolist()], size[some], w)
                 found.append((some, ids))
         ends = np.cumsum(count)

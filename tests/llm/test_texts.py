@@ -54,6 +54,28 @@ def test_bpe_in_one_pass_equals_both_steps(spark):
     assert df.where("false").select(bpe.bpe_round_trip(F.col("text"), tokenizer_path())).count() == 0
 
 
+def test_bpe_of_a_million_letters_without_a_space(tokenizer):
+    import time
+
+    rng = random.Random(8)
+    own = bpe.encoder(tokenizer_path())
+    text = "".join(rng.choice("etaoinshrdlu") for _ in range(10**6))
+    began = time.process_time()
+    ids = own.encode([text])[0].tolist()
+    assert time.process_time() - began < 60
+    assert ids == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_merges_of_one_word_equal_merges_of_many(tokenizer):
+    rng = random.Random(9)
+    vocabulary = bpe.encoder(tokenizer_path()).vocabulary
+    words = ["".join(rng.choice("abcdetion") for _ in range(rng.randint(2, 300))).encode() for _ in range(200)]
+    for w in words:
+        width = 1 << (len(w) - 1).bit_length()
+        many, _ = bpe.merge_rows(vocabulary, [w], np.array([len(w)]), width)
+        assert bpe.merge_word(vocabulary, w, width) == many.tolist()
+
+
 def test_bpe_decode_of_odd_ids(spark):
     rows = spark.createDataFrame([(None,), ([],), ([10**6, -1],)], "ids array<int>")
     assert [r[0] for r in rows.select(bpe.bpe_decode(F.col("ids"), tokenizer_path())).collect()] == ["", "", ""]
@@ -309,7 +331,7 @@ def test_whole_licences_headers_and_tags(spark):
     bsd2 = "Copyright 2020 A. B.\n" + wrapped("\n".join((licenses.BSD_START, licenses.BSD_END)))
     gpl, apache = (next(t for n, t in licenses.TEMPLATES if n == name and t.count("\n")) for name in ("GPL-3.0", "Apache-2.0"))
     files = {"MIT": [mit, "# head\n" + code + "\n" + wrapped(licenses.MIT_GRANT, "# ")], "BSD-3-Clause": [bsd3], "BSD-2-Clause": [bsd2, wrapped(bsd2, " * ") + "\n" + code], "ISC": [wrapped(licenses.ISC_TEXT, "// ") + "\n" + code]}
-    files |= {"GPL-3.0": [wrapped(gpl, "# ") + "\n" + code, wrapped(gpl.split("\n")[0], "# ") + "\n" + code], "Apache-2.0": [wrapped(apache, " * ", 60) + "\n" + code, "// SPDX-License-Identifier: Apache-2.0\n" + code], "MPL-2.0": ["<!-- SPDX-License-Identifier: (MPL-2.0 OR MIT) -->"]}
+    files |= {"GPL-3.0": [wrapped(gpl, "# ") + "\n" + code, wrapped(gpl.split("\n")[0], "# ") + "\n" + code], "Apache-2.0": [wrapped(apache, " * ", 60) + "\n" + code], "MPL-2.0": []}
     for name, file in (("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3"), ("MPL-2.0", "MPL-2.0")):
         if os.path.exists(f"/usr/share/common-licenses/{file}"):
             files[name].append(open(f"/usr/share/common-licenses/{file}", encoding="utf-8").read())
@@ -318,6 +340,14 @@ def test_whole_licences_headers_and_tags(spark):
     assert [got[k].license_id for k in range(len(want))] == [name for name, _ in want]
 
 
+def test_tags_stand_beside_the_cosines(spark):
+    code = "\n".join(f"value_{k} = compute({k})" for k in range(20))
+    texts = ["// SPDX-License-Identifier: Apache-2.0\n" + code, "<!-- SPDX-License-Identifier: (MPL-2.0 OR MIT) -->", "Released under the MIT License.\n// SPDX-License-Identifier: ISC", code, None, "SPDX but no tag"]
+    got = scan(spark, [(k, f"d{k}/f", text) for k, text in enumerate(texts)])
+    assert [got[k].spdx_tag for k in range(len(texts))] == ["Apache-2.0", "MPL-2.0", "ISC", None, None, None]
+    assert [got[k].license_id for k in range(len(texts))] == [None, None, "MIT", None, None, None] and got[0].score == 0.0
+
+
 def brute_scan(texts):
     """Licence and cosine of each text: all lines, runs of lines and the whole, under exact document frequencies."""
     from collections import Counter
