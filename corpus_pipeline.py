@@ -49,7 +49,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.systematic_mix(docs, n_words(docs["text"]), carry=True)
+    mixed = mixing.systematic_mix(docs, n_words(docs["text"]), carry=True, salt=docs["text"])
     return mixed.where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")
 
 
