@@ -411,3 +411,49 @@ def weakly_attached_groups(loop_edges: DataFrame, edges: DataFrame, most: int =
     met = both_ends(outside).select("node").distinct().withColumn("out", F.lit(1))
     exits = nodes.join(met, "node", "left").groupBy("group").agg(F.coalesce(F.sum("out"), F.lit(0)).alias("exits"))
     return exits.where(F.col("exits") <= most)
+
+
+def group_exits(own: DataFrame, loop_nodes: DataFrame, edges: DataFrame, junctions: DataFrame) -> DataFrame:
+    """group, node, kind: from which junctions of a group of loops a way leads out, and the category of its first edge.
+
+    own (group, eid) holds the groups' edges and loop_nodes (node, group) the nodes of every loop, group
+    being -1 for loops in no group. A way starts with an edge that isn't the group's and goes on over marked and dead edges
+    that aren't either, not through its start; it is out at a node on a loop of none or another group, or with an
+    untreated edge. All ways go on together, a step a round, and those that are out, or meet only
+    seen nodes, end; so only what lies between groups is walked.
+    """
+    spark = edges.sparkSession
+    own = written(own.select("group", "eid").distinct())
+    near = written(both_ends(edges, "eid", "category"))
+    free = near.where("category = 'untreated'").select(F.col("node").alias("at")).distinct().withColumn("free", F.lit(True))
+    on = loop_nodes.groupBy(F.col("node").alias("at")).agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
+    known = written(free.join(on, "at", "full").withColumn("free", F.coalesce("free", F.lit(False))))
+    nodes = own.join(edges.select("eid", F.explode(F.array("u", "v")).alias("node")), "eid").select("group", "node").distinct().join(junctions.select("node").distinct(), "node", "left_semi")
+    ways = nodes.join(near, "node").join(own, ["group", "eid"], "left_anti")
+    front = written(ways.select("group", "node", F.col("category").alias("kind"), F.col("other").alias("at")).distinct())
+    seen, exits = front, None
+    name = ["group", "node", "kind"]
+    while front.limit(1).count():
+        judged = front.join(known, "at", "left").withColumn("out", F.coalesce(F.col("free") | (F.col("lo") != F.col("group")) | (F.col("hi") != F.col("group")), F.lit(False)))
+        found = judged.where("out").select(*name).distinct()
+        new_exits = written(found if exits is None else exits.union(found).distinct())
+        step = judged.where("not out").join(new_exits, name, "left_anti").select(*name, "at")
+        to = step.join(near.where("category in ('marked', 'dead')").select(F.col("node").alias("at"), "eid", "other"), "at").join(own, ["group", "eid"], "left_anti")
+        new = written(to.where("other <> node").select(*name, F.col("other").alias("at")).distinct().join(seen, [*name, "at"], "left_anti"))
+        grown = written(seen.union(new))
+        removed(spark, seen, *([] if exits is None else [exits]))
+        front, seen, exits = new, grown, new_exits
+    removed(spark, near, known)
+    if exits is None:
+        return front.select(*name)
+    removed(spark, seen)
+    return exits
+
+
+def detached_groups(own: DataFrame, loop_nodes: DataFrame, edges: DataFrame, junctions: DataFrame) -> DataFrame:
+    """group, attachments: groups that go, since one way at most leads out of them (each junction counts once for a
+    category of first edges), or none but ways that start with a dead edge."""
+    exits = group_exits(own, loop_nodes, edges, junctions)
+    counted = exits.groupBy("group").agg(F.count(F.lit(1)).alias("attachments"), F.bool_and(F.col("kind") == "dead").alias("dead"))
+    every = own.select("group").distinct().join(counted, "group", "left")
+    return every.where("attachments is null or attachments <= 1 or dead").select("group", F.coalesce("attachments", F.lit(0)).alias("attachments"))

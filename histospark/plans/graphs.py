@@ -236,12 +236,27 @@ def edge_faces(spark, sf_dir):
     return rounded(graph.edge_faces(edges, faces), "share", digits=9)
 
 
-@query()
+#: Edges of the mask's graph by category, and groups of marked loops: a loop is what lies in a cell of ten by ten pixels.
+WAYS = """cat as (select (u * 7 + v * 13) % 1000003 * 1000 + v % 1000 as eid, u, v, case when (u * 31 + v * 17) % 9 = 0 then 'untreated' when (u * 31 + v * 17) % 9 < 3 then 'marked' else 'dead' end as category, u // 3000 * 1000 + u % 3000 // 600 * 10 + u % 60 // 10 as cu, v // 3000 * 1000 + v % 3000 // 600 * 10 + v % 60 // 10 as cv from edges),
+own as (select cu as grp, u, v from cat where cu = cv and cu % 3 = 0), lnode as (select distinct case when cu % 3 = 0 then cu else -1 end as grp, unnest([u, v]) as node from cat where cu = cv),
+near as (select u as node, v as other, u, v, category from cat union all select v, u, u, v, category from cat),
+junction as (select node from near group by node having count(*) >= 3),
+first_ as (select distinct g.grp, g.node, n.category as kind, n.other as place from (select distinct grp, unnest([u, v]) as node from own) g join junction j on j.node = g.node join near n on n.node = g.node where (g.grp, n.u, n.v) not in (select (grp, u, v) from own)),
+out_ as (select f.place, f.grp from (select distinct grp from own) g, (select distinct node as place from near) f0, lateral (select f0.place as place, g.grp as grp) f where exists (select 1 from near n where n.node = f.place and n.category = 'untreated') or exists (select 1 from lnode l where l.node = f.place and l.grp <> f.grp)),
+walk(grp, node, kind, place) as (select * from first_ union select w.grp, w.node, w.kind, n.other from walk w join near n on n.node = w.place and n.category in ('marked', 'dead') where n.other <> w.node and (w.place, w.grp) not in (select (place, grp) from out_) and (w.grp, n.u, n.v) not in (select (grp, u, v) from own)),
+exits as (select distinct w.grp, w.node, w.kind from walk w join out_ o on o.place = w.place and o.grp = w.grp)"""
+
+
+@query(sql("select g.grp as \"group\", count(e.grp) as attachments from (select distinct grp from own) g left join exits e on e.grp = g.grp group by g.grp having count(e.grp) <= 1 or bool_and(e.kind = 'dead')", RASTER, MASK_SQL, SPARSE_GRAPH, WAYS))
 def rule_b(spark, sf_dir):
-    """Groups of loops on the mask's graph, a loop being what lies in one cell of 30 pixels, with few exits."""
-    e = t.sparse_graph(spark, sf_dir)
-    loop = e.withColumn("loop", F.expr("u div 30")).where("u div 30 = v div 30")
-    return graph.weakly_attached_groups(loop, e, 3)
+    """Groups of the mask's graph, what lies in every third cell of ten by ten pixels, that no two ways lead out of."""
+    kind = F.expr("case when (u * 31 + v * 17) % 9 = 0 then 'untreated' when (u * 31 + v * 17) % 9 < 3 then 'marked' else 'dead' end")
+    cell = lambda c: F.expr(f"{c} div 3000 * 1000 + {c} % 3000 div 600 * 10 + {c} % 60 div 10")
+    e = t.sparse_graph(spark, sf_dir).withColumns({"eid": F.col("u") * 1000000 + F.col("v"), "category": kind, "cell": cell("u"), "to": cell("v")})
+    inside = e.where("cell = to").withColumn("group", F.when(F.col("cell") % 3 == 0, F.col("cell")).otherwise(-1))
+    nodes = inside.select("group", F.explode(F.array("u", "v")).alias("node")).distinct()
+    edges = e.select("eid", "u", "v", "category")
+    return graph.detached_groups(inside.where("group >= 0").select("group", "eid"), nodes, edges, graph.degrees(edges).where("junction").select("node"))
 
 
 @query(sql("""select n, y, x from (select n, x0, y0, w, h, unnest(range(y0, y0 + h + 1)) as y from boxes) b, lateral (select unnest(range(x0, x0 + w + 1)) as x) p where h > 0 or w > 0""", "boxes as (select event_id as n, event_id % 50 as x0, event_id % 37 as y0, event_id % 5 + 1 as w, event_id % 4 + 1 as h from events)"))
