@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from histospark.operators.quantiles import exact_quantiles
+
 
 def histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
@@ -83,31 +85,36 @@ def tissue_classes(classed: DataFrame, two_class: DataFrame, keys: list[str], va
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float], approximate: bool = False) -> DataFrame:
-    """keys and p<percent> columns, exact with linear interpolation, or approximate for groups of many distinct values."""
-    array = F.array(*map(F.lit, shares))
-    got = F.percentile_approx(value, array, 10000) if approximate else F.percentile(value, array)
+    """keys and p<percent> columns, exact with linear interpolation, or approximate."""
     names = [f"p{int(round(s * 1000)) / 10:g}".replace(".", "_") for s in shares]
-    return df.groupBy(*keys).agg(got.alias("p")).select(*keys, *[F.col("p")[i].alias(n) for i, n in enumerate(names)])
+    got = df.groupBy(*keys).agg(F.percentile_approx(value, F.array(*map(F.lit, shares)), 10000).alias("p")) if approximate else exact_quantiles(df, keys, value, shares)
+    return got.select(*keys, *[F.col("p")[i].alias(n) for i, n in enumerate(names)])
 
 
 def background_estimate(df: DataFrame, keys: list[str], value: str, bins: int = 512, least_peak: float = 0.02) -> DataFrame:
     """keys, background: the centre of the second of at least three histogram peaks, else of the first.
 
-    The histogram has ``bins`` equal bins from the least value to the 99th percentile; values above
-    are left out and the last bin is closed. Peaks are bins at least as high as both neighbours and
-    higher than one (edges count), of at least ``least_peak`` of the highest. Groups of one value get it.
+    The histogram has ``bins`` equal bins from the least value to the 99th percentile (or the next unit, where these
+    are equal); values above are left out and the last bin is closed. Peaks are bins higher than the one before and
+    not lower than the one after; the first and the last need only not be lower than their one neighbour. Of these,
+    peaks of at least ``least_peak`` of the highest bin count. Without any peak it is the 5th percentile, without one that counts the median.
     """
-    range_ = df.groupBy(*keys).agg(F.min(value).cast("double").alias("lo"), F.percentile(value, 0.99).alias("hi"), F.percentile(value, 0.5).alias("mid"))
-    binned = df.join(range_, keys).where(F.col(value) <= F.col("hi")).where("hi > lo")
+    range_ = df.groupBy(*keys).agg(F.min(value).cast("double").alias("lo")).join(percentiles(df, keys, value, [0.05, 0.5, 0.99]), keys)
+    range_ = range_.select(*keys, "lo", F.when(F.col("p99") > F.col("lo"), F.col("p99")).otherwise(F.col("lo") + 1).alias("hi"), F.col("p50").alias("mid"), "p5")
+    binned = df.join(range_, keys).where(F.col(value) <= F.col("hi"))
     binned = binned.groupBy(*keys, F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("lo")) * bins / (F.col("hi") - F.col("lo")))).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    every = range_.where("hi > lo").select(*keys, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    every = range_.where("lo is not null").select(*keys, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     order = Window.partitionBy(*keys).orderBy("bin")
     full = every.join(binned, [*keys, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    full = full.withColumn("before", F.coalesce(F.lag("n").over(order), F.lit(-1))).withColumn("after", F.coalesce(F.lead("n").over(order), F.lit(-1))).withColumn("top", F.max("n").over(Window.partitionBy(*keys)))
-    peaks = full.where("n > before and n >= after and n > 0").where(F.col("n") >= F.col("top") * least_peak)
+    full = full.withColumns({"before": F.lag("n").over(order), "after": F.lead("n").over(order), "top": F.max("n").over(Window.partitionBy(*keys))})
+    inside = (F.col("n") > F.col("before")) & (F.col("n") >= F.col("after"))
+    peaks = full.where(F.when(F.col("before").isNull(), F.col("n") >= F.col("after")).when(F.col("after").isNull(), F.col("n") >= F.col("before")).otherwise(inside))
+    found = peaks.groupBy(*keys).agg(F.count(F.lit(1)).alias("found"))
+    peaks = peaks.where(F.col("n") >= F.col("top") * least_peak)
     peaks = peaks.withColumn("rank", F.row_number().over(order)).withColumn("peaks", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    chosen = peaks.where(F.col("rank") == F.when(F.col("peaks") >= 3, 2).otherwise(1)).select(*keys, (F.col("lo") + (F.col("bin") + 0.5) * (F.col("hi") - F.col("lo")) / bins).alias("found"))
-    return range_.join(chosen, keys, "left").select(*keys, F.coalesce("found", "mid", F.lit(0.0)).alias("background"))
+    chosen = peaks.where(F.col("rank") == F.when(F.col("peaks") >= 3, 2).otherwise(1)).select(*keys, (F.col("lo") + (F.col("bin") + 0.5) * (F.col("hi") - F.col("lo")) / bins).alias("centre"))
+    both = range_.join(found, keys, "left").join(chosen, keys, "left")
+    return both.select(*keys, F.coalesce("centre", F.when(F.col("found") > 0, F.col("mid")).otherwise(F.col("p5")), F.lit(0.0)).alias("background"))
 
 
 def equal_bins(df: DataFrame, keys: list[str], value: str, bins: int = 50) -> DataFrame:

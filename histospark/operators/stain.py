@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from histospark.operators.hist import otsu
 from histospark.operators.pixels import luma
+from histospark.operators.quantiles import exact_quantiles
 
 #: White level, reference basis and reference concentrations of the H&E normaliser.
 WHITE = 240
@@ -85,7 +86,8 @@ def concentrations(df: DataFrame, basis: DataFrame, keys: list[str]) -> DataFram
 
 
 def max_concentrations(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.percentile("conc0", 0.99).alias("max0"), F.percentile("conc1", 0.99).alias("max1"))
+    top = lambda c: exact_quantiles(df, keys, f"conc{c}", [0.99]).select(*keys, F.col("p")[0].alias(f"max{c}"))
+    return top(0).join(top(1), keys)
 
 
 def as_byte(value: Column) -> Column:

@@ -8,6 +8,8 @@ from math import sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from histospark.operators.quantiles import exact_quantiles
+
 STATISTICS = ("count", "mean", "std", "min", "max", "p01", "p10", "p50", "p90", "p99")
 
 
@@ -30,8 +32,11 @@ def stain_statistics(pixels: DataFrame, stains: list[str], bins: int = 10, keys:
     """keys, stain, bin and the ten statistics; pixels without a finite coordinate are left out, values that aren't finite count as missing."""
     kept = pixels.where(finite(F.col("portality"))).withColumn("bin", bin_of(F.col("portality"), bins))
     long = kept.select(*keys, "bin", *[F.when(finite(F.col(s)), F.col(s)).cast("double").alias(s) for s in stains]).unpivot([*keys, "bin"], stains, "stain", "intensity")
-    p = F.percentile("intensity", F.array(*map(F.lit, (0.01, 0.1, 0.5, 0.9, 0.99))))
-    out = long.groupBy(*keys, "stain", "bin").agg(F.count("intensity").cast("double").alias("count"), F.avg("intensity").alias("mean"), F.stddev_pop("intensity").alias("std"), F.min("intensity").alias("min"), F.max("intensity").alias("max"), p.alias("p"))
+    group = [*keys, "stain", "bin"]
+    p = exact_quantiles(long, group, "intensity", [0.01, 0.1, 0.5, 0.9, 0.99])
+    out = long.groupBy(*keys, "stain", "bin").agg(F.count("intensity").cast("double").alias("count"), F.avg("intensity").alias("mean"), F.stddev_pop("intensity").alias("std"), F.min("intensity").alias("min"), F.max("intensity").alias("max"))
+    same = [out[k].eqNullSafe(p[k]) for k in group]  # keys may be null
+    out = out.join(p, same).select(*[out[c] for c in out.columns], p["p"])
     return out.select(*keys, "stain", "bin", "count", "mean", "std", "min", "max", *[F.col("p")[i].alias(n) for i, n in enumerate(STATISTICS[5:])])
 
 
@@ -57,7 +62,7 @@ def mean_and_std(long: DataFrame) -> DataFrame:
 
 def box_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, q1, median, q3, whisker_low, whisker_high, fliers: whiskers end at the last values within 1.5 interquartile ranges."""
-    q = df.where(finite(F.col(value).cast("double"))).groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = exact_quantiles(df.where(finite(F.col(value).cast("double"))), keys, value, [0.25, 0.5, 0.75]).withColumnRenamed("p", "q")
     q = q.select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     near = df.where(finite(F.col(value).cast("double"))).join(q, keys)
     spread = F.col("q3") - F.col("q1")
@@ -81,10 +86,35 @@ def violin_density(df: DataFrame, keys: list[str], value: str, points: int = 100
     return counted.join(grid, keys).groupBy(*keys, "point", "at").agg((F.sum(kernel) / (F.first("total") * F.first("h") * sqrt(2 * 3.141592653589793))).alias("density"))
 
 
-def registration_error(attempts: DataFrame, families: list[str], key: str = "attempt") -> DataFrame:
-    """key, error: the median finite value of the first family of columns that has any, else infinity."""
-    found = [F.percentile(F.when(finite(F.col(c)), F.col(c)), 0.5) for c in families]
-    return attempts.groupBy(key).agg(F.coalesce(*found, F.lit(float("inf"))).alias("error"))
+#: Families of error columns in the order of preference: what a name starts and ends with.
+FAMILIES = (("non_rigid", "D"), ("non_rigid", "TRE"), ("rigid", "D"), ("rigid", "TRE"))
+
+
+def registration_error(attempts: DataFrame, families: tuple[tuple[str, str], ...] = FAMILIES, key: str = "attempt") -> DataFrame:
+    """key, error: the median of all finite values in the columns of the first family that an attempt has, by name, else infinity.
+
+    An attempt has the columns in which one of its values isn't null; NaN and infinities are values that aren't finite.
+    """
+    of: dict[str, int] = {}
+    for k, (start, end) in enumerate(families):
+        of.update({c: k for c in attempts.columns if c != key and c not in of and c.startswith(start) and c.endswith(end)})
+    every = attempts.select(key).distinct()
+    if not of:
+        return every.withColumn("error", F.lit(float("inf")))
+    place = F.element_at(F.create_map(*[F.lit(x) for pair in of.items() for x in pair]), F.col("name"))
+    long = attempts.select(key, *[F.col(c).cast("double").alias(c) for c in of]).unpivot(key, list(of), "name", "error").where("error is not null").withColumn("family", place)
+    first = long.groupBy(key).agg(F.min("family").alias("family"))
+    pooled = long.join(first, [key, "family"]).where(finite(F.col("error")))
+    median = exact_quantiles(pooled, [key], "error", [0.5]).select(key, F.col("p")[0].alias("error"))
+    return every.join(median, key, "left").select(key, F.coalesce("error", F.lit(float("inf"))).alias("error"))
+
+
+def attempt_sizes(first: dict[str, int], attempts: int, factor: float = 1.5) -> list[dict[str, int]]:
+    """The dimensions of each attempt: the first as given, each other ``factor`` times those before, rounded down."""
+    out = [dict(first)]
+    while len(out) < attempts:
+        out.append({k: int(v * factor) for k, v in out[-1].items()})
+    return out[:attempts]
 
 
 def best_attempt(errors: DataFrame, passing: float = 5.0, key: str = "attempt") -> DataFrame:

@@ -66,18 +66,20 @@ def violin_density(spark, sf_dir):
     return rounded(stats.violin_density(binned, ["bin"], "stain_0"), "at", "density").withColumn("point", F.col("point").cast("long"))
 
 
-FAMILIES = ["non_rigid_D", "non_rigid_TRE", "rigid_D", "rigid_TRE"]
-ERRORS = "errors as (select attempt, coalesce(" + ", ".join(f"quantile_cont({c}, 0.5)" for c in FAMILIES) + ", 'inf'::double) as error from attempts group by attempt)"
+#: Each column's family by the start and end of its name; rigid_D and rigid_extra_D are one.
+ERRORS = """told as (select attempt, 0 as family, non_rigid_D as error from attempts union all select attempt, 1, non_rigid_TRE from attempts union all select attempt, 2, rigid_D from attempts union all select attempt, 2, rigid_extra_D from attempts union all select attempt, 3, rigid_TRE from attempts),
+kinds as (select attempt as f, min(family) as m from told where error is not null group by attempt),
+errors as (select u.attempt, coalesce(quantile_cont(k.error, 0.5), 'inf'::double) as error from (select distinct attempt from attempts) u left join kinds on f = u.attempt left join told k on k.attempt = u.attempt and k.family = m group by u.attempt)"""
 
 
 @query(sql("select attempt, round(error, 9) as error from errors", t.ATTEMPTS, ERRORS))
 def registration_error(spark, sf_dir):
-    return rounded(stats.registration_error(t.attempts(spark, sf_dir), FAMILIES), "error", digits=9)
+    return rounded(stats.registration_error(t.attempts(spark, sf_dir)), "error", digits=9)
 
 
 @query(sql("""select attempt, round(error, 9) as error from errors e where not exists (select 1 from errors p where p.attempt < e.attempt and p.error <= 2.0) and isfinite(error) order by e.error, attempt limit 1""", t.ATTEMPTS, ERRORS))
 def best_attempt(spark, sf_dir):
-    return rounded(stats.best_attempt(stats.registration_error(t.attempts(spark, sf_dir), FAMILIES), passing=2.0), "error", digits=9)
+    return rounded(stats.best_attempt(stats.registration_error(t.attempts(spark, sf_dir)), passing=2.0), "error", digits=9)
 
 
 def otsu_sql(source: str, key: str, value: str) -> str:
@@ -137,11 +139,11 @@ def channel_percentiles(spark, sf_dir):
     return hist.percentiles(t.pixels(spark, sf_dir), ["uid", "channel"], "value", [0.01, 0.5, 0.995])
 
 
-BACKGROUND = """br as (select uid, channel, cast(min(value) as double) as lo, quantile_cont(value, 0.99) as hi, quantile_cont(value, 0.5) as mid from pixels group by all),
-bb as (select p.uid, p.channel, least(63, cast(floor((value - lo) * 64 / (hi - lo)) as bigint)) as bin, count(*) as n from pixels p join br on p.uid = br.uid and p.channel = br.channel where hi > lo and value <= hi group by all),
-bf as (select br.uid, br.channel, lo, hi, e.bin, coalesce(n, 0) as n from br cross join (select unnest(range(64)) as bin) e left join bb on bb.uid = br.uid and bb.channel = br.channel and bb.bin = e.bin where hi > lo),
-bw as (select *, coalesce(lag(n) over w, -1) as before, coalesce(lead(n) over w, -1) as after, max(n) over (partition by uid, channel) as top from bf window w as (partition by uid, channel order by bin)),
-bp as (select *, row_number() over (partition by uid, channel order by bin) as rank, count(*) over (partition by uid, channel) as peaks from bw where n > before and n >= after and n > 0 and n >= top * 0.02),
+BACKGROUND = """br as (select uid, channel, lo, case when p99 > lo then p99 else lo + 1 end as hi, mid, p5 from (select uid, channel, cast(min(value) as double) as lo, quantile_cont(value, 0.99) as p99, quantile_cont(value, 0.5) as mid, quantile_cont(value, 0.05) as p5 from pixels group by all)),
+bb as (select p.uid, p.channel, least(63, cast(floor((value - lo) * 64 / (hi - lo)) as bigint)) as bin, count(*) as n from pixels p join br on p.uid = br.uid and p.channel = br.channel where value <= hi group by all),
+bf as (select br.uid, br.channel, lo, hi, e.bin, coalesce(n, 0) as n from br cross join (select unnest(range(64)) as bin) e left join bb on bb.uid = br.uid and bb.channel = br.channel and bb.bin = e.bin),
+bw as (select *, lag(n) over w as before, lead(n) over w as after, max(n) over (partition by uid, channel) as top from bf window w as (partition by uid, channel order by bin)),
+bp as (select *, row_number() over (partition by uid, channel order by bin) as rank, count(*) over (partition by uid, channel) as peaks from bw where (case when before is null then n >= after when after is null then n >= before else n > before and n >= after end) and n >= top * 0.02),
 background as (select br.uid, br.channel, coalesce(lo + (bin + 0.5) * (hi - lo) / 64, mid, 0.0) as background from (select uid, channel, mid from br) br left join (select * from bp where rank = case when peaks >= 3 then 2 else 1 end) c on c.uid = br.uid and c.channel = br.channel)"""
 
 

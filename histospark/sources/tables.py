@@ -162,10 +162,10 @@ MANIFEST = f"""manifest as (
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registration attempts: attempt, slide and error columns of four families."""
     e = F.abs("s_acctbal") / 1000
-    return table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 5).alias("attempt"), F.col("s_suppkey").alias("slide"), e.alias("rigid_D"), (e * 2).alias("rigid_TRE"), F.when(F.col("s_suppkey") % 5 != 0, e * 0.5).alias("non_rigid_D"), F.when(F.col("s_suppkey") % 5 > 1, e * 0.75).alias("non_rigid_TRE"))
+    return table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 5).alias("attempt"), F.col("s_suppkey").alias("slide"), e.alias("rigid_D"), (e * 2).alias("rigid_TRE"), F.when(F.col("s_suppkey") % 5 != 0, e * 0.5).alias("non_rigid_D"), F.when(F.col("s_suppkey") % 5 > 1, e * 0.75).alias("non_rigid_TRE"), (e * 3 + 1).alias("rigid_extra_D"))
 
 
-ATTEMPTS = "attempts as (select s_suppkey % 5 as attempt, s_suppkey as slide, abs(s_acctbal) / 1000 as rigid_D, abs(s_acctbal) / 1000 * 2 as rigid_TRE, case when s_suppkey % 5 <> 0 then abs(s_acctbal) / 1000 * 0.5 end as non_rigid_D, case when s_suppkey % 5 > 1 then abs(s_acctbal) / 1000 * 0.75 end as non_rigid_TRE from supplier)"
+ATTEMPTS = "attempts as (select s_suppkey % 5 as attempt, s_suppkey as slide, abs(s_acctbal) / 1000 as rigid_D, abs(s_acctbal) / 1000 * 2 as rigid_TRE, case when s_suppkey % 5 <> 0 then abs(s_acctbal) / 1000 * 0.5 end as non_rigid_D, case when s_suppkey % 5 > 1 then abs(s_acctbal) / 1000 * 0.75 end as non_rigid_TRE, abs(s_acctbal) / 1000 * 3 + 1 as rigid_extra_D from supplier)"
 
 
 def sql(select: str, *views: str) -> str:
