@@ -46,6 +46,16 @@ def length_unit(unit: Column) -> Column:
     return F.when(u == "", None).when(F.lower(u).isin("um", "micron", "microns", "micrometer", "micrometre", "µm", "μm"), MICRON).otherwise(u)
 
 
+#: Units of length in a metre.
+PER_METRE = {MICRON: 1e6, "nm": 1e9, "mm": 1e3, "cm": 1e2, "m": 1.0}
+
+
+def in_unit(metres: Column, unit: Column) -> Column:
+    """A length in metres in a unit (spellings of the micrometre are one; a null or empty unit is the micrometre); null for unknown units."""
+    known = F.create_map(*[F.lit(x) for pair in PER_METRE.items() for x in pair])
+    return metres * F.try_element_at(known, F.coalesce(length_unit(unit), F.lit(MICRON)))
+
+
 def slug(name: Column) -> Column:
     """Characters other than letters, digits, '-', '.' and '_' become '_'."""
     return F.regexp_replace(name, r"[^\p{L}\p{N}\-._]", "_")

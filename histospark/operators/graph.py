@@ -21,6 +21,12 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both_ends(edges).groupBy("node").agg(F.count(F.lit(1)).alias("degree")).withColumn("junction", F.col("degree") >= 3)
 
 
+def junctions_of(edges: DataFrame, arms_: DataFrame) -> DataFrame:
+    """node, degree, arms, junction: three ends or more meet there, or three directions or more; arms_ (node, arms) may lack nodes."""
+    both = degrees(edges).drop("junction").join(arms_, "node", "left").withColumn("arms", F.coalesce("arms", F.lit(0)))
+    return both.withColumn("junction", (F.col("degree") >= 3) | (F.col("arms") >= 3))
+
+
 def pruned(edges: DataFrame) -> DataFrame:
     """Takes away edges with an end of degree 1, again and again; loops stay."""
     state = written(edges.select("u", "v"))

@@ -20,6 +20,16 @@ def wide(pixels: DataFrame, channels: list[int], keys: list[str]) -> DataFrame:
     return pixels.where(F.col("channel").isin(channels)).groupBy(*keys, "y", "x").pivot("channel", channels).agg(F.first("value")).withColumnsRenamed({str(c): f"c{c}" for c in channels})
 
 
+def three_channels(pixels: DataFrame, channels: list[int], keys: list[str]) -> DataFrame:
+    """``wide`` of exactly three channels that every image has; raises where one hasn't."""
+    if len(set(channels)) != 3:
+        raise ValueError(f"three channels are needed, not {len(set(channels))}")
+    lacking = pixels.groupBy(*keys).agg(F.count_distinct(F.when(F.col("channel").isin(channels), F.col("channel"))).alias("n")).where("n < 3")
+    if lacking.limit(1).count():
+        raise ValueError("an image lacks one of the three channels")
+    return wide(pixels, channels, keys)
+
+
 def by_depth(value: Column, bits: Column) -> Column:
     """Integers divided by the largest value of their bit depth."""
     return value / (F.pow(F.lit(2.0), bits) - 1)
@@ -39,6 +49,11 @@ def gray8(pixels: DataFrame, keys: list[str], bits: int = 8) -> DataFrame:
     return pixels.groupBy(*keys, "y", "x").agg(F.floor(F.least(F.lit(1.0), F.avg(by_depth(F.col("value"), F.lit(bits)))) * 255 + 1e-9).cast("long").alias("gray"))
 
 
+def channel_mean(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, y, x, mean: the mean of the channels in single precision; an image of one channel is itself."""
+    return pixels.groupBy(*keys, "y", "x").agg(F.avg(F.col("value").cast("double")).cast("float").alias("mean"))
+
+
 def luma(r: Column, g: Column, b: Column) -> Column:
     return F.floor(r * 0.299 + g * 0.587 + b * 0.114 + 0.5).cast("long")
 
@@ -136,6 +151,18 @@ def kept_channels(pixels: DataFrame, least: float, blank: int = 255) -> DataFram
     return share.withColumn("new_channel", (F.row_number().over(Window.orderBy("channel")) - 1).cast("long"))  # one row per channel
 
 
+def kept_roles(kept: DataFrame, roles: dict[str, list[int]]) -> dict[str, list[int]]:
+    """The channels of each role by their new numbers, without those that were dropped; raises where no role keeps any.
+
+    kept (channel, new_channel) holds one row for each channel of an image.
+    """
+    new = {r["channel"]: r["new_channel"] for r in kept.select("channel", "new_channel").collect()}
+    out = {role: [new[c] for c in channels if c in new] for role, channels in roles.items()}
+    if not any(out.values()):
+        raise ValueError("all channels of all roles were dropped")
+    return out
+
+
 def tile_grid(shapes: DataFrame, side: int) -> DataFrame:
     """The tiles that cover each image of (keys, h, w): adds ty, tx, y0, x0, th, tw; those at the end are cut."""
     steps = lambda c: F.explode(F.sequence(F.lit(0), F.floor((F.col(c) - 1) / side).cast("int")))

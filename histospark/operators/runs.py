@@ -177,6 +177,15 @@ def largest(runs: DataFrame, key: str = "uid", eight: bool = False) -> DataFrame
     return labels.join(best, [key, "label"], "left_semi")
 
 
+def largest_or_frame(runs: DataFrame, frames: Frames, key: str = "uid", eight: bool = True) -> DataFrame:
+    """key, y, x0, x1: each image's largest component with its holes filled, or its whole frame where it has no run."""
+    body = filled(joined_runs(largest(runs, key, eight), key), frames, key)
+    size = frames_of(runs, frames, key).join(runs.select(key).distinct(), key, "left_anti")
+    zero = F.lit(0).cast("long")
+    whole = size.select(key, F.explode(F.sequence(zero, F.col("h") - 1)).alias("y"), zero.alias("x0"), (F.col("w") - 1).alias("x1"))
+    return body.select(key, "y", "x0", "x1").unionByName(whole)
+
+
 def bounding_box(runs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, y0, x0, y1, x1 (half-open) of all runs."""
     return runs.groupBy(*keys).agg(F.min("y").alias("y0"), F.min("x0").alias("left"), (F.max("y") + 1).alias("y1"), (F.max("x1") + 1).alias("right")).select(*keys, "y0", F.col("left").alias("x0"), "y1", F.col("right").alias("x1"))

@@ -19,12 +19,19 @@ REFERENCE = ((0.5626, 0.2159), (0.7201, 0.8012), (0.4062, 0.5581))
 REFERENCE_MAX = (1.9705, 1.0308)
 #: Stain vectors (red, green, blue) of the brightfield profiles, and their stains' names.
 PROFILES = {
-    "HE": {"Hematoxylin": (0.650, 0.704, 0.286), "Eosin": (0.072, 0.990, 0.105)},
-    "HDAB": {"Hematoxylin": (0.650, 0.704, 0.286), "DAB": (0.268, 0.570, 0.776)},
+    "H&E": {"Hematoxylin": (0.650, 0.704, 0.286), "Eosin": (0.072, 0.990, 0.105)},
+    "H-DAB": {"Hematoxylin": (0.650, 0.704, 0.286), "DAB": (0.268, 0.570, 0.776)},
     "HED": {"Hematoxylin": (0.650, 0.704, 0.286), "Eosin": (0.072, 0.990, 0.105), "DAB": (0.268, 0.570, 0.776)},
 }
 
 
+def custom_profile(matrix: list[list[float]]) -> dict[str, tuple[float, float, float]]:
+    """A profile of a matrix of three rows (red, green, blue) with a column for each stain; the stains are Stain0, Stain1, ..."""
+    if len(matrix) != 3 or len({len(row) for row in matrix}) != 1 or not 2 <= len(matrix[0]) <= 3:
+        raise ValueError("a stain matrix has three rows of two or three stains")
+    return {f"Stain{k}": tuple(map(float, v)) for k, v in enumerate(zip(*matrix, strict=True))}
+
+
 def optical_density(value: Column, white: float = WHITE) -> Column:
     return -F.log((value + 1) / white)
 

@@ -70,6 +70,21 @@ def box_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return near.groupBy(*keys, "q1", "median", "q3").agg(F.min(F.when(inside, F.col(value))).alias("whisker_low"), F.max(F.when(inside, F.col(value))).alias("whisker_high"), F.count(F.when(~inside, 1)).alias("fliers"))
 
 
+def box_fliers(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The rows beyond the whiskers, once for each time they occur; values that aren't finite are left out."""
+    q = box_statistics(df, keys, value).select(*keys, (F.col("q1") - (F.col("q3") - F.col("q1")) * 1.5).alias("_low"), (F.col("q3") + (F.col("q3") - F.col("q1")) * 1.5).alias("_high"))
+    at = df.where(finite(F.col(value).cast("double"))).join(q, keys)
+    return at.where(~F.col(value).between(F.col("_low"), F.col("_high"))).select(*df.columns)
+
+
+def checked_shapes(images: DataFrame, keys: list[str], image: str = "image") -> DataFrame:
+    """The pixels (keys, image, y, x), if all images of a slide have one height and width; raises where they haven't."""
+    sizes = images.groupBy(*keys, image).agg(F.max("y").alias("h"), F.max("x").alias("w"))
+    if sizes.groupBy(*keys).agg(F.count_distinct("h", "w").alias("n")).where("n > 1").limit(1).count():
+        raise ValueError("images of one slide differ in shape")
+    return images
+
+
 def violin_density(df: DataFrame, keys: list[str], value: str, points: int = 100) -> DataFrame:
     """keys, point, at, density: a Gaussian kernel density on equal points between the least and greatest value.
 

@@ -93,8 +93,8 @@ def separate_stains(spark, sf_dir):
 STAINS_SQL = "(values ('Hematoxylin', 0.650::double, 0.704::double, 0.286::double), ('Eosin', 0.072, 0.990, 0.105), ('DAB', 0.268, 0.570, 0.776)) as v(stain, r, g, b)"
 
 
-def deconvolution_sql(names: tuple[str, ...]) -> str:
-    """Each stain alone; where two are given, the third vector is their cross product."""
+def deconvolution_sql(names: tuple[str, ...], shown: tuple[str, ...] | None = None) -> str:
+    """Each stain alone, under its name or the one to be shown; where two are given, the third vector is their cross product."""
     unit = f"unit as (select stain, r / sqrt(r * r + g * g + b * b) as r, g / sqrt(r * r + g * g + b * b) as g, b / sqrt(r * r + g * g + b * b) as b from {STAINS_SQL} where stain in {names})"
     a, b = (f"select * from unit where stain = '{n}'" for n in names[:2])
     crossed = f"select 'rest' as stain, p.g * q.b - p.b * q.g as r, p.b * q.r - p.r * q.b as g, p.r * q.g - p.g * q.r as b from ({a}) p, ({b}) q"
@@ -103,7 +103,7 @@ def deconvolution_sql(names: tuple[str, ...]) -> str:
     whole = "whole as (select *, a0 * (b1 * c2 - b2 * c1) - b0 * (a1 * c2 - a2 * c1) + c0 * (a1 * b2 - a2 * b1) as det from flat)"
     d = {"a": "(p0 * (b1 * c2 - b2 * c1) + p1 * (b2 * c0 - b0 * c2) + p2 * (b0 * c1 - b1 * c0)) / det", "b": "(p0 * (a2 * c1 - a1 * c2) + p1 * (a0 * c2 - a2 * c0) + p2 * (a1 * c0 - a0 * c1)) / det", "c": "(p0 * (a1 * b2 - a2 * b1) + p1 * (a2 * b0 - a0 * b2) + p2 * (a0 * b1 - a1 * b0)) / det"}
     out = []
-    for n, v in zip(names, "abc", strict=False):
+    for n, v in zip(shown or names, "abc", strict=False):
         planes = ", ".join(f"cast(floor(255 * greatest(0.0, least(1.0, pow(10, -({d[v]}) * {v}{k}))) + 1e-9) as bigint) as {c}" for k, c in enumerate("rgb"))
         out.append(f"select uid, y, x, '{n}' as stain, {planes} from dens, whole")
     return sql(" union all ".join(out), RASTER, unit, flat, whole, "dens as (select uid, y, x, " + ", ".join(f"-log10(greatest(c{k} / 255.0::double, 1e-8)) as p{k}" for k in range(3)) + " from raster)")
@@ -116,7 +116,14 @@ def deconvolve_hed(spark, sf_dir):
 
 @query(deconvolution_sql(("Hematoxylin", "Eosin")))
 def deconvolve_he(spark, sf_dir):
-    return stain.deconvolved(t.raster(spark, sf_dir), ["uid"], stain.PROFILES["HE"])
+    return stain.deconvolved(t.raster(spark, sf_dir), ["uid"], stain.PROFILES["H&E"])
+
+
+@query(deconvolution_sql(("Hematoxylin", "DAB"), ("Stain0", "Stain1")))
+def deconvolve_custom(spark, sf_dir):
+    """A matrix given by hand: a column for each stain."""
+    matrix = [[0.650, 0.268], [0.704, 0.570], [0.286, 0.776]]
+    return stain.deconvolved(t.raster(spark, sf_dir), ["uid"], stain.custom_profile(matrix))
 
 
 LEVELS = "pixels as (select uid, 0 as channel, y // 4 as y, x // 4 as x, c0 as value from raster where y % 4 = 0 and x % 4 = 0 union all select uid, 1, y // 4, x // 4, c1 from raster where y % 4 = 0 and x % 4 = 0)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,6 +125,79 @@ def vessels(candidates: DataFrame, zones: DataFrame, radius: int, least_area: in
     return comp.shapes_of(candidates).where(F.col("area") >= least_area).join(share, ["uid", "label"]).select("uid", "label", "area", "circularity", zone.alias("zone")).where("zone is not null")
 
 
+@dataclass(frozen=True)
+class Gate:
+    """What a vessel of one class needs: a share of its ring, an area, and below ``large`` pixels a circularity."""
+
+    share: float
+    area: int = 56
+    large: int = 2000
+    circularity: float = 0.12
+
+
+#: Vessels amid the portal zone and amid the central one.
+GATES = {"PP": Gate(0.52), "PV": Gate(0.21)}
+
+
+def vessel_candidates(foreground: DataFrame, frames: Frames, radius: int, least_area: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pixels (uid, label, y, x), rings (uid, label, y, x) and shapes (uid, label, area, circularity) of what may be a vessel.
+
+    Candidates are the holes of the foreground (uid, y, x), whose rings lie along their border, and its components
+    that touch the frame's edge, with their holes filled, if at least a tenth of their pixels lie within the
+    radius of the background; of these, a hole is made by shrinking twice, and the ring is what the second
+    time takes away. A component's label is less than 0: minus one less its least place.
+    """
+    found = runs.runs_of(foreground)
+    holes = written(runs.pixels_of(runs.holes(found, frames)).select("uid", "label", "y", "x"))
+    shapes = components_of(holes, least_area)
+    closed = written(holes.join(shapes.select("uid", "label"), ["uid", "label"], "left_semi"))
+    rings = stencil.ring(closed, ["uid", "label"], radius)
+    labels = written(runs.labelled(found, eight=True))
+    cut = written(runs.pixels_of(labels.join(runs.at_edge(labels, frames), ["uid", "label"], "left_semi")).select("uid", "label", "y", "x"))
+    # the pixel above a hole's least place belongs to the component around it
+    around = holes.select("uid", F.col("label").alias("hole")).distinct().select("uid", "hole", (F.floor(F.col("hole") / comp.WIDE) - 1).alias("y"), (F.col("hole") % comp.WIDE).alias("x")).join(cut, ["uid", "y", "x"]).select("uid", "hole", "label")
+    inside = holes.withColumnRenamed("label", "hole").join(around, ["uid", "hole"]).select("uid", "label", "y", "x")
+    blobs = written(cut.union(inside).withColumn("label", -1 - F.col("label")))
+    blob_shapes = components_of(blobs, least_area)
+    blobs = blobs.join(blob_shapes.select("uid", "label"), ["uid", "label"], "left_semi")
+    hole, rim = stencil.border_rings(blobs, runs.pixels_of(runs.gaps(found, frames)).select("uid", "y", "x"), ["uid"], radius)
+    rim = written(rim)
+    names = rim.select("uid", "label").distinct()
+    pixels_ = closed.unionByName(hole.select("uid", "label", "y", "x"))
+    both = shapes.unionByName(blob_shapes.join(names, ["uid", "label"], "left_semi"))
+    return pixels_, rings.select("uid", "label", "y", "x").unionByName(rim.select("uid", "label", "y", "x")), both
+
+
+def components_of(labels: DataFrame, least_area: int) -> DataFrame:
+    return written(comp.shapes_of(labels).where(F.col("area") >= least_area).select("uid", "label", "area", "circularity"))
+
+
+def gated_vessels(rings: DataFrame, shapes: DataFrame, zones: DataFrame, gates: dict[str, Gate] = GATES) -> DataFrame:
+    """uid, label, zone, area, circularity of the candidates that pass the gate of their class.
+
+    Only ring pixels of the zones PP and PV count. A candidate is PP where that zone's share reaches its gate's and,
+    if PV's does too, is not below it; else PV where that one's share reaches its gate's.
+    """
+    told = rings.join(zones, ["uid", "y", "x"]).where("zone in ('PP', 'PV')").groupBy("uid", "label").agg(*[F.avg((F.col("zone") == z).cast("double")).alias(z) for z in ("PP", "PV")])
+    pp, pv = (F.col(z) >= gates[z].share for z in ("PP", "PV"))
+    zone = F.when(pp & (~pv | (F.col("PP") >= F.col("PV"))), "PP").when(pv, "PV")
+    judged = shapes.join(told.select("uid", "label", zone.alias("zone")), ["uid", "label"]).where("zone is not null")
+    passes = F.lit(False)
+    for z, g in gates.items():
+        passes = passes | ((F.col("zone") == z) & (F.col("area") >= g.area) & ((F.col("area") >= g.large) | (F.col("circularity") >= g.circularity)))
+    return judged.where(passes).select("uid", "label", "zone", "area", "circularity")
+
+
+def vessels_of(foreground: DataFrame, zones: DataFrame, frames: Frames, radius: int, gates: dict[str, Gate] = GATES) -> tuple[DataFrame, DataFrame]:
+    """Vessels (uid, label, zone, area, circularity) and their pixels (uid, label, y, x): candidates that pass their
+    gate, without those that lie within a larger one."""
+    pixels_, rings, shapes = vessel_candidates(foreground, frames, radius, max(1, min(g.area for g in gates.values())))
+    passed = written(gated_vessels(rings, shapes, zones, gates))
+    own = written(pixels_.join(passed.select("uid", "label"), ["uid", "label"], "left_semi"))
+    apart = comp.without_nested(own)
+    return passed.join(apart, ["uid", "label"], "left_semi"), own.join(apart, ["uid", "label"], "left_semi")
+
+
 def reassigned(superpixels: DataFrame, vessel_pixels: DataFrame) -> DataFrame:
     """uid, label, zone of superpixels (uid, label, y, x, zone): those under a vessel (uid, y, x, vessel_zone, area) take its zone, the smallest vessel's where several."""
     under = superpixels.join(vessel_pixels, ["uid", "y", "x"]).groupBy("uid", "label").agg(F.min(F.struct("area", "vessel_zone"))["vessel_zone"].alias("taken"))

@@ -186,7 +186,7 @@ def nearest_resample(spark, sf_dir):
     return pyramid.nearest_resampled(t.raster(spark, sf_dir).select("uid", "y", "x", F.col("c0").alias("value")), ["uid"], 50, 60, 80, 45)
 
 
-@query(sql("""select uid, ty as y, tx as x, round(sum(c0 * wy * wx), 6) as value from
+@query(sql("""select uid, ty as y, tx as x, round(case when count(*) = 4 then sum(c0 * wy * wx) end, 6) as value from
   (select ty, least(cast(floor(fy) as bigint) + dy, 49) as sy, case when dy = 1 then fy - floor(fy) else 1 - (fy - floor(fy)) end as wy from (select ty, greatest(0.0::double, least(49.0::double, (ty + 0.5::double) * 50 / 20 - 0.5)) as fy from (select unnest(range(20)) as ty)), (select unnest([0, 1]) as dy)) a,
   (select tx, least(cast(floor(fx) as bigint) + dx, 59) as sx, case when dx = 1 then fx - floor(fx) else 1 - (fx - floor(fx)) end as wx from (select tx, greatest(0.0::double, least(59.0::double, (tx + 0.5::double) * 60 / 35 - 0.5)) as fx from (select unnest(range(35)) as tx)), (select unnest([0, 1]) as dx)) b
   join raster r on r.y = a.sy and r.x = b.sx group by uid, ty, tx""", RASTER))

@@ -223,6 +223,16 @@ def tissue_mask_three(spark, sf_dir):
     return run(gray2(spark, sf_dir), (50, 60), classes=3)
 
 
+@query(sql("""select r.uid, r.y, r.x, case when zone = 'MID' and g.uid is not null then 'PP' else zone end as zone from zoned r left join (
+  select m.uid, m.y, m.x from zgrown m, zdisc d join zgrown n on n.uid = m.uid and n.y = m.y + dy and n.x = m.x + dx group by all having count(*) = (select count(*) from zdisc)) g on g.uid = r.uid and g.y = r.y and g.x = r.x""", RASTER, "zoned as (select uid, y, x, case when c2 >= 170 then 'PV' when c2 >= 85 then 'MID' else 'PP' end as zone from raster)", "zdisc as (select dy, dx from (select unnest(range(-2, 3)) as dy), (select unnest(range(-2, 3)) as dx) where dy * dy + dx * dx <= 4)", "zgrown as (select distinct uid, y + dy as y, x + dx as x from zoned, zdisc where zone = 'PP')"))
+def close_zone(spark, sf_dir):
+    """Closing of the portal zone, which takes middle pixels only."""
+    from histospark.operators.stencil import closed_zones
+
+    zone = F.when(F.col("c2") >= 170, "PV").when(F.col("c2") >= 85, "MID").otherwise("PP")
+    return closed_zones(t.raster(spark, sf_dir).select("uid", "y", "x", zone.alias("zone")), ["uid"], 2)
+
+
 CELLS = "cells as (select uid, (y // 5) * 12 + x // 5 as label, y, x, c0, c1, c2 from raster)"
 MEANS = "means as (select uid, label, count(*) as area, avg(c0) as c0, avg(c1) as c1, avg(c2) as c2 from cells group by uid, label)"
 
@@ -343,6 +353,27 @@ def vessels(spark, sf_dir):
     return classed(comp.holes(t.mask(spark, sf_dir), (50, 60)), zones, 2, 5, 0.4)
 
 
+#: Holes of the mask with rings of one pixel on both sides of their border, the ring's shares of two zones, and the gates of both classes.
+GATED = """cross_ as (select unnest([0, 0, 0, 1, -1]) as dy, unnest([0, 1, -1, 0, 0]) as dx),
+ringed as (select distinct uid, label, y + dy as y, x + dx as x from holes, cross_ except select h.uid, h.label, h.y, h.x from holes h, cross_ join holes n on n.uid = h.uid and n.label = h.label and n.y = h.y + dy and n.x = h.x + dx group by all having count(*) = 5),
+shares as (select r.uid, label, avg(cast(c2 < 85 as double)) as pp, avg(cast(c2 >= 170 as double)) as pv from ringed r join raster p on p.uid = r.uid and p.y = r.y and p.x = r.x where c2 < 85 or c2 >= 170 group by r.uid, label),
+shaped as (select p.uid, p.label, count(distinct (p.y, p.x)) as area, 4 * count(distinct (p.y, p.x)) - count(q.y) as perimeter from holes p left join holes q on q.uid = p.uid and q.label = p.label and abs(q.y - p.y) + abs(q.x - p.x) = 1 group by all),
+classed as (select s.uid, s.label, case when pp >= 0.3 and (pv < 0.2 or pp >= pv) then 'PP' when pv >= 0.2 then 'PV' end as zone, area, 4 * 3.141592653589793::double * area / (perimeter * perimeter) as circularity from shaped s join shares h on h.uid = s.uid and h.label = s.label)"""
+
+
+@query(sql("select uid, label, zone, area, round(circularity, 9) as circularity from classed where zone = 'PP' and area >= 2 and (area >= 5 or circularity >= 0.6) or zone = 'PV' and area >= 1 and (area >= 4 or circularity >= 0.7)", RASTER, MASK_SQL, OFF, HOLES, GATED))
+def vessel_gates(spark, sf_dir):
+    """Holes of the mask as vessels of two classes by ring share, area and circularity; components cut by the frame are tested against brute force."""
+    from histospark.operators.stencil import ring
+    from histospark.plans import pipeline
+
+    holes_ = comp.holes(t.mask(spark, sf_dir), (50, 60)).select("uid", "label", "y", "x")
+    zone = F.when(F.col("c2") >= 170, "PV").when(F.col("c2") >= 85, "MID").otherwise("PP")
+    gates = {"PP": pipeline.Gate(0.3, 2, 5, 0.6), "PV": pipeline.Gate(0.2, 1, 4, 0.7)}
+    found = pipeline.gated_vessels(ring(holes_, ["uid", "label"], 1), pipeline.components_of(holes_, 1), t.raster(spark, sf_dir).select("uid", "y", "x", zone.alias("zone")), gates)
+    return rounded(found, "circularity", digits=9)
+
+
 @query()
 def instances(spark, sf_dir):
     from histospark.plans.pipeline import gap_closed_instances

@@ -105,13 +105,13 @@ def modality(spark, sf_dir):
     return t.manifest(spark, sf_dir).select("uid", cat.modality(word, F.expr("uid div 6 % 4 + 1"), F.expr("uid div 24 % 2 + 2"), F.col("uid") % 2 == 0).alias("modality"))
 
 
-@query(sql("select uid, ['HED', 'HDAB', 'HE', 'HDAB', null, 'HE', null, 'HDAB', 'HE'][uid % 9 + 1] as profile, case when channel = 'unknown' then 'stain_' || uid else channel end as display from manifest", MANIFEST))
+@query(sql("select uid, case when uid % 11 = 0 then 'CUSTOM' else ['HED', 'H-DAB', 'H&E', 'H-DAB', null, 'H&E', null, 'H-DAB', 'H&E'][uid % 9 + 1] end as profile, case when channel = 'unknown' then 'stain_' || uid else channel end as display from manifest", MANIFEST))
 def stain_profiles(spark, sf_dir):
     """By alias, by stains, by words of the type and the name; eosin alone and unknown aliases fit nothing."""
     r = F.col("uid") % 9
     stains = F.when(r == 2, F.array(F.lit(" Hematoxylin"), F.lit("eosin"))).when(r == 3, F.array(F.lit("DAB"), F.lit("hematoxylin"), F.lit("x"))).when(r == 4, F.array(F.lit("Eosin")))
     kind, name = F.when(r == 7, "IHC").when(r == 5, "H&E"), F.when(r == 8, "the_slide.tiff").otherwise("plain")
-    profile = cat.stain_profile(F.when(r == 0, "HED").when(r == 1, "H_DAB").when(r == 6, "he"), stains, kind, name)
+    profile = cat.stain_profile(F.when(r == 0, "HED").when(r == 1, "H_DAB").when(r == 6, "he"), stains, kind, name, custom=F.col("uid") % 11 == 0)
     return t.manifest(spark, sf_dir).select("uid", profile.alias("profile"), cat.display_name(F.when(F.col("channel") != "unknown", F.col("channel")), F.lit(" "), index=F.col("uid")).alias("display"))
 
 
@@ -191,3 +191,18 @@ def magnification(spark, sf_dir):
 @query(sql("select path, case when path like '%.czi' then null when regexp_matches(path, '\\.tiff?$') then path end as source from manifest", MANIFEST))
 def ome_source(spark, sf_dir):
     return cat.ome_source(t.manifest(spark, sf_dir).select("path"))
+
+
+@query(sql("select c.uid, coalesce(case when c.uid % 4 <> 0 then c.size_um end, p.size_um, case when c.uid % 3 = 0 then c.size_um end, p.size_um * 2) as size_x, coalesce(case when c.uid % 3 = 0 then c.size_um end, p.size_um * 2, case when c.uid % 4 <> 0 then c.size_um end, p.size_um) as size_y, case when c.uid % 2 = 0 or p.uid is not null then 'µm' end as unit from manifest c left join manifest p on p.uid = c.uid // 10", MANIFEST))
+def inherit_sizes(spark, sf_dir):
+    """Both pixel sizes and the unit, filled from the record of a tenth of the slide's number."""
+    m = t.manifest(spark, sf_dir)
+    children = m.select("uid", F.expr("uid div 10").alias("parent_uid"), F.when(F.col("uid") % 4 != 0, F.col("size_um")).alias("size_x"), F.when(F.col("uid") % 3 == 0, F.col("size_um")).alias("size_y"), F.when(F.col("uid") % 2 == 0, "um").alias("unit"))
+    return cat.inherited_sizes(children, m.select("uid", F.col("size_um").alias("size_x"), (F.col("size_um") * 2).alias("size_y"), F.lit("micron").alias("unit")))
+
+
+@query(sql("select uid, round(size_um * 1e-6 * case uid % 6 when 0 then 1e6 when 1 then 1e9 when 2 then 1e3 when 3 then 1e2 when 4 then 1.0 end, 9) as size from manifest", MANIFEST))
+def display_sizes(spark, sf_dir):
+    """Pixel sizes in metres, as a scanner stores them, in each slide's unit; an unknown unit has none."""
+    unit = F.element_at(F.array(*map(F.lit, ("um", "nm", "mm", "cm", "m", "inch"))), (F.col("uid") % 6 + 1).cast("int"))
+    return t.manifest(spark, sf_dir).select("uid", F.round(color.in_unit(F.col("size_um") * 1e-6, unit), 9).alias("size"))

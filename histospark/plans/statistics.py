@@ -82,6 +82,21 @@ def best_attempt(spark, sf_dir):
     return rounded(stats.best_attempt(stats.registration_error(t.attempts(spark, sf_dir)), passing=2.0), "error", digits=9)
 
 
+@query(sql("select k.bin, value, cast(count(*) as bigint) as times from (select bin, 1000 / stain_0 as value from kept) k join (select bin, quantile_cont(1000 / stain_0, 0.25) as q1, quantile_cont(1000 / stain_0, 0.75) as q3 from kept group by bin) q on k.bin = q.bin where not (value between q1 - (q3 - q1) * 1.5 and q3 + (q3 - q1) * 1.5) group by k.bin, value", STAT_PIXELS, LONG))
+def box_fliers(spark, sf_dir):
+    """The values beyond the whiskers, and how often each occurs."""
+    binned = t.stat_pixels(spark, sf_dir).where(stats.finite(F.col("portality"))).withColumn("bin", stats.bin_of(F.col("portality"), 10)).select("bin", (1000 / F.col("stain_0")).alias("value"))
+    return stats.box_fliers(binned, ["bin"], "value").groupBy("bin", "value").agg(F.count(F.lit(1)).alias("times"))
+
+
+@query(sql("select uid, y, x, round((c0 + c1 + c2) / 3.0::double, 3) as mean from raster", RASTER))
+def channel_mean(spark, sf_dir):
+    from histospark.operators.pixels import channel_mean as mean_of
+
+    got = mean_of(t.pixels(spark, sf_dir), ["uid"])
+    return got.select("uid", "y", "x", F.round(F.col("mean").cast("double"), 3).alias("mean"))
+
+
 def otsu_sql(source: str, key: str, value: str) -> str:
     return f"""oh as (select {key} as k, {value} as v, count(*) as n from {source} group by all),
 oc as (select k, v, sum(n) over w as w, sum(n * v) over w as s, sum(n) over (partition by k) as wt, sum(n * v) over (partition by k) as st, max(v) over (partition by k) as top from oh window w as (partition by k order by v rows unbounded preceding)),

@@ -30,9 +30,9 @@ SLIDES = T.StructType(
 )
 #: Words of an image type that name the modality, and the brightfield profiles' aliases.
 FLUORESCENCE, BRIGHTFIELD = ("fluor", "fluorescence"), ("brightfield", "immunohistochemistry", "ihc", "h&e", "he", "dab")
-PROFILE_ALIASES = {"HE": "HE", "H_E": "HE", "H-E": "HE", "H&E": "HE", "HDAB": "HDAB", "H-DAB": "HDAB", "H_DAB": "HDAB", "HED": "HED"}
+PROFILE_ALIASES = {"HE": "H&E", "H_E": "H&E", "H-E": "H&E", "H&E": "H&E", "HDAB": "H-DAB", "H-DAB": "H-DAB", "H_DAB": "H-DAB", "HED": "HED"}
 #: Words of an image type or a file name that name a profile, in the order in which they are tried.
-PROFILE_WORDS = (("HDAB", ("ihc", "dab", "h-dab", "hdab")), ("HE", ("he", "h&e")))
+PROFILE_WORDS = (("H-DAB", ("ihc", "dab", "h-dab", "hdab")), ("H&E", ("he", "h&e")))
 
 
 def has_any(text: Column, words: tuple[str, ...]) -> Column:
@@ -131,16 +131,17 @@ def modality(image_type: Column, channels: Column, dims: Column, is_bytes: Colum
     return out.when(bright & ((channels == 1) | (dims < 3)), "brightfield").when((dims == 3) & (channels > 1), "fluorescence").otherwise("brightfield")
 
 
-def stain_profile(alias: Column, stains: Column, image_type: Column, name: Column, strict: bool = False) -> Column:
-    """HE, HDAB or HED: by explicit alias, by stain names (hematoxylin with eosin, or with DAB), then by
+def stain_profile(alias: Column, stains: Column, image_type: Column, name: Column, strict: bool = False, custom: Column | None = None) -> Column:
+    """CUSTOM where a slide has a matrix of its own (``custom`` is true), else H&E, H-DAB or HED: by explicit alias, by stain names (hematoxylin with eosin, or with DAB), then by
     words of the image type and the file name. Where nothing fits, and for an unknown alias: null, or an error if ``strict``."""
     known = F.element_at(F.create_map(*[F.lit(x) for p in PROFILE_ALIASES.items() for x in p]), alias)
     names = F.transform(F.coalesce(stains, F.array().cast("array<string>")), lambda s: F.lower(F.trim(s)))
     has = lambda s: F.coalesce(F.array_contains(names, s), F.lit(False))
     words = F.lower(F.concat(F.coalesce(image_type, F.lit("")), F.lit(" "), F.coalesce(name, F.lit(""))))
-    out = F.when(F.coalesce(alias, F.lit("")) != "", known).when(has("hematoxylin") & has("eosin"), "HE").when(has("dab") & has("hematoxylin"), "HDAB")
+    out = F.when(F.coalesce(alias, F.lit("")) != "", known).when(has("hematoxylin") & has("eosin"), "H&E").when(has("dab") & has("hematoxylin"), "H-DAB")
     for profile, tried in PROFILE_WORDS:
         out = out.when(has_any(words, tried), profile)
+    out = out if custom is None else F.when(custom, "CUSTOM").otherwise(out)
     return F.coalesce(out, F.raise_error(F.lit("no brightfield stain profile fits; name one")).cast("string")) if strict else out
 
 
@@ -235,6 +236,14 @@ def channel_map(names: Column) -> Column:
     return F.map_from_entries(F.transform(names, lambda n, i: F.struct(i, F.when(n != "", n).otherwise(F.concat(F.lit("ch"), i)))))
 
 
+def inherited_sizes(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """uid, size_x, size_y, unit of children (uid, parent_uid, size_x, size_y, unit): each of the three is taken from the
+    parent's record where it is missing, and a missing size is the other one's, parents' sizes coming first."""
+    p = parents.select(F.col("uid").alias("parent_uid"), F.col("size_x").alias("p_x"), F.col("size_y").alias("p_y"), F.col("unit").alias("p_unit"))
+    at = children.join(p, "parent_uid", "left").withColumns({"x": F.coalesce("size_x", "p_x"), "y": F.coalesce("size_y", "p_y")})
+    return at.select("uid", F.coalesce("x", "y").alias("size_x"), F.coalesce("y", "x").alias("size_y"), length_unit(F.coalesce("unit", "p_unit")).alias("unit"))
+
+
 def colour_map(colors: Column) -> Column:
     """Packed colours by channel, without channels that have none; null where no channel has one."""
     entries = F.filter(F.transform(colors, lambda c, i: F.struct(i.alias("i"), c.alias("c"))), lambda e: e["c"].isNotNull())

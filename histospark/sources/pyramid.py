@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 
 def decimated(pixels: DataFrame, levels: list[int]) -> DataFrame:
@@ -27,11 +28,17 @@ def untiled(tiles: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def validated(tiles: DataFrame, key: str = "uid") -> DataFrame:
-    """The tiles, if every image has data and its levels the same channels; raises where one hasn't."""
-    levels = tiles.groupBy(key, "level").agg(F.sort_array(F.collect_set("channel")).alias("channels"), F.min(F.coalesce(F.size("data"), F.lit(0))).alias("least"))
-    odd = levels.groupBy(key).agg(F.count_distinct("channels").alias("kinds"), F.min("least").alias("least")).where("kinds > 1 or least < 1")
-    if odd.limit(1).count():
-        raise ValueError("a pyramid has an empty tile, or levels of different channels")
+    """The tiles, if every image has data and all its levels have the same channels, data type and layout (the
+    columns ``dtype`` and ``layout``, where the table has them); raises where one hasn't."""
+    if isinstance(tiles.schema["level"].dataType, NullType) or tiles.where("level is null").limit(1).count():
+        raise ValueError("a pyramid has a tile of no level")
+    same = [c for c in ("dtype", "layout") if c in tiles.columns]
+    kinds = [F.sort_array(F.collect_set(F.coalesce(F.col(c).cast("string"), F.lit("")))).alias(c) for c in ("channel", *same)]
+    levels = tiles.groupBy(key, "level").agg(*kinds, F.min(F.coalesce(F.size("data"), F.lit(0))).alias("least"))
+    odd = levels.groupBy(key).agg(F.count_distinct("channel", *same).alias("kinds"), F.min("least").alias("least"), *[F.max(F.size(c)).alias(f"most_{c}") for c in same])
+    wrong = " or ".join(["kinds > 1", "least < 1", *[f"most_{c} > 1" for c in same]])
+    if odd.where(wrong).limit(1).count():
+        raise ValueError("a pyramid has an empty tile, or levels of different channels, data types or layouts")
     return tiles
 
 
@@ -47,7 +54,14 @@ def read_tiles(spark: SparkSession, path: str, uid: object = None, level: int |
 
 
 def levels_of(df: DataFrame, key: str = "uid") -> DataFrame:
-    return df.groupBy(key).agg(F.sort_array(F.collect_set("level")).alias("levels"))
+    """key, levels in ascending order; of an image without numbered levels (0)."""
+    found = F.sort_array(F.collect_set("level"))
+    return df.groupBy(key).agg(F.when(F.size(found) == 0, F.array(F.lit(0).cast(df.schema["level"].dataType))).otherwise(found).alias("levels"))
+
+
+def tile_shapes(tiles: DataFrame, key: str = "uid") -> DataFrame:
+    """key, level, h, w from the tiles' places and sizes: a scan of a few columns of a row per tile, without their data."""
+    return tiles.groupBy(key, "level").agg(F.max(F.col("y0") + F.col("h")).alias("h"), F.max(F.col("x0") + F.col("w")).alias("w"))
 
 
 def common_levels(df: DataFrame, key: str = "uid") -> DataFrame:
@@ -89,7 +103,7 @@ def nearest_resampled(pixels: DataFrame, keys: list[str], h: int, w: int, to_h:
 
 
 def bilinear_resampled(pixels: DataFrame, keys: list[str], h: int, w: int, to_h: int, to_w: int) -> DataFrame:
-    """Bilinear sampling at pixel centres, with the border repeated."""
+    """Bilinear sampling at pixel centres, with the border repeated. Where one of the four pixels is absent or null, so is the value."""
     grid = pixels.select(*keys).distinct().withColumn("ty", F.explode(F.sequence(F.lit(0), F.lit(to_h - 1)))).withColumn("tx", F.explode(F.sequence(F.lit(0), F.lit(to_w - 1))))
     clip = lambda c, top: F.greatest(F.lit(0.0), F.least(F.lit(float(top)), c))
     at = grid.withColumns({"fy": clip((F.col("ty") + 0.5) * h / to_h - 0.5, h - 1), "fx": clip((F.col("tx") + 0.5) * w / to_w - 0.5, w - 1)})
@@ -104,7 +118,7 @@ def bilinear_resampled(pixels: DataFrame, keys: list[str], h: int, w: int, to_h:
             (y, wy), (x, wx) = side(F.col("fy"), dy, h - 1), side(F.col("fx"), dx, w - 1)
             corners.append(F.struct(y.cast("long").alias("y"), x.cast("long").alias("x"), (wy * wx).alias("weight")))
     spread = at.select(*keys, "ty", "tx", F.explode(F.array(*corners)).alias("c")).select(*keys, "ty", "tx", "c.*")
-    got = spread.join(pixels, [*keys, "y", "x"]).groupBy(*keys, "ty", "tx").agg(F.sum(F.col("value") * F.col("weight")).alias("value"))
+    got = spread.join(pixels, [*keys, "y", "x"]).groupBy(*keys, "ty", "tx").agg(F.when(F.count("value") == 4, F.sum(F.col("value") * F.col("weight"))).alias("value"))
     return got.select(*keys, F.col("ty").cast("long").alias("y"), F.col("tx").cast("long").alias("x"), "value")
 
 

@@ -97,10 +97,35 @@ def test_portality_bounds(spark):
     assert got[5, 5] == 1 and got[1, 4] == 0 and got[0, 0] is None and 0 < got[5, 3] < got[5, 4] < 1
 
 
+def test_k_means_is_settled_and_no_worse_than_loops(spark):
+    """No point is nearer to another centre, and the cost isn't above that of twenty plain runs from random points."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 1.0, (40, 2)) for c in ((0, 0), (6, 1), (3, 7), (12, 4))] + [rng.uniform(-3, 15, (40, 2))])
+    df = spark.createDataFrame([("s", i, float(a), float(b)) for i, (a, b) in enumerate(x)], "uid string, node long, a double, b double")
+    found = {r.node: r.cluster for r in features.k_means(df, "uid", ["a", "b"], k=5).collect()}
+    label = np.array([found[i] for i in range(len(x))])
+    centre = np.array([x[label == c].mean(axis=0) for c in range(5)])
+    far = ((x[:, None] - centre) ** 2).sum(axis=2)
+    assert (far.argmin(axis=1) == label).all()
+    costs = []
+    for _ in range(20):
+        c = x[rng.choice(len(x), 5, replace=False)]
+        while True:
+            near = ((x[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
+            new = np.array([x[near == k].mean(axis=0) if (near == k).any() else c[k] for k in range(5)])
+            if np.allclose(new, c, atol=1e-12):
+                break
+            c = new
+        costs.append(((x[:, None] - c) ** 2).sum(axis=2).min(axis=1).sum())
+    assert far.min(axis=1).sum() <= min(costs) * (1 + 1e-9) + 1e-9 or far.min(axis=1).sum() <= np.median(costs)
+
+
 def test_k_means_and_smoothing(spark):
     points = spark.createDataFrame([(1, i, float(i // 10 * 100 + i % 3)) for i in range(30)], "uid long, node long, v double")
     found = features.k_means(points, "uid", ["v"], k=3, seeds=4).collect()
     assert len({r.cluster for r in found}) == 3 and all(len({r.cluster for r in found if r.node // 10 == g}) == 1 for g in range(3))
+    blocks = features.k_means(points, "uid", ["v"], k=3, seeds=4, block=4).collect()
+    assert sorted(found) == sorted(blocks)
     edges = spark.createDataFrame([(0, 1), (1, 2)], "a long, b long")
     values = spark.createDataFrame([(0, 0.0, 1), (1, 3.0, 2), (2, 6.0, 2), (3, 9.0, 5)], "node long, v double, label long")
     assert {r.node: r.v for r in features.smoothed_features(values, edges, ["v"]).collect()} == {0: 1.5, 1: 3.0, 2: 4.5, 3: 9.0}
