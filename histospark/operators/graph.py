@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from histospark.operators.gridjoin import box_join, cells_of_box, grid_join
-from histospark.operators.iterate import connected_components, removed, written
+from histospark.operators.iterate import connected_components, fresh_path, removed, written
 
 
 def both_ends(edges: DataFrame, *more: str) -> DataFrame:
@@ -114,112 +112,49 @@ def chains(edges: DataFrame) -> DataFrame:
     return totals.join(ends, "chain", "left").select(F.coalesce("u", "low").alias("u"), F.coalesce("v", "low").alias("v"), "length", "pieces")
 
 
-def forest(edges: DataFrame) -> DataFrame:
-    """node, root, depth, parent: breadth-first trees from each component's least node, by frontier joins."""
-    near = written(both_ends(edges).where("node <> other").distinct())
-    found = connected_components(edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    seen = written(found.where("node = component").select("node", F.col("component").alias("root"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")))
-    for k in count():
-        front = seen.where(F.col("depth") == k)
-        new = front.select(F.col("node").alias("p"), "root").join(near.withColumnRenamed("node", "p"), "p").groupBy(F.col("other").alias("node")).agg(F.min("root").alias("root"), F.min("p").alias("parent"))
-        grown = written(seen.union(new.join(seen, "node", "left_anti").select("node", "root", F.lit(k + 1).alias("depth"), "parent")))
-        more = grown.where(F.col("depth") == k + 1).limit(1).count()
-        removed(edges.sparkSession, seen)
-        seen = grown
-        if not more:
-            break
-    return seen
-
-
-#: Components of at most so many edges are searched for bridges in one task each.
-LOCAL_EDGES = 50_000
-
-
-def local_bridges(u: list[int], v: list[int]) -> list[int]:
-    """Indices of the edges on no cycle, by a depth-first search with low points."""
-    near: dict[int, list[tuple[int, int]]] = {}
-    for i, (a, b) in enumerate(zip(u, v, strict=True)):
-        near.setdefault(a, []).append((b, i))
-        near.setdefault(b, []).append((a, i))
-    order, low, out = {}, {}, []
-    for root in near:
-        if root in order:
-            continue
-        order[root] = low[root] = len(order)
-        path = [(root, -1, iter(near[root]))]
-        while path:
-            node, by, rest = path[-1]
-            for other, i in rest:
-                if i == by:
-                    continue
-                if other in order:
-                    low[node] = min(low[node], order[other])
-                else:
-                    order[other] = low[other] = len(order)
-                    path.append((other, i, iter(near[other])))
-                    break
-            else:
-                path.pop()
-                if path:
-                    up = path[-1][0]
-                    low[up] = min(low[up], low[node])
-                    if low[node] > order[up]:
-                        out.append(by)
-    return out
-
-
-def bridges(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
-    """u, v of edges on no cycle. Components of at most ``local`` edges are searched in one task each;
-    the edges of larger ones are labelled over the whole cluster (``labelled_bridges``)."""
-    plain = written(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v"))
-    found = connected_components(plain.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    named = plain.join(found.select(F.col("node").alias("u"), "component"), "u")
-    sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("edges"))
-    named = written(named.join(sizes, "component"))
-
-    def search(pdf):
-        return pdf[["u", "v"]].iloc[local_bridges(pdf["u"].tolist(), pdf["v"].tolist())]
-
-    near = named.where(F.col("edges") <= local).groupBy("component").applyInPandas(search, "u long, v long")
-    large = named.where(F.col("edges") > local).select("u", "v")
-    return near.union(labelled_bridges(large)) if large.limit(1).count() else near
-
-
-def labelled_bridges(edges: DataFrame) -> DataFrame:
-    """u, v of edges on no cycle. Each edge outside a breadth-first forest gets a random label; a tree
-    edge's label is the xor of those below it, summed level by level from the leaves; 0 is a bridge.
-    A wrong answer needs two of 2**64 labels to cancel."""
-    plain = written(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")))
-    tree = forest(plain)
-    down = tree.where("parent is not null").select(F.least("node", "parent").alias("u"), F.greatest("node", "parent").alias("v"))
-    other = plain.join(down, ["u", "v"], "left_anti").withColumn("h", F.xxhash64("u", "v"))
-    marks = other.select(F.col("u").alias("node"), "h").union(other.select("v", "h")).groupBy("node").agg(F.bit_xor("h").alias("h"))
-    state = written(tree.join(marks, "node", "left").withColumn("h", F.coalesce("h", F.lit(0))))
-    top = state.agg(F.max("depth")).first()[0] or 0
-    for d in range(top, 0, -1):
-        told = state.where(F.col("depth") == d).groupBy(F.col("parent").alias("node")).agg(F.bit_xor("h").alias("up"))
-        new = state.join(told, "node", "left").withColumn("h", F.col("h").bitwiseXOR(F.coalesce("up", F.lit(0)))).drop("up")
-        state = written(new) if d % 4 == 0 or d == 1 else new
-    cut = state.where("parent is not null and h = 0").select(F.least("node", "parent").alias("u"), F.greatest("node", "parent").alias("v"))
-    return cut.join(plain.where("n = 1"), ["u", "v"], "left_semi")
-
-
-def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """source, node, dist, pred: frontier relaxation from each source (column ``source``) until nothing improves; ties go to the least pred."""
-    near = written(both_ends(edges, "length"))
-    state = written(sources.select("source", F.col("source").alias("node"), F.lit(0).cast("long").alias("dist"), F.lit(None).cast("long").alias("pred"), F.lit(True).alias("fresh")))
-    while True:
-        step = state.where("fresh").join(near, "node").select("source", F.col("other").alias("node"), (F.col("dist") + F.col("length")).alias("dist"), F.col("node").alias("pred"), F.lit(True).alias("fresh"))
-        best = state.withColumn("fresh", F.lit(False)).unionByName(step).groupBy("source", "node").agg(F.min(F.struct("dist", F.coalesce("pred", F.lit(-1)).alias("p"))).alias("m"))
-        old = state.select("source", "node", F.col("dist").alias("was"), F.coalesce("pred", F.lit(-1)).alias("was_p"))
-        new = best.join(old, ["source", "node"], "left").select("source", "node", F.col("m.dist").alias("dist"), F.when(F.col("m.p") >= 0, F.col("m.p")).alias("pred"), (F.col("was").isNull() | (F.col("m.dist") < F.col("was")) | (F.col("m.p") < F.col("was_p"))).alias("fresh"))
-        new = written(new)
-        more = new.where("fresh").limit(1).count()
-        removed(edges.sparkSession, state)
-        state = new
-        if not more:
-            break
-    return state.drop("fresh")
+def shortest_paths(edges: DataFrame, sources: DataFrame, width: float | None = None) -> DataFrame:
+    """source, node, dist, pred from each source (column ``source``) to all it reaches, by buckets of distances; ties go to the least pred.
+
+    Only rows of the open bucket, of ``width`` (eight mean lengths, if not given), meet the edges; a bucket that is done is
+    written once to a folder of its own and never again. A node that gets a new distance was settled
+    no further back than the longest edge, so candidates are held against those buckets alone. Lengths
+    aren't negative; the sources have no pred. More width means fewer rounds and more rows that are improved twice.
+    """
+    spark = edges.sparkSession
+    near = written(both_ends(edges, "length"), "near")
+    mean, longest = near.agg(F.avg("length"), F.max("length")).first()
+    width = width or 8 * (mean or 0) or 1
+    kind = edges.schema["length"].dataType
+    least = F.min(F.struct("dist", "pred")).alias("m")
+    unpack = ["source", "node", "m.dist", "m.pred"]
+    waiting = written(sources.select("source", F.col("source").alias("node"), F.lit(0).cast(kind).alias("dist"), F.lit(None).cast("long").alias("pred")).distinct(), "waiting")
+    schema, folder, limits = waiting.schema, fresh_path(spark, "settled"), []
+
+    def settled(since: float | None) -> DataFrame:
+        """The buckets with distances of ``since`` or more."""
+        parts = [f"{folder}/{k}" for k, limit in enumerate(limits) if since is None or limit > since]
+        return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+
+    while (low := waiting.agg(F.min("dist")).first()[0]) is not None:
+        limit, known = low + width, settled(low - longest if longest is not None else low).select("source", "node")
+        reached = lambda rows: rows.join(near, "node").select("source", F.col("other").alias("node"), (F.col("dist") + F.col("length")).cast(kind).alias("dist"), F.col("node").alias("pred"))
+        bucket = written(waiting.where(F.col("dist") < limit).withColumn("fresh", F.lit(True)), "bucket")
+        while bucket.where("fresh").limit(1).count():
+            told = reached(bucket.where("fresh")).where(F.col("dist") < limit).join(known, ["source", "node"], "left_anti")
+            best = bucket.drop("fresh").unionByName(told).groupBy("source", "node").agg(least).select(*unpack)
+            was = bucket.select("source", "node", F.col("dist").alias("was"))
+            new = written(best.join(was, ["source", "node"], "left").select(*best.columns, (F.col("was").isNull() | (F.col("dist") < F.col("was"))).alias("fresh")), "bucket")
+            removed(spark, bucket)
+            bucket = new
+        bucket.drop("fresh").write.parquet(f"{folder}/{len(limits)}")
+        limits.append(limit)
+        told = reached(bucket).where(F.col("dist") >= limit)
+        late = waiting.where(F.col("dist") >= limit).unionByName(told).join(settled(low - longest if longest is not None else low).select("source", "node"), ["source", "node"], "left_anti")
+        new = written(late.groupBy("source", "node").agg(least).select(*unpack), "waiting")
+        removed(spark, bucket, waiting)
+        waiting = new
+    removed(spark, near, waiting)
+    return settled(None)
 
 
 def path_edges(paths: DataFrame, targets: DataFrame) -> DataFrame:
@@ -238,23 +173,29 @@ def path_edges(paths: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def spanning_tree(edges: DataFrame) -> DataFrame:
-    """u, v, length of the minimum spanning forest: Boruvka rounds; ties go to the least edge."""
-    plain = written(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "length").where("u <> v").groupBy("u", "v").agg(F.min("length").alias("length")))
-    chosen = None
-    found = written(both_ends(plain).select("node", F.col("node").alias("component")).distinct())
-    while True:
-        c = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-        out = plain.join(c("u"), "u").join(c("v"), "v").where("cu <> cv")
-        pick = F.min(F.struct("length", "u", "v")).alias("m")
-        best = out.select(F.col("cu").alias("c"), "length", "u", "v").union(out.select("cv", "length", "u", "v")).groupBy("c").agg(pick).select("m.u", "m.v", "m.length").distinct()
-        chosen = written(best if chosen is None else chosen.union(best).distinct())
-        comp = connected_components(chosen.select(F.col("u").alias("a"), F.col("v").alias("b")))
-        new = written(found.select("node").join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
-        same = new.select("component").distinct().count() == found.select("component").distinct().count()
-        found = new
-        if same:
-            break
-    return chosen
+    """u, v, length of the minimum spanning forest: Boruvka rounds; ties go to the least edge.
+
+    Each round, every component picks its least edge, and components that picks join become one; edges inside one go, and
+    of those between two the least stays. So components halve at least and the table shrinks with them.
+    """
+    spark = edges.sparkSession
+    plain = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "length").where("u <> v")
+    order = F.struct("length", "u", "v")
+    rest = written(plain.groupBy(F.col("u").alias("a"), F.col("v").alias("b")).agg(F.min(order).alias("e")), "between")
+    chosen, picks = None, []
+    while rest.limit(1).count():
+        ends = rest.select(F.col("a").alias("c"), "a", "b", "e").union(rest.select("b", "a", "b", "e"))
+        best = written(ends.groupBy("c").agg(F.min_by(F.struct("a", "b", "e"), "e").alias("m")).select("m.*").distinct(), "picks")
+        picks.append(best)
+        comp = connected_components(best.select("a", "b"))
+        into = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"into_{c}"))
+        named = rest.join(into("a"), "a").join(into("b"), "b").where("into_a <> into_b")
+        new = written(named.groupBy(F.least("into_a", "into_b").alias("a"), F.greatest("into_a", "into_b").alias("b")).agg(F.min("e").alias("e")), "between")
+        removed(spark, rest, comp)
+        rest = new
+    for best in picks:  # as many as rounds
+        chosen = best if chosen is None else chosen.unionByName(best)
+    return (rest if chosen is None else chosen).select("e.u", "e.v", "e.length")
 
 
 def terminal_tree(edges: DataFrame, terminals: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from histospark.operators import graph, network, overlay
+from histospark.operators import graph, network, overlay, tours
 from histospark.plans.registry import query
 from histospark.plans.regions import HOLES, OFF, label_sql
 from histospark.plans.statistics import rounded
@@ -117,16 +117,14 @@ def chain_contraction(spark, sf_dir):
 
 @query()
 def bridges(spark, sf_dir):
-    return graph.bridges(t.sparse_graph(spark, sf_dir))
+    return tours.bridges(t.sparse_graph(spark, sf_dir))
 
 
-
-
-@query(sql("""select 1 as source, node, min(dist) as dist from walk group by node""", DENSE_GRAPH, "both_ways as (select u as a, v as b, length from weighted union all select v, u, length from weighted)", "walk(node, dist, hops) as (select 1::bigint, 0::bigint, 0 union select * from (select b.b, min(w.dist + b.length)::bigint, any_value(w.hops) + 1 from walk w join both_ways b on b.a = w.node where w.hops < 12 group by b.b))"))
+@query(sql("""select source, node, min(dist) as dist from walk group by source, node""", DENSE_GRAPH, "both_ways as (select u as a, v as b, length from weighted union all select v, u, length from weighted)", "walk(source, node, dist, hops) as (select s, s, 0::bigint, 0 from (select unnest([1, 2, 250]::bigint[]) as s) union select * from (select w.source, b.b, min(w.dist + b.length)::bigint, any_value(w.hops) + 1 from walk w join both_ways b on b.a = w.node where w.hops < 12 group by w.source, b.b))"))
 def shortest_path(spark, sf_dir):
-    """Distances from node 1; paths of more than twelve edges are never shortest here."""
-    sources = spark.range(1).select(F.lit(1).cast("long").alias("source"))
-    return graph.shortest_paths(t.dense_graph(spark, sf_dir), sources).select(F.col("source").cast("int").alias("source"), "node", "dist")
+    """Distances from nodes 1, 2 and 250; paths of more than twelve edges are never shortest here."""
+    sources = spark.createDataFrame([(1,), (2,), (250,)], "source long")
+    return graph.shortest_paths(t.dense_graph(spark, sf_dir), sources).select("source", "node", "dist")
 
 
 @query()

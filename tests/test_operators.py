@@ -132,26 +132,6 @@ def test_k_means_and_smoothing(spark):
     assert {r.node: r.label for r in features.smoothed_labels(values, edges).collect()} == {0: 1, 1: 2, 2: 2, 3: 5}
 
 
-def brute_bridges(edges):
-    def parts(es):
-        up = {n: n for e in edges for n in e}
-        root = lambda n: n if up[n] == n else root(up[n])
-        for a, b in es:
-            up[root(a)] = root(b)
-        return len({root(n) for n in up})
-
-    return {e for i, e in enumerate(edges) if parts(edges[:i] + edges[i + 1 :]) > parts(edges)}
-
-
-def test_bridges_both_ways(spark):
-    rng = random.Random(8)
-    edges = sorted({tuple(sorted(rng.sample(range(25), 2))) for _ in range(26)})
-    df = spark.createDataFrame(edges, "u long, v long")
-    want = brute_bridges(edges)
-    for got in (graph.bridges(df), graph.labelled_bridges(df), graph.bridges(df, local=0)):
-        assert {(r.u, r.v) for r in got.collect()} == want
-
-
 def test_trees_and_pruning(spark):
     edges = spark.createDataFrame([(0, 1, 1), (1, 2, 2), (0, 2, 3), (2, 3, 1), (3, 4, 1)], "u long, v long, length long")
     assert {(r.u, r.v) for r in graph.spanning_tree(edges).collect()} == {(0, 1), (1, 2), (2, 3), (3, 4)}
