@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from histospark.functions import color
 from histospark.operators import pixels as px
+from histospark.operators.iterate import fresh_path
 from histospark.plans.registry import query
 from histospark.plans.statistics import BACKGROUND, rounded
-from histospark.sources import pyramid
+from histospark.sources import pyramid, results
 from histospark.sources import tables as t
 from histospark.sources.tables import MASK_SQL, PATCHES, PIXELS, PYRAMID, RASTER, sql
 
@@ -194,6 +195,34 @@ def bilinear_resample(spark, sf_dir):
     return rounded(pyramid.bilinear_resampled(t.raster(spark, sf_dir).select("uid", "y", "x", F.col("c0").alias("value")), ["uid"], 50, 60, 20, 35), "value")
 
 
+#: Sizes of the three levels; the region found on 25 x 30 pixels shows rows 5 to 44 and columns 7 to 51 of level 0.
+RESULT_LEVELS = """sizes as (select unnest([0, 1, 2]) as level, unnest([50, 25, 13]) as h, unnest([60, 30, 15]) as w),
+ry as (select level, h, unnest(range(h)) as ty from sizes), rx as (select level, w, unnest(range(w)) as tx from sizes),
+region as (select uid, y // 2 as y, x // 2 as x, c0 as label from raster where y % 2 = 0 and x % 2 = 0 and c0 >= 60),
+full_labels as (select uid, 5 + ty as y, 7 + tx as x, label from (select unnest(range(40)) as ty), (select unnest(range(45)) as tx), region r where r.y = ty * 25 // 40 and r.x = tx * 30 // 45),
+at_levels as (select uid, ry.level, ty as y, tx as x, label from ry join rx using (level) join full_labels f on f.y = ty * 50 // h and f.x = tx * 60 // w),
+fy as (select level, ty, greatest(0.0::double, least(49.0::double, (ty + 0.5::double) * 50 / h - 0.5)) as f from ry),
+fx as (select level, tx, greatest(0.0::double, least(59.0::double, (tx + 0.5::double) * 60 / w - 0.5)) as f from rx),
+cy as (select level, ty, least(cast(floor(f) as bigint) + d, 49) as sy, case when d = 1 then f - floor(f) else 1 - (f - floor(f)) end as wy from fy, (select unnest([0, 1]) as d)),
+cx as (select level, tx, least(cast(floor(f) as bigint) + d, 59) as sx, case when d = 1 then f - floor(f) else 1 - (f - floor(f)) end as wx from fx, (select unnest([0, 1]) as d)),
+smooth as (select uid, cy.level, ty as y, tx as x, sum(c1 / 255.0::double * wy * wx) as portality from cy join cx using (level) join raster r on r.y = sy and r.x = sx where c2 >= 64 group by uid, cy.level, ty, tx having count(*) = 4)"""
+
+
+@query(sql("select uid, level, y, x, label, round(portality, 6) as portality from at_levels full join smooth using (uid, level, y, x)", RASTER, RESULT_LEVELS))
+def result_pyramid(spark, sf_dir):
+    """Labels of a region and a portality raster written to pyramids of three levels in tiles of 16, and read again."""
+    r = t.raster(spark, sf_dir)
+    each = r.select("uid").distinct()
+    sizes = spark.createDataFrame([(0, 50, 60), (1, 25, 30), (2, 13, 15)], "level int, h long, w long")
+    shapes = each.join(sizes)
+    boxes = each.selectExpr("uid", "25 as ph", "30 as pw", "5 as y0", "7 as x0", "45 as y1", "52 as x1")
+    region = r.where("y % 2 = 0 and x % 2 = 0 and c0 >= 60").select("uid", F.expr("y div 2").alias("y"), F.expr("x div 2").alias("x"), F.col("c0").alias("label"))
+    folder = fresh_path(spark, "results")
+    results.write_results(results.pasted(region, boxes, shapes), r.where("c2 >= 64").select("uid", "y", "x", (F.col("c1") / 255.0).alias("value")), shapes, folder, side=16)
+    found = rounded(results.read_results(spark, folder), "portality")
+    return found.withColumns({"uid": F.col("uid").cast("long"), "level": F.col("level").cast("int")})
+
+
 @query(sql("select uid, y // 4 as y, x // 4 as x, round(avg(c0), 6) as value from raster group by uid, y // 4, x // 4", RASTER))
 def size_capped(spark, sf_dir):
     return rounded(pyramid.size_capped(t.raster(spark, sf_dir).select("uid", "y", "x", F.col("c0").alias("value")), ["uid"], 15), "value")
