@@ -78,3 +78,36 @@ def test_nothing_found(spark, shapes, tmp_path):
     v = spark.createDataFrame([], "uid string, y long, x long, value double")
     results.write_results(l, v, shapes, str(tmp_path / "r"), side=8)
     assert results.read_results(spark, str(tmp_path / "r")).count() == 0
+
+
+def test_a_slide_goes_out_and_comes_back(spark, tmp_path, monkeypatch):
+    """A bright block is the region; what a stand-in for the segmentation finds there comes back at its place on every level."""
+    from pyspark.sql import functions as F
+
+    from histospark.plans import lobules
+    from histospark.sources.pyramid import decimated
+
+    px = [("s", c, y, x, 200 if 8 <= y < 28 and 12 <= x < 36 else 5) for c in range(2) for y in range(40) for x in range(48)]
+    px += [("dark", c, y, x, 0) for c in range(2) for y in range(8) for x in range(8)]
+    pyramid = decimated(spark.createDataFrame(px, "uid string, channel int, y long, x long, value long"), [0, 1])
+    shapes = spark.createDataFrame([("s", 0, 40, 48), ("s", 1, 20, 24), ("dark", 0, 8, 8), ("dark", 1, 4, 4), ("none", 0, 5, 5), ("none", 1, 3, 3)], "uid string, level int, h long, w long")
+    seen = {}
+
+    def stand_in(pixels, frames, pp, pv, **options):
+        seen.update({r.uid: (r.h, r.w) for r in frames.collect()})
+        bright = pixels.where("value >= 100 and channel = 0")
+        return bright.select("uid", "y", "x", F.lit(2**40).alias("label"), (F.col("y") / 100.0).alias("portality"))
+
+    monkeypatch.setattr(lobules, "segmented", stand_in)
+    regions = lobules.segmented_slides(pyramid, shapes, str(tmp_path / "r"), [0], [1], side=16)
+    box = {(r.uid, r.level): (r.y0, r.x0, r.y1, r.x1) for r in regions.collect()}
+    assert {u for u, _ in box} == {"s", "dark"} and box["dark", 0] == (0, 0, 8, 8)  # one value alone is tissue
+    assert seen == {u: (box[u, 0][2] - box[u, 0][0], box[u, 0][3] - box[u, 0][1]) for u in ("s", "dark")}
+    y0 = box["s", 0][0]
+    back = results.read_results(spark, str(tmp_path / "r")).collect()
+    inside = {(y, x) for y in range(8, 28) for x in range(12, 36) if y0 <= y < box["s", 0][2] and box["s", 0][1] <= x < box["s", 0][3]}
+    assert len(inside) > 300
+    assert {(r.y, r.x) for r in back if r.uid == "s" and r.level == 0 and r.label == 2**40} == inside
+    assert all(abs(r.portality - (r.y - y0) / 100) < 1e-9 for r in back if r.level == 0 and r.portality is not None)
+    assert {(r.y, r.x) for r in back if r.level == 1 and r.label == 2**40} == {(y // 2, x // 2) for y, x in inside if y % 2 == 0 and x % 2 == 0}
+    assert {r.uid for r in spark.read.parquet(str(tmp_path / "r/mask")).select("uid").distinct().collect()} == {"s", "dark", "none"}
