@@ -9,28 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from histospark.sources.pyramid import read_tiles, write_tiles
-
-
-def nearest_targets(at: str, size: str, to: str) -> Column:
-    """Places of 0 to ``to`` - 1 whose nearest place of ``size``, floor(target * size / to), is ``at``; an empty array where none is."""
-    low, high = f"({at} * {to} + {size} - 1) div {size}", f"(({at} + 1) * {to} + {size} - 1) div {size} - 1"
-    return F.expr(f"case when {high} >= {low} then sequence({low}, {high}) else cast(array() as array<bigint>) end")
-
-
-def linear_targets(at: str, size: str, to: str) -> Column:
-    """Structs (t, w, n) of the targets that take ``at`` as one of their two places, with its weight and the number
-    of the places that it is: two at the border, which is repeated."""
-    low = f"case when {at} = 0 then 0L else greatest(0L, cast(floor(({at} - 0.5D) * {to} / {size} - 0.5D) as bigint)) end"
-    high = f"case when {at} = {size} - 1 then {to} - 1 else least({to} - 1, cast(ceil(({at} + 1.5D) * {to} / {size} - 0.5D) as bigint)) end"
-    f = f"greatest(0D, least({size} - 1D, (t + 0.5D) * {size} / {to} - 0.5D))"
-    first, second = f"(floor({f}) = {at})", f"(least(floor({f}) + 1, {size} - 1) = {at})"
-    weight = f"if({first}, 1 - ({f} - floor({f})), 0D) + if({second}, {f} - floor({f}), 0D)"
-    return F.expr(f"filter(transform(case when {high} >= {low} then sequence({low}, {high}) else cast(array() as array<bigint>) end, t -> named_struct('t', t, 'w', {weight}, 'n', int({first}) + int({second}))), s -> s.n > 0)")
+from histospark.sources.pyramid import linear_targets, nearest_targets, read_tiles, write_tiles
 
 
 def pasted(labels: DataFrame, boxes: DataFrame, shapes: DataFrame, base: int = 0) -> DataFrame:

@@ -1,10 +1,14 @@
 """Checks, defaults and gates that the registered queries don't reach."""
 
+import math
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from histospark.operators import graph, pixels, runs, stain, stats
-from histospark.plans import pipeline
+from histospark.plans import catalog, pipeline
 from histospark.sources import pyramid
 
 
@@ -97,3 +101,59 @@ def test_vessels_of_both_kinds(spark):
     assert 0 < shrunk < len(blob)
     strict, _ = pipeline.vessels_of(fore, zones, (h, w), 2, {"PP": pipeline.Gate(0.5, 20, 2000, 0.99), "PV": pipeline.Gate(0.5, 10_000, 30, 0.1)})
     assert strict.count() == 0
+
+
+def broadcast_lists(df):
+    """How many broadcasts of the executed plan hold a generator: tables whose size the optimizer doesn't know."""
+    df.collect()
+    lines = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    depth = [len(re.match(r"[ :|+-]*", line).group()) for line in lines]
+    found = 0
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = next((k for k in range(i + 1, len(lines)) if depth[k] <= depth[i]), len(lines))
+            found += any("Generate" in part for part in lines[i:below])
+    return found
+
+
+def test_resampling_equals_a_look_at_each_target(spark):
+    """Odd sizes, absent pixels, nulls and a slide of no key: as by a look at each target."""
+    rng = random.Random(3)
+    at = {(u, y, x): None if rng.random() < 0.1 else float(rng.randrange(99)) for u in (1, 2) for y in range(7) for x in range(5) if rng.random() < 0.8}
+    px = spark.createDataFrame([(*k, v) for k, v in at.items()] + [(None, 0, 0, 1.0), (1, 7, 0, 1.0), (1, 0, -1, 1.0)], "uid long, y long, x long, value double")
+    for to_h, to_w in ((3, 11), (7, 5), (13, 2)):
+        near = pyramid.nearest_resampled(px, ["uid"], 7, 5, to_h, to_w)
+        want = {(u, ty, tx): at[u, ty * 7 // to_h, tx * 5 // to_w] for u in (1, 2) for ty in range(to_h) for tx in range(to_w) if (u, ty * 7 // to_h, tx * 5 // to_w) in at}
+        assert {(r.uid, r.y, r.x): r.value for r in near.collect()} == want and near.count() == len(want)
+        smooth = pyramid.bilinear_resampled(px, ["uid"], 7, 5, to_h, to_w)
+        want = {}
+        for u, ty, tx in ((u, ty, tx) for u in (1, 2) for ty in range(to_h) for tx in range(to_w)):
+            fy, fx = (max(0.0, min(n - 1.0, (t + 0.5) * n / to - 0.5)) for t, n, to in ((ty, 7, to_h), (tx, 5, to_w)))
+            four = [((u, min(int(fy) + dy, 6), min(int(fx) + dx, 4)), (fy % 1 if dy else 1 - fy % 1) * (fx % 1 if dx else 1 - fx % 1)) for dy in (0, 1) for dx in (0, 1)]
+            if any(p in at for p, _ in four):
+                want[u, ty, tx] = sum(at[p] * f for p, f in four) if all(at.get(p) is not None for p, _ in four) else None
+        got = {(r.uid, r.y, r.x): r.value for r in smooth.collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) if want[k] is not None else got[k] is None for k in want)
+
+
+def test_affine_sampling_equals_a_look_at_each_target(spark):
+    """Turns, shears, mirrors, singular matrices, halves that round up, and transforms that aren't finite."""
+    h, w = 6, 9
+    moves = [(0.9, 0.1, -0.1, 1.1, 2.0, 1.0), (0.0, 1.0, -1.0, 0.0, 0.0, 5.0), (0.5, 0.0, 0.0, 0.5, 0.5, -0.5), (3.0, 0.2, 0.1, -2.0, -4.0, 8.0), (0.0, 0.0, 0.0, 0.0, 2.5, 2.0), (1.0, 2.0, 0.5, 1.0, -3.0, 0.0), (0.3, 0.0, 0.7, 0.0, 1.0, 1.0), (float("nan"), 0.0, 0.0, 1.0, 0.0, 0.0)]
+    px = [(u, y, x, 100 * y + x) for u in range(len(moves)) for y in range(h) for x in range(w) if (y + x + u) % 5]
+    there = {p[:3]: p[3] for p in px}
+    want = {}
+    for u, (a, b, c, d, e, f) in enumerate(moves[:-1]):
+        for y, x in ((y, x) for y in range(8) for x in range(7)):
+            at = (u, math.floor(a * y + b * x + e + 0.5), math.floor(c * y + d * x + f + 0.5))
+            if at in there:
+                want[u, y, x] = there[at]
+    made = spark.createDataFrame([(u, *m) for u, m in enumerate(moves)], "uid long, a00 double, a01 double, a10 double, a11 double, b0 double, b1 double")
+    found = pyramid.affine_sampled(spark.createDataFrame(px, "uid long, y long, x long, value long"), made, "uid", 8, 7)
+    rows_ = found.collect()
+    assert {(r.uid, r.y, r.x): r.value for r in rows_} == want and len(rows_) == len(want) and {u for u, _, _ in want} == set(range(7))
+
+
+@pytest.mark.parametrize("name", ["apply_affine", "bilinear_resample", "nearest_resample"])
+def test_no_grid_of_targets_is_broadcast(spark, data, name):
+    assert broadcast_lists(catalog.QUERIES[name](spark, data)) == 0
