@@ -157,3 +157,7 @@ def test_affine_sampling_equals_a_look_at_each_target(spark):
 @pytest.mark.parametrize("name", ["apply_affine", "bilinear_resample", "nearest_resample"])
 def test_no_grid_of_targets_is_broadcast(spark, data, name):
     assert broadcast_lists(catalog.QUERIES[name](spark, data)) == 0
+
+
+def test_junctions_broadcast_no_list_of_cells(spark, data):
+    assert broadcast_lists(catalog.QUERIES["t_junctions"](spark, data)) == 0
