@@ -7,7 +7,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from histospark.operators import graph, pixels, runs, stain, stats
+from histospark.operators import graph, network, pixels, runs, stain, stats
+from histospark.operators.iterate import written
 from histospark.plans import catalog, pipeline
 from histospark.sources import pyramid
 
@@ -161,3 +162,14 @@ def test_no_grid_of_targets_is_broadcast(spark, data, name):
 
 def test_junctions_broadcast_no_list_of_cells(spark, data):
     assert broadcast_lists(catalog.QUERIES["t_junctions"](spark, data)) == 0
+
+
+def test_pixels_are_not_broadcast(spark):
+    """Whether they come from runs, from neighbours or from a mask that is stored in few bytes."""
+    mask = written(spark.range(6000).selectExpr("id div 3000 as uid", "id % 3000 div 60 as y", "id % 60 as x"))
+    px = mask.withColumns({"channel": F.lit(0), "value": F.col("x")})
+    found = [pixels.masked(px, mask.where("x > y"), ["uid"]), network.degrees_of_pixels(mask), mask.join(runs.pixels_of(written(runs.runs_of(mask))), ["uid", "y", "x"])]
+    for df in found:
+        assert df.count() == 6000
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
