@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -181,29 +184,49 @@ def selected_inputs(slides: DataFrame, indices: list[int]) -> DataFrame:
     return slides.where(F.col("index").isin([i - shift for i in indices]))
 
 
+def elements(xml: str, name: str) -> list[ElementTree.Element]:
+    """All elements of a document of that local name, whatever their namespace."""
+    return [e for e in ElementTree.fromstring(xml).iter() if isinstance(e.tag, str) and e.tag.rpartition("}")[2] == name]
+
+
+SIZES = ("PhysicalSizeX", "PhysicalSizeY", "PhysicalSizeXUnit", "PhysicalSizeYUnit")
+NAMING = ("ShortName", "Name", "Id", "DyeName", "Fluor")
+
+
+def naming_attributes(docs: pd.Series) -> pd.Series:
+    """For each attribute that may name a channel, its values at the Channel elements that have it; a document is parsed once."""
+    held = (None if xml is None else elements(xml, "Channel") for xml in docs)
+    return pd.Series([None if found is None else [[e.get(a) for e in found if a in e.attrib] for a in NAMING] for found in held], dtype=object)
+
+
+def pixels_elements(docs: pd.Series) -> pd.DataFrame:
+    """The first of each size attribute among the Pixels elements, and the channels' names and colours by place; a document is parsed once."""
+    out = []
+    for xml in docs:
+        found = [] if xml is None else elements(xml, "Pixels")
+        sizes = [next((e.get(a) for e in found if a in e.attrib), None) for a in SIZES]
+        channels = [c for e in found for c in e if isinstance(c.tag, str) and c.tag.rpartition("}")[2] == "Channel"]
+        lists = [None if xml is None else [c.get(a) for c in channels] for a in ("Name", "Color")]
+        out.append((sizes, *lists))
+    return pd.DataFrame(out, columns=["sizes", "names", "colors"], dtype=object)
+
+
 def channel_names(docs: DataFrame, xml: str, n: int) -> DataFrame:
     """uid, index, name from metadata XML: the first attribute of ShortName, Name, Id, DyeName or Fluor that a Channel element has, else Channel i+1."""
-    every = docs.select("uid", xml, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"))
-    lists = [F.expr(f"xpath({xml}, \"//*[local-name()='Channel']/@{a}\")") for a in ("ShortName", "Name", "Id", "DyeName", "Fluor")]
-    got = [F.get(v, F.col("i") - 1) for v in lists]
+    read = docs.select("uid", F.pandas_udf(naming_attributes, "array<array<string>>")(F.col(xml).cast("string")).alias("lists"))
+    every = read.select("uid", "lists", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"))
+    got = [F.get(F.get("lists", F.lit(k)), F.col("i") - 1) for k in range(len(NAMING))]
     return every.select("uid", (F.col("i") - 1).alias("index"), F.coalesce(*[F.when(F.trim(v) != "", v) for v in got], F.concat(F.lit("Channel "), F.col("i"))).alias("name"))
 
 
 def ome_records(docs: DataFrame, xml: str) -> DataFrame:
     """uid, size_x, size_y, unit (of X, else of Y), names and colors of OME XML documents, whatever their
     namespace; null where an attribute is absent. names and colors have one entry for each channel."""
-    at = lambda a: F.expr(f"get(xpath({xml}, \"//*[local-name()='Pixels']/@{a}\"), 0)")
-    number = lambda a: F.expr(f"try_cast(get(xpath({xml}, \"//*[local-name()='Pixels']/@{a}\"), 0) as double)")
-    # an attribute that one of the channels lacks would shift a plain list of attributes: each is read by its channel's place
-    count = F.expr(f"cast(xpath_number({xml}, \"count(//*[local-name()='Pixels']/*[local-name()='Channel'])\") as int)")
-    listed = lambda a: F.expr(f"xpath({xml}, \"//*[local-name()='Pixels']/*[local-name()='Channel'][@{a}]/@{a}\")")
-    has = lambda a: F.expr(f"transform(xpath({xml}, \"//*[local-name()='Pixels']/*[local-name()='Channel'][@{a}]/@ID\"), x -> x)")
-    ids = F.expr(f"xpath({xml}, \"//*[local-name()='Pixels']/*[local-name()='Channel']/@ID\")")
-    by_id = lambda a: F.when(F.size(ids) == F.col("_n"), F.transform(ids, lambda x: F.try_element_at(F.map_from_arrays(has(a), listed(a)), x))).otherwise(F.when(F.size(listed(a)) == F.col("_n"), listed(a)))
-    rows = docs.withColumn("_n", count)
-    empty = F.array_repeat(F.lit(None).cast("string"), F.col("_n"))
-    names, colors = F.coalesce(by_id("Name"), empty), F.coalesce(by_id("Color"), empty)
-    return rows.select("uid", number("PhysicalSizeX").alias("size_x"), number("PhysicalSizeY").alias("size_y"), length_unit(F.coalesce(at("PhysicalSizeXUnit"), at("PhysicalSizeYUnit"))).alias("unit"), F.transform(names, lambda n: F.coalesce(n, F.lit(""))).alias("names"), F.transform(colors, lambda c: c.try_cast("int")).alias("colors"))
+    read = F.pandas_udf(pixels_elements, "sizes array<string>, names array<string>, colors array<string>")
+    m = docs.select("uid", read(F.col(xml).cast("string")).alias("_m"))
+    size = lambda k: F.get("_m.sizes", F.lit(k))
+    names, colors = F.transform("_m.names", lambda n: F.coalesce(n, F.lit(""))), F.transform("_m.colors", lambda c: c.try_cast("int"))
+    return m.select("uid", size(0).try_cast("double").alias("size_x"), size(1).try_cast("double").alias("size_y"), length_unit(F.coalesce(size(2), size(3))).alias("unit"), names.alias("names"), colors.alias("colors"))
 
 
 def enriched(slides: DataFrame, records: DataFrame, overwrite: bool = False) -> DataFrame:

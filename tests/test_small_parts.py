@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from histospark.operators import graph, network, pixels, runs, stain, stats
 from histospark.operators.iterate import written
 from histospark.plans import catalog, pipeline
+from histospark.sources import catalog as catalogs
 from histospark.sources import pyramid
 
 
@@ -173,3 +174,18 @@ def test_pixels_are_not_broadcast(spark):
         assert df.count() == 6000
         df.collect()
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_metadata_is_read_by_place_and_parsed_once(spark):
+    """Namespaces, an absent attribute, ids that repeat or lack, other elements' attributes, and no document."""
+    one = '<?xml version="1.0" encoding="UTF-8"?><o:OME xmlns:o="x"><!-- c --><o:Image PhysicalSizeX="9"><o:Pixels PhysicalSizeX="0.5" PhysicalSizeYUnit="micron"><o:Channel ID="a" Name="n&amp;1"/><o:Channel ID="a" Color="-1"/><o:Channel Name="" Color="x"/></o:Pixels></o:Image></o:OME>'
+    two = '<a><Channel Name="z" Fluor="f"/><Pixels PhysicalSizeY="?"/><Pixels PhysicalSizeY="2" PhysicalSizeX="3"/></a>'
+    docs = spark.createDataFrame([(1, one), (2, two), (3, None)], "uid long, xml string")
+    got = {r.uid: r[1:] for r in catalogs.ome_records(docs, "xml").collect()}
+    assert got[1] == (0.5, None, "µm", ["n&1", "", ""], [None, -1, None])
+    assert got[2][:2] == (3.0, None) and got[2][3:] == ([], []) and got[3][:2] == (None, None)
+    named = {(r[0], r[1]): r[2] for r in catalogs.channel_names(docs, "xml", 2).collect()}
+    assert named == {(1, 0): "n&1", (1, 1): "Channel 2", (2, 0): "z", (2, 1): "Channel 2", (3, 0): "Channel 1", (3, 1): "Channel 2"}
+    for df in (catalogs.ome_records(docs, "xml"), catalogs.channel_names(docs, "xml", 2)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("xpath") == 0 and plan.count("ArrowEvalPython") == 1
