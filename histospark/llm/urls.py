@@ -1,7 +1,7 @@
 """URL filters: listed rules first, and association rules mined from labelled urls for the others.
 
-A url's tokens are the labels of its host and the words of its path, query and fragment. Spark's
-FP-growth mines the combinations of tokens that are frequent among labelled urls together with a verdict;
+A url's tokens are the labels of its host and the words of its path, query and fragment. The combinations
+of tokens that are frequent among labelled urls together with a verdict are mined level by level;
 those of enough support and confidence become rules, without those that a shorter rule makes
 superfluous. An inverted index from each rule's rarest token finds the rules whose tokens a url holds; the
 most confident one decides.
@@ -10,21 +10,20 @@ most confident one decides.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import pandas as pd
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from histospark.llm.common import written
+from histospark.llm.common import removed, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Least share of the labelled urls that hold a rule's tokens and its verdict, and least share of those with its tokens.
 LEAST_SHARE, LEAST_CONFIDENCE = 0.002, 0.9
-#: Tokens of a labelled url that take part in mining: the most telling of its frequent ones.
-MOST_ITEMS = 12
+#: Tokens of a labelled url that take part in mining: all of its frequent ones.
+MOST_ITEMS = None
 ALLOW, BLOCK = "allow", "block"
-TELLS = "verdict "
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -81,14 +80,19 @@ def picked(tokens: Column, rank: dict[str, tuple], most: int | None, spark) -> C
     return pick(tokens)
 
 
-def mined_rules(labelled: DataFrame, least_share: float = LEAST_SHARE, least_confidence: float = LEAST_CONFIDENCE, most_items: int = MOST_ITEMS) -> DataFrame:
+def mined_rules(labelled: DataFrame, least_share: float = LEAST_SHARE, least_confidence: float = LEAST_CONFIDENCE, most_items: int | None = MOST_ITEMS) -> DataFrame:
     """items (sorted tokens), verdict, confidence, support (a share), key (the rarest of the items): rules mined from
     all rows of labelled (tokens, verdict).
 
-    A token is frequent if it occurs in ``least_share`` of the rows. Of a row's frequent tokens the
-    ``most_items`` take part whose share of either verdict differs most from that of all rows, in standard
-    deviations (ties by token): FP-growth would list all subsets of a longer common url. A rule goes
-    if the same without one of its items is a rule of the same verdict that is at least as confident.
+    A token is frequent if it occurs in ``least_share`` of the rows. All of a row's frequent tokens take part, unless
+    ``most_items`` is given: then those whose share of either verdict differs most from that of all rows, in standard
+    deviations (ties by token). A rule goes if the same without one of its items is a rule of the same verdict that is at
+    least as confident.
+
+    So a combination is carried on only while it occurs less often than each of its parts (else it says what the part says), has rows
+    of both verdicts (else nothing added makes it more confident), and one of the verdicts is frequent in it. Each level joins
+    the combinations of a url that differ in their last token; tokens that always occur together go no further than pairs. What is
+    left out this way would be superfluous, so the rules are those of all combinations.
     """
     spark = labelled.sparkSession
     total = {r["verdict"]: r["n"] for r in labelled.groupBy("verdict").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -99,18 +103,38 @@ def mined_rules(labelled: DataFrame, least_share: float = LEAST_SHARE, least_con
     rank = {}
     for r in counts.where(F.col("n") >= least_share * rows).toLocalIterator():
         rank[r["token"]] = (-abs(r["blocked"] - r["n"] * blocked / rows) / r["n"] ** 0.5, r["token"])
-    baskets = written(labelled.select(F.array_append(picked(F.col("tokens"), rank, most_items, spark), F.concat(F.lit(TELLS), F.col("verdict"))).alias("items")), "baskets")
-    model = FPGrowth(itemsCol="items", minSupport=least_share, minConfidence=least_confidence).fit(baskets)
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), "freq")
-    rules = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit(TELLS)))
-    rules = rules.select(F.array_sort("antecedent").alias("items"), F.substring(F.col("consequent")[0], len(TELLS) + 1, 1 << 20).alias("verdict"), "confidence", "support")
-    rules = written(rules, "rules")
+    known = labelled.select(picked(F.col("tokens"), rank, most_items, spark).alias("own"), "verdict").where(F.size("own") > 0)
+    baskets = written(known.groupBy("own").agg(F.count_if(F.col("verdict") == ALLOW).alias(ALLOW), F.count_if(F.col("verdict") == BLOCK).alias(BLOCK)).withColumn("basket", F.monotonically_increasing_id()), "baskets")
+    held = baskets.select("basket", ALLOW, BLOCK, F.explode("own").alias("item")).select("basket", ALLOW, BLOCK, F.array("item").alias("items"))
+    least, levels, before = ceil(least_share * rows), [], None
+    while True:
+        found = held.groupBy("items").agg(F.sum(ALLOW).alias(ALLOW), F.sum(BLOCK).alias(BLOCK)).where(F.greatest(ALLOW, BLOCK) >= least).withColumn("n", F.col(ALLOW) + F.col(BLOCK))
+        if before is not None:
+            part = found.withColumn("gone", F.explode("items")).select("items", "n", F.array_remove("items", F.col("gone")).alias("less"))
+            parts = part.join(before.select(F.col("items").alias("less"), F.col("n").alias("part_n")), "less").where("part_n > n")
+            found = found.join(parts.groupBy("items").agg(F.count(F.lit(1)).alias("parts")), "items").where(F.col("parts") == F.size("items")).drop("parts")
+        found = written(found, "level")
+        levels.append(found)
+        before = found.where((F.col(ALLOW) > 0) & (F.col(BLOCK) > 0)).select("items", "n")
+        if not before.limit(1).count():
+            break
+        own = written(held.join(before.select("items"), "items", "left_semi").withColumns({"head": F.slice("items", 1, F.size("items") - 1), "last": F.element_at("items", -1)}), "held")
+        other = own.select("basket", "head", F.col("last").alias("next"))
+        held = own.join(other, ["basket", "head"]).where("last < next").select("basket", ALLOW, BLOCK, F.array_append("items", F.col("next")).alias("items"))
+    single = levels[0].select(F.col("items")[0].alias("item"), F.col("n").alias("freq"))
+    every = levels[0]
+    for found in levels[1:]:  # as many as the longest rule has items
+        every = every.unionByName(found)
+    told = every.select("items", "n", F.explode(F.array(*[F.struct(F.lit(v).alias("verdict"), F.col(v).alias("held")) for v in (ALLOW, BLOCK)])).alias("t")).select("items", "t.verdict", (F.col("t.held") / F.col("n")).alias("confidence"), (F.col("t.held") / rows).alias("support"), F.col("t.held").alias("held"))
+    rules = written(told.where((F.col("held") >= least) & (F.col("confidence") >= least_confidence)).drop("held"), "rules")
     shorter = rules.select(F.col("items").alias("less"), "verdict", F.col("confidence").alias("known"))
     part = rules.where(F.size("items") > 1).withColumn("gone", F.explode("items")).withColumn("less", F.array_remove("items", F.col("gone")))
     spare = part.join(shorter, ["less", "verdict"]).where("known >= confidence").select("items", "verdict").distinct()
     kept = rules.join(spare, ["items", "verdict"], "left_anti")
     keyed = kept.withColumn("item", F.explode("items")).join(single, "item").groupBy("items", "verdict").agg(F.first("confidence").alias("confidence"), F.first("support").alias("support"), F.min_by("item", F.struct("freq", "item")).alias("key"))
-    return written(keyed, "index")
+    out = written(keyed, "index")
+    removed(spark, baskets, rules, *levels)
+    return out
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -211,6 +211,21 @@ def test_mined_rules_equal_all_combinations(spark):
         assert r.mined == (max(fit)[2] if fit else None)
 
 
+def test_rules_of_tokens_beyond_the_twelve_most_telling(spark):
+    """Twelve tokens tell more than the pair p, q, which alone decides on urls of few tokens."""
+    rng = random.Random(3)
+    baskets = []
+    for i in range(400):
+        pair = [t for t in "pq" if rng.random() < 0.5]
+        block = len(pair) == 2 or i % 5 == 0
+        tells = [f"t{k:02}" for k in range(14) if rng.random() < (0.9 if block else 0.1)] if i % 4 == 0 else []
+        baskets.append((tells + pair, "block" if block else "allow"))
+    df = spark.createDataFrame(baskets, "tokens array<string>, verdict string")
+    got = {(tuple(r["items"]), r["verdict"]): (r["confidence"], r["support"]) for r in urls.mined_rules(df, 0.08, 0.9).collect()}
+    want = expected_rules(baskets, 0.08, 0.9)
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want) and (("p", "q"), "block") in want
+
+
 def test_a_common_long_url_doesn_t_multiply_combinations(spark):
     long_ = "http://a.b/" + "/".join(f"w{'x' * i}" for i in range(60))
     rows = [(i, long_ if i % 3 == 0 else f"http://s{i}.net/ok", "block" if i % 3 == 0 else "allow") for i in range(300)]
