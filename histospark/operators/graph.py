@@ -26,17 +26,29 @@ def junctions_of(edges: DataFrame, arms_: DataFrame) -> DataFrame:
 
 
 def pruned(edges: DataFrame) -> DataFrame:
-    """Takes away edges with an end of degree 1, again and again; loops stay."""
-    state = written(edges.select("u", "v"))
-    while True:
-        ends = degrees(state).where("degree = 1").select("node")
-        kept = state.join(ends.withColumnRenamed("node", "u"), "u", "left_anti").join(ends.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v")
-        new = written(kept)
-        same = new.count() == state.count()
-        removed(edges.sparkSession, state)
-        state = new
-        if same:
-            return state
+    """Takes away edges with an end of degree 1, again and again; loops stay.
+
+    Edges and degrees are written once. A round looks up the edges of the nodes that just came to degree 1 and writes
+    these alone; all that went is taken from the edges at the end."""
+    spark = edges.sparkSession
+    base = written(edges.select("u", "v"))
+    degree = written(degrees(base).select("node", "degree"))
+    tips = written(degree.where("degree = 1").select("node"))
+    folder, rounds = fresh_path(spark, "gone"), 0
+    gone = lambda: spark.read.schema(base.schema).parquet(*[f"{folder}/{k}" for k in range(rounds)])
+    while tips.limit(1).count():
+        at = lambda c: base.join(tips.withColumnRenamed("node", c), c, "left_semi").select("u", "v")  # noqa: E731, B023
+        cut = at("u").union(at("v")).distinct()
+        (cut.join(gone(), ["u", "v"], "left_anti") if rounds else cut).write.parquet(f"{folder}/{rounds}")
+        last = spark.read.schema(base.schema).parquet(f"{folder}/{rounds}")
+        rounds += 1
+        lost = both_ends(gone()).join(both_ends(last).select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("lost"))
+        new = written(lost.join(degree, "node").where("degree - lost = 1").select("node"))
+        removed(spark, tips)
+        tips = new
+    out = base if not rounds else written(base.join(gone(), ["u", "v"], "left_anti").select("u", "v"))
+    removed(spark, degree, tips, *([base, gone()] if rounds else []))
+    return out
 
 
 def segments(lines: DataFrame, keys: list[str] = ()) -> DataFrame:

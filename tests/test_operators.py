@@ -280,3 +280,19 @@ def test_vessels_take_the_zone_around_them(spark):
     zones = spark.createDataFrame([(1, y, x, "PP" if x < 18 else "PV") for y in range(24) for x in range(24)], "uid long, y long, x long, zone string")
     assert [(r.label, r.zone) for r in pipeline.vessels(hole, zones, 2, 5, 0.4).collect()] == [(1, "PP")]
     assert pipeline.vessels(hole, zones, 2, 50, 0.4).count() == 0
+
+
+def test_pruning_a_long_branch_writes_the_rest_once(spark, monkeypatch):
+    sizes, real = [], graph.written
+
+    def spied(df, *what):
+        out = real(df, *what)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "written", spied)
+    ring = [(i, (i + 1) % 200) for i in range(200)] + [(300, 300), (400, 401), (401, 400)]
+    path = [(5, 500)] + [(500 + i, 501 + i) for i in range(5)] + [(600, 601)]
+    got = graph.pruned(spark.createDataFrame(ring + path, "u long, v long")).collect()
+    assert sorted((r.u, r.v) for r in got) == sorted(ring)
+    assert sum(sizes) < 4 * len(ring + path)
