@@ -1,5 +1,6 @@
 """Operators on small images with known answers, and invariance under tiling."""
 
+import math
 import random
 from collections import deque
 
@@ -296,3 +297,32 @@ def test_pruning_a_long_branch_writes_the_rest_once(spark, monkeypatch):
     got = graph.pruned(spark.createDataFrame(ring + path, "u long, v long")).collect()
     assert sorted((r.u, r.v) for r in got) == sorted(ring)
     assert sum(sizes) < 4 * len(ring + path)
+
+
+def test_equalised_shuffles_in_proportion_to_pixels_not_levels(spark):
+    written = lambda: sum(x.totalShuffleWrite() for x in iter_of(spark._jsc.sc().statusStore().executorList(True)))
+    iter_of = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    image = spark.range(64 * 64).selectExpr("cast(0 as long) as uid", "id div 64 as y", "id % 64 as x", "(id * 7919) % 251 as value").localCheckpoint()
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = written()
+        got = {(r["y"], r["x"]): r["byte"] for r in stencil.equalised(image, ["uid"]).collect()}
+        spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        assert written() - before < 1_500_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    value = {(y, x): (y * 64 + x) * 7919 % 251 for y in range(64) for x in range(64)}
+    cell = lambda cy, cx: [value[y, x] for y in range(4 * cy, 4 * cy + 4) for x in range(4 * cx, 4 * cx + 4)]
+
+    def to(cy, cx, v):
+        own = [cell(cy, cx).count(u) for u in range(256)]
+        spare = sum(n - min(n, 1.0) for n in own) / 256
+        return sum(min(n, 1.0) + spare for n in own[: v + 1]) / 16 * 255
+
+    near = lambda k: max(0, min(15, k))
+    for y, x in [(0, 0), (63, 63), (1, 40), (17, 22), (30, 63), (33, 34)]:
+        fy, fx = y / 4 - 0.5, x / 4 - 0.5
+        by, bx = math.floor(fy), math.floor(fx)
+        want = sum((fy - by if dy else 1 - fy + by) * (fx - bx if dx else 1 - fx + bx) * to(near(by + dy), near(bx + dx), value[y, x]) for dy in (0, 1) for dx in (0, 1))
+        assert got[y, x] == math.floor(want + 0.5)
