@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +170,17 @@ def test_regions_and_crops_of_all_levels(spark):
     assert rows(found) == [(5, 1, 20, 40, 60, 100), (5, 3, 5, 10, 15, 25)]
     crop = pipeline.cropped_levels(pyramid, found)
     assert {(r.level, r.n, r.low) for r in crop.groupBy("level").agg(F.count("*").alias("n"), F.min("value").alias("low")).collect()} == {(1, 2400, 210), (3, 150, 210)}
+
+
+def test_workers_get_few_tiles_at_once(spark):
+    slides = spark.range(40).selectExpr("id as uid", "0L as y", "0L as x", "1L as value")
+    spark.conf.unset(tiles.BATCH_CONF)
+    packed = tiles.packed(slides, ["uid"])
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    most = packed.frame.coalesce(1).select("data").mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+    assert most <= tiles.BATCH_BYTES + 8 * tiles.SIDE**2 + 4096
+    packed.drop()
