@@ -309,12 +309,61 @@ def without_parallel(edges: DataFrame, lines: DataFrame, overlap: float = 0.5, m
     return kept.select("eid")
 
 
+def exploded_pixels(segs: DataFrame) -> DataFrame:
+    """The segments (ax, ay, bx, by) once for each of their pixels, px and py, by equal steps along the longer axis, rounded half up."""
+    at = segs.withColumn("_steps", steps_of()).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_steps"))))
+    along = lambda a, b: F.floor(F.col(a) + F.col("_i") * (F.col(b) - F.col(a)) / F.greatest(F.col("_steps"), F.lit(1)) + 0.5)
+    return at.withColumns({"px": along("ax", "bx"), "py": along("ay", "by")}).drop("_steps", "_i")
+
+
+def steps_of() -> Column:
+    return F.greatest(F.abs(F.expr("bx - ax")), F.abs(F.expr("`by` - ay"))).cast("int")
+
+
+def packed(segs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, y, w, bits: the pixels of segments (ax, ay, bx, by) as words, bit x - 64 * w of the word w of a row.
+
+    Lines are dealt to their tasks as segments, in as many parts as shuffles have, however few bytes those are: what is shuffled
+    doesn't grow with the pixels, and a task holds words instead of pixels."""
+    if "line" in keys:
+        segs = segs.repartition(int(segs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("px"), F.lit(64)).cast("int"))
+    return exploded_pixels(segs).groupBy(*keys, F.col("py").alias("y"), F.floor(F.col("px") / 64).alias("w")).agg(F.bit_or(bit).alias("bits"))
+
+
+#: The places of the bits that are set in each byte.
+BITS_OF = [[i for i in range(8) if byte >> i & 1] for byte in range(256)]
+
+
+def unpacked(words: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, y, x of words (keys, y, w, bits): the reverse of ``packed``."""
+    byte = lambda i: F.shiftrightunsigned("bits", 8 * i).bitwiseAND(F.lit(255)).cast("int")
+    bytes_ = words.select(*keys, "y", "w", F.explode(F.array(*[F.struct(F.lit(8 * i).alias("at"), byte(i).alias("byte")) for i in range(8)])).alias("b")).where("b.byte <> 0")
+    table = F.array(*[F.array(*map(F.lit, places)).cast("array<int>") for places in BITS_OF])
+    return bytes_.select(*keys, "y", "w", "b.at", F.explode(F.get(table, F.col("b.byte"))).alias("i")).select(*keys, "y", (F.col("w") * 64 + F.col("at") + F.col("i")).alias("x"))
+
+
+def widened(words: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, y, w, bits: words (keys, y, w, bits) and all pixels beside theirs (eight neighbours)."""
+    one = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(n))
+    up, down = F.call_function("shiftleft", F.col("bits"), F.lit(1)), F.shiftrightunsigned("bits", 1)
+    across = F.array(F.struct(F.col("w").alias("w"), F.col("bits").bitwiseOR(up).bitwiseOR(down).alias("bits")), F.struct((F.col("w") + 1).alias("w"), F.when(F.col("bits") < 0, one(0)).otherwise(F.lit(0).cast("long")).alias("bits")), F.struct((F.col("w") - 1).alias("w"), F.when(F.col("bits").bitwiseAND(F.lit(1).cast("long")) != 0, one(63)).otherwise(F.lit(0).cast("long")).alias("bits")))
+    rows = words.select(*keys, "y", F.explode(across).alias("a")).where("a.bits <> 0")
+    rows = rows.select(*keys, F.explode(F.array(*[F.col("y") + dy for dy in (-1, 0, 1)])).alias("y"), "a.w", "a.bits")
+    return rows.groupBy(*keys, "y", "w").agg(F.bit_or("bits").alias("bits"))
+
+
+def sizes(segs: DataFrame) -> DataFrame:
+    """line, size: how many pixels a line's segments have. A line of one segment isn't drawn for it."""
+    counted = segs.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("line")))
+    one = counted.where("_n = 1").select("line", (steps_of() + 1).cast("long").alias("size"))
+    more = packed(counted.where("_n > 1").drop("_n"), ["line"]).groupBy("line").agg(F.sum(F.bit_count("bits")).cast("long").alias("size"))
+    return one.union(more)
+
+
 def rasterised(segs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, y, x: pixels of segments (ax, ay, bx, by) by equal steps along the longer axis, rounded half up, each once."""
-    steps = F.greatest(F.abs(F.expr("bx - ax")), F.abs(F.expr("`by` - ay"))).cast("int")
-    at = segs.withColumn("steps", steps).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("steps"))))
-    along = lambda a, b: F.floor(F.col(a) + F.col("i") * (F.col(b) - F.col(a)) / F.greatest(F.col("steps"), F.lit(1)) + 0.5)
-    return at.select(*keys, along("ay", "by").alias("y"), along("ax", "bx").alias("x")).distinct()
+    return unpacked(packed(segs, keys), keys)
 
 
 def filled_polygons(vertices: DataFrame, keys: list[str]) -> DataFrame:
