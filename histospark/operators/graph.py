@@ -285,11 +285,11 @@ def without_parallel(edges: DataFrame, lines: DataFrame, overlap: float = 0.5, m
     Edges are settled in rounds, one for each place in the order of a pair, as it depends on those
     before; all pairs go through a round together, by joins.
     """
-    drawn = written(rasterised(segments(lines), ["line"]).withColumnRenamed("line", "eid"))
+    drawn = written(packed(segments(lines), ["line"]).withColumnRenamed("line", "eid"))
     head, tail = angle_at(lines), angle_at(lines.withColumn("seq", -F.col("seq")))
     turns = head.select(F.col("line").alias("eid"), F.col("angle").alias("start")).join(tail.select(F.col("line").alias("eid"), F.col("angle").alias("end")), "eid")
     flipped = F.col("u") > F.col("v")  # directions from the lesser node and from the greater one
-    sized = edges.select("eid", "u", "v").join(drawn.groupBy("eid").agg(F.count(F.lit(1)).alias("size")), "eid", "left").join(turns, "eid", "left")
+    sized = edges.select("eid", "u", "v").join(drawn.groupBy("eid").agg(F.sum(F.bit_count("bits")).cast("long").alias("size")), "eid", "left").join(turns, "eid", "left")
     both = sized.select("eid", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), F.coalesce("size", F.lit(0)).alias("size"), F.when(flipped, F.col("end")).otherwise(F.col("start")).alias("at_a"), F.when(flipped, F.col("start")).otherwise(F.col("end")).alias("at_b"))
     ranked = written(both.withColumn("place", F.row_number().over(Window.partitionBy("a", "b").orderBy("size", "eid"))))
     last = ranked.agg(F.max("place")).first()[0] or 0
@@ -299,10 +299,9 @@ def without_parallel(edges: DataFrame, lines: DataFrame, overlap: float = 0.5, m
         rival = kept.select("a", "b", F.col("eid").alias("other"), F.col("at_a").alias("o_a"), F.col("at_b").alias("o_b"))
         met = now.join(rival, ["a", "b"])
         like = met.where((turned(F.col("at_a"), F.col("o_a")) <= most_turn) & (turned(F.col("at_b"), F.col("o_b")) <= most_turn)).select("eid").distinct()
-        wide = met.join(like, "eid", "left_semi").select("eid", "other").join(drawn.withColumnRenamed("eid", "other"), "other")
-        around = F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
-        near = wide.select("eid", around.alias("p")).select("eid", "p.y", "p.x").distinct()
-        share = drawn.join(near, ["eid", "y", "x"], "left_semi").groupBy("eid").agg(F.count(F.lit(1)).alias("n"))
+        wide = met.join(like, "eid", "left_semi").select("eid", "other").join(drawn.withColumnRenamed("eid", "other"), "other").select("eid", "y", "w", "bits")
+        near = widened(wide, ["eid"]).withColumnRenamed("bits", "near")
+        share = drawn.join(near, ["eid", "y", "w"]).groupBy("eid").agg(F.sum(F.bit_count(F.col("bits").bitwiseAND(F.col("near")))).alias("n")).where("n > 0")
         gone = now.join(share, "eid").where(F.col("n") >= overlap * F.col("size")).select("eid")
         more = now.join(gone, "eid", "left_anti").drop("place")
         kept = written(kept.union(more.select(*kept.columns)))

@@ -34,3 +34,23 @@ def test_rasterised_holds_words_not_pixels(spark):
     words = graph.packed(segs(spark), ["line"]).collect()
     assert {(w["line"], w["y"], w["w"]) for w in words} == {(line, y, x // 64) for line, y, x in want}
     assert len(words) == len({(line, y, x // 64) for line, y, x in want}) < len(want)
+
+
+def test_widened_crosses_words(spark):
+    words = graph.widened(graph.packed(segs(spark), ["line"]), ["line"])
+    want = {(line, y + dy, x + dx) for line, places in LINES.items() for y, x in drawn(places) for dy in (-1, 0, 1) for dx in (-1, 0, 1)}
+    assert pixels(graph.unpacked(words, ["line"]).collect()) == want
+
+
+def test_sizes_count_each_pixel_once(spark):
+    assert {r["line"]: r["size"] for r in graph.sizes(segs(spark)).collect()} == {line: len(drawn(places)) for line, places in LINES.items()}
+
+
+def test_without_parallel_stores_words(spark, monkeypatch):
+    stored = []
+    keep = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, *what: stored.append(df) or keep(df, *what))
+    lines = spark.createDataFrame([(e, i, 60 * i, y) for e, y in ((1, 0), (2, 1), (3, 9)) for i in range(3)], "line long, seq long, px long, py long")
+    edges = spark.createDataFrame([(1, 5, 6), (2, 5, 6), (3, 5, 6)], "eid long, u long, v long")
+    assert sorted(r["eid"] for r in graph.without_parallel(edges, lines).collect()) == [1, 3]
+    assert "bits" in stored[0].columns and stored[0].count() == 6
