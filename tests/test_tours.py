@@ -92,3 +92,20 @@ def test_shortest_paths_without_rows(spark):
     edges, sources = spark.createDataFrame([], "u long, v long, length long"), spark.createDataFrame([], "source long")
     assert graph.shortest_paths(edges, sources).count() == 0
     assert graph.shortest_paths(edges, spark.createDataFrame([(1,)], "source long")).count() == 1
+
+
+@pytest.mark.parametrize("bits", [0, 3])
+def test_bridges_with_small_blocks_or_none(spark, bits):
+    rng = random.Random(bits)
+    edges = [(a, b) for a, b in ((rng.randint(-10, 40), rng.randint(-10, 40)) for _ in range(55)) if a != b] + [(1, 2), (2, 1)]
+    got = {(r.u, r.v) for r in tours.bridges(spark.createDataFrame(edges, "u long, v long"), bits).collect()}
+    assert got == brute_bridges(edges) and got
+
+
+def test_cycles_of_a_block_are_gone_before_the_rounds(spark, monkeypatch):
+    grid = [(10 * y + x, 10 * y + x + d) for y in range(9) for x in range(9) for d in (1, 10) if (x if d == 1 else y) < 8]
+    sizes = []
+    keep = tours.spanning_tree
+    monkeypatch.setattr(tours, "spanning_tree", lambda e: sizes.append(e.count()) or keep(e))
+    edges = spark.createDataFrame([*grid, (0, 500), (500, 5000)], "u long, v long")
+    assert {(r.u, r.v) for r in tours.bridges(edges).collect()} == {(0, 500), (500, 5000)} and sizes == [2]
