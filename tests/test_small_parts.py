@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from histospark.operators import graph, network, pixels, runs, stain, stats
+from histospark.operators import features, graph, network, pixels, runs, stain, stats
 from histospark.operators.iterate import written
 from histospark.plans import catalog, pipeline
 from histospark.sources import catalog as catalogs
@@ -189,3 +189,12 @@ def test_metadata_is_read_by_place_and_parsed_once(spark):
     for df in (catalogs.ome_records(docs, "xml"), catalogs.channel_names(docs, "xml", 2)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("xpath") == 0 and plan.count("ArrowEvalPython") == 1
+
+
+def test_means_that_tie_but_for_rounding_go_to_the_least_cluster(spark):
+    """0.1 + 0.2 + 0.3 is more than 0.3 + 0.2 + 0.1 in doubles."""
+    rising = [(1, 0, v, v) for v in (0.3, 0.2, 0.1)] + [(1, 1, v, v) for v in (0.1, 0.2, 0.3)] + [(1, 2, 0.05, 0.05)]
+    px = spark.createDataFrame(rising + [(2, c, p, v) for c, p, v in ((0, 1.0, 9.0), (1, 1.0 + 1e-9, 9.0), (2, 0.5, 8.0), (3, None, None))], "uid long, cluster long, pp double, pv double").coalesce(1)
+    assert rows(features.zones_by_score(px, "uid", "pp", "pv")) == [(1, 0, "PP"), (1, 1, "PV"), (1, 2, "MID"), (2, 0, "PV"), (2, 1, "PP"), (2, 2, "MID"), (2, 3, "MID")]
+    falling = px.where("uid = 1").withColumn("cluster", 1 - F.col("cluster"))
+    assert rows(features.zones_by_rank(falling, "uid", "pp", (2, 1, 1))) == [(1, -1, "PV"), (1, 0, "PV"), (1, 1, "MID")]
