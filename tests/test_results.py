@@ -111,3 +111,22 @@ def test_a_slide_goes_out_and_comes_back(spark, tmp_path, monkeypatch):
     assert all(abs(r.portality - (r.y - y0) / 100) < 1e-9 for r in back if r.level == 0 and r.portality is not None)
     assert {(r.y, r.x) for r in back if r.level == 1 and r.label == 2**40} == {(y // 2, x // 2) for y, x in inside if y % 2 == 0 and x % 2 == 0}
     assert {r.uid for r in spark.read.parquet(str(tmp_path / "r/mask")).select("uid").distinct().collect()} == {"s", "dark", "none"}
+
+
+def test_many_small_slides_take_few_files_and_whole_labels(spark, tmp_path, monkeypatch):
+    """A store doesn't grow by files with each slide, one slide is read without the others, and tiles of several batches are whole."""
+    monkeypatch.setattr(results, "HELD", 300)
+    many = spark.createDataFrame([(u, level, 40 >> level, 40 >> level) for u in range(30) for level in range(2)], "uid long, level int, h long, w long")
+    label = 2**60 + 1  # no double holds it
+    l = spark.range(30 * 1600).selectExpr("id div 1600 as uid", "id % 1600 div 40 as y", "id % 40 as x", f"{label} + id as label").where("x % 7 > 0")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        results.write_results(l, l.selectExpr("uid", "y", "x", "cast(x as double) as value"), many, str(tmp_path / "r"), side=16)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(list((tmp_path / "r/mask").rglob("*.parquet"))) <= 4
+    back = results.read_results(spark, str(tmp_path / "r"))
+    whole = {(r.uid, r.y, r.x): r.label for r in back.where("level = 0 and label is not null").collect()}
+    assert whole == {(r.uid, r.y, r.x): r.label for r in l.collect()}
+    one = results.read_results(spark, str(tmp_path / "r"), 17, 1)
+    assert {(r.y, r.x, r.label) for r in one.collect()} == {(y, x, label + 17 * 1600 + 80 * y + 2 * x) for y in range(20) for x in range(20) if 2 * x % 7 > 0}
