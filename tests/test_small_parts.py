@@ -198,3 +198,23 @@ def test_means_that_tie_but_for_rounding_go_to_the_least_cluster(spark):
     assert rows(features.zones_by_score(px, "uid", "pp", "pv")) == [(1, 0, "PP"), (1, 1, "PV"), (1, 2, "MID"), (2, 0, "PV"), (2, 1, "PP"), (2, 2, "MID"), (2, 3, "MID")]
     falling = px.where("uid = 1").withColumn("cluster", 1 - F.col("cluster"))
     assert rows(features.zones_by_rank(falling, "uid", "pp", (2, 1, 1))) == [(1, -1, "PV"), (1, 0, "PV"), (1, 1, "MID")]
+
+
+def test_ends_at_one_place_are_met_once(spark):
+    """Distances are found for places, directions for ends: the join has a row for a place, however many lines end there."""
+    ends = [(i, 1, 8 * (i % 2), 8 + i % 3) for i in range(3000)] + [(i, 2, 20, 10) for i in range(3000)]
+    lines = spark.createDataFrame([*ends, (9000, 1, 20, 0), (9000, 2, 20, 32), (9001, 1, 0, 11), (9001, 2, 40, 11)], "line long, seq long, px long, py long")
+    segs = graph.segments(lines).where("line >= 9000")
+    found = graph.t_junctions(lines, segs, 2.0, digits=3)
+    want = {(i, 2, 9000, 1, 0.313) for i in range(3000)}
+    steep = lambda i: math.degrees(math.atan2(abs(2 - i % 3), 20 - 8 * (i % 2))) >= 20
+    want |= {(i, s, 9001, 1, x) for i in range(3000) for s, x in ((1, 8 * (i % 2) / 40), (2, 0.5)) if steep(i) and 0.02 <= x <= 0.98 and (s == 2 or abs(8 + i % 3 - 11) <= 2)}
+    assert {tuple(r) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(tips") < plan.index("Join Inner")
+
+
+def test_shares_are_rounded_as_decimals(spark):
+    shares = [(a / b,) for b in (7, 1000, 1024, 2048, 5120, 17330) for a in range(b)]
+    got = spark.createDataFrame(shares, "t double").select(graph.rounded_share(F.col("t"), 9).alias("a"), F.round("t", 9).alias("b"))
+    assert got.where("a <> b").count() == 0 and got.where("a = b").count() == len(shares)
